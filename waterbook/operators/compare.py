@@ -75,25 +75,33 @@ def with_total(
     total_values: dict[str, object],
     on_zero: str,
     order: str = "sql",
+    detail_on_zero: str | None = None,
 ) -> DataFrame:
-    """Append a grand-total row (a one-level rollup written as a union).
-
-    The total sums the detail rows, which are few (one per group), so the
-    second aggregate is cheap and the detail's shuffle is reused by both
-    branches. Columns of the detail that are not measures take the values in
-    ``total_values`` (NULL when absent). Growth is recomputed from the
-    totals. ``is_total`` flags the row; never test for NULL keys instead.
+    """Detail rows plus a grand-total row, then ``diff`` and ``growth_pct``.
+
+    ``detail`` holds one row per key: key columns (and columns that are
+    functions of the keys) plus ``measures``. Detail and total come out of
+    one ``GROUPING SETS ((keys), ())`` aggregate over that small detail, so
+    the pipeline that produced it runs once; a union of the detail with an
+    aggregate of itself would plan it twice. Key columns of the total row
+    take ``total_values`` (NULL when absent); ``is_total`` flags it, so a
+    NULL key is never mistaken for the total. Growth uses ``on_zero`` on
+    the total and ``detail_on_zero`` (default the same) on detail rows.
     """
-    sums = [F.sum(F.col(m)).cast("long").alias(m) for m in measures]
-    total = detail.agg(*sums)
-    for name in detail.columns:
-        if name in measures or name in ("diff", "growth_pct", "is_total"):
-            continue
-        value = total_values.get(name)
-        total = total.withColumn(name, F.lit(value).cast(detail.schema[name].dataType))
-    total = with_diff_growth(total, on_zero, order).withColumn("is_total", F.lit(True))
-    detail = detail.withColumn("is_total", F.lit(False))
-    return detail.unionByName(total.select(*detail.columns))
+    keys = [c for c in detail.columns if c not in measures]
+    agg = detail.groupingSets([keys, []], *keys).agg(
+        *[F.sum(F.col(m)).cast("long").alias(m) for m in measures],
+        (F.grouping_id() > 0).alias("is_total"),
+    )
+    total = F.col("is_total")
+    key_cols = [
+        F.when(total, F.lit(total_values.get(k)).cast(detail.schema[k].dataType)).otherwise(F.col(k)).alias(k)
+        for k in keys
+    ]
+    out = agg.select(*key_cols, *measures, "is_total").withColumn("diff", F.col("cmp") - F.col("base"))
+    g_total = growth_pct(F.col("base"), F.col("cmp"), on_zero, order)
+    g_detail = growth_pct(F.col("base"), F.col("cmp"), detail_on_zero or on_zero, order)
+    return out.withColumn("growth_pct", F.when(total, g_total).otherwise(g_detail))
 
 
 def rollup_total(df: DataFrame, key: str, period: PeriodCompare, on_zero: str = "zero") -> DataFrame:

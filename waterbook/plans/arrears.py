@@ -46,12 +46,16 @@ def _counted(bills: DataFrame, tables: Tables, regions, tag: F.Column) -> DataFr
 
 
 def _finish(per_cashier: DataFrame, measures: list[str], spark) -> DataFrame:
-    """Total row (sum of the few detail rows), then the cashier list LEFT
-    joined so cashiers without open invoices show zeros."""
-    total = per_cashier.agg(*[F.sum(m).alias(m) for m in measures]).withColumn(
-        "cashier_code", F.lit(L.CASHIER_TOTAL[0])
+    """Per-cashier rows and their total from one grouping-sets aggregate,
+    then the cashier list LEFT joined (broadcast, 7 literal rows) so
+    cashiers without open invoices show zeros."""
+    agg = per_cashier.groupingSets([["cashier_code"], []], "cashier_code").agg(
+        *[F.sum(m).alias(m) for m in measures], (F.grouping_id() > 0).alias("__total")
+    )
+    both = agg.select(
+        F.when(F.col("__total"), F.lit(L.CASHIER_TOTAL[0])).otherwise(F.col("cashier_code")).alias("cashier_code"),
+        *measures,
     )
-    both = per_cashier.unionByName(total.select(*per_cashier.columns))
     dim = F.broadcast(cashier_dim(spark))
     out = dim.join(both, dim["cashier"] == both["cashier_code"], "left").drop("cashier_code")
     return out.select(

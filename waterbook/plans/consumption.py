@@ -116,8 +116,14 @@ def region_month_growth(tables: Tables, period: PeriodCompare) -> DataFrame:
     """
     pc = per_customer(period_bills(tables, period), period)
     j = join_customer(pc, tables, "left").withColumn("region", region_name(norm(F.col("region_code"))))
-    detail = with_diff_growth(sum_up(j, ["region"]), "inf", order="ratio")
-    return with_total(detail, ["base", "cmp"], {"region": L.REGION_TOTAL_NAME}, on_zero="zero", order="ratio")
+    return with_total(
+        sum_up(j, ["region"]),
+        ["base", "cmp"],
+        {"region": L.REGION_TOTAL_NAME},
+        on_zero="zero",
+        order="ratio",
+        detail_on_zero="inf",
+    )
 
 
 def kpi_status(tables: Tables, period: PeriodCompare) -> DataFrame:
@@ -166,9 +172,8 @@ def region_month_growth_filtered(
 
 
 def _region_summary(cust: DataFrame) -> DataFrame:
-    detail = with_diff_growth(sum_up(cust, ["region", "region_ordinal"]), "zero")
     return with_total(
-        detail,
+        sum_up(cust, ["region", "region_ordinal"]),
         ["base", "cmp"],
         {"region": L.REGION_TOTAL_NAME, "region_ordinal": L.REGION_TOTAL_ORDINAL},
         on_zero="zero",
@@ -204,36 +209,39 @@ def region_sectioned_report(
 ) -> DataFrame:
     """Summary section (regions and total), then per region a header row and
     its top customers. Hidden ordering columns: ``section``, ``sort_order``,
-    ``region_ordinal``, ``rank``; measures are NULL on header rows."""
+    ``region_ordinal``, ``rank``; measures are NULL on header rows.
+
+    Summary and header rows come from one region aggregate (each region row
+    also emits its header), the top rows from the per-customer ranking;
+    both read the same customer-level shuffle."""
     cust = customer_level(tables, period, filters)
-    summary = _region_summary(cust).select(
+    c = F.col
+    summary_row = F.struct(
         F.lit(1).alias("section"),
-        F.when(F.col("is_total"), F.lit(2)).otherwise(F.lit(1)).alias("sort_order"),
-        "region_ordinal",
+        F.when(c("is_total"), F.lit(2)).otherwise(F.lit(1)).alias("sort_order"),
+        c("region_ordinal"),
         F.lit(None).cast("int").alias("rank"),
-        F.col("region").alias("label"),
-        "base",
-        "cmp",
-        "diff",
-        "growth_pct",
-        "is_total",
+        c("region").alias("label"),
+        c("base"),
+        c("cmp"),
+        c("diff"),
+        c("growth_pct"),
+        c("is_total"),
     )
-    headers = (
-        cust.select("region", "region_ordinal")
-        .distinct()
-        .select(
-            F.lit(2).alias("section"),
-            F.lit(1).alias("sort_order"),
-            "region_ordinal",
-            F.lit(0).alias("rank"),
-            F.upper(concat_nullsafe(L.TOP_HEADER_PREFIX, F.col("region"), L.TOP_HEADER_SUFFIX)).alias("label"),
-            F.lit(None).cast("long").alias("base"),
-            F.lit(None).cast("long").alias("cmp"),
-            F.lit(None).cast("long").alias("diff"),
-            F.lit(None).cast("double").alias("growth_pct"),
-            F.lit(False).alias("is_total"),
-        )
+    header_row = F.struct(
+        F.lit(2).alias("section"),
+        F.lit(1).alias("sort_order"),
+        c("region_ordinal"),
+        F.lit(0).alias("rank"),
+        F.upper(concat_nullsafe(L.TOP_HEADER_PREFIX, c("region"), L.TOP_HEADER_SUFFIX)).alias("label"),
+        F.lit(None).cast("long").alias("base"),
+        F.lit(None).cast("long").alias("cmp"),
+        F.lit(None).cast("long").alias("diff"),
+        F.lit(None).cast("double").alias("growth_pct"),
+        F.lit(False).alias("is_total"),
     )
+    rows = F.when(c("is_total"), F.array(summary_row)).otherwise(F.array(summary_row, header_row))
+    summary = _region_summary(cust).select(F.explode(rows).alias("r")).select("r.*")
     top = _top_customers(cust, n).select(
         F.lit(2).alias("section"),
         F.lit(2).alias("sort_order"),
@@ -246,7 +254,7 @@ def region_sectioned_report(
         "growth_pct",
         F.lit(False).alias("is_total"),
     )
-    return summary.unionByName(headers).unionByName(top)
+    return summary.unionByName(top)
 
 
 def order_sectioned(df: DataFrame) -> DataFrame:
@@ -262,45 +270,53 @@ def region_ytd_growth(tables: Tables, period: PeriodCompare, filters: Filters =
 
     INNER joins to customers and streets. The two yearly aggregates of the
     source were FULL joined on the code; a NULL code never matches, so it
-    stays as one row per year, which ``split_null`` reproduces. Unknown codes
-    are shown one by one as "other (code)". Growth is NULL on a zero base.
+    stays as one row per year that has rows. Here each customer row with a
+    NULL code is split into a base-year and a comparison-year part tagged
+    apart, inside the same aggregate. Unknown codes are shown one by one as
+    "other (code)". Growth is NULL on a zero base.
     """
     bills = bill_filters(period_bills(tables, period), filters)
     j = with_street(join_customer(per_customer(bills, period), tables, "inner"), tables)
-    j = customer_filters(j, filters).withColumn("region_code_n", norm(F.col("region_code")))
-    per_code = j.groupBy("region_code_n").agg(
-        F.sum("base").cast("long").alias("base"),
-        F.sum("cmp").cast("long").alias("cmp"),
-        F.sum("base_rows").alias("base_rows"),
-        F.sum("cmp_rows").alias("cmp_rows"),
+    j = customer_filters(j, filters)
+    code = norm(F.col("region_code"))
+    zero = F.lit(0).cast("long")
+
+    def part(tag: int, base, cmp_, rows):
+        return F.struct(F.lit(tag).alias("tag"), base.alias("b"), cmp_.alias("c"), rows.alias("n"))
+
+    parts = F.when(
+        code.isNull(),
+        F.array(
+            part(1, F.col("base"), zero, F.col("base_rows")),
+            part(2, zero, F.col("cmp"), F.col("cmp_rows")),
+        ),
+    ).otherwise(F.array(part(0, F.col("base"), F.col("cmp"), F.col("base_rows") + F.col("cmp_rows"))))
+    exploded = j.select(code.alias("region_code"), F.explode(parts).alias("p"))
+    per_code = (
+        exploded.groupBy("region_code", F.col("p.tag").alias("tag"))
+        .agg(
+            F.sum("p.b").cast("long").alias("base"),
+            F.sum("p.c").cast("long").alias("cmp"),
+            F.sum("p.n").alias("n"),
+        )
+        .where(F.col("n") > 0)
     )
-    per_code = _split_null_key(per_code, "region_code_n")
-    code = F.col("region_code_n")
-    detail = with_diff_growth(per_code, "null").select(
-        code.alias("region_code"),
-        region_upper_name(code).alias("region_label"),
-        region_ordinal(code).alias("region_ordinal"),
+    k = F.col("region_code")
+    detail = per_code.select(
+        k,
+        region_upper_name(k).alias("region_label"),
+        region_ordinal(k).alias("region_ordinal"),
+        "tag",
         "base",
         "cmp",
-        "diff",
-        "growth_pct",
     )
-    return with_total(
+    out = with_total(
         detail,
         ["base", "cmp"],
         {"region_code": L.YTD_TOTAL_CODE, "region_label": L.YTD_TOTAL_LABEL, "region_ordinal": 6},
         on_zero="null",
     )
-
-
-def _split_null_key(df: DataFrame, key: str) -> DataFrame:
-    """A NULL-key group becomes one row per year that has rows, like the two
-    NULL rows a FULL join of yearly aggregates keeps apart."""
-    keyed = df.where(F.col(key).isNotNull()).select(key, "base", "cmp")
-    nulls = df.where(F.col(key).isNull())
-    base_part = nulls.where(F.col("base_rows") > 0).select(key, "base", F.lit(0).cast("long").alias("cmp"))
-    cmp_part = nulls.where(F.col("cmp_rows") > 0).select(key, F.lit(0).cast("long").alias("base"), "cmp")
-    return keyed.unionByName(base_part).unionByName(cmp_part)
+    return out.drop("tag")
 
 
 def full_join_years(tables: Tables, period: PeriodCompare) -> DataFrame:
@@ -334,14 +350,12 @@ def purpose_growth(tables: Tables, period: PeriodCompare, region: str) -> DataFr
     )
     kept = per_purpose.where(F.col("base_rows") > 0)
     p = F.col("purpose")
-    detail = with_diff_growth(kept, "zero").select(
+    detail = kept.select(
         purpose_ordinal(p).alias("ordinal"),
         p.alias("purpose_code"),
         purpose_name(p).alias("purpose_name"),
         "base",
         "cmp",
-        "diff",
-        "growth_pct",
     )
     return with_total(
         detail,
@@ -371,9 +385,7 @@ def class_period_growth(tables: Tables, period: PeriodCompare, filters: Filters
     )
     cls = F.coalesce(F.col("cmp_class"), F.col("base_class"), F.lit(L.CLASS_UNCLASSIFIED))
     per_class = sum_up(per_code.withColumn("class_code", cls), ["class_code"])
-    detail = with_diff_growth(per_class, "null").select(
-        "class_code", class_name(F.col("class_code")).alias("class_name"), "base", "cmp", "diff", "growth_pct"
-    )
+    detail = per_class.select("class_code", class_name(F.col("class_code")).alias("class_name"), "base", "cmp")
     return with_total(detail, ["base", "cmp"], {"class_name": L.CLASS_TOTAL_NAME}, on_zero="null")
 
 

@@ -66,32 +66,36 @@ def reading_delta(tables: Tables, p: ReadingParams) -> DataFrame:
 def reading_class_summary(tables: Tables, p: ReadingParams) -> DataFrame:
     """The fixed class catalogue LEFT joined to per-class sums (zeros kept),
     and a total over *all* customers, including classes missing from the
-    catalogue, so detail rows need not add up to the total."""
+    catalogue, so detail rows need not add up to the total.
+
+    Per-class sums and the total come from one grouping-sets aggregate; the
+    catalogue carries a total marker row that picks up the total by a
+    null-safe join, so the reading pipeline runs once."""
     rows = reading_delta(tables, p)
-    per_class = rows.groupBy("class_code").agg(
-        F.sum("prev_volume").cast("long").alias("prev_volume"),
-        F.sum("last_volume").cast("long").alias("last_volume"),
-        F.sum("delta").cast("long").alias("delta"),
+    measures = ("prev_volume", "last_volume", "delta")
+    agg = rows.groupingSets([["class_code"], []], "class_code").agg(
+        *[F.sum(m).cast("long").alias(m) for m in measures], (F.grouping_id() > 0).alias("is_total")
+    )
+    cat = class_catalogue(tables.spark).withColumn("is_total", F.lit(False))
+    marker = tables.spark.createDataFrame(
+        [(L.CATALOGUE_TOTAL_ORDINAL, L.CATALOGUE_TOTAL_LABEL, None, None, True)],
+        "sort_order int, purpose_name string, group_name string, class_code string, is_total boolean",
     )
-    cat = F.broadcast(class_catalogue(tables.spark))
-    detail = cat.join(per_class, "class_code", "left").select(
-        "sort_order",
-        "purpose_name",
-        "group_name",
-        "class_code",
-        *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in ("prev_volume", "last_volume", "delta")],
-        F.lit(False).alias("is_total"),
+    dim = F.broadcast(cat.unionByName(marker))
+    j = dim.join(
+        agg,
+        dim["class_code"].eqNullSafe(agg["class_code"]) & (dim["is_total"] == agg["is_total"]),
+        "left",
     )
-    # a global aggregate: one row even with no readings (sums then NULL)
-    total = rows.agg(*[F.sum(m).cast("long").alias(m) for m in ("prev_volume", "last_volume", "delta")]).select(
-        F.lit(L.CATALOGUE_TOTAL_ORDINAL).alias("sort_order"),
-        F.lit(L.CATALOGUE_TOTAL_LABEL).alias("purpose_name"),
-        F.lit(None).cast("string").alias("group_name"),
-        F.lit(None).cast("string").alias("class_code"),
-        "prev_volume",
-        "last_volume",
-        "delta",
-        F.lit(True).alias("is_total"),
+    total = dim["is_total"]
+    out = j.select(
+        dim["sort_order"],
+        dim["purpose_name"],
+        dim["group_name"],
+        dim["class_code"],
+        # detail rows of the catalogue show 0 when absent; the total keeps
+        # NULL sums when there are no readings at all
+        *[F.when(total, agg[m]).otherwise(F.coalesce(agg[m], F.lit(0))).cast("long").alias(m) for m in measures],
+        total.alias("is_total"),
     )
-    out = detail.unionByName(total)
     return out.withColumn("growth_pct", growth_pct(F.col("prev_volume"), F.col("last_volume"), "zero"))
