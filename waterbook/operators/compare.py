@@ -89,10 +89,18 @@ def with_total(
     the total and ``detail_on_zero`` (default the same) on detail rows.
     """
     keys = [c for c in detail.columns if c not in measures]
-    agg = detail.groupingSets([keys, []], *keys).agg(
+    # One literal marker row keeps the grand-total set non-empty, so an empty
+    # detail still yields a total row (with NULL sums, like SUM over nothing).
+    # Its own detail group is dropped again below.
+    marker = detail.sparkSession.range(1).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in detail.schema.fields], F.lit(True).alias("__marker")
+    )
+    marked = detail.withColumn("__marker", F.lit(False)).unionByName(marker)
+    agg = marked.groupingSets([[*keys, "__marker"], []], *keys, "__marker").agg(
         *[F.sum(F.col(m)).cast("long").alias(m) for m in measures],
         (F.grouping_id() > 0).alias("is_total"),
     )
+    agg = agg.where(F.col("is_total") | ~F.col("__marker"))
     total = F.col("is_total")
     key_cols = [
         F.when(total, F.lit(total_values.get(k)).cast(detail.schema[k].dataType)).otherwise(F.col(k)).alias(k)
