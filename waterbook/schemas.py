@@ -106,6 +106,19 @@ TRIP_JSON = _struct(
     ("pass", S),
     ("kmEnd", S),
 )
+# Trip log as stored by the order stream (typed form fields, plate as text).
+TRIP_LOG = _struct(
+    ("id", L),
+    ("car", S),
+    ("driver", S),
+    ("leader", S),
+    ("dest", S),
+    ("passengers", S),
+    ("start_at", TS),
+    ("end_at", TS),
+    ("km_start", L),
+    ("km_end", L),
+)
 _PROFILE_FIELDS = [
     ("name", S),
     ("brand", S),

@@ -113,7 +113,11 @@ def read_trip_json(spark: SparkSession, path: str) -> DataFrame:
     Form values arrive as text: times as ``yyyy-MM-ddTHH:mm`` and odometer
     readings as digits. Bad numbers become NULL instead of failing the job.
     """
-    raw = spark.read.schema(schemas.TRIP_JSON).json(path)
+    return typed_trips(spark.read.schema(schemas.TRIP_JSON).json(path))
+
+
+def typed_trips(raw: DataFrame) -> DataFrame:
+    """Trip-form text fields to typed trip columns (batch or streaming)."""
     return raw.select(
         F.col("id").cast("long").alias("id"),
         F.col("car"),
