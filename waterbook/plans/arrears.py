@@ -17,7 +17,6 @@ from waterbook.functions.dates import month_key, unpaid_as_of
 from waterbook.operators.filters import in_list, positive_invoice
 from waterbook.params import ArrearsParams, CumulativeArrearsParams
 from waterbook.sources import literals as L
-from waterbook.sources.literals import cashier_dim
 from waterbook.sources.tables import Tables
 
 CASHIER_CODES = [c for c, _, _ in L.CASHIERS]
@@ -31,42 +30,58 @@ def _is_transfer() -> F.Column:
     return F.upper(F.coalesce(F.col("pay_channel"), F.lit(""))) == F.lit(L.TRANSFER_CHANNEL)
 
 
-def _counted(bills: DataFrame, tables: Tables, regions, tag: F.Column) -> DataFrame:
-    """Count open invoices per (customer, cashier, tag, channel), then keep
-    those whose customer exists (and is in the region list)."""
-    pre = (
-        bills.withColumn("cashier_code", _cashier())
-        .where(F.col("cashier_code").isin(CASHIER_CODES))
-        .groupBy("customer_id", "cashier_code", tag.alias("tag"), _is_transfer().alias("is_transfer"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def _counted(bills: DataFrame, tables: Tables, regions) -> DataFrame:
+    """Bills of the listed cashiers whose customer exists (and is in the
+    region list). Each bill is about one row per customer and period, so a
+    pre-aggregation would not shrink anything; the semi join runs on the
+    bills directly (split by AQE if one customer is hot)."""
+    listed = bills.withColumn("cashier_code", _cashier()).where(F.col("cashier_code").isin(CASHIER_CODES))
+    customers = in_list(tables.customer.select("customer_id", "region_code"), "region_code", regions, normalise=True)
+    return listed.join(customers.select("customer_id"), "customer_id", "left_semi").withColumn(
+        "is_transfer", _is_transfer()
     )
-    customers = tables.customer.select("customer_id", "region_code")
-    customers = in_list(customers, "region_code", regions, normalise=True)
-    return pre.join(customers.select("customer_id"), "customer_id", "left_semi")
 
 
-def _finish(per_cashier: DataFrame, measures: list[str], spark) -> DataFrame:
-    """Per-cashier rows and their total from one grouping-sets aggregate,
-    then the cashier list LEFT joined (broadcast, 7 literal rows) so
-    cashiers without open invoices show zeros."""
-    agg = per_cashier.groupingSets([["cashier_code"], []], "cashier_code").agg(
-        *[F.sum(m).alias(m) for m in measures], (F.grouping_id() > 0).alias("__total")
-    )
-    both = agg.select(
-        F.when(F.col("__total"), F.lit(L.CASHIER_TOTAL[0])).otherwise(F.col("cashier_code")).alias("cashier_code"),
-        *measures,
+def _finish(counted: DataFrame, aggs: list[F.Column], spark) -> DataFrame:
+    """Per-cashier counts and their total from one grouping-sets aggregate.
+
+    The cashier list joins in as rows, not as a join: one row per listed
+    cashier with NULL measures is added to the input, so every cashier
+    gets a row (its sums NULL, shown as 0) and the total set is never
+    empty. Names and order come from map lookups on the code."""
+    dim_rows = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in CASHIER_CODES])).alias("cashier_code"))
+    marked = counted.select("cashier_code", F.lit(False).alias("__dim"), *_inputs(counted)).unionByName(
+        dim_rows.select("cashier_code", F.lit(True).alias("__dim")), allowMissingColumns=True
     )
-    dim = F.broadcast(cashier_dim(spark))
-    out = dim.join(both, dim["cashier"] == both["cashier_code"], "left").drop("cashier_code")
-    return out.select(
-        "cashier",
-        "cashier_name",
-        "sort_order",
+    agg = marked.groupingSets([["cashier_code"], []], "cashier_code").agg(*aggs, (F.grouping_id() > 0).alias("is_total"))
+    code = F.when(F.col("is_total"), F.lit(L.CASHIER_TOTAL[0])).otherwise(F.col("cashier_code"))
+    name_map = F.create_map(*[F.lit(x) for c, n, _ in L.CASHIERS for x in (c, n)])
+    order_map = F.create_map(*[F.lit(x) for c, _, o in L.CASHIERS for x in (c, o)])
+    measures = [a for a in agg.columns if a not in ("cashier_code", "is_total")]
+    return agg.select(
+        code.alias("cashier"),
+        F.when(F.col("is_total"), F.lit(L.CASHIER_TOTAL[1])).otherwise(F.try_element_at(name_map, F.col("cashier_code"))).alias(
+            "cashier_name"
+        ),
+        F.when(F.col("is_total"), F.lit(L.CASHIER_TOTAL[2]))
+        .otherwise(F.try_element_at(order_map, F.col("cashier_code")))
+        .cast("int")
+        .alias("sort_order"),
         "is_total",
         *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in measures],
     )
 
 
+def _inputs(counted: DataFrame) -> list[str]:
+    return [c for c in ("tag", "is_transfer") if c in counted.columns]
+
+
+def _count(cond: F.Column) -> F.Column:
+    """Number of bill rows meeting ``cond`` (NULL, shown as 0, when none;
+    the cashier-list rows never count)."""
+    return F.sum(F.when(~F.col("__dim") & cond, F.lit(1)))
+
+
 def arrears_snapshot(tables: Tables, p: ArrearsParams) -> DataFrame:
     """Open invoices of this billing month at the cut-off and of the previous
     billing month at the cut-off one month earlier, split by channel."""
@@ -79,22 +94,18 @@ def arrears_snapshot(tables: Tables, p: ArrearsParams) -> DataFrame:
         F.when(cur & unpaid_as_of(posted, paid, flag, p.cutoff), F.lit(2))
         .when(prev & unpaid_as_of(posted, paid, flag, p.previous_cutoff), F.lit(1))
     )
-    counted = _counted(bills.where(tag.isNotNull()), tables, p.regions, tag)
-    t, tr, n = F.col("tag"), F.col("is_transfer"), F.col("n")
-
-    def s(cond):
-        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
-
-    per_cashier = counted.groupBy("cashier_code").agg(
-        s((t == 2) & tr).alias("cur_transfer"),
-        s((t == 2) & ~tr).alias("cur_cash"),
-        s(t == 2).alias("cur_total"),
-        s((t == 1) & tr).alias("prev_transfer"),
-        s((t == 1) & ~tr).alias("prev_cash"),
-        s(t == 1).alias("prev_total"),
-    )
-    measures = ["cur_transfer", "cur_cash", "cur_total", "prev_transfer", "prev_cash", "prev_total"]
-    out = _finish(per_cashier, measures, tables.spark)
+    tagged = bills.withColumn("tag", tag).where(F.col("tag").isNotNull())
+    counted = _counted(tagged, tables, p.regions)
+    t, tr = F.col("tag"), F.col("is_transfer")
+    aggs = [
+        _count((t == 2) & tr).alias("cur_transfer"),
+        _count((t == 2) & ~tr).alias("cur_cash"),
+        _count(t == 2).alias("cur_total"),
+        _count((t == 1) & tr).alias("prev_transfer"),
+        _count((t == 1) & ~tr).alias("prev_cash"),
+        _count(t == 1).alias("prev_total"),
+    ]
+    out = _finish(counted, aggs, tables.spark)
     return out.withColumn("diff", F.col("cur_total") - F.col("prev_total"))
 
 
@@ -111,14 +122,14 @@ def arrears_cumulative(tables: Tables, p: CumulativeArrearsParams) -> DataFrame:
         & unpaid_as_of(F.col("posted_at"), F.col("paid_at"), F.col("is_paid"), p.cutoff)
         & positive_invoice()
     )
-    counted = _counted(bills, tables, p.regions, F.lit(0))
-    tr, n = F.col("is_transfer"), F.col("n")
-    per_cashier = counted.groupBy("cashier_code").agg(
-        F.coalesce(F.sum(F.when(tr, n)), F.lit(0)).cast("long").alias("open_transfer"),
-        F.coalesce(F.sum(F.when(~tr, n)), F.lit(0)).cast("long").alias("open_cash"),
-        F.sum(n).cast("long").alias("open_total"),
-    )
-    return _finish(per_cashier, ["open_transfer", "open_cash", "open_total"], tables.spark)
+    counted = _counted(bills, tables, p.regions)
+    tr = F.col("is_transfer")
+    aggs = [
+        _count(tr).alias("open_transfer"),
+        _count(~tr).alias("open_cash"),
+        _count(F.lit(True)).alias("open_total"),
+    ]
+    return _finish(counted, aggs, tables.spark)
 
 
 def positive_invoices(tables: Tables) -> DataFrame:

@@ -18,7 +18,6 @@ from waterbook.functions.growth import growth_pct
 from waterbook.operators.rank import latest_two, min_per_key
 from waterbook.params import ReadingParams
 from waterbook.sources import literals as L
-from waterbook.sources.literals import class_catalogue
 from waterbook.sources.tables import Tables
 
 
@@ -64,38 +63,35 @@ def reading_delta(tables: Tables, p: ReadingParams) -> DataFrame:
 
 
 def reading_class_summary(tables: Tables, p: ReadingParams) -> DataFrame:
-    """The fixed class catalogue LEFT joined to per-class sums (zeros kept),
-    and a total over *all* customers, including classes missing from the
+    """The fixed class catalogue with per-class sums (zeros kept), and a
+    total over *all* customers, including classes missing from the
     catalogue, so detail rows need not add up to the total.
 
-    Per-class sums and the total come from one grouping-sets aggregate; the
-    catalogue carries a total marker row that picks up the total by a
-    null-safe join, so the reading pipeline runs once."""
+    No join: the catalogue classes are added to the input as rows with NULL
+    measures, one grouping-sets aggregate gives per-class sums and the total
+    (NULL sums when there are no readings, as SUM over nothing), and the
+    catalogue attributes are looked up from the class code."""
     rows = reading_delta(tables, p)
     measures = ("prev_volume", "last_volume", "delta")
-    agg = rows.groupingSets([["class_code"], []], "class_code").agg(
+    codes = [c for _, _, _, c in L.CLASS_CATALOGUE]
+    cat_rows = tables.spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in codes])).alias("class_code"))
+    marked = rows.select("class_code", *measures).unionByName(cat_rows, allowMissingColumns=True)
+    agg = marked.groupingSets([["class_code"], []], "class_code").agg(
         *[F.sum(m).cast("long").alias(m) for m in measures], (F.grouping_id() > 0).alias("is_total")
     )
-    cat = class_catalogue(tables.spark).withColumn("is_total", F.lit(False))
-    marker = tables.spark.createDataFrame(
-        [(L.CATALOGUE_TOTAL_ORDINAL, L.CATALOGUE_TOTAL_LABEL, None, None, True)],
-        "sort_order int, purpose_name string, group_name string, class_code string, is_total boolean",
-    )
-    dim = F.broadcast(cat.unionByName(marker))
-    j = dim.join(
-        agg,
-        dim["class_code"].eqNullSafe(agg["class_code"]) & (dim["is_total"] == agg["is_total"]),
-        "left",
-    )
-    total = dim["is_total"]
-    out = j.select(
-        dim["sort_order"],
-        dim["purpose_name"],
-        dim["group_name"],
-        dim["class_code"],
-        # detail rows of the catalogue show 0 when absent; the total keeps
-        # NULL sums when there are no readings at all
-        *[F.when(total, agg[m]).otherwise(F.coalesce(agg[m], F.lit(0))).cast("long").alias(m) for m in measures],
+    total = F.col("is_total")
+    kept = agg.where(total | F.col("class_code").isin(codes))
+
+    def lookup(i: int) -> F.Column:
+        m = F.create_map(*[F.lit(x) for row in L.CLASS_CATALOGUE for x in (row[3], row[i])])
+        return F.try_element_at(m, F.col("class_code"))
+
+    out = kept.select(
+        F.when(total, F.lit(L.CATALOGUE_TOTAL_ORDINAL)).otherwise(lookup(0)).cast("int").alias("sort_order"),
+        F.when(total, F.lit(L.CATALOGUE_TOTAL_LABEL)).otherwise(lookup(1)).alias("purpose_name"),
+        F.when(total, F.lit(None).cast("string")).otherwise(lookup(2)).alias("group_name"),
+        F.when(total, F.lit(None).cast("string")).otherwise(F.col("class_code")).alias("class_code"),
+        *[F.when(total, F.col(m)).otherwise(F.coalesce(F.col(m), F.lit(0))).cast("long").alias(m) for m in measures],
         total.alias("is_total"),
     )
     return out.withColumn("growth_pct", growth_pct(F.col("prev_volume"), F.col("last_volume"), "zero"))
