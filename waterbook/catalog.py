@@ -102,6 +102,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "growth_status_label": _q(lambda t: present.status_label(consumption.region_sectioned_report(t, MONTH))),
     "report_formatting": _q(lambda t: present.format_sectioned(consumption.region_sectioned_report(t, MONTH))),
+    # printed report text
+    "region_month_text": _q(lambda t: present.format_month_growth(consumption.region_month_growth(t, MONTH))),
+    "kpi_text": _q(lambda t: present.kpi_text(consumption.kpi_status(t, MONTH))),
+    "ytd_report_text": _q(lambda t: present.format_ytd(consumption.region_ytd_growth(t, YTD))),
+    "class_report_text": _q(
+        lambda t: present.format_class(
+            consumption.class_period_growth(t, CLASS_PERIOD, Filters(regions=REGION, exclude_customers=CLASS_EXCLUDED))
+        )
+    ),
+    "reading_list_text": _q(lambda t: present.format_readings(readings.reading_delta(t, READING))),
+    "reading_summary_text": _q(lambda t: present.format_reading_summary(readings.reading_class_summary(t, READING))),
+    "arrears_report_text": _q(
+        lambda t: present.arrears_headings(
+            arrears.arrears_snapshot(t, ARREARS), ARREARS.cutoff, ARREARS.previous_cutoff
+        )
+    ),
     # arrears
     "arrears_snapshot": _q(lambda t: arrears.arrears_snapshot(t, ARREARS)),
     "arrears_cumulative": _q(lambda t: arrears.arrears_cumulative(t, CUMULATIVE)),

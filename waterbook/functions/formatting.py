@@ -50,6 +50,22 @@ def pct_trimmed(h: Column) -> Column:
     return F.concat(sign, F.translate(F.format_number(whole.cast("long"), 0), ",", "."), frac_text)
 
 
+def comma_grouped(x: Column) -> Column:
+    """``{:,.0f}``: comma groups, rounded half away from zero."""
+    return F.format_number(_long(x), 0)
+
+
+def signed_comma_grouped(x: Column) -> Column:
+    """``{:+,.0f}``: always signed, ``+0`` for zero."""
+    return F.when(_long(x) >= 0, F.concat(F.lit("+"), comma_grouped(x))).otherwise(comma_grouped(x))
+
+
+def fixed2_dot(h: Column) -> Column:
+    """Two decimals with a ``.`` mark from hundredths: ``-12.50``."""
+    sign, whole, frac = _hundredths_parts(h)
+    return F.concat(sign, whole.cast("long").cast("string"), F.lit("."), F.lpad(frac.cast("string"), 2, "0"))
+
+
 def growth_text_signed(h: Column, positive: Column, zero: Column) -> Column:
     """Growth cell of the sectioned report: ``+x,xx %`` when growth is
     positive, the literal ``0,00 %`` when it is zero, else ``x,xx %``;

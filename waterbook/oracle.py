@@ -754,3 +754,114 @@ FROM v
 
 
 SQL["flush_volume"] = _flush()
+
+# -- printed report text -----------------------------------------------------------
+
+
+def _comma(x: str) -> str:
+    return f"format('{{:,}}', CAST(round({x}, 0) AS BIGINT))"
+
+
+def _signed_comma(x: str) -> str:
+    return f"CASE WHEN round({x}, 0) >= 0 THEN concat('+', {_comma(x)}) ELSE {_comma(x)} END"
+
+
+def _fixed2_dot(h: str) -> str:
+    return (
+        f"CASE WHEN {h} IS NULL THEN NULL ELSE concat(CASE WHEN {h} < 0 THEN '-' ELSE '' END, "
+        f"CAST(abs({h}) // 100 AS VARCHAR), '.', lpad(CAST(abs({h}) % 100 AS VARCHAR), 2, '0')) END"
+    )
+
+
+def _trimmed_vi(h: str) -> str:
+    frac = f"abs({h}) % 100"
+    return (
+        f"CASE WHEN {h} IS NULL THEN NULL ELSE concat(CASE WHEN {h} < 0 THEN '-' ELSE '' END, "
+        f"format('{{:t.}}', abs({h}) // 100), "
+        f"CASE WHEN {frac} = 0 THEN '' WHEN {frac} % 10 = 0 THEN concat(',', CAST({frac} // 10 AS VARCHAR)) "
+        f"ELSE concat(',', lpad(CAST({frac} AS VARCHAR), 2, '0')) END) END"
+    )
+
+
+def _right(text: str, n: int) -> str:
+    return f"right(repeat(' ', {n}) || ({text}), {n})"
+
+
+def _money(x: str) -> str:
+    return f"replace(format('{{:,.2f}}', CAST({x} AS DOUBLE)), '.00', '')"
+
+
+def _wrap(base: str, select: str) -> str:
+    return f"SELECT {select}\nFROM (\n{base}\n) r"
+
+
+SQL["region_month_text"] = _wrap(
+    SQL["region_month_growth"],
+    f"""region, is_total, {_comma('base')} AS base_text, {_comma('cmp')} AS cmp_text,
+  {_signed_comma('diff')} AS diff_text,
+  CASE WHEN growth_pct = 'inf'::DOUBLE THEN '+inf %' WHEN growth_pct = '-inf'::DOUBLE THEN '-inf %'
+       ELSE concat(CASE WHEN growth_pct >= 0 THEN '+' ELSE '' END,
+                   {_fixed2_dot('COALESCE(' + _hundredths('base', 'diff') + ', 0)')}, ' %') END AS growth_text""",
+)
+
+SQL["kpi_text"] = _wrap(
+    SQL["kpi_status"],
+    f"""{_comma('base')} AS base_text, {_comma('cmp')} AS cmp_text, {_signed_comma('diff')} AS diff_text,
+  concat(CASE WHEN COALESCE({_hundredths('base', 'diff')}, 0) >= 0 THEN '+' ELSE '' END,
+         {_fixed2_dot('COALESCE(' + _hundredths('base', 'diff') + ', 0)')}, '%') AS growth_text,
+  CASE WHEN status = 'up' THEN {q(L.KPI_UP)} WHEN status = 'down' THEN {q(L.KPI_DOWN)}
+       ELSE {q(L.KPI_STABLE)} END AS status_label""",
+)
+
+SQL["ytd_report_text"] = _wrap(
+    SQL["region_ytd_growth"],
+    f"""region_code, region_label, is_total, region_ordinal,
+  {_right(grouped_vi('base'), 15)} AS base_text, {_right(grouped_vi('cmp'), 15)} AS cmp_text,
+  {_right(grouped_vi('diff'), 15)} AS diff_text,
+  {_right(_trimmed_vi(_hundredths('base', 'diff')) + " || ' %'", 10)} AS growth_text""",
+)
+
+
+def _blank_zero(x: str) -> str:
+    return f"CASE WHEN round({x}, 0) = 0 THEN '' ELSE {grouped_vi(x)} END"
+
+
+SQL["class_report_text"] = _wrap(
+    SQL["class_period_growth"],
+    f"""class_code, class_name, is_total, {_blank_zero('base')} AS base_text, {_blank_zero('cmp')} AS cmp_text,
+  {_blank_zero('diff')} AS diff_text, {_fixed2_dot(_hundredths('base', 'diff'))} AS growth_text""",
+)
+
+SQL["reading_list_text"] = _wrap(
+    SQL["reading_delta"],
+    f"""customer_code, name, strftime(prev_read_at, '%d/%m/%Y') AS prev_date,
+  strftime(last_read_at, '%d/%m/%Y') AS last_date, {_money('prev_volume')} AS prev_text,
+  {_money('last_volume')} AS last_text, {_money('delta')} AS delta_text,
+  {_fixed2_dot('COALESCE(' + _hundredths('prev_volume', 'delta') + ', 0)')} AS growth_text""",
+)
+
+SQL["reading_summary_text"] = _wrap(
+    SQL["reading_class_summary"],
+    f"""sort_order, purpose_name, group_name, class_code, {_money('prev_volume')} AS prev_text,
+  {_money('last_volume')} AS last_text, {_money('delta')} AS delta_text,
+  {_fixed2_dot('COALESCE(' + _hundredths('prev_volume', 'delta') + ', 0)')} AS growth_text""",
+)
+
+
+def _arrears_text() -> str:
+    p = C.ARREARS
+    cur, prev = p.cutoff.strftime("%d/%m"), p.previous_cutoff.strftime("%d/%m")
+    cols = [
+        ("cur_transfer", f"{cur}_Tồn CK"),
+        ("cur_cash", f"{cur}_Tồn TM"),
+        ("cur_total", f"{cur}_Tồn TM+CK"),
+        ("prev_transfer", f"{prev}_Tồn CK"),
+        ("prev_cash", f"{prev}_Tồn TM"),
+        ("prev_total", f"{prev}_Tồn TM+CK"),
+        ("diff", "Chênh lệch tổng tồn"),
+    ]
+    sel = ", ".join(f'{k} AS "{v}"' for k, v in cols)
+    return _wrap(SQL["arrears_snapshot"], f"cashier, sort_order, {sel}")
+
+
+SQL["arrears_report_text"] = _arrears_text()

@@ -52,6 +52,33 @@ def format_sectioned(df: DataFrame) -> DataFrame:
     )
 
 
+def format_month_growth(df: DataFrame) -> DataFrame:
+    """Web report cells: ``{:,.0f}`` volumes, ``{:+,.0f}`` change and
+    ``{:+.2f} %`` growth (``+inf %`` / ``-inf %`` on a zero base)."""
+    c = F.col
+    h = growth_hundredths(c("base"), c("diff"))
+    g = c("growth_pct")
+    growth = (
+        F.when(g == F.lit(float("inf")), F.lit("+inf %"))
+        .when(g == F.lit(float("-inf")), F.lit("-inf %"))
+        .otherwise(
+            F.concat(
+                F.when(g >= 0, F.lit("+")).otherwise(F.lit("")),
+                fmt.fixed2_dot(F.coalesce(h, F.lit(0))),
+                F.lit(" %"),
+            )
+        )
+    )
+    return df.select(
+        "region",
+        "is_total",
+        fmt.comma_grouped(c("base")).alias("base_text"),
+        fmt.comma_grouped(c("cmp")).alias("cmp_text"),
+        fmt.signed_comma_grouped(c("diff")).alias("diff_text"),
+        growth.alias("growth_text"),
+    )
+
+
 def format_ytd(df: DataFrame) -> DataFrame:
     """Right-aligned cells of the year-to-date report: volumes ``#,##0`` in
     15 characters, growth ``#,##0.##`` + `` %`` in 10 (NULL growth stays
@@ -59,6 +86,7 @@ def format_ytd(df: DataFrame) -> DataFrame:
     c = F.col
     h = growth_hundredths(c("base"), c("diff"))
     return df.select(
+        "region_code",
         "region_label",
         "is_total",
         "region_ordinal",
@@ -79,7 +107,7 @@ def format_class(df: DataFrame) -> DataFrame:
         fmt.blank_zero_grouped(c("base")).alias("base_text"),
         fmt.blank_zero_grouped(c("cmp")).alias("cmp_text"),
         fmt.blank_zero_grouped(c("diff")).alias("diff_text"),
-        "growth_pct",
+        fmt.fixed2_dot(growth_hundredths(c("base"), c("diff"))).alias("growth_text"),
     )
 
 
@@ -94,6 +122,22 @@ def format_readings(df: DataFrame) -> DataFrame:
         fmt.money_text(c("prev_volume")).alias("prev_text"),
         fmt.money_text(c("last_volume")).alias("last_text"),
         fmt.money_text(c("delta")).alias("delta_text"),
+        fmt.fixed2_dot(F.coalesce(growth_hundredths(c("prev_volume"), c("delta")), F.lit(0))).alias("growth_text"),
+    )
+
+
+def format_reading_summary(df: DataFrame) -> DataFrame:
+    """Class summary cells: money-style volumes, two-decimal growth."""
+    c = F.col
+    return df.select(
+        "sort_order",
+        "purpose_name",
+        "group_name",
+        "class_code",
+        fmt.money_text(c("prev_volume")).alias("prev_text"),
+        fmt.money_text(c("last_volume")).alias("last_text"),
+        fmt.money_text(c("delta")).alias("delta_text"),
+        fmt.fixed2_dot(F.coalesce(growth_hundredths(c("prev_volume"), c("delta")), F.lit(0))).alias("growth_text"),
     )
 
 
@@ -109,21 +153,23 @@ def arrears_headings(df: DataFrame, cutoff, previous_cutoff) -> DataFrame:
         "prev_total": f"{prev}_Tồn TM+CK",
         "diff": "Chênh lệch tổng tồn",
     }
-    return df.select("cashier", *[F.col(k).alias(v) for k, v in names.items()])
+    return df.select("cashier", "sort_order", *[F.col(k).alias(v) for k, v in names.items()])
 
 
 def kpi_text(df: DataFrame) -> DataFrame:
-    """KPI cards: totals ``1,234`` m3, signed change and signed growth."""
+    """KPI cards: totals ``1,234``, signed change, signed growth and the
+    status label."""
     c = F.col
     label = (
         F.when(c("status") == "up", F.lit(L.KPI_UP))
         .when(c("status") == "down", F.lit(L.KPI_DOWN))
         .otherwise(F.lit(L.KPI_STABLE))
     )
+    h = F.coalesce(growth_hundredths(c("base"), c("diff")), F.lit(0))
     return df.select(
-        F.format_string("%,d", c("base")).alias("base_text"),
-        F.format_string("%,d", c("cmp")).alias("cmp_text"),
-        F.format_string("%+,d", c("diff")).alias("diff_text"),
-        F.format_string("%+.2f%%", c("growth_pct")).alias("growth_text"),
+        fmt.comma_grouped(c("base")).alias("base_text"),
+        fmt.comma_grouped(c("cmp")).alias("cmp_text"),
+        fmt.signed_comma_grouped(c("diff")).alias("diff_text"),
+        F.concat(F.when(h >= 0, F.lit("+")).otherwise(F.lit("")), fmt.fixed2_dot(h), F.lit("%")).alias("growth_text"),
         label.alias("status_label"),
     )
