@@ -37,3 +37,14 @@ def test_invalid_rows_and_cap(spark):
     assert got[3].invalid_reason == "low_head" and got[3].volume_m3 is None
     assert got[4].invalid_reason == "missing_input"
     assert got[5].invalid_reason is None and got[5].velocity == 15.0 and got[5].duration_s == 1200
+
+
+def test_codes_resolve_to_numbers(spark):
+    from waterbook.plans.flushing import resolve_codes
+
+    df = spark.createDataFrame(
+        [(1, "iron_old", "DENSE", None, None), (2, "HDPE_PVC", "SOFT", 0.02, None), (3, "X", None, None, 0.3)],
+        "id long, material string, pig_type string, roughness double, pig_loss_bar double",
+    )
+    got = {r.id: (r.roughness, r.pig_loss_bar) for r in resolve_codes(df).collect()}
+    assert got == {1: (0.015, 0.25), 2: (0.02, 0.15), 3: (None, 0.3)}

@@ -74,3 +74,21 @@ def flush_volume(jobs: DataFrame, quantize_places: int | None = 6) -> DataFrame:
         return out
     doubles = ["dz", "net_head", "friction_factor", "local_factor", "velocity", "flow_lps", "local_loss_m", "volume_m3"]
     return out.select(*[H.quantize(c(x), quantize_places).alias(x) if x in doubles else c(x) for x in out.columns])
+
+
+def resolve_codes(jobs: DataFrame) -> DataFrame:
+    """Fill ``roughness`` from a ``material`` code and ``pig_loss_bar`` from a
+    ``pig_type`` code where the number is missing (the calculator's option
+    lists). A lookup in a literal map, so no join."""
+    from waterbook.sources import literals as L
+
+    out = jobs
+    if "material" in jobs.columns:
+        m = F.create_map(*[F.lit(x) for code, _, n in L.PIPE_MATERIALS for x in (code, n)])
+        current = F.col("roughness") if "roughness" in jobs.columns else F.lit(None).cast("double")
+        out = out.withColumn("roughness", F.coalesce(current, F.try_element_at(m, F.upper(F.col("material")))))
+    if "pig_type" in jobs.columns:
+        m = F.create_map(*[F.lit(x) for code, _, n in L.PIG_TYPES for x in (code, n)])
+        current = F.col("pig_loss_bar") if "pig_loss_bar" in out.columns else F.lit(None).cast("double")
+        out = out.withColumn("pig_loss_bar", F.coalesce(current, F.try_element_at(m, F.upper(F.col("pig_type")))))
+    return out
