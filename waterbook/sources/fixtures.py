@@ -146,8 +146,23 @@ def _project(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     return df.selectExpr(*[f"{expr} AS {name}" for name, expr in columns])
 
 
+# Schemas of the generated base tables that the adapter reads. Giving them
+# avoids a footer-reading job per table at plan time (no inference).
+BASE_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in BASE_SCHEMAS:
+        reader = reader.schema(BASE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
