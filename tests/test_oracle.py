@@ -33,11 +33,16 @@ def duck():
     con.close()
 
 
+# Sequential by definition (greedy in id order); checked against a replay
+# in tests/test_properties.py instead of SQL.
+NO_SQL = {"trips_after_refusal"}
+
+
 def test_every_query_has_oracle_sql():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(E.oracle_sql()) == set(E.queries()) - NO_SQL
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - NO_SQL))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_CHECK)
     cols = df.columns

@@ -117,3 +117,39 @@ def test_overlap_is_symmetric_and_replacement_matches_sequential(spark):
     assert got == survivors
     for a, b in pairs:
         assert a < b
+
+
+def _replay_refuse(rows):
+    kept = {}
+    for r in sorted(rows, key=lambda r: r.id):
+        if r.start_at is None or r.end_at is None:
+            kept.setdefault("__none", []).append(r)
+            continue
+        log = kept.setdefault(r.car, [])
+        if not any(r.start_at < x.end_at and r.end_at > x.start_at for x in log):
+            log.append(r)
+    return {x.id for log in kept.values() for x in log}
+
+
+def test_refuse_policy_matches_sequential_replay(spark):
+    t = _tables(spark)
+    trips = t.trip.select("id", "car", "start_at", "end_at").collect()
+    got = {r.id for r in fleet.trips_after_refusal(t.trip, C.FLEET).collect()}
+    assert got == _replay_refuse(trips)
+    assert len(got) < len(trips)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(interval, min_size=0, max_size=30))
+def test_refuse_policy_random(spark, items):
+    from collections import namedtuple
+
+    Row = namedtuple("Row", "id car start_at end_at")
+    rows = []
+    for i, (car, start, length) in enumerate(items):
+        s = None if start is None else T0 + dt.timedelta(minutes=start)
+        e = None if (start is None or length is None) else s + dt.timedelta(minutes=length)
+        rows.append(Row(i, car, s, e))
+    df = spark.createDataFrame(rows, "id long, car long, start_at timestamp_ntz, end_at timestamp_ntz")
+    got = {r.id for r in fleet.trips_after_refusal(df, C.FLEET).collect()}
+    assert got == _replay_refuse(rows)

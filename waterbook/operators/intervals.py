@@ -64,3 +64,51 @@ def overlapping_pairs(
         F.col("a.__id").alias("first_id"),
         F.col("b.__id").alias("second_id"),
     )
+
+
+def overlap_components(
+    df: DataFrame, key: str, id_col: str, start: str, end: str, bucket_minutes: int = 1440
+) -> DataFrame:
+    """Label each row with the connected component of its key's interval
+    overlap graph: ``(component_lo, component_id)`` of the component's first
+    interval in ``(lo, id)`` order, where ``lo/hi`` are the interval's
+    earlier/later end. Rows whose spans touch or intersect share a component
+    (a component may join intervals that only touch, which is harmless for
+    callers that test real overlap inside it). Rows with a NULL time get no
+    component.
+
+    A new component starts where ``lo`` is past every earlier ``hi``: a
+    running maximum. It is computed in two levels so no task sorts all rows
+    of one key: per-bucket maxima scanned over the key's bucket list, then a
+    window inside each (key, bucket).
+    """
+    from pyspark.sql import Window
+
+    lo = F.least(F.col(start), F.col(end))
+    hi = F.greatest(F.col(start), F.col(end))
+    base = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+        F.col(key).alias("__k"),
+        F.col(id_col).alias("__id"),
+        lo.alias("__lo"),
+        hi.alias("__hi"),
+        bucket_of(lo, bucket_minutes).alias("__b"),
+    )
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = base.groupBy("__k", "__b").agg(F.max("__hi").alias("__bmax"))
+    per_bucket = per_bucket.withColumn("__carry_hi", F.max("__bmax").over(before)).drop("__bmax")
+    x = base.join(per_bucket, ["__k", "__b"])
+    inside = Window.partitionBy("__k", "__b").orderBy("__lo", "__id")
+    prev_hi = F.greatest(F.col("__carry_hi"), F.max("__hi").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("__start", prev_hi.isNull() | (F.col("__lo") > prev_hi))
+    marker = F.when(F.col("__start"), F.struct(F.col("__lo").alias("lo"), F.col("__id").alias("id")))
+    x = x.withColumn("__last_in", F.max(marker).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = x.groupBy("__k", "__b").agg(F.max(marker).alias("__bstart"))
+    starts = starts.withColumn("__carry_start", F.max("__bstart").over(before)).drop("__bstart")
+    y = x.join(starts, ["__k", "__b"])
+    comp = F.coalesce(F.col("__last_in"), F.col("__carry_start"))
+    return y.select(
+        F.col("__k").alias(key),
+        F.col("__id").alias(id_col),
+        comp.getField("lo").alias("component_lo"),
+        comp.getField("id").alias("component_id"),
+    )

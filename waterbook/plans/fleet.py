@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waterbook.functions.dates import ntz
-from waterbook.operators.intervals import overlapping_pairs
+from waterbook.operators.intervals import overlap_components, overlapping_pairs
 from waterbook.operators.upsert import delete_by_key, latest_per_key, update_by_key
 from waterbook.params import FleetParams
 from waterbook.sources import literals as L
@@ -45,6 +45,41 @@ def trips_after_replacement(trips: DataFrame, p: FleetParams) -> DataFrame:
     return trips.join(replaced, "id", "left_anti")
 
 
+def _accept_in_order(pdf):
+    """Refuse policy inside one overlap component: walk orders by id and
+    keep one only if it overlaps no order kept so far."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("id")
+    kept: list[tuple] = []
+    flags = []
+    for s, e in zip(pdf["start_at"], pdf["end_at"]):
+        ok = not any(s < ke and e > ks for ks, ke in kept)
+        if ok:
+            kept.append((s, e))
+        flags.append(ok)
+    return pd.DataFrame({"id": pdf["id"].to_numpy(), "accepted": flags})
+
+
+def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
+    """Refuse policy: an order is kept only if it overlaps no *kept* earlier
+    order of its car (the user declines to delete the old one).
+
+    Sequential by nature, but only within a connected component of a car's
+    overlap graph: orders in different components never interact. The
+    components come from a two-level prefix scan (``overlap_components``);
+    each component is then replayed in id order with ``applyInPandas``, so
+    the Python step sees one cluster of mutually chained orders, not a whole
+    car. Orders without both times never conflict and are kept."""
+    comps = overlap_components(trips, "car", "id", "start_at", "end_at", bucket_minutes=1440)
+    timed = trips.select("id", "car", "start_at", "end_at").join(comps, ["car", "id"])
+    decided = timed.groupBy("car", "component_lo", "component_id").applyInPandas(
+        _accept_in_order, schema="id long, accepted boolean"
+    )
+    rejected = decided.where(~F.col("accepted")).select("id")
+    return trips.join(rejected, "id", "left_anti")
+
+
 def _on_road(p: FleetParams) -> F.Column:
     now = ntz(p.as_of)
     return (F.col("start_at") <= now) & (now <= F.col("end_at"))
