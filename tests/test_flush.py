@@ -48,3 +48,17 @@ def test_codes_resolve_to_numbers(spark):
     )
     got = {r.id: (r.roughness, r.pig_loss_bar) for r in resolve_codes(df).collect()}
     assert got == {1: (0.015, 0.25), 2: (0.02, 0.15), 3: (None, 0.3)}
+
+
+def test_result_panel_text(spark):
+    from waterbook.plans.present import format_flush
+
+    jobs = spark.createDataFrame([DEFAULT_JOB], schemas.FLUSH_JOB)
+    r = format_flush(flush_volume(jobs)).collect()[0]
+    assert (r.dz_text, r.net_head_text, r.velocity_text) == ("3.50 m", "27.00 mH₂O", "1.96 m/s")
+    assert (r.flow_text, r.duration_text, r.volume_text, r.local_loss_text) == (
+        "15.35 lít/giây",
+        "25.0 phút",
+        "23.03 m³",
+        "0.86 m",
+    )

@@ -173,3 +173,62 @@ def kpi_text(df: DataFrame) -> DataFrame:
         F.concat(F.when(h >= 0, F.lit("+")).otherwise(F.lit("")), fmt.fixed2_dot(h), F.lit("%")).alias("growth_text"),
         label.alias("status_label"),
     )
+
+
+# -- display order (the reports' ORDER BY clauses) ---------------------------------
+
+
+def order_month_growth(df: DataFrame) -> DataFrame:
+    """Web report: regions by name, the total last."""
+    return df.orderBy("is_total", "region")
+
+
+def order_by_ordinal(df: DataFrame, ordinal: str = "region_ordinal") -> DataFrame:
+    """Detail rows by their fixed ordinal, the total row last."""
+    return df.orderBy("is_total", ordinal)
+
+
+def order_class_report(df: DataFrame) -> DataFrame:
+    return df.orderBy("is_total", F.col("class_code").asc_nulls_first())
+
+
+def order_readings(df: DataFrame) -> DataFrame:
+    return df.orderBy("customer_code")
+
+
+def order_trips(df: DataFrame) -> DataFrame:
+    """Trip list, newest order first."""
+    return df.orderBy(F.col("id").desc())
+
+
+# Fixed unit labels of the flushing calculator's result panel.
+FLUSH_UNITS = {
+    "dz": " m",
+    "net_head": " mH₂O",
+    "local_loss_m": " m",
+    "velocity": " m/s",
+    "flow_lps": " lít/giây",
+    "duration_min": " phút",
+    "volume_m3": " m³",
+}
+
+
+def format_flush(df: DataFrame) -> DataFrame:
+    """Result panel text: two decimals (duration in minutes with one), with
+    the calculator's units; invalid jobs show their reason."""
+    c = F.col
+
+    def fixed(col: F.Column, places: int, unit: str) -> F.Column:
+        return F.concat(F.format_string(f"%.{places}f", col), F.lit(unit))
+
+    return df.select(
+        "id",
+        "invalid_reason",
+        fixed(c("dz"), 2, FLUSH_UNITS["dz"]).alias("dz_text"),
+        fixed(c("net_head"), 2, FLUSH_UNITS["net_head"]).alias("net_head_text"),
+        fixed(c("local_loss_m"), 2, FLUSH_UNITS["local_loss_m"]).alias("local_loss_text"),
+        fixed(c("velocity"), 2, FLUSH_UNITS["velocity"]).alias("velocity_text"),
+        fixed(c("flow_lps"), 2, FLUSH_UNITS["flow_lps"]).alias("flow_text"),
+        fixed(c("duration_s") / F.lit(60.0), 1, FLUSH_UNITS["duration_min"]).alias("duration_text"),
+        fixed(c("volume_m3"), 2, FLUSH_UNITS["volume_m3"]).alias("volume_text"),
+    )

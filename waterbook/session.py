@@ -18,7 +18,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.ui.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
 }

@@ -1,15 +1,13 @@
 """Literal dimensions of the reports.
 
-Each dimension is a handful of rows with a proven size bound, so it is
-broadcast when joined. Lookups that only decode a code are written as
-``when`` chains or map literals instead (no join at all).
+Each dimension is a handful of fixed rows. They are never joined: codes are
+decoded with ``when`` chains or map literals, and dimensions that must show
+rows without data (cashiers, the class catalogue) enter the aggregate as
+marker rows. So no join depends on a dimension's size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the values the reports print, so they are
 # kept verbatim and together here.
@@ -148,44 +146,3 @@ BEND_45_LOSS = 0.4
 VELOCITY_CAP = 15.0
 METRES_PER_BAR = 10.0
 TERRAIN_FLAT = "FLAT"
-
-# ---------------------------------------------------------------------------
-# Dimension DataFrames (small, broadcast on join).
-# ---------------------------------------------------------------------------
-
-CASHIER_SCHEMA = T.StructType(
-    [
-        T.StructField("cashier", T.StringType(), False),
-        T.StructField("cashier_name", T.StringType(), False),
-        T.StructField("sort_order", T.IntegerType(), False),
-        T.StructField("is_total", T.BooleanType(), False),
-    ]
-)
-
-CATALOGUE_SCHEMA = T.StructType(
-    [
-        T.StructField("sort_order", T.IntegerType(), False),
-        T.StructField("purpose_name", T.StringType(), False),
-        T.StructField("group_name", T.StringType(), False),
-        T.StructField("class_code", T.StringType(), False),
-    ]
-)
-
-
-def cashier_dim(spark: SparkSession) -> DataFrame:
-    rows = [(c, n, o, False) for c, n, o in CASHIERS] + [(*CASHIER_TOTAL, True)]
-    return spark.createDataFrame(rows, CASHIER_SCHEMA)
-
-
-def class_catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CLASS_CATALOGUE, CATALOGUE_SCHEMA)
-
-
-def material_dim(spark: SparkSession) -> DataFrame:
-    schema = "material string, material_name string, roughness double"
-    return spark.createDataFrame(PIPE_MATERIALS, schema)
-
-
-def pig_dim(spark: SparkSession) -> DataFrame:
-    schema = "pig_type string, pig_name string, pig_loss_bar double"
-    return spark.createDataFrame(PIG_TYPES, schema)
