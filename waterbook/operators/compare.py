@@ -70,43 +70,51 @@ def with_diff_growth(df: DataFrame, on_zero: str, order: str = "sql") -> DataFra
 
 
 def with_total(
-    detail: DataFrame,
+    df: DataFrame,
+    keys: Sequence[str],
     measures: Sequence[str],
     total_values: dict[str, object],
     on_zero: str,
     order: str = "sql",
     detail_on_zero: str | None = None,
+    extra_sums: Sequence[str] = (),
 ) -> DataFrame:
-    """Detail rows plus a grand-total row, then ``diff`` and ``growth_pct``.
-
-    ``detail`` holds one row per key: key columns (and columns that are
-    functions of the keys) plus ``measures``. Detail and total come out of
-    one ``GROUPING SETS ((keys), ())`` aggregate over that small detail, so
-    the pipeline that produced it runs once; a union of the detail with an
-    aggregate of itself would plan it twice. Key columns of the total row
-    take ``total_values`` (NULL when absent); ``is_total`` flags it, so a
-    NULL key is never mistaken for the total. Growth uses ``on_zero`` on
-    the total and ``detail_on_zero`` (default the same) on detail rows.
+    """Rows per key plus a grand-total row, then ``diff`` and ``growth_pct``.
+
+    ``df`` may be the detail itself or finer rows (one per customer, say):
+    one ``GROUPING SETS ((keys), ())`` aggregate sums ``measures`` per key
+    and over everything, so the pipeline that produced ``df`` runs once and
+    no second aggregation stage is needed. A union of the detail with an
+    aggregate of itself would plan that pipeline twice. ``Expand`` doubles
+    the rows before the partial aggregation collapses them on the map side.
+
+    Key columns of the total row take ``total_values`` (NULL when absent);
+    ``is_total`` flags it, so a NULL key is never mistaken for the total.
+    Growth uses ``on_zero`` on the total and ``detail_on_zero`` (default the
+    same) on detail rows. ``extra_sums`` are summed like measures but left
+    out of diff/growth (row counts for a caller's filter).
     """
-    keys = [c for c in detail.columns if c not in measures]
+    keys = list(keys)
+    sums = [*measures, *extra_sums]
+    typed = {f.name: f.dataType for f in df.schema.fields}
+    rows = df.select(*keys, *sums)
     # One literal marker row keeps the grand-total set non-empty, so an empty
-    # detail still yields a total row (with NULL sums, like SUM over nothing).
+    # input still yields a total row (with NULL sums, like SUM over nothing).
     # Its own detail group is dropped again below.
-    marker = detail.sparkSession.range(1).select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in detail.schema.fields], F.lit(True).alias("__marker")
+    marker = df.sparkSession.range(1).select(
+        *[F.lit(None).cast(typed[c]).alias(c) for c in rows.columns], F.lit(True).alias("__marker")
     )
-    marked = detail.withColumn("__marker", F.lit(False)).unionByName(marker)
+    marked = rows.withColumn("__marker", F.lit(False)).unionByName(marker)
     agg = marked.groupingSets([[*keys, "__marker"], []], *keys, "__marker").agg(
-        *[F.sum(F.col(m)).cast("long").alias(m) for m in measures],
+        *[F.sum(F.col(m)).cast("long").alias(m) for m in sums],
         (F.grouping_id() > 0).alias("is_total"),
     )
     agg = agg.where(F.col("is_total") | ~F.col("__marker"))
     total = F.col("is_total")
     key_cols = [
-        F.when(total, F.lit(total_values.get(k)).cast(detail.schema[k].dataType)).otherwise(F.col(k)).alias(k)
-        for k in keys
+        F.when(total, F.lit(total_values.get(k)).cast(typed[k])).otherwise(F.col(k)).alias(k) for k in keys
     ]
-    out = agg.select(*key_cols, *measures, "is_total").withColumn("diff", F.col("cmp") - F.col("base"))
+    out = agg.select(*key_cols, *sums, "is_total").withColumn("diff", F.col("cmp") - F.col("base"))
     g_total = growth_pct(F.col("base"), F.col("cmp"), on_zero, order)
     g_detail = growth_pct(F.col("base"), F.col("cmp"), detail_on_zero or on_zero, order)
     return out.withColumn("growth_pct", F.when(total, g_total).otherwise(g_detail))

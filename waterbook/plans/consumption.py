@@ -131,7 +131,8 @@ def region_month_growth(tables: Tables, period: PeriodCompare) -> DataFrame:
     pc = per_customer(period_bills(tables, period), period)
     j = join_customer(pc, tables, "left").withColumn("region", region_name(norm(F.col("region_code"))))
     return with_total(
-        sum_up(j, ["region"]),
+        j,
+        ["region"],
         ["base", "cmp"],
         {"region": L.REGION_TOTAL_NAME},
         on_zero="zero",
@@ -187,7 +188,8 @@ def region_month_growth_filtered(
 
 def _region_summary(cust: DataFrame) -> DataFrame:
     return with_total(
-        sum_up(cust, ["region", "region_ordinal"]),
+        cust,
+        ["region", "region_ordinal"],
         ["base", "cmp"],
         {"region": L.REGION_TOTAL_NAME, "region_ordinal": L.REGION_TOTAL_ORDINAL},
         on_zero="zero",
@@ -304,32 +306,30 @@ def region_ytd_growth(tables: Tables, period: PeriodCompare, filters: Filters =
             part(2, zero, F.col("cmp"), F.col("cmp_rows")),
         ),
     ).otherwise(F.array(part(0, F.col("base"), F.col("cmp"), F.col("base_rows") + F.col("cmp_rows"))))
-    exploded = j.select(code.alias("region_code"), F.explode(parts).alias("p"))
-    per_code = (
-        exploded.groupBy("region_code", F.col("p.tag").alias("tag"))
-        .agg(
-            F.sum("p.b").cast("long").alias("base"),
-            F.sum("p.c").cast("long").alias("cmp"),
-            F.sum("p.n").alias("n"),
-        )
-        .where(F.col("n") > 0)
+    exploded = j.select(code.alias("region_code"), F.explode(parts).alias("p")).select(
+        "region_code", F.col("p.tag").alias("tag"), F.col("p.b").alias("base"), F.col("p.c").alias("cmp"),
+        F.col("p.n").alias("n"),
     )
+    out = with_total(
+        exploded,
+        ["region_code", "tag"],
+        ["base", "cmp"],
+        {"region_code": L.YTD_TOTAL_CODE},
+        on_zero="null",
+        extra_sums=["n"],
+    ).where(F.col("is_total") | (F.col("n") > 0))
     k = F.col("region_code")
-    detail = per_code.select(
+    total = F.col("is_total")
+    return out.select(
         k,
-        region_upper_name(k).alias("region_label"),
-        region_ordinal(k).alias("region_ordinal"),
-        "tag",
+        F.when(total, F.lit(L.YTD_TOTAL_LABEL)).otherwise(region_upper_name(k)).alias("region_label"),
+        F.when(total, F.lit(6)).otherwise(region_ordinal(k)).alias("region_ordinal"),
         "base",
         "cmp",
+        "is_total",
+        "diff",
+        "growth_pct",
     )
-    out = with_total(
-        detail,
-        ["base", "cmp"],
-        {"region_code": L.YTD_TOTAL_CODE, "region_label": L.YTD_TOTAL_LABEL, "region_ordinal": 6},
-        on_zero="null",
-    )
-    return out.drop("tag")
 
 
 def full_join_years(tables: Tables, period: PeriodCompare) -> DataFrame:
@@ -371,6 +371,7 @@ def purpose_growth(tables: Tables, period: PeriodCompare, region: str) -> DataFr
     )
     return with_total(
         detail,
+        ["ordinal", "purpose_code", "purpose_name"],
         ["base", "cmp"],
         {"ordinal": L.PURPOSE_TOTAL_ORDINAL, "purpose_code": "", "purpose_name": L.PURPOSE_TOTAL_NAME},
         on_zero="zero",
@@ -395,9 +396,9 @@ def class_period_growth(tables: Tables, period: PeriodCompare, filters: Filters
         F.max(F.when(F.col("base_rows") > 0, F.col("class_code"))).alias("base_class"),
     )
     cls = F.coalesce(F.col("cmp_class"), F.col("base_class"), F.lit(L.CLASS_UNCLASSIFIED))
-    per_class = sum_up(per_code.withColumn("class_code", cls), ["class_code"])
-    detail = per_class.select("class_code", class_name(F.col("class_code")).alias("class_name"), "base", "cmp")
-    return with_total(detail, ["base", "cmp"], {"class_name": L.CLASS_TOTAL_NAME}, on_zero="null")
+    out = with_total(per_code.withColumn("class_code", cls), ["class_code"], ["base", "cmp"], {}, on_zero="null")
+    name = F.when(F.col("is_total"), F.lit(L.CLASS_TOTAL_NAME)).otherwise(class_name(F.col("class_code")))
+    return out.select("class_code", name.alias("class_name"), "base", "cmp", "is_total", "diff", "growth_pct")
 
 
 # -- building-block queries ---------------------------------------------------------
