@@ -66,3 +66,25 @@ def test_parquet_lake_layout_gives_same_reports(spark):
         assert a == b
     plan = consumption.region_ytd_growth(lake, C.YTD)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan or "PartitionFilters" in plan
+
+
+def test_bucketed_layout_needs_no_shuffle_of_the_fact(spark):
+    from waterbook.sources.tables import write_bucketed
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # dimensions too big to broadcast
+    try:
+        gen = Tables.from_generated(spark, SF_CHECK)
+        write_bucketed(gen, "wb_bucketed_test", tempfile.mkdtemp(prefix="wb-bucketed-"), 8)
+        lake = Tables.from_catalog(spark, "wb_bucketed_test")
+        df = consumption.region_month_growth(lake, C.MONTH)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1  # only the small final total aggregate
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(
+            map(tuple, consumption.region_month_growth(gen, C.MONTH).collect()), key=repr
+        )
+        rd = readings.reading_delta(lake, C.READING)._jdf.queryExecution().executedPlan().toString()
+        reading_side = rd.split("SortMergeJoin")[1].split("Exchange")[0]
+        assert "large_reading" in reading_side  # window + pivot on the buckets, no exchange before them
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
