@@ -34,6 +34,8 @@ ARREARS = ArrearsParams(1998, 5, dt.date(1998, 6, 18), "VT,BRIA")
 CUMULATIVE = CumulativeArrearsParams(1998, 1, 1998, 5, dt.date(1998, 6, 18), "BRIA")
 READING = ReadingParams(REGION, 2024)
 FLEET = FleetParams(dt.datetime(2024, 1, 15, 12, 0, 0))
+# Filters as users type them: mixed case, blanks, line breaks.
+MONTH_FILTERS = Filters(regions="VT,\r\n bria ", class_code=" xd", purpose_code="h")
 INCLUDE_CLASS = "VIP"
 EXCLUDE_CLASS = "XD"
 
@@ -78,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # consumption comparisons
     "region_month_growth": _q(lambda t: consumption.region_month_growth(t, MONTH)),
     "region_month_growth_filtered": _q(lambda t: consumption.region_month_growth_filtered(t, MONTH)),
+    "region_month_filters": _q(lambda t: consumption.region_month_growth_filtered(t, MONTH, MONTH_FILTERS)),
     "region_top_customers": _q(lambda t: consumption.region_top_customers(t, MONTH)),
     "region_sectioned_report": _q(lambda t: consumption.region_sectioned_report(t, MONTH)),
     "region_ytd_growth": _q(lambda t: consumption.region_ytd_growth(t, YTD)),

@@ -243,6 +243,22 @@ SQL["region_month_growth_filtered"] = with_fixtures(f"""
 SELECT * FROM summary
 """)
 
+def _typed_filters() -> str:
+    f = C.MONTH_FILTERS
+    regions = ", ".join(q(t.upper()) for t in C.lists_parse(f.regions))
+    return (
+        f"AND {norm('kh.region_code')} IN ({regions}) "
+        f"AND {norm('kh.class_code')} = {q(f.class_code.strip().upper())} "
+        f"AND {norm('tt.purpose_code')} = {q(f.purpose_code.strip().upper())}"
+    )
+
+
+SQL["region_month_filters"] = with_fixtures(f"""
+{_customer_data(M, _typed_filters())},
+{_region_summary(M)}
+SELECT * FROM summary
+""")
+
 SQL["region_top_customers"] = with_fixtures(f"""
 {_customer_data(M)},
 {_top(M)}
