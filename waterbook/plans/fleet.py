@@ -45,35 +45,50 @@ def trips_after_replacement(trips: DataFrame, p: FleetParams) -> DataFrame:
     return trips.join(replaced, "id", "left_anti")
 
 
+COMPONENT_KEY = ["car", "component_lo", "component_id"]
+
+
 def _accept_in_order(pdf):
-    """Refuse policy inside one overlap component: walk orders by id and
-    keep one only if it overlaps no order kept so far."""
+    """Refuse policy for a bundle of whole overlap components: inside each
+    component walk the orders by id and keep one only if it overlaps no
+    order kept so far. Components never interact, so each is replayed on
+    its own."""
     import pandas as pd
 
-    pdf = pdf.sort_values("id")
-    kept: list[tuple] = []
-    flags = []
-    for s, e in zip(pdf["start_at"], pdf["end_at"]):
-        ok = not any(s < ke and e > ks for ks, ke in kept)
-        if ok:
-            kept.append((s, e))
-        flags.append(ok)
-    return pd.DataFrame({"id": pdf["id"].to_numpy(), "accepted": flags})
+    ids, flags = [], []
+    pdf = pdf.sort_values([*COMPONENT_KEY, "id"])
+    for _, g in pdf.groupby(COMPONENT_KEY, sort=False):
+        kept: list[tuple] = []
+        for i, s, e in zip(g["id"], g["start_at"], g["end_at"]):
+            ok = not any(s < ke and e > ks for ks, ke in kept)
+            if ok:
+                kept.append((s, e))
+            ids.append(i)
+            flags.append(ok)
+    return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(flags, dtype="bool")})
 
 
 def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
     """Refuse policy: an order is kept only if it overlaps no *kept* earlier
     order of its car (the user declines to delete the old one).
 
-    Sequential by nature, but only within a connected component of a car's
-    overlap graph: orders in different components never interact. The
-    components come from a two-level prefix scan (``overlap_components``);
-    each component is then replayed in id order with ``applyInPandas``, so
-    the Python step sees one cluster of mutually chained orders, not a whole
-    car. Orders without both times never conflict and are kept."""
-    comps = overlap_components(trips, "car", "id", "start_at", "end_at", bucket_minutes=1440)
-    timed = trips.select("id", "car", "start_at", "end_at").join(comps, ["car", "id"])
-    decided = timed.groupBy("car", "component_lo", "component_id").applyInPandas(
+    Sequential by nature, but only among orders that overlap something, and
+    only within a connected component of a car's overlap graph. So: the
+    bucketed pair join finds the orders that overlap at all (all others are
+    kept without further work); ``overlap_components`` labels their
+    components with a two-level prefix scan; whole components are hashed
+    into ``spark.sql.shuffle.partitions`` bundles and each bundle is replayed
+    by one ``applyInPandas`` call. A hot car's components spread over the
+    bundles; only a single chain of mutually overlapping orders stays in one
+    call, which the rule itself requires."""
+    pairs = trip_overlaps(trips, p)
+    involved = pairs.select(F.col("first_id").alias("id")).unionByName(pairs.select(F.col("second_id").alias("id")))
+    timed = trips.select("id", "car", "start_at", "end_at").join(involved.distinct(), "id", "left_semi")
+    comps = overlap_components(timed, "car", "id", "start_at", "end_at", bucket_minutes=1440)
+    keyed = timed.join(comps, ["car", "id"])
+    bundles = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bundle = F.pmod(F.xxhash64(*[F.col(c) for c in COMPONENT_KEY]), F.lit(bundles))
+    decided = keyed.groupBy(bundle.alias("__bundle")).applyInPandas(
         _accept_in_order, schema="id long, accepted boolean"
     )
     rejected = decided.where(~F.col("accepted")).select("id")
