@@ -28,8 +28,9 @@ def signed_grouped(x: Column) -> Column:
 
 
 def _hundredths_parts(h: Column) -> tuple[Column, Column, Column]:
+    """Sign text, whole part and two-digit fraction of a hundredths count."""
     a = F.abs(h)
-    return F.when(h < 0, F.lit("-")).otherwise(F.lit("")), (a - F.pmod(a, F.lit(100))) / F.lit(100), F.pmod(a, F.lit(100))
+    return F.when(h < 0, F.lit("-")).otherwise(F.lit("")), F.floor(a / F.lit(100)), F.pmod(a, F.lit(100))
 
 
 def pct_fixed2(h: Column) -> Column:

@@ -34,8 +34,9 @@ def format_sectioned(df: DataFrame) -> DataFrame:
     difference, ``0.00`` growth with sign and `` %``; blank where the row has
     no number."""
     c = F.col
-    h = growth_hundredths(c("base"), c("diff"))
-    labelled = status_label(df)
+    # hundredths computed once, then referenced by column in every branch
+    labelled = status_label(df).withColumn("__h", growth_hundredths(c("base"), c("diff")))
+    h = c("__h")
     return labelled.select(
         "section",
         "sort_order",
@@ -56,7 +57,8 @@ def format_month_growth(df: DataFrame) -> DataFrame:
     """Web report cells: ``{:,.0f}`` volumes, ``{:+,.0f}`` change and
     ``{:+.2f} %`` growth (``+inf %`` / ``-inf %`` on a zero base)."""
     c = F.col
-    h = growth_hundredths(c("base"), c("diff"))
+    df = df.withColumn("__h", growth_hundredths(c("base"), c("diff")))
+    h = c("__h")
     g = c("growth_pct")
     growth = (
         F.when(g == F.lit(float("inf")), F.lit("+inf %"))
@@ -84,7 +86,8 @@ def format_ytd(df: DataFrame) -> DataFrame:
     15 characters, growth ``#,##0.##`` + `` %`` in 10 (NULL growth stays
     NULL)."""
     c = F.col
-    h = growth_hundredths(c("base"), c("diff"))
+    df = df.withColumn("__h", growth_hundredths(c("base"), c("diff")))
+    h = c("__h")
     return df.select(
         "region_code",
         "region_label",
