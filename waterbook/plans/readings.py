@@ -45,7 +45,15 @@ def reading_delta(tables: Tables, p: ReadingParams) -> DataFrame:
         F.col("name").asc_nulls_first(),
     ]
     two = latest_two(r.select("customer_code", "read_at", "volume", "name", "reading"), "customer_code", order, ["reading"])
-    dedup = customer_dedup(tables)
+    # Only the read customers need a class: the customer master is first
+    # semi-joined to their codes (few large customers, so AQE can broadcast
+    # them and the master is filtered where it is read, never shuffled whole),
+    # then deduplicated.
+    c = tables.customer.select(
+        concat_nullsafe(F.col("street_code"), F.col("meter_code")).alias("customer_code"), "class_code"
+    )
+    read_codes = c.join(two.select("customer_code"), "customer_code", "left_semi")
+    dedup = min_per_key(read_codes, "customer_code", "class_code")
     j = two.join(dedup, "customer_code", "left")
     last_v = F.coalesce(F.col("last_reading.volume"), F.lit(0))
     prev_v = F.coalesce(F.col("prev_reading.volume"), F.lit(0))
