@@ -47,7 +47,15 @@ def main() -> None:
         "waterbook-bench",
         master=f"local[{cpus}]",
         shuffle_partitions=cpus,
-        extra_conf={"spark.driver.memory": "8g", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"},
+        extra_conf={
+            "spark.driver.memory": "8g",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+            # keep the driver's status store small over hundreds of runs
+            "spark.sql.ui.retainedExecutions": "20",
+            "spark.ui.retainedJobs": "100",
+            "spark.ui.retainedStages": "100",
+            "spark.ui.retainedTasks": "2000",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     # JVM warm-up (class loading, JIT of the planner and codegen paths):
