@@ -49,43 +49,43 @@ COMPONENT_KEY = ["car", "component_lo", "component_id"]
 
 
 def _accept_in_order(pdf):
-    """Refuse policy for a bundle of whole overlap components: inside each
-    component walk the orders by id and keep one only if it overlaps no
-    order kept so far. Components never interact, so each is replayed on
-    its own."""
+    """Refuse policy for a bundle of whole overlap components. A component
+    of one order is kept outright (vectorised); inside larger components
+    the orders are walked by id and one is kept only if it overlaps no order
+    kept so far. Components never interact, so each is replayed on its own."""
+    import numpy as np
     import pandas as pd
 
-    ids, flags = [], []
-    pdf = pdf.sort_values([*COMPONENT_KEY, "id"])
-    for _, g in pdf.groupby(COMPONENT_KEY, sort=False):
+    size = pdf.groupby(COMPONENT_KEY, sort=False)["id"].transform("size")
+    accepted = np.ones(len(pdf), dtype=bool)
+    multi = pdf[size.to_numpy() > 1].sort_values([*COMPONENT_KEY, "id"])
+    position = {i: k for k, i in enumerate(pdf["id"].to_numpy())}
+    for _, g in multi.groupby(COMPONENT_KEY, sort=False):
         kept: list[tuple] = []
-        for i, s, e in zip(g["id"], g["start_at"], g["end_at"]):
-            ok = not any(s < ke and e > ks for ks, ke in kept)
-            if ok:
+        for i, s, e in zip(g["id"].to_numpy(), g["start_at"].to_numpy(), g["end_at"].to_numpy()):
+            if any(s < ke and e > ks for ks, ke in kept):
+                accepted[position[i]] = False
+            else:
                 kept.append((s, e))
-            ids.append(i)
-            flags.append(ok)
-    return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(flags, dtype="bool")})
+    return pd.DataFrame({"id": pdf["id"].astype("int64").to_numpy(), "accepted": accepted})
 
 
 def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
     """Refuse policy: an order is kept only if it overlaps no *kept* earlier
     order of its car (the user declines to delete the old one).
 
-    Sequential by nature, but only among orders that overlap something, and
-    only within a connected component of a car's overlap graph. So: the
-    bucketed pair join finds the orders that overlap at all (all others are
-    kept without further work); ``overlap_components`` labels their
-    components with a two-level prefix scan; whole components are hashed
-    into ``spark.sql.shuffle.partitions`` bundles and each bundle is replayed
-    by one ``applyInPandas`` call. A hot car's components spread over the
-    bundles; only a single chain of mutually overlapping orders stays in one
-    call, which the rule itself requires."""
-    pairs = trip_overlaps(trips, p)
-    involved = pairs.select(F.col("first_id").alias("id")).unionByName(pairs.select(F.col("second_id").alias("id")))
-    timed = trips.select("id", "car", "start_at", "end_at").join(involved.distinct(), "id", "left_semi")
-    comps = overlap_components(timed, "car", "id", "start_at", "end_at", bucket_minutes=1440)
-    keyed = timed.join(comps, ["car", "id"])
+    Sequential by nature, but only within a connected component of a car's
+    overlap graph: orders in different components never interact.
+    ``overlap_components`` labels the components with a two-level prefix
+    scan (no task sorts all orders of a car); whole components are hashed
+    into ``spark.sql.shuffle.partitions`` bundles and each bundle is one
+    ``applyInPandas`` call, in which single-order components (the common
+    case) are kept in one vectorised step and only larger components are
+    replayed in id order. A hot car's components spread over the bundles;
+    only one chain of mutually overlapping orders stays in one call, which
+    the rule itself requires. Orders without both times never conflict."""
+    comps = overlap_components(trips, "car", "id", "start_at", "end_at", bucket_minutes=1440)
+    keyed = trips.select("id", "car", "start_at", "end_at").join(comps, ["car", "id"])
     bundles = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bundle = F.pmod(F.xxhash64(*[F.col(c) for c in COMPONENT_KEY]), F.lit(bundles))
     decided = keyed.groupBy(bundle.alias("__bundle")).applyInPandas(
