@@ -52,7 +52,9 @@ def reading_delta(tables: Tables, p: ReadingParams) -> DataFrame:
     c = tables.customer.select(
         concat_nullsafe(F.col("street_code"), F.col("meter_code")).alias("customer_code"), "class_code"
     )
-    read_codes = c.join(two.select("customer_code"), "customer_code", "left_semi")
+    # codes straight from the filtered readings (a narrow columnar scan), so
+    # the window over full reading rows is planned once
+    read_codes = c.join(r.select("customer_code").distinct(), "customer_code", "left_semi")
     dedup = min_per_key(read_codes, "customer_code", "class_code")
     j = two.join(dedup, "customer_code", "left")
     last_v = F.coalesce(F.col("last_reading.volume"), F.lit(0))
