@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 import __spark_entry__ as E
 from tests.conftest import SF_CHECK, SF_SMALL
@@ -47,10 +48,13 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_CHECK)
     cols = df.columns
     got = _rows([tuple(r) for r in df.collect()], cols)
-    res = duck.execute(E.oracle_sql()[name])
-    dcols = [d[0] for d in res.description]
-    want = _rows(res.fetchall(), dcols)
+    tbl = duck.execute(E.oracle_sql()[name]).to_arrow_table()
+    dcols = tbl.column_names
+    want = _rows([tuple(r.values()) for r in tbl.to_pylist()], dcols)
     assert sorted(cols) == sorted(dcols)
+    spark_types = {f.name: str(f.type) for f in to_arrow_schema(df.schema)}
+    duck_types = {f.name: str(f.type) for f in tbl.schema}
+    assert spark_types == duck_types
     assert len(got) == len(want)
     assert got == want
 
