@@ -48,7 +48,7 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_CHECK)
     cols = df.columns
     got = _rows([tuple(r) for r in df.collect()], cols)
-    tbl = duck.execute(E.oracle_sql()[name]).to_arrow_table()
+    tbl = duck.sql(E.oracle_sql()[name]).to_arrow_table()
     dcols = tbl.column_names
     want = _rows([tuple(r.values()) for r in tbl.to_pylist()], dcols)
     assert sorted(cols) == sorted(dcols)
