@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waterbook.sources import literals as L
+
 
 def _long(x: Column) -> Column:
     return F.round(x, 0).cast("long")
@@ -74,7 +76,7 @@ def growth_text_signed(h: Column, positive: Column, zero: Column) -> Column:
     return (
         F.when(h.isNull(), F.lit(""))
         .when(positive, F.concat(F.lit("+"), pct_fixed2(h), F.lit(" %")))
-        .when(zero, F.lit("0,00 %"))
+        .when(zero, F.lit(L.ZERO_GROWTH_TEXT))
         .otherwise(F.concat(pct_fixed2(h), F.lit(" %")))
     )
 

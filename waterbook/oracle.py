@@ -285,7 +285,7 @@ SELECT section, sort_order, region_ordinal, rank, label,
     AS diff_text,
   CASE WHEN growth_pct IS NULL THEN ''
        WHEN growth_pct > 0 THEN concat('+', {_fixed2('COALESCE(h, 0)')}, ' %')
-       WHEN growth_pct = 0 THEN '0,00 %'
+       WHEN growth_pct = 0 THEN {q(L.ZERO_GROWTH_TEXT)}
        ELSE concat({_fixed2('COALESCE(h, 0)')}, ' %') END AS growth_text,
   {_status()} AS status
 FROM h
@@ -868,13 +868,13 @@ def _arrears_text() -> str:
     p = C.ARREARS
     cur, prev = p.cutoff.strftime("%d/%m"), p.previous_cutoff.strftime("%d/%m")
     cols = [
-        ("cur_transfer", f"{cur}_Tồn CK"),
-        ("cur_cash", f"{cur}_Tồn TM"),
-        ("cur_total", f"{cur}_Tồn TM+CK"),
-        ("prev_transfer", f"{prev}_Tồn CK"),
-        ("prev_cash", f"{prev}_Tồn TM"),
-        ("prev_total", f"{prev}_Tồn TM+CK"),
-        ("diff", "Chênh lệch tổng tồn"),
+        ("cur_transfer", cur + L.ARREARS_TRANSFER_SUFFIX),
+        ("cur_cash", cur + L.ARREARS_CASH_SUFFIX),
+        ("cur_total", cur + L.ARREARS_TOTAL_SUFFIX),
+        ("prev_transfer", prev + L.ARREARS_TRANSFER_SUFFIX),
+        ("prev_cash", prev + L.ARREARS_CASH_SUFFIX),
+        ("prev_total", prev + L.ARREARS_TOTAL_SUFFIX),
+        ("diff", L.ARREARS_DIFF_HEADING),
     ]
     sel = ", ".join(f'{k} AS "{v}"' for k, v in cols)
     return _wrap(SQL["arrears_snapshot"], f"cashier, sort_order, {sel}")

@@ -148,13 +148,13 @@ def arrears_headings(df: DataFrame, cutoff, previous_cutoff) -> DataFrame:
     """Column headings carrying the cut-off days (``dd/MM``), as printed."""
     cur, prev = cutoff.strftime("%d/%m"), previous_cutoff.strftime("%d/%m")
     names = {
-        "cur_transfer": f"{cur}_Tồn CK",
-        "cur_cash": f"{cur}_Tồn TM",
-        "cur_total": f"{cur}_Tồn TM+CK",
-        "prev_transfer": f"{prev}_Tồn CK",
-        "prev_cash": f"{prev}_Tồn TM",
-        "prev_total": f"{prev}_Tồn TM+CK",
-        "diff": "Chênh lệch tổng tồn",
+        "cur_transfer": cur + L.ARREARS_TRANSFER_SUFFIX,
+        "cur_cash": cur + L.ARREARS_CASH_SUFFIX,
+        "cur_total": cur + L.ARREARS_TOTAL_SUFFIX,
+        "prev_transfer": prev + L.ARREARS_TRANSFER_SUFFIX,
+        "prev_cash": prev + L.ARREARS_CASH_SUFFIX,
+        "prev_total": prev + L.ARREARS_TOTAL_SUFFIX,
+        "diff": L.ARREARS_DIFF_HEADING,
     }
     return df.select("cashier", "sort_order", *[F.col(k).alias(v) for k, v in names.items()])
 
@@ -204,18 +204,6 @@ def order_trips(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("id").desc())
 
 
-# Fixed unit labels of the flushing calculator's result panel.
-FLUSH_UNITS = {
-    "dz": " m",
-    "net_head": " mH₂O",
-    "local_loss_m": " m",
-    "velocity": " m/s",
-    "flow_lps": " lít/giây",
-    "duration_min": " phút",
-    "volume_m3": " m³",
-}
-
-
 def format_flush(df: DataFrame) -> DataFrame:
     """Result panel text: two decimals (duration in minutes with one), with
     the calculator's units; invalid jobs show their reason."""
@@ -227,11 +215,11 @@ def format_flush(df: DataFrame) -> DataFrame:
     return df.select(
         "id",
         "invalid_reason",
-        fixed(c("dz"), 2, FLUSH_UNITS["dz"]).alias("dz_text"),
-        fixed(c("net_head"), 2, FLUSH_UNITS["net_head"]).alias("net_head_text"),
-        fixed(c("local_loss_m"), 2, FLUSH_UNITS["local_loss_m"]).alias("local_loss_text"),
-        fixed(c("velocity"), 2, FLUSH_UNITS["velocity"]).alias("velocity_text"),
-        fixed(c("flow_lps"), 2, FLUSH_UNITS["flow_lps"]).alias("flow_text"),
-        fixed(c("duration_s") / F.lit(60.0), 1, FLUSH_UNITS["duration_min"]).alias("duration_text"),
-        fixed(c("volume_m3"), 2, FLUSH_UNITS["volume_m3"]).alias("volume_text"),
+        fixed(c("dz"), 2, L.FLUSH_UNITS["dz"]).alias("dz_text"),
+        fixed(c("net_head"), 2, L.FLUSH_UNITS["net_head"]).alias("net_head_text"),
+        fixed(c("local_loss_m"), 2, L.FLUSH_UNITS["local_loss_m"]).alias("local_loss_text"),
+        fixed(c("velocity"), 2, L.FLUSH_UNITS["velocity"]).alias("velocity_text"),
+        fixed(c("flow_lps"), 2, L.FLUSH_UNITS["flow_lps"]).alias("flow_text"),
+        fixed(c("duration_s") / F.lit(60.0), 1, L.FLUSH_UNITS["duration_min"]).alias("duration_text"),
+        fixed(c("volume_m3"), 2, L.FLUSH_UNITS["volume_m3"]).alias("volume_text"),
     )

@@ -26,10 +26,10 @@ REGION_OTHER_NAME = "Khu vực khác"
 REGION_OTHER_ORDINAL = 6
 REGION_OTHER_UPPER_PREFIX = "KHU VỰC KHÁC ("
 REGION_OTHER_UPPER_SUFFIX = ")"
-REGION_TOTAL_NAME = "⭐ TỔNG CỘNG (BWACO) ⭐"
+REGION_TOTAL_NAME = "⭐ TỔNG CỘNG ⭐"
 REGION_TOTAL_ORDINAL = 7
-YTD_TOTAL_CODE = "BWACO"
-YTD_TOTAL_LABEL = "================ BWACO ================"
+YTD_TOTAL_CODE = "TOTAL"
+YTD_TOTAL_LABEL = "================ TỔNG CỘNG ================"
 
 # Usage purpose: code, name, ordinal.
 PURPOSES = [
@@ -120,6 +120,15 @@ KPI_UP = "🔥 PHÁT TRIỂN MẠNH MẼ"
 KPI_DOWN = "📉 SẢN LƯỢNG SỤT GIẢM"
 KPI_STABLE = "➖ SẢN LƯỢNG ỔN ĐỊNH"
 
+# Growth cell printed for exactly zero growth in the sectioned report.
+ZERO_GROWTH_TEXT = "0,00 %"
+
+# Arrears column headings: cut-off day (dd/MM) followed by these suffixes.
+ARREARS_TRANSFER_SUFFIX = "_Tồn CK"
+ARREARS_CASH_SUFFIX = "_Tồn TM"
+ARREARS_TOTAL_SUFFIX = "_Tồn TM+CK"
+ARREARS_DIFF_HEADING = "Chênh lệch tổng tồn"
+
 # Trip log.
 FLEET_PLATES = ["72M-74880", "72A-12345", "72A-67890", "72B-00123", "72A-55555"]
 TRIP_ORIGIN = "Vũng Tàu"
@@ -146,3 +155,13 @@ BEND_45_LOSS = 0.4
 VELOCITY_CAP = 15.0
 METRES_PER_BAR = 10.0
 TERRAIN_FLAT = "FLAT"
+# Units of the flushing calculator's result panel.
+FLUSH_UNITS = {
+    "dz": " m",
+    "net_head": " mH₂O",
+    "local_loss_m": " m",
+    "velocity": " m/s",
+    "flow_lps": " lít/giây",
+    "duration_min": " phút",
+    "volume_m3": " m³",
+}
