@@ -247,3 +247,15 @@ def test_right_align_keeps_right_end_and_null(spark):
     df = spark.createDataFrame([("12,5 %",), ("123456789012",), (None,)], "s string")
     got = [r.x for r in df.select(right_align(F.col("s"), 10).alias("x")).collect()]
     assert got == ["    12,5 %", "3456789012", None]
+
+
+def test_impossible_month_is_not_next_january(spark):
+    d = dt.date(2026, 6, 18)
+    t = make_tables(
+        spark,
+        customer=[cust(1)],
+        consumption=[bill(1, 1, 2025, month=13, posted=dt.date(2026, 1, 5)), bill(2, 1, 2026, month=1,
+                     posted=dt.date(2026, 1, 5))],
+    )
+    r = {x.cashier: x for x in arrears.arrears_cumulative(t, CumulativeArrearsParams(2026, 1, 2026, 5, d)).collect()}
+    assert r["TỔNG"].open_total == 1

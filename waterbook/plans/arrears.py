@@ -113,11 +113,14 @@ def arrears_cumulative(tables: Tables, p: CumulativeArrearsParams) -> DataFrame:
     """Open invoices at one cut-off over a range of billing months.
 
     The month range is ``year*12+month`` between two keys, the same order as
-    comparing first-of-month dates, with no per-row date construction."""
+    comparing first-of-month dates, with no per-row date construction. A
+    bill with an impossible month (where building the date would fail) is
+    left out rather than failing the whole report."""
     lo, hi = p.month_keys
     key = month_key(F.col("year"), F.col("month"))
     bills = tables.consumption.where(
         F.col("year").between(p.from_year, p.to_year)
+        & F.col("month").between(1, 12)  # an impossible month never lands in a neighbour year
         & key.between(lo, hi)
         & unpaid_as_of(F.col("posted_at"), F.col("paid_at"), F.col("is_paid"), p.cutoff)
         & positive_invoice()
