@@ -99,3 +99,23 @@ def test_order_stream_applies_replace_policy(spark):
     assert state == {3, 4, 5}
     everything = read_trip_json(spark, src)
     assert state == {r.id for r in trips_after_replacement(everything, params).collect()}
+
+
+def test_order_stream_refuse_policy(spark):
+    from waterbook.plans.fleet import trips_after_refusal
+
+    src = tempfile.mkdtemp(prefix="wb-orders-r-")
+    root = tempfile.mkdtemp(prefix="wb-log-r-")
+    ck = tempfile.mkdtemp(prefix="wb-ck-r-")
+    _write_lines(os.path.join(src, "b1.json"), [order(1, "C1", "2026-05-01T08:00", "2026-05-01T10:00"),
+                                                order(2, "C1", "2026-05-01T09:00", "2026-05-01T09:30")])
+    params = FleetParams(dt.datetime(2026, 5, 1, 12, 0))
+    q = trip_log.start(spark, src, root, params, checkpoint_location=ck, available_now=True, policy="refuse")
+    q.awaitTermination(120)
+    _write_lines(os.path.join(src, "b2.json"), [order(3, "C1", "2026-05-01T09:45", "2026-05-01T11:00"),
+                                                order(4, "C1", "2026-05-01T10:00", "2026-05-01T11:00")])
+    q = trip_log.start(spark, src, root, params, checkpoint_location=ck, available_now=True, policy="refuse")
+    q.awaitTermination(120)
+    state = {r.id for r in trip_log.read_log(spark, root).collect()}
+    assert state == {1, 4}
+    assert state == {r.id for r in trips_after_refusal(read_trip_json(spark, src), params).collect()}

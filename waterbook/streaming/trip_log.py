@@ -1,13 +1,15 @@
 """Trip orders as a stream, applied to the stored trip log.
 
 Entering an order appends it and, under the replace policy, removes every
-earlier order of the same car that it overlaps. Applied to a micro-batch of
-new orders, the result is the same as entering them one by one in id
-order: a trip (stored or new) survives exactly when no later order of its
-car overlaps it. So each micro-batch computes
+earlier order of the same car that it overlaps (under the refuse policy the
+new order is dropped instead). Applied to a micro-batch of new orders, the
+result is the same as entering them one by one in id order: with replace,
+a trip (stored or new) survives exactly when no later order of its car
+overlaps it. So each micro-batch computes
 
     new state = trips_after_replacement(stored state UNION batch)
 
+(or ``trips_after_refusal`` for the refuse policy)
 with the bucketed interval join, and writes it as a new version of the log
 under ``table_root``. Writing each version is what cuts the lineage; the
 version for batch ``n`` is written to ``batch=<n>`` with overwrite, so a
@@ -25,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from waterbook import schemas
 from waterbook.params import FleetParams
-from waterbook.plans.fleet import trips_after_replacement
+from waterbook.plans.fleet import trips_after_refusal, trips_after_replacement
 from waterbook.session import ensure_checkpoint_dir
 from waterbook.sources.tables import typed_trips
 
@@ -74,12 +76,20 @@ def trip_log_schema():
     return schemas.TRIP_LOG
 
 
-def apply_batch(stored: DataFrame, batch: DataFrame, params: FleetParams) -> DataFrame:
-    """Stored log plus a batch of orders under the replace policy. An order
-    whose id is already stored (a re-delivered file) is not added twice."""
+def apply_batch(stored: DataFrame, batch: DataFrame, params: FleetParams, policy: str = "replace") -> DataFrame:
+    """Stored log plus a batch of orders. ``replace``: a new order removes
+    the earlier orders it overlaps. ``refuse``: a new order is dropped when
+    it overlaps a kept one. Stored orders are older than new ones and never
+    overlap each other, so replaying the union in id order is exact for
+    both. An order whose id is already stored (a re-delivered file) is not
+    added twice."""
     fresh = batch.join(stored.select("id"), "id", "left_anti").dropDuplicates(["id"])
     union = stored.select(*TRIP_COLUMNS).unionByName(fresh.select(*TRIP_COLUMNS))
-    return trips_after_replacement(union, params)
+    if policy == "replace":
+        return trips_after_replacement(union, params)
+    if policy == "refuse":
+        return trips_after_refusal(union, params)
+    raise ValueError("policy must be 'replace' or 'refuse'")
 
 
 def start(
@@ -90,6 +100,7 @@ def start(
     checkpoint_location: str | None = None,
     available_now: bool = False,
     processing_time: str | None = None,
+    policy: str = "replace",
 ) -> StreamingQuery:
     """Start the ingestion query. The checkpoint goes under the session's
     shared ``spark.checkpoint.dir`` unless a location is given."""
@@ -98,7 +109,7 @@ def start(
     def write_version(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         stored = read_log(s, table_root, before_batch=batch_id)
-        state = apply_batch(stored, batch, params)
+        state = apply_batch(stored, batch, params, policy)
         state.repartition(F.col("car")).write.mode("overwrite").parquet(
             os.path.join(table_root, _version_name(batch_id))
         )
