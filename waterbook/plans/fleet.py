@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from waterbook.functions.dates import ntz
 from waterbook.operators.intervals import overlap_components, overlapping_pairs
+from waterbook.operators.replay import COMPONENT_KEY, accept_in_order
 from waterbook.operators.upsert import delete_by_key, latest_per_key, update_by_key
 from waterbook.params import FleetParams
 from waterbook.sources import literals as L
@@ -45,31 +46,6 @@ def trips_after_replacement(trips: DataFrame, p: FleetParams) -> DataFrame:
     return trips.join(replaced, "id", "left_anti")
 
 
-COMPONENT_KEY = ["car", "component_lo", "component_id"]
-
-
-def _accept_in_order(pdf):
-    """Refuse policy for a bundle of whole overlap components. A component
-    of one order is kept outright (vectorised); inside larger components
-    the orders are walked by id and one is kept only if it overlaps no order
-    kept so far. Components never interact, so each is replayed on its own."""
-    import numpy as np
-    import pandas as pd
-
-    size = pdf.groupby(COMPONENT_KEY, sort=False)["id"].transform("size")
-    accepted = np.ones(len(pdf), dtype=bool)
-    multi = pdf[size.to_numpy() > 1].sort_values([*COMPONENT_KEY, "id"])
-    position = {i: k for k, i in enumerate(pdf["id"].to_numpy())}
-    for _, g in multi.groupby(COMPONENT_KEY, sort=False):
-        kept: list[tuple] = []
-        for i, s, e in zip(g["id"].to_numpy(), g["start_at"].to_numpy(), g["end_at"].to_numpy()):
-            if any(s < ke and e > ks for ks, ke in kept):
-                accepted[position[i]] = False
-            else:
-                kept.append((s, e))
-    return pd.DataFrame({"id": pdf["id"].astype("int64").to_numpy(), "accepted": accepted})
-
-
 def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
     """Refuse policy: an order is kept only if it overlaps no *kept* earlier
     order of its car (the user declines to delete the old one).
@@ -89,7 +65,7 @@ def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
     bundles = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bundle = F.pmod(F.xxhash64(*[F.col(c) for c in COMPONENT_KEY]), F.lit(bundles))
     decided = keyed.groupBy(bundle.alias("__bundle")).applyInPandas(
-        _accept_in_order, schema="id long, accepted boolean"
+        accept_in_order, schema="id long, accepted boolean"
     )
     rejected = decided.where(~F.col("accepted")).select("id")
     return trips.join(rejected, "id", "left_anti")
