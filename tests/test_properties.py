@@ -153,3 +153,14 @@ def test_refuse_policy_random(spark, items):
     df = spark.createDataFrame(rows, "id long, car long, start_at timestamp_ntz, end_at timestamp_ntz")
     got = {r.id for r in fleet.trips_after_refusal(df, C.FLEET).collect()}
     assert got == _replay_refuse(rows)
+
+
+def test_back_to_back_trips_are_separate_components(spark):
+    from waterbook.operators.intervals import overlap_components
+
+    rows = [(i, 1, T0 + dt.timedelta(hours=i), T0 + dt.timedelta(hours=i + 1)) for i in range(48)]
+    rows.append((100, 1, T0 + dt.timedelta(minutes=30), T0 + dt.timedelta(minutes=90)))  # overlaps 0 and 1
+    df = spark.createDataFrame(rows, "id long, car long, s timestamp_ntz, e timestamp_ntz")
+    comps = {r.id: (r.component_lo, r.component_id) for r in overlap_components(df, "car", "id", "s", "e").collect()}
+    assert comps[0] == comps[1] == comps[100]
+    assert len(set(comps.values())) == 47  # {0, 1, 100} together, the other 46 trips alone

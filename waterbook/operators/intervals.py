@@ -72,10 +72,9 @@ def overlap_components(
     """Label each row with the connected component of its key's interval
     overlap graph: ``(component_lo, component_id)`` of the component's first
     interval in ``(lo, id)`` order, where ``lo/hi`` are the interval's
-    earlier/later end. Rows whose spans touch or intersect share a component
-    (a component may join intervals that only touch, which is harmless for
-    callers that test real overlap inside it). Rows with a NULL time get no
-    component.
+    earlier/later end. Rows whose open spans intersect, directly or through
+    a chain, share a component; intervals that only touch do not (they
+    cannot overlap). Rows with a NULL time get no component.
 
     A new component starts where ``lo`` is past every earlier ``hi``: a
     running maximum. It is computed in two levels so no task sorts all rows
@@ -99,7 +98,10 @@ def overlap_components(
     x = base.join(per_bucket, ["__k", "__b"])
     inside = Window.partitionBy("__k", "__b").orderBy("__lo", "__id")
     prev_hi = F.greatest(F.col("__carry_hi"), F.max("__hi").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("__start", prev_hi.isNull() | (F.col("__lo") > prev_hi))
+    # ">=": intervals that only touch never overlap (overlap needs the open
+    # spans to intersect, reversed and empty intervals included), so a run
+    # of back-to-back trips is many small components, not one
+    x = x.withColumn("__start", prev_hi.isNull() | (F.col("__lo") >= prev_hi))
     marker = F.when(F.col("__start"), F.struct(F.col("__lo").alias("lo"), F.col("__id").alias("id")))
     x = x.withColumn("__last_in", F.max(marker).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     starts = x.groupBy("__k", "__b").agg(F.max(marker).alias("__bstart"))
