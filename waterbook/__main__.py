@@ -99,7 +99,7 @@ REPORTS = {
     "month-report": (
         lambda t, a: consumption.region_sectioned_report(t, _period(a), _filters(a)),
         _plain(present.format_sectioned),
-        lambda df: df.orderBy("section", "region_ordinal", "sort_order", "rank"),
+        present.order_sectioned,
     ),
     "ytd": (
         lambda t, a: consumption.region_ytd_growth(t, _period(a, ytd=True), _filters(a)),

@@ -101,6 +101,3 @@ def right_align(text: Column, width: int) -> Column:
 def dd_mm_yyyy(d: Column) -> Column:
     return F.date_format(d, "dd/MM/yyyy")
 
-
-def dd_mm(d: Column) -> Column:
-    return F.date_format(d, "dd/MM")

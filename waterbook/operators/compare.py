@@ -9,10 +9,10 @@ per map task in the shuffle.
 Row sets of the joins are kept exactly:
 
 * FULL join of the two yearly aggregates = groups with a row in either
-  year (``row_rule="any"``). A NULL key never matches across a join, so
-  with ``split_null_key`` a NULL key keeps one row per year.
+  year. A NULL key never matches across a join, so a NULL key keeps one
+  row per year (see ``region_ytd_growth``).
 * LEFT join driven by the base year = groups with at least one base-year
-  row (``row_rule="base"``), whatever their sum.
+  row, whatever their sum (see ``purpose_growth``).
 """
 
 from __future__ import annotations
@@ -31,36 +31,21 @@ def two_period(
     keys: Sequence[str],
     period: PeriodCompare,
     value: str = "volume",
-    rows: str | None = None,
-    row_rule: str = "any",
-    split_null_key: str | None = None,
     extra_aggs: Sequence[Column] = (),
 ) -> DataFrame:
     """Per ``keys``: ``base`` and ``cmp`` sums of ``value`` for the two years.
 
     ``df`` must already be restricted to the compared months and years.
-    ``rows`` names a pre-computed row count column (after a pre-aggregation);
-    without it every input row counts as one.
+    Callers add row counts per year (``extra_aggs``) when they need the
+    FULL-join or LEFT-join row set described above.
     """
     year = F.col("year")
     v = F.coalesce(F.col(value), F.lit(0))
-    n = F.col(rows) if rows else F.lit(1)
-    group_cols = [F.col(k) for k in keys]
-    if split_null_key:
-        group_cols.append(F.when(F.col(split_null_key).isNull(), year).alias("__null_split"))
-    aggs = [
+    return df.groupBy(*keys).agg(
         F.sum(F.when(year == period.base_year, v).otherwise(F.lit(0))).cast("long").alias("base"),
         F.sum(F.when(year == period.cmp_year, v).otherwise(F.lit(0))).cast("long").alias("cmp"),
         *extra_aggs,
-    ]
-    if row_rule == "base":
-        aggs.append(F.sum(F.when(year == period.base_year, n).otherwise(F.lit(0))).alias("__base_rows"))
-    out = df.groupBy(*group_cols).agg(*aggs)
-    if row_rule == "base":
-        out = out.where(F.col("__base_rows") > 0).drop("__base_rows")
-    elif row_rule != "any":
-        raise ValueError("row_rule must be 'any' or 'base'")
-    return out.drop("__null_split") if split_null_key else out
+    )
 
 
 def with_diff_growth(df: DataFrame, on_zero: str, order: str = "sql") -> DataFrame:

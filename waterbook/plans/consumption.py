@@ -273,11 +273,6 @@ def region_sectioned_report(
     return summary.unionByName(top)
 
 
-def order_sectioned(df: DataFrame) -> DataFrame:
-    """Display order of the sectioned report."""
-    return df.orderBy("section", "region_ordinal", "sort_order", F.col("cmp").desc_nulls_last(), "rank")
-
-
 # -- R5: region year-to-date growth --------------------------------------------
 
 

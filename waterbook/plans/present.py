@@ -181,6 +181,11 @@ def kpi_text(df: DataFrame) -> DataFrame:
 # -- display order (the reports' ORDER BY clauses) ---------------------------------
 
 
+def order_sectioned(df: DataFrame) -> DataFrame:
+    """Sectioned report: summary then per region its header and top rows."""
+    return df.orderBy("section", "region_ordinal", "sort_order", "rank")
+
+
 def order_month_growth(df: DataFrame) -> DataFrame:
     """Web report: regions by name, the total last."""
     return df.orderBy("is_total", "region")
