@@ -1,4 +1,4 @@
-"""Per-bundle replay of the refuse rule, run inside ``applyInPandas``.
+"""Replay of the refuse rule, run inside ``mapInPandas``.
 
 This module is pickled by value: executors receive the function's code with
 the task, so they need no copy of this package on their Python path (only
@@ -37,4 +37,29 @@ def accept_in_order(pdf):
     return pd.DataFrame({"id": pdf["id"].astype("int64").to_numpy(), "accepted": accepted})
 
 
+def replay_partition(batches):
+    """``mapInPandas`` body over a partition sorted by component: Arrow
+    batches stream through and only the last, possibly unfinished component
+    of a batch is carried into the next one, so memory holds one batch plus
+    one component, never a whole partition."""
+    import pandas as pd
+
+    key = ["car", "component_lo", "component_id"]
+    pending = None
+    for pdf in batches:
+        if pending is not None and len(pending):
+            pdf = pd.concat([pending, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = pdf.iloc[-1]
+        same = (pdf["car"] == last["car"]) & (pdf["component_lo"] == last["component_lo"]) & (
+            pdf["component_id"] == last["component_id"]
+        )
+        done, pending = pdf[~same.to_numpy()], pdf[same.to_numpy()]
+        if len(done):
+            yield accept_in_order(done.reset_index(drop=True))
+    if pending is not None and len(pending):
+        yield accept_in_order(pending.reset_index(drop=True))
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waterbook.functions.dates import ntz
 from waterbook.operators.intervals import overlap_components, overlapping_pairs
-from waterbook.operators.replay import COMPONENT_KEY, accept_in_order
+from waterbook.operators.replay import COMPONENT_KEY, replay_partition
 from waterbook.operators.upsert import delete_by_key, latest_per_key, update_by_key
 from waterbook.params import FleetParams
 from waterbook.sources import literals as L
@@ -53,20 +53,18 @@ def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
     Sequential by nature, but only within a connected component of a car's
     overlap graph: orders in different components never interact.
     ``overlap_components`` labels the components with a two-level prefix
-    scan (no task sorts all orders of a car); whole components are hashed
-    into ``spark.sql.shuffle.partitions`` bundles and each bundle is one
-    ``applyInPandas`` call, in which single-order components (the common
-    case) are kept in one vectorised step and only larger components are
-    replayed in id order. A hot car's components spread over the bundles;
-    only one chain of mutually overlapping orders stays in one call, which
-    the rule itself requires. Orders without both times never conflict."""
+    scan (no task sorts all orders of a car). Orders are then hashed by
+    component and sorted inside each partition, and ``mapInPandas`` streams
+    the Arrow batches: single-order components (the common case) are kept
+    in one vectorised step, larger ones are replayed in id order, and only
+    one unfinished component is carried between batches. A hot car's
+    components spread over the partitions; only one chain of mutually
+    overlapping orders stays together, which the rule itself requires.
+    Orders without both times never conflict."""
     comps = overlap_components(trips, "car", "id", "start_at", "end_at", bucket_minutes=1440)
     keyed = trips.select("id", "car", "start_at", "end_at").join(comps, ["car", "id"])
-    bundles = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bundle = F.pmod(F.xxhash64(*[F.col(c) for c in COMPONENT_KEY]), F.lit(bundles))
-    decided = keyed.groupBy(bundle.alias("__bundle")).applyInPandas(
-        accept_in_order, schema="id long, accepted boolean"
-    )
+    ordered = keyed.repartition(*COMPONENT_KEY).sortWithinPartitions(*COMPONENT_KEY, "id")
+    decided = ordered.mapInPandas(replay_partition, schema="id long, accepted boolean")
     rejected = decided.where(~F.col("accepted")).select("id")
     return trips.join(rejected, "id", "left_anti")
 
