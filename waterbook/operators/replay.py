@@ -15,10 +15,17 @@ COMPONENT_KEY = ["car", "component_lo", "component_id"]
 
 
 def accept_in_order(pdf):
-    """Refuse policy for a bundle of whole overlap components. A component
-    of one order is kept outright (vectorised); inside larger components
-    the orders are walked by id and one is kept only if it overlaps no order
-    kept so far. Components never interact, so each is replayed on its own."""
+    """Refuse policy for whole overlap components. A component of one order
+    is kept outright (vectorised). Inside larger components the orders are
+    walked by id and one is kept only if it overlaps no order kept so far.
+
+    Kept orders never overlap each other, so sorted by (start, end) their
+    ends do not decrease either: an order [s, e) conflicts exactly when the
+    last kept order starting before e ends after s. One binary search per
+    order, O(k log k) for a chain of k orders. A component holding an order
+    that ends before it starts keeps the plain linear check."""
+    import bisect
+
     import numpy as np
     import pandas as pd
 
@@ -28,12 +35,27 @@ def accept_in_order(pdf):
     multi = pdf[size.to_numpy() > 1].sort_values([*key, "id"])
     position = {i: k for k, i in enumerate(pdf["id"].to_numpy())}
     for _, g in multi.groupby(key, sort=False):
-        kept: list[tuple] = []
-        for i, s, e in zip(g["id"].to_numpy(), g["start_at"].to_numpy(), g["end_at"].to_numpy()):
-            if any(s < ke and e > ks for ks, ke in kept):
+        ids = g["id"].to_numpy()
+        starts = g["start_at"].to_numpy().astype("int64")
+        ends = g["end_at"].to_numpy().astype("int64")
+        if (ends < starts).any():
+            kept_pairs: list[tuple] = []
+            for i, st, en in zip(ids, starts, ends):
+                if any(st < ke and en > ks for ks, ke in kept_pairs):
+                    accepted[position[i]] = False
+                else:
+                    kept_pairs.append((st, en))
+            continue
+        kept: list[tuple] = []  # (start, end), sorted
+        kept_starts: list[int] = []
+        for i, st, en in zip(ids, starts, ends):
+            k = bisect.bisect_left(kept_starts, en)  # kept orders starting before en
+            if k > 0 and kept[k - 1][1] > st:
                 accepted[position[i]] = False
-            else:
-                kept.append((s, e))
+                continue
+            at = bisect.bisect_right(kept, (st, en))
+            kept.insert(at, (st, en))
+            kept_starts.insert(at, st)
     return pd.DataFrame({"id": pdf["id"].astype("int64").to_numpy(), "accepted": accepted})
 
 
