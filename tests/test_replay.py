@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 
-from waterbook.operators.replay import accept_in_order, replay_partition
+from waterbook.operators.replay import accept_in_order, later_overlaps, replay_partition, sweep_partition
 
 BASE = np.datetime64("2024-01-01T00:00")
 
@@ -57,3 +57,33 @@ def test_long_chain_is_fast():
     rows = [(i, i, i + 2) for i in range(20_000)]
     out = accept_in_order(_frame(rows))
     assert int(out["accepted"].sum()) == 10_000
+
+
+def _naive_replaced(rows):
+    return {
+        i: any(j > i and sj < e and ej > s for j, sj, ej in rows)
+        for i, s, e in rows
+    }
+
+
+def test_sweep_equals_naive_later_overlap_and_streams():
+    rng = random.Random(11)
+    for _ in range(500):
+        rows = []
+        for i in range(rng.randint(1, 40)):
+            s = rng.randint(0, 60)
+            rows.append((i, s, s + rng.randint(-10, 25)))
+        pdf = _frame(rows)
+        out = later_overlaps(pdf)
+        got = {int(i): bool(r) for i, r in zip(out["id"], out["replaced"])}
+        assert got == _naive_replaced(rows)
+        batches = [pdf.iloc[k : k + 5] for k in range(0, len(pdf), 5)]
+        streamed = pd.concat(list(sweep_partition(iter(batches))))
+        assert {int(i): bool(r) for i, r in zip(streamed["id"], streamed["replaced"])} == got
+
+
+def test_sweep_handles_all_overlapping_in_n_log_n():
+    # 20 000 orders that all overlap each other: 2*10^8 pairs, one sweep
+    rows = [(i, i % 97, 10_000 + i % 89) for i in range(20_000)]
+    out = later_overlaps(_frame(rows))
+    assert int(out["replaced"].sum()) == 19_999

@@ -53,3 +53,12 @@ def test_hot_customer_is_combined_before_the_shuffle(spark):
     ).first()[0]
     total = [r for r in df.collect() if r.is_total][0]
     assert total.cmp == plain
+
+
+def test_replacement_sweep_equals_pairs(spark):
+    t = Tables.from_generated(spark, SF_CHECK)
+    hot = t.trip.withColumn("car", F.when(F.col("id") % 3 == 0, F.lit(-7)).otherwise(F.col("car")))
+    for trips in (t.trip, hot):
+        pairs = {r.id for r in fleet.trips_after_replacement(trips, C.FLEET).select("id").collect()}
+        sweep = {r.id for r in fleet.trips_after_replacement(trips, C.FLEET, method="sweep").select("id").collect()}
+        assert pairs == sweep

@@ -1,4 +1,4 @@
-"""Replay of the refuse rule, run inside ``mapInPandas``.
+"""Per-component replays of the trip rules, run inside ``mapInPandas``.
 
 This module is pickled by value: executors receive the function's code with
 the task, so they need no copy of this package on their Python path (only
@@ -59,14 +59,52 @@ def accept_in_order(pdf):
     return pd.DataFrame({"id": pdf["id"].astype("int64").to_numpy(), "accepted": accepted})
 
 
-def replay_partition(batches):
-    """``mapInPandas`` body over a partition sorted by component: Arrow
-    batches stream through and only the last, possibly unfinished component
-    of a batch is carried into the next one, so memory holds one batch plus
-    one component, never a whole partition."""
+def later_overlaps(pdf):
+    """Replace policy for whole overlap components, without pairs: an order
+    is replaced when some later order (higher id) of its component overlaps
+    it. Orders are walked from the latest down; a Fenwick tree over the
+    component's sorted starts holds the greatest end among the later orders,
+    so "a later order starts before my end and ends after my start" is one
+    prefix-maximum query. O(k log k) per component, exact for any intervals."""
+    import bisect
+
+    import numpy as np
     import pandas as pd
 
     key = ["car", "component_lo", "component_id"]
+    replaced = np.zeros(len(pdf), dtype=bool)
+    position = {i: k for k, i in enumerate(pdf["id"].to_numpy())}
+    size = pdf.groupby(key, sort=False)["id"].transform("size")
+    multi = pdf[size.to_numpy() > 1].sort_values([*key, "id"], ascending=[True, True, True, False])
+    for _, g in multi.groupby(key, sort=False):
+        ids = g["id"].to_numpy()
+        starts = g["start_at"].to_numpy().astype("int64")
+        ends = g["end_at"].to_numpy().astype("int64")
+        order = sorted(set(starts.tolist()))
+        tree = [None] * (len(order) + 1)  # 1-based Fenwick tree of prefix maxima
+        for i, st, en in zip(ids, starts, ends):
+            k = bisect.bisect_left(order, en)  # later orders starting before en
+            best = None
+            while k > 0:
+                if tree[k] is not None and (best is None or tree[k] > best):
+                    best = tree[k]
+                k -= k & -k
+            if best is not None and best > st:
+                replaced[position[i]] = True
+            k = bisect.bisect_left(order, st) + 1
+            while k <= len(order):
+                if tree[k] is None or en > tree[k]:
+                    tree[k] = en
+                k += k & -k
+    return pd.DataFrame({"id": pdf["id"].astype("int64").to_numpy(), "replaced": replaced})
+
+
+def _stream_components(batches, fn):
+    """Stream a partition sorted by component through ``fn``: only the last,
+    possibly unfinished component of a batch is carried into the next one,
+    so memory holds one batch plus one component, never a whole partition."""
+    import pandas as pd
+
     pending = None
     for pdf in batches:
         if pending is not None and len(pending):
@@ -79,9 +117,19 @@ def replay_partition(batches):
         )
         done, pending = pdf[~same.to_numpy()], pdf[same.to_numpy()]
         if len(done):
-            yield accept_in_order(done.reset_index(drop=True))
+            yield fn(done.reset_index(drop=True))
     if pending is not None and len(pending):
-        yield accept_in_order(pending.reset_index(drop=True))
+        yield fn(pending.reset_index(drop=True))
+
+
+def replay_partition(batches):
+    """``mapInPandas`` body for the refuse policy (see ``accept_in_order``)."""
+    yield from _stream_components(batches, accept_in_order)
+
+
+def sweep_partition(batches):
+    """``mapInPandas`` body for the replace policy (see ``later_overlaps``)."""
+    yield from _stream_components(batches, later_overlaps)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waterbook.functions.dates import ntz
 from waterbook.operators.intervals import overlap_components, overlapping_pairs
-from waterbook.operators.replay import COMPONENT_KEY, replay_partition
+from waterbook.operators.replay import COMPONENT_KEY, replay_partition, sweep_partition
 from waterbook.operators.upsert import delete_by_key, latest_per_key, update_by_key
 from waterbook.params import FleetParams
 from waterbook.sources import literals as L
@@ -37,13 +37,26 @@ def trip_overlaps(trips: DataFrame, p: FleetParams) -> DataFrame:
     return overlapping_pairs(trips, "car", "id", "start_at", "end_at", p.overlap_bucket_minutes)
 
 
-def trips_after_replacement(trips: DataFrame, p: FleetParams) -> DataFrame:
+def trips_after_replacement(trips: DataFrame, p: FleetParams, method: str = "pairs") -> DataFrame:
     """Replace policy: a later order removes earlier overlapping orders of
     the same car. A trip survives exactly when no later trip of its car
-    overlaps it, whether or not that later trip survives, so one anti join
-    against the earlier member of each overlapping pair is exact."""
-    replaced = trip_overlaps(trips, p).select(F.col("first_id").alias("id"))
-    return trips.join(replaced, "id", "left_anti")
+    overlaps it, whether or not that later trip survives.
+
+    ``method="pairs"`` (default, all JVM): one anti join against the earlier
+    member of each overlapping pair from the bucketed interval join; cost
+    is the number of overlapping pairs. ``method="sweep"``: no pairs; per
+    overlap component a sweep over later orders (``later_overlaps``), for
+    data where many orders of a car overlap each other."""
+    if method == "pairs":
+        replaced = trip_overlaps(trips, p).select(F.col("first_id").alias("id"))
+        return trips.join(replaced, "id", "left_anti")
+    if method != "sweep":
+        raise ValueError("method must be 'pairs' or 'sweep'")
+    comps = overlap_components(trips, "car", "id", "start_at", "end_at", bucket_minutes=1440)
+    keyed = trips.select("id", "car", "start_at", "end_at").join(comps, ["car", "id"])
+    ordered = keyed.repartition(*COMPONENT_KEY).sortWithinPartitions(*COMPONENT_KEY, "id")
+    flags = ordered.mapInPandas(sweep_partition, schema="id long, replaced boolean")
+    return trips.join(flags.where(F.col("replaced")).select("id"), "id", "left_anti")
 
 
 def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
