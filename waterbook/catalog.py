@@ -133,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trip_validation": _q(lambda t: fleet.trip_validation(t.trip)),
     "trip_overlaps": _q(lambda t: fleet.trip_overlaps(t.trip, FLEET)),
     "trips_after_replacement": _q(lambda t: fleet.trips_after_replacement(t.trip, FLEET)),
+    "trips_after_replacement_sweep": _q(lambda t: fleet.trips_after_replacement(t.trip, FLEET, method="sweep")),
     "trips_after_refusal": _q(lambda t: fleet.trips_after_refusal(t.trip, FLEET)),
     "trip_status": _q(lambda t: fleet.trip_status(t.trip, FLEET)),
     "trip_distance": _q(lambda t: fleet.trip_distance(t.trip)),

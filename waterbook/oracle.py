@@ -661,6 +661,9 @@ WHERE NOT EXISTS (SELECT 1 FROM d_trip l WHERE l.car = t.car AND l.id > t.id
                   AND l.start_at < t.end_at AND l.end_at > t.start_at)
 """)
 
+# the pair-free sweep must give exactly the same survivors
+SQL["trips_after_replacement_sweep"] = SQL["trips_after_replacement"]
+
 SQL["trip_status"] = with_fixtures(f"""
 SELECT id, car, COALESCE(start_at <= {_AS_OF} AND {_AS_OF} <= end_at, false) AS on_road,
        CASE WHEN COALESCE(start_at <= {_AS_OF} AND {_AS_OF} <= end_at, false) THEN {q(L.TRIP_ON_ROAD)}
