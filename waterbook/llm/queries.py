@@ -4,17 +4,45 @@ production parameters, to the whole of its table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import fingerprints, mixing, quality
 from .common import table
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of their first training position."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select(
+        "row.doc_id", "size", "source_size", "target", "taken",
+        F.size("copies").alias("n_copies"), F.get("copies", F.lit(0))["position"].alias("position"),
+    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_shingles(F.col("sketch")).alias("shingles_estimate"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.apply(docs, quality.fit(docs, quality.trusted_ids(labels)))
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op6_fingerprints": op6_fingerprints,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
