@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality
-from .common import table
+from . import bpe, fingerprints, mixing, quality
+from .common import public_vocabulary, table
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_vocabulary("word_bpe_49k.json")
+    return bpe.with_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
     return out.select(
@@ -40,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_bpe": op4_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
