@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, quality
+from . import bpe, fingerprints, language_id, mixing, quality
 from .common import public_vocabulary, table
 
 
@@ -38,6 +38,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("prediction.lang").alias("lang_pred"),
+        "prediction.score", "prediction.entropy", "prediction.accepted",
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.apply(docs, quality.fit(docs, quality.trusted_ids(labels)))
@@ -47,6 +57,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op4_bpe": op4_bpe,
     "op6_fingerprints": op6_fingerprints,
+    "op7_language_id": op7_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
