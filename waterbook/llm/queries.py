@@ -6,8 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, mixing, quality
-from .common import public_vocabulary, table
+from . import bpe, fingerprints, language_id, mixing, quality, warc
+from .common import public_vocabulary, shared_path, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    records = warc.read_archives(spark, manifest)
+    page = lambda c: F.substring(c, len(warc.RECORD_ID) + 1, 40).try_cast("long")
+    return records.select(
+        page(F.col("record_id")).alias("page_id"),
+        F.coalesce(F.octet_length("payload"), F.col("payload_length")).cast("long").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        page(F.col("refers_to")).alias("refers_to"),
+    )
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
     "op4_bpe": op4_bpe,
     "op6_fingerprints": op6_fingerprints,
