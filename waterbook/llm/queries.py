@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, mixing, quality, warc
+from . import bpe, chat, fingerprints, language_id, mixing, quality, warc
 from .common import public_vocabulary, shared_path, table
 
 
@@ -61,6 +61,22 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.read_packs(chat.format_packs(chat.conversations(rows)))
+    turns, loss = chat.turns_text(F.col("turns")), chat.loss_text(F.col("turns"))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.apply(docs, quality.fit(docs, quality.trusted_ids(labels)))
@@ -72,6 +88,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
 }
 
