@@ -51,7 +51,7 @@ def conversations(rows: DataFrame, key: str = "conv_id", turn: str = "turn", rol
     return out.withColumn("path", F.transform("turns", lambda x: F.xxhash64(x["role"], x["text"])))
 
 
-def _pack_batches(pack_chars: int, learn: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack_batches(pack_chars: int, learn: str, pack_members: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.list_(_node_type()), pa.list_(pa.struct([("conv_id", pa.int64()), ("leaf", pa.int32())]))]
         parts: list[str] = []
@@ -65,7 +65,7 @@ def _pack_batches(pack_chars: int, learn: str) -> Callable[[Iterator[pa.RecordBa
 
         for batch in batches:
             for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if size >= pack_chars:
+                if size >= pack_chars or len(members) >= pack_members:
                     yield flush()
                     parts, nodes, members, size, branch = [], [], [], 0, []
                 turns = [(t["role"], t["text"]) for t in turns.as_py()]

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language_id, mixing, quality, warc
+from . import bpe, chat, fingerprints, jaccard_join, language_id, mixing, quality, warc
 from .common import public_vocabulary, shared_path, table
 
 
@@ -32,6 +32,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.link_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_vocabulary("word_bpe_49k.json")
     return bpe.with_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
@@ -85,6 +90,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_bpe": op4_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
