@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard_join, language_id, mixing, quality, warc
+from . import bpe, chat, fingerprints, jaccard_join, language_id, license_scan, mixing, quality, token_counts, warc
 from .common import public_vocabulary, shared_path, table
 
 
@@ -42,6 +42,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.with_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
     return out.select(
@@ -66,6 +70,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_edits(docs, token_counts.sample_edits(docs), vocabulary or public_vocabulary("word_bpe_49k.json"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -92,8 +101,10 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_bpe": op4_bpe,
+    "op5_license_scan": op5_license_scan,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
+    "op8_token_counts": op8_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
 }
