@@ -445,20 +445,22 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **sett
     the least class); rows with an empty set all stay. All columns are kept."""
     linked = link_components(docs, key, text, **settings)
     best = linked.filter("c is not null").groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), F.col("c"))).alias("best"))
-    best = best.select(F.col("best.id").alias("id"), F.col("best.c").alias("c"))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    best = best.select(name(F.col("best.id")).alias("id"), F.col("best.c").alias("c"), F.lit(True).alias("hit"))
     width = settings.get("width", 5)
 
-    @F.pandas_udf("bigint")
     def class_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = Hasher(width)
         for series in batches:
-            out = pd.Series([None] * len(series), dtype="Int64")
+            out = np.full(len(series), -1, dtype=np.int64)
             for i, tokens in each_set(hasher, [(x or "").encode() for x in series]):
                 out[i] = set_hash(tokens)
-            yield out
-
-    rows = pack(docs, "r").withColumn("c", class_of(F.col("r")[text])).withColumn("id", F.col("r")[key])
-    empty = rows.filter("c is null").select("r.*")
-    first = F.row_number().over(Window.partitionBy("c", "id").orderBy(F.lit(1)))
-    chosen = rows.alias("x").join(best.alias("b"), (F.col("x.c") == F.col("b.c")) & F.col("x.id").eqNullSafe(F.col("b.id")), "left_semi")
-    return chosen.withColumn("k", first).filter("k = 1").select("r.*").union(empty)
+            yield pd.Series(out)
+
+    rows = pack(docs, "r")
+    rows = rows.select("r", F.pandas_udf(class_of, "bigint").asNondeterministic()(F.col("r")[text]).alias("c"), name(F.col("r")[key]).alias("id"))
+    # rows with an empty set are no class: spread, each stays
+    rows = rows.withColumn("c", F.when(F.col("c") >= 0, F.col("c")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("r"), 1)))
+    joined = rows.join(best, ["c", "id"], "left")
+    joined = joined.withColumn("k", F.row_number().over(Window.partitionBy("c", "id").orderBy("hit")))
+    return joined.filter("c < 0 or (hit and k = 1)").select("r.*")
