@@ -124,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # arrears
     "arrears_snapshot": _q(lambda t: arrears.arrears_snapshot(t, ARREARS)),
     "arrears_cumulative": _q(lambda t: arrears.arrears_cumulative(t, CUMULATIVE)),
+    "arrears_rejected_months": _q(arrears.rejected_months),
     "positive_invoices": _q(arrears.positive_invoices),
     # readings
     "customer_dedup": _q(readings.customer_dedup),

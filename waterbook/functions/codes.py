@@ -61,6 +61,6 @@ def purpose_codes() -> list[str]:
 
 
 def class_name(code: Column) -> Column:
-    """Exact (case-sensitive) class decode with the catch-all name."""
-    mapping = F.create_map(*[F.lit(x) for pair in L.CLASSES for x in pair])
-    return F.coalesce(F.try_element_at(mapping, code), F.lit(L.CLASS_OTHER_NAME))
+    """Class decode, blanks trimmed and case folded, with the catch-all name."""
+    mapping = F.create_map(*[F.lit(x) for c, n in L.CLASSES for x in (c.upper(), n)])
+    return F.coalesce(F.try_element_at(mapping, norm(code)), F.lit(L.CLASS_OTHER_NAME))

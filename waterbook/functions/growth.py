@@ -38,18 +38,25 @@ def growth_pct(base: Column, cmp_: Column, on_zero: str = "zero", order: str = "
     return F.when(b == 0, at_zero).otherwise(ratio)
 
 
+def _whole_quotient(num: Column, den: Column) -> Column:
+    """Integer quotient of whole decimals: the remainder is taken off first,
+    so the division is exact."""
+    safe = F.when(den != 0, den)
+    return ((num - num % safe) / safe).cast("long")
+
+
 def growth_hundredths(base: Column, diff: Column) -> Column:
     """``100 * diff / base`` rounded half away from zero to 2 decimals, as an
     exact integer count of hundredths (NULL on a zero or null base).
 
-    Integer arithmetic keeps the printed percentage identical on every
-    engine; doubles would differ in the last bit at ties.
+    Both numbers are taken as whole hundredths in decimals of 38 digits, and
+    divided without a remainder, so nothing passes through a double: the
+    printed percentage is exact at any size of the volumes.
     """
-    abs_b = F.abs(base.cast("long"))
-    abs_d = F.abs(diff.cast("long"))
-    num = abs_d * F.lit(20000) + abs_b
-    den = abs_b * F.lit(2)
-    # exact integer division: (num - num mod den) is a multiple of den
-    q = ((num - F.pmod(num, den)) / den).cast("long")
+    whole = lambda c: F.abs((c.cast("decimal(28,2)") * 100).cast("decimal(28,0)"))
+    abs_b, abs_d = whole(base), whole(diff)
+    num = (abs_d * F.lit(20000).cast("decimal(5,0)") + abs_b).cast("decimal(38,0)")
+    den = (abs_b * F.lit(2).cast("decimal(1,0)")).cast("decimal(38,0)")
+    q = _whole_quotient(num, den)
     sign = F.signum(diff.cast("double")) * F.signum(base.cast("double"))
-    return F.when(abs_b == 0, F.lit(None).cast("long")).otherwise((q * sign).cast("long"))
+    return F.when(abs_b == 0, F.lit(None).cast("long")).otherwise(q * sign.cast("long"))

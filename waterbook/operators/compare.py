@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from waterbook.functions.growth import growth_pct
 from waterbook.params import PeriodCompare
+from waterbook.schemas import SUM_TYPE
 
 
 def two_period(
@@ -42,18 +43,24 @@ def two_period(
     year = F.col("year")
     v = F.coalesce(F.col(value), F.lit(0))
     return df.groupBy(*keys).agg(
-        F.sum(F.when(year == period.base_year, v).otherwise(F.lit(0))).cast("long").alias("base"),
-        F.sum(F.when(year == period.cmp_year, v).otherwise(F.lit(0))).cast("long").alias("cmp"),
+        F.sum(F.when(year == period.base_year, v).otherwise(F.lit(0))).cast(SUM_TYPE).alias("base"),
+        F.sum(F.when(year == period.cmp_year, v).otherwise(F.lit(0))).cast(SUM_TYPE).alias("cmp"),
         *extra_aggs,
     )
 
 
 def with_diff_growth(df: DataFrame, on_zero: str, order: str = "sql") -> DataFrame:
-    return df.withColumn("diff", F.col("cmp") - F.col("base")).withColumn(
+    return df.withColumn("diff", (F.col("cmp") - F.col("base")).cast(SUM_TYPE)).withColumn(
         "growth_pct", growth_pct(F.col("base"), F.col("cmp"), on_zero, order)
     )
 
 
+def sum_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str], counts: Sequence[str] = ()) -> DataFrame:
+    """Sums of volume ``measures`` and of row ``counts`` per key."""
+    sums = [F.sum(m).cast(SUM_TYPE).alias(m) for m in measures] + [F.sum(n).cast("long").alias(n) for n in counts]
+    return df.groupBy(*keys).agg(*sums)
+
+
 def with_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,12 +73,10 @@ def with_total(
 ) -> DataFrame:
     """Rows per key plus a grand-total row, then ``diff`` and ``growth_pct``.
 
-    ``df`` may be the detail itself or finer rows (one per customer, say):
-    one ``GROUPING SETS ((keys), ())`` aggregate sums ``measures`` per key
-    and over everything, so the pipeline that produced ``df`` runs once and
-    no second aggregation stage is needed. A union of the detail with an
-    aggregate of itself would plan that pipeline twice. ``Expand`` doubles
-    the rows before the partial aggregation collapses them on the map side.
+    ``df`` may be the detail itself or finer rows (one per customer, say).
+    It is summed per key first; one ``GROUPING SETS ((keys), ())`` aggregate
+    over those few rows gives detail and total, so the pipeline that
+    produced ``df`` runs once and ``Expand`` only doubles reduced rows.
 
     Key columns of the total row take ``total_values`` (NULL when absent);
     ``is_total`` flags it, so a NULL key is never mistaken for the total.
@@ -82,7 +87,7 @@ def with_total(
     keys = list(keys)
     sums = [*measures, *extra_sums]
     typed = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.select(*keys, *sums)
+    rows = sum_by(df, keys, measures, extra_sums)
     # One literal marker row keeps the grand-total set non-empty, so an empty
     # input still yields a total row (with NULL sums, like SUM over nothing).
     # Its own detail group is dropped again below.
@@ -91,7 +96,7 @@ def with_total(
     )
     marked = rows.withColumn("__marker", F.lit(False)).unionByName(marker)
     agg = marked.groupingSets([[*keys, "__marker"], []], *keys, "__marker").agg(
-        *[F.sum(F.col(m)).cast("long").alias(m) for m in sums],
+        *[F.sum(F.col(m)).cast(SUM_TYPE if m in measures else "long").alias(m) for m in sums],
         (F.grouping_id() > 0).alias("is_total"),
     )
     agg = agg.where(F.col("is_total") | ~F.col("__marker"))
@@ -99,20 +104,19 @@ def with_total(
     key_cols = [
         F.when(total, F.lit(total_values.get(k)).cast(typed[k])).otherwise(F.col(k)).alias(k) for k in keys
     ]
-    out = agg.select(*key_cols, *sums, "is_total").withColumn("diff", F.col("cmp") - F.col("base"))
+    out = agg.select(*key_cols, *sums, "is_total").withColumn("diff", (F.col("cmp") - F.col("base")).cast(SUM_TYPE))
     g_total = growth_pct(F.col("base"), F.col("cmp"), on_zero, order)
     g_detail = growth_pct(F.col("base"), F.col("cmp"), detail_on_zero or on_zero, order)
     return out.withColumn("growth_pct", F.when(total, g_total).otherwise(g_detail))
 
 
-def rollup_total(df: DataFrame, key: str, period: PeriodCompare, on_zero: str = "zero") -> DataFrame:
-    """Detail per ``key`` plus a grand total in one aggregate with
-    ``rollup``; ``grouping(key)`` tells the total from a NULL key."""
-    year = F.col("year")
-    v = F.coalesce(F.col("volume"), F.lit(0))
-    out = df.rollup(key).agg(
-        F.sum(F.when(year == period.base_year, v).otherwise(F.lit(0))).cast("long").alias("base"),
-        F.sum(F.when(year == period.cmp_year, v).otherwise(F.lit(0))).cast("long").alias("cmp"),
+def rollup_total(df: DataFrame, key: str, on_zero: str = "zero") -> DataFrame:
+    """Detail per ``key`` of rows with ``base`` and ``cmp``, plus a grand
+    total, by ``rollup`` over the sums per key; ``grouping(key)`` tells the
+    total from a NULL key."""
+    out = sum_by(df, [key], ["base", "cmp"]).rollup(key).agg(
+        F.sum("base").cast(SUM_TYPE).alias("base"),
+        F.sum("cmp").cast(SUM_TYPE).alias("cmp"),
         (F.grouping(key) == 1).alias("is_total"),
     )
     return with_diff_growth(out, on_zero)
@@ -126,6 +130,6 @@ def full_join_periods(base: DataFrame, cmp_: DataFrame, key: str, value: str) ->
     j = b.join(c, b["__kb"] == c["__kc"], "full")
     return j.select(
         F.coalesce(F.col("__kc"), F.col("__kb")).alias(key),
-        F.coalesce(F.col("base"), F.lit(0)).cast("long").alias("base"),
-        F.coalesce(F.col("cmp"), F.lit(0)).cast("long").alias("cmp"),
-    ).withColumn("diff", F.col("cmp") - F.col("base"))
+        F.coalesce(F.col("base"), F.lit(0)).cast(SUM_TYPE).alias("base"),
+        F.coalesce(F.col("cmp"), F.lit(0)).cast(SUM_TYPE).alias("cmp"),
+    ).withColumn("diff", (F.col("cmp") - F.col("base")).cast(SUM_TYPE))

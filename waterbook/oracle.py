@@ -1,10 +1,9 @@
 """Oracle SQL (DuckDB) for every registered query.
 
-Written the way the source reports are written: join then aggregate, each
-year aggregated separately and FULL / LEFT joined, rank self-joins,
-``NOT EXISTS`` for anti joins. The Spark plans use different, scale-aware
-rewrites (single-scan comparison, pre-aggregation before joins, window
-limits, bucketed interval joins), so agreement checks those rewrites.
+Written apart from the Spark plans, from what each report means: filtered
+aggregates over one row per bill, grouping sets, lists and correlated
+subqueries where the plans pre-aggregate, join and use windows, so agreement
+checks those plans.
 
 Only the generated base tables are registered, so each query inlines the
 domain tables it needs as CTEs built from ``waterbook.sources.fixtures``.
@@ -38,7 +37,7 @@ FIXTURE_CTES = {
         "d_trip AS (SELECT *, " + FX.TRIP_END_DUCKDB + " AS end_at FROM ("
         + "SELECT " + ", ".join(f"{e} AS {a}" for a, e in FX.TRIP) + f" FROM events WHERE {FX.TRIP_WHERE}) t0)"
     ),
-    "d_fleet": "d_fleet AS (SELECT DISTINCT user_id AS car FROM events)",
+    "d_fleet": f"d_fleet AS (SELECT DISTINCT {FX.PLATE} AS car FROM events)",
     "d_vehicle_profile": _cte(
         "d_vehicle_profile",
         FX.VEHICLE_PROFILE,
@@ -116,16 +115,6 @@ def growth(base: str, cmp_: str, policy: str = "zero", order: str = "sql") -> st
     return f"CASE WHEN {b} = 0 THEN {at_zero} ELSE {ratio} END"
 
 
-ACTIVE = "(tt.is_cancelled IS NULL OR tt.is_cancelled = 0)"
-
-
-def period_pred(p, alias: str = "tt") -> str:
-    return (
-        f"{alias}.month BETWEEN {p.month_from} AND {p.month_to} "
-        f"AND {alias}.year IN ({p.base_year}, {p.cmp_year})"
-    )
-
-
 def grouped_vi(x: str) -> str:
     return f"format('{{:t.}}', CAST(round({x}, 0) AS BIGINT))"
 
@@ -133,81 +122,85 @@ def grouped_vi(x: str) -> str:
 # -- consumption ------------------------------------------------------------------
 
 M, Y = C.MONTH, C.YTD
+V = "DECIMAL(28, 2)"
 
+#: Volume sums of the two compared years over rows ``(m3, later)``.
+PAIR = (
+    f"CAST(COALESCE(SUM(m3) FILTER (WHERE NOT later), 0) AS {V}) AS base, "
+    f"CAST(COALESCE(SUM(m3) FILTER (WHERE later), 0) AS {V}) AS cmp"
+)
 
-def _customer_data(p, extra_where: str = "") -> str:
-    """Stage 1 of the month reports: bills x customers (LEFT), per raw region,
-    customer code, name and year."""
-    return f"""customer_data AS (
-  SELECT {region_name(norm('kh.region_code'))} AS region,
-         {region_ordinal(norm('kh.region_code'))} AS region_ordinal,
-         concat(kh.street_code, kh.meter_code) AS customer_code,
-         kh.name AS customer_name, tt.year, SUM(COALESCE(tt.volume, 0)) AS v
-  FROM d_consumption tt LEFT JOIN d_customer kh ON tt.customer_id = kh.customer_id
-  WHERE {period_pred(p)} AND {ACTIVE} {extra_where}
-  GROUP BY kh.region_code, concat(kh.street_code, kh.meter_code), kh.name, tt.year)"""
-
-
-def _region_summary(p) -> str:
-    return f"""pivot_data AS (
-  SELECT region, region_ordinal,
-         CAST(SUM(CASE WHEN year = {p.base_year} THEN v ELSE 0 END) AS BIGINT) AS base,
-         CAST(SUM(CASE WHEN year = {p.cmp_year} THEN v ELSE 0 END) AS BIGINT) AS cmp
-  FROM customer_data GROUP BY region, region_ordinal),
-summary AS (
-  SELECT region, region_ordinal, base, cmp, cmp - base AS diff, {growth('base', 'cmp')} AS growth_pct,
-         false AS is_total FROM pivot_data
-  UNION ALL
-  SELECT {q(L.REGION_TOTAL_NAME)}, {L.REGION_TOTAL_ORDINAL}, CAST(SUM(base) AS BIGINT), CAST(SUM(cmp) AS BIGINT),
-         CAST(SUM(cmp) - SUM(base) AS BIGINT), {growth('SUM(base)', 'SUM(cmp)')}, true FROM pivot_data)"""
-
-
-def _top(p, n: int = L.TOP_N) -> str:
-    return f"""pivot_customer AS (
-  SELECT region, region_ordinal, customer_code, customer_name,
-         CAST(SUM(CASE WHEN year = {p.base_year} THEN v ELSE 0 END) AS BIGINT) AS base,
-         CAST(SUM(CASE WHEN year = {p.cmp_year} THEN v ELSE 0 END) AS BIGINT) AS cmp
-  FROM customer_data GROUP BY region, region_ordinal, customer_code, customer_name),
-ranked AS (
-  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY region ORDER BY cmp DESC,
-         customer_code ASC NULLS FIRST, customer_name ASC NULLS FIRST) AS INTEGER) AS rank
-  FROM pivot_customer),
-top AS (
-  SELECT region, region_ordinal, customer_code, customer_name, base, cmp, rank, cmp - base AS diff,
-         {growth('base', 'cmp')} AS growth_pct,
-         concat({q(L.TOP_LABEL_PREFIX)}, rank, {q(L.TOP_LABEL_MIDDLE)}, customer_code,
-                {q(L.TOP_LABEL_SEPARATOR)}, customer_name) AS label
-  FROM ranked WHERE rank <= {n})"""
-
-
-def _sectioned(p) -> str:
-    return f"""{_customer_data(p)},
-{_region_summary(p)},
-{_top(p)},
-sectioned AS (
-  SELECT 1 AS section, CASE WHEN is_total THEN 2 ELSE 1 END AS sort_order, region_ordinal,
-         CAST(NULL AS INTEGER) AS rank, region AS label, base, cmp, diff, growth_pct, is_total FROM summary
-  UNION ALL
-  SELECT 2, 1, region_ordinal, 0,
-         upper(concat({q(L.TOP_HEADER_PREFIX)}, region, {q(L.TOP_HEADER_SUFFIX)})),
-         CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), false
-  FROM customer_data GROUP BY region, region_ordinal
-  UNION ALL
-  SELECT 2, 2, region_ordinal, rank, label, base, cmp, diff, growth_pct, false FROM top)"""
+
+def bills(p, where: str = "", join: str = "LEFT", active: bool = True) -> str:
+    """CTE ``bill``: a row per compared bill with its customer's attributes."""
+    live = "AND COALESCE(b.is_cancelled, 0) = 0" if active else ""
+    return f"""bill AS (
+  SELECT c.*, concat(c.street_code, c.meter_code) AS code, {norm('c.region_code')} AS area,
+         {norm('b.purpose_code')} AS purpose, b.year = {p.cmp_year} AS later, COALESCE(b.volume, 0) AS m3
+  FROM d_consumption b {join} JOIN d_customer c ON c.customer_id = b.customer_id
+  WHERE b.year IN ({p.base_year}, {p.cmp_year}) AND b.month BETWEEN {p.month_from} AND {p.month_to} {live} {where})"""
+
+
+HAS_STREET = "AND EXISTS (SELECT 1 FROM d_street s WHERE s.street_code = c.street_code AND s.street_sub = c.street_sub)"
+
+
+def compared(rows: str, policy: str = "zero", order: str = "sql") -> str:
+    """``rows`` (a query with base and cmp) and its difference and growth."""
+    return f"SELECT *, CAST(cmp - base AS {V}) AS diff, {growth('base', 'cmp', policy, order)} AS growth_pct FROM ({rows})"
 
 
-def _status(prefix: str = "") -> str:
-    return f"""CASE WHEN {prefix}base IS NULL AND {prefix}cmp IS NULL THEN {q(L.STATUS_SECTION)}
-            WHEN {prefix}label LIKE '%{L.TOTAL_MARKER}%' AND {prefix}diff > 0 THEN {q(L.STATUS_TOTAL_UP)}
-            WHEN {prefix}diff > 0 THEN {q(L.STATUS_UP)}
-            WHEN {prefix}diff < 0 THEN {q(L.STATUS_DOWN)}
+def regional(policy: str = "zero") -> str:
+    return compared(
+        f"""SELECT CASE GROUPING(area_name) WHEN 1 THEN {q(L.REGION_TOTAL_NAME)} ELSE area_name END AS region,
+         CASE GROUPING(area_name) WHEN 1 THEN {L.REGION_TOTAL_ORDINAL} ELSE ANY_VALUE(place) END AS region_ordinal,
+         GROUPING(area_name) = 1 AS is_total, {PAIR}
+  FROM (SELECT *, {region_name('area')} AS area_name, {region_ordinal('area')} AS place FROM bill)
+  GROUP BY GROUPING SETS ((area_name), ())""",
+        policy,
+    )
+
+
+def leaders(n: int = L.TOP_N) -> str:
+    label = (
+        f"concat({q(L.TOP_LABEL_PREFIX)}, rank, {q(L.TOP_LABEL_MIDDLE)}, customer_code, "
+        f"{q(L.TOP_LABEL_SEPARATOR)}, customer_name)"
+    )
+    each = f"""SELECT {region_name('area')} AS region, {region_ordinal('area')} AS region_ordinal, code AS customer_code,
+           name AS customer_name, {PAIR} FROM bill GROUP BY ALL"""
+    ranked = f"""SELECT *, CAST(row_number() OVER (PARTITION BY region
+             ORDER BY cmp DESC, customer_code NULLS FIRST, customer_name NULLS FIRST) AS INTEGER) AS rank FROM ({each})"""
+    return f"SELECT *, {label} AS label FROM ({compared(ranked)}) WHERE rank <= {n}"
+
+
+def sectioned() -> str:
+    return f"""{bills(M)},
+regions AS ({regional()}),
+best AS ({leaders()}),
+sheet AS (
+  SELECT 1 AS section, 1 + is_total::INTEGER AS sort_order, region_ordinal, NULL::INTEGER AS rank, region AS label,
+         base, cmp, diff, growth_pct, is_total FROM regions
+  UNION ALL BY NAME
+  SELECT 2 AS section, 1 AS sort_order, region_ordinal, 0 AS rank, false AS is_total,
+         upper(concat({q(L.TOP_HEADER_PREFIX)}, region, {q(L.TOP_HEADER_SUFFIX)})) AS label
+  FROM regions WHERE NOT is_total
+  UNION ALL BY NAME
+  SELECT 2 AS section, 2 AS sort_order, region_ordinal, rank, label, base, cmp, diff, growth_pct, false AS is_total
+  FROM best)"""
+
+
+def _status() -> str:
+    return f"""CASE WHEN base IS NULL AND cmp IS NULL THEN {q(L.STATUS_SECTION)}
+            WHEN contains(label, '{L.TOTAL_MARKER}') AND diff > 0 THEN {q(L.STATUS_TOTAL_UP)}
+            WHEN diff > 0 THEN {q(L.STATUS_UP)} WHEN diff < 0 THEN {q(L.STATUS_DOWN)}
             ELSE {q(L.STATUS_STABLE)} END"""
 
 
 def _hundredths(base: str, diff: str) -> str:
+    """100 * diff / base to two decimals, half away from zero, in integers."""
+    b, d = (f"CAST(({x}) * 100 AS HUGEINT)" for x in (base, diff))
     return (
-        f"CASE WHEN {base} = 0 THEN NULL ELSE CAST(sign({diff}) * sign({base}) * "
-        f"((20000 * abs({diff}) + abs({base})) // (2 * abs({base}))) AS BIGINT) END"
+        f"CASE WHEN ({base}) <> 0 THEN CAST(sign({diff}) * sign({base}) * "
+        f"((20000 * abs({d}) + abs({b})) // (2 * abs({b}))) AS BIGINT) END"
     )
 
 
@@ -221,63 +214,33 @@ def _fixed2(h: str) -> str:
 SQL: dict[str, str] = {}
 
 SQL["region_month_growth"] = with_fixtures(f"""
-agg AS (
-  SELECT {region_name(norm('kh.region_code'))} AS region, tt.year, SUM(COALESCE(tt.volume, 0)) AS v
-  FROM d_consumption tt LEFT JOIN d_customer kh ON tt.customer_id = kh.customer_id
-  WHERE tt.month = {M.month_from} AND tt.year IN ({M.base_year}, {M.cmp_year}) AND {ACTIVE}
-  GROUP BY 1, 2),
-piv AS (
-  SELECT region, CAST(COALESCE(SUM(CASE WHEN year = {M.base_year} THEN v END), 0) AS BIGINT) AS base,
-         CAST(COALESCE(SUM(CASE WHEN year = {M.cmp_year} THEN v END), 0) AS BIGINT) AS cmp
-  FROM agg GROUP BY region)
-SELECT region, base, cmp, cmp - base AS diff, {growth('base', 'cmp', 'inf', 'ratio')} AS growth_pct, false AS is_total
-FROM piv
-UNION ALL
-SELECT {q(L.REGION_TOTAL_NAME)}, CAST(SUM(base) AS BIGINT), CAST(SUM(cmp) AS BIGINT),
-       CAST(SUM(cmp) - SUM(base) AS BIGINT), {growth('SUM(base)', 'SUM(cmp)', 'zero', 'ratio')}, true FROM piv
+{bills(M)}
+SELECT region, base, cmp, diff, is_total,
+       CASE WHEN is_total THEN {growth('base', 'cmp', 'zero', 'ratio')} ELSE {growth('base', 'cmp', 'inf', 'ratio')} END
+         AS growth_pct
+FROM ({regional()})
 """)
 
-SQL["region_month_growth_filtered"] = with_fixtures(f"""
-{_customer_data(M)},
-{_region_summary(M)}
-SELECT * FROM summary
-""")
+SQL["region_month_growth_filtered"] = with_fixtures(f"{bills(M)}\n{regional()}")
+
 
 def _typed_filters() -> str:
     f = C.MONTH_FILTERS
-    regions = ", ".join(q(t.upper()) for t in C.lists_parse(f.regions))
+    wanted = ", ".join(q(t.upper()) for t in C.lists_parse(f.regions))
     return (
-        f"AND {norm('kh.region_code')} IN ({regions}) "
-        f"AND {norm('kh.class_code')} = {q(f.class_code.strip().upper())} "
-        f"AND {norm('tt.purpose_code')} = {q(f.purpose_code.strip().upper())}"
+        f"AND {norm('c.region_code')} IN ({wanted}) AND {norm('c.class_code')} = {q(f.class_code.strip().upper())} "
+        f"AND {norm('b.purpose_code')} = {q(f.purpose_code.strip().upper())}"
     )
 
 
-SQL["region_month_filters"] = with_fixtures(f"""
-{_customer_data(M, _typed_filters())},
-{_region_summary(M)}
-SELECT * FROM summary
-""")
-
-SQL["region_top_customers"] = with_fixtures(f"""
-{_customer_data(M)},
-{_top(M)}
-SELECT * FROM top
-""")
-
-SQL["region_sectioned_report"] = with_fixtures(f"""
-{_sectioned(M)}
-SELECT * FROM sectioned
-""")
-
-SQL["growth_status_label"] = with_fixtures(f"""
-{_sectioned(M)}
-SELECT *, {_status()} AS status FROM sectioned
-""")
+SQL["region_month_filters"] = with_fixtures(f"{bills(M, _typed_filters())}\n{regional()}")
+SQL["region_top_customers"] = with_fixtures(f"{bills(M)}\n{leaders()}")
+SQL["region_sectioned_report"] = with_fixtures(f"{sectioned()}\nSELECT * FROM sheet")
+SQL["growth_status_label"] = with_fixtures(f"{sectioned()}\nSELECT *, {_status()} AS status FROM sheet")
 
 SQL["report_formatting"] = with_fixtures(f"""
-{_sectioned(M)},
-h AS (SELECT *, {_hundredths('base', 'diff')} AS h FROM sectioned)
+{sectioned()},
+h AS (SELECT *, {_hundredths('base', 'diff')} AS h FROM sheet)
 SELECT section, sort_order, region_ordinal, rank, label,
   CASE WHEN base IS NULL THEN '' ELSE {grouped_vi('base')} END AS base_text,
   CASE WHEN cmp IS NULL THEN '' ELSE {grouped_vi('cmp')} END AS cmp_text,
@@ -291,67 +254,34 @@ SELECT section, sort_order, region_ordinal, rank, label,
 FROM h
 """)
 
-
-def _yearly_region(p, y: int, name: str, street: bool) -> str:
-    join_street = (
-        "JOIN d_street dp ON dp.street_code = kh.street_code AND dp.street_sub = kh.street_sub" if street else ""
-    )
-    return f"""{name} AS (
-  SELECT {norm('kh.region_code')} AS makv, SUM(COALESCE(tt.volume, 0)) AS v
-  FROM d_customer kh
-  JOIN d_consumption tt ON tt.customer_id = kh.customer_id AND tt.year = {y}
-       AND tt.month BETWEEN {p.month_from} AND {p.month_to} AND {ACTIVE}
-  {join_street}
-  GROUP BY 1)"""
-
+# an unknown (NULL) area never matches across a join of the years: one row for each year it has
+_BY_AREA = "FROM bill GROUP BY area, CASE WHEN area IS NULL THEN later END"
 
 SQL["region_ytd_growth"] = with_fixtures(f"""
-{_yearly_region(Y, Y.cmp_year, 'p_cmp', True)},
-{_yearly_region(Y, Y.base_year, 'p_base', True)},
-d AS (
-  SELECT COALESCE(c.makv, b.makv) AS makv, CAST(COALESCE(b.v, 0) AS BIGINT) AS base,
-         CAST(COALESCE(c.v, 0) AS BIGINT) AS cmp
-  FROM p_cmp c FULL JOIN p_base b ON c.makv = b.makv)
-SELECT makv AS region_code, {region_upper('makv')} AS region_label, {region_ordinal('makv')} AS region_ordinal,
-       base, cmp, cmp - base AS diff, {growth('base', 'cmp', 'null')} AS growth_pct, false AS is_total
-FROM d
-UNION ALL
-SELECT {q(L.YTD_TOTAL_CODE)}, {q(L.YTD_TOTAL_LABEL)}, 6, CAST(SUM(base) AS BIGINT), CAST(SUM(cmp) AS BIGINT),
-       CAST(SUM(cmp) - SUM(base) AS BIGINT), {growth('SUM(base)', 'SUM(cmp)', 'null')}, true FROM d
+{bills(Y, HAS_STREET, 'INNER')},
+areas AS (SELECT area AS region_code, {region_upper('area')} AS region_label, {region_ordinal('area')} AS region_ordinal,
+                 false AS is_total, {PAIR} {_BY_AREA}),
+whole AS (SELECT {q(L.YTD_TOTAL_CODE)} AS region_code, {q(L.YTD_TOTAL_LABEL)} AS region_label, 6 AS region_ordinal,
+                 true AS is_total, {PAIR} FROM bill)
+{compared('FROM areas UNION ALL BY NAME FROM whole', 'null')}
 """)
 
 SQL["full_join_years"] = with_fixtures(f"""
-{_yearly_region(Y, Y.cmp_year, 'p_cmp', False)},
-{_yearly_region(Y, Y.base_year, 'p_base', False)}
-SELECT COALESCE(c.makv, b.makv) AS region_code, CAST(COALESCE(b.v, 0) AS BIGINT) AS base,
-       CAST(COALESCE(c.v, 0) AS BIGINT) AS cmp, CAST(COALESCE(c.v, 0) - COALESCE(b.v, 0) AS BIGINT) AS diff
-FROM p_cmp c FULL JOIN p_base b ON c.makv = b.makv
+{bills(Y, join='INNER')}
+SELECT *, CAST(cmp - base AS {V}) AS diff FROM (SELECT area AS region_code, {PAIR} {_BY_AREA})
 """)
 
 
 def _purpose(p) -> str:
-    def data(y: int, name: str) -> str:
-        return f"""{name} AS (
-  SELECT {norm('tt.purpose_code')} AS code, SUM(COALESCE(tt.volume, 0)) AS v
-  FROM d_customer kh
-  JOIN d_consumption tt ON tt.customer_id = kh.customer_id AND tt.year = {y}
-       AND tt.month BETWEEN {p.month_from} AND {p.month_to} AND {ACTIVE}
-  WHERE {norm('kh.region_code')} = {q(C.REGION)}
-    AND {norm('tt.purpose_code')} IN ({', '.join(q(c) for c, _, _ in L.PURPOSES)})
-  GROUP BY 1)"""
-
+    known = ", ".join(q(c) for c, _, _ in L.PURPOSES)
     return with_fixtures(f"""
-{data(p.base_year, 'd_base')},
-{data(p.cmp_year, 'd_cmp')},
-report AS (
-  SELECT {purpose_ordinal('b.code')} AS ordinal, b.code AS purpose_code, {purpose_name('b.code')} AS purpose_name,
-         CAST(COALESCE(b.v, 0) AS BIGINT) AS base, CAST(COALESCE(c.v, 0) AS BIGINT) AS cmp
-  FROM d_base b LEFT JOIN d_cmp c ON b.code = c.code)
-SELECT ordinal, purpose_code, purpose_name, base, cmp, cmp - base AS diff, {growth('base', 'cmp')} AS growth_pct,
-       false AS is_total FROM report
-UNION ALL
-SELECT {L.PURPOSE_TOTAL_ORDINAL}, '', {q(L.PURPOSE_TOTAL_NAME)}, CAST(SUM(base) AS BIGINT), CAST(SUM(cmp) AS BIGINT),
-       CAST(SUM(cmp) - SUM(base) AS BIGINT), {growth('SUM(base)', 'SUM(cmp)')}, true FROM report
+{bills(p, f"AND {norm('c.region_code')} = {q(C.REGION)} AND {norm('b.purpose_code')} IN ({known})", 'INNER')},
+in_base AS (SELECT * FROM bill WHERE purpose IN (SELECT purpose FROM bill WHERE NOT later)),
+lines AS (
+  SELECT COALESCE(purpose, '') AS purpose_code, GROUPING(purpose) = 1 AS is_total, {PAIR}
+  FROM in_base GROUP BY ROLLUP (purpose))
+{compared(f'''SELECT *, CASE WHEN is_total THEN {L.PURPOSE_TOTAL_ORDINAL} ELSE {purpose_ordinal('purpose_code')} END AS ordinal,
+  CASE WHEN is_total THEN {q(L.PURPOSE_TOTAL_NAME)} ELSE {purpose_name('purpose_code')} END AS purpose_name FROM lines''')}
 """)
 
 
@@ -360,50 +290,31 @@ SQL["purpose_ytd_growth"] = _purpose(Y)
 
 
 def _class_growth() -> str:
-    p = C.CLASS_PERIOD
-    excluded = ", ".join(q(t) for t in C.lists_parse(C.CLASS_EXCLUDED))
-
-    def base(y: int, name: str) -> str:
-        return f"""{name} AS (
-  SELECT concat(kh.street_code, kh.meter_code) AS makh, MAX(kh.class_code) AS cls, SUM(COALESCE(tt.volume, 0)) AS v
-  FROM d_customer kh
-  JOIN d_consumption tt ON tt.customer_id = kh.customer_id AND tt.year = {y}
-       AND tt.month BETWEEN {p.month_from} AND {p.month_to}
-  JOIN d_street dp ON dp.street_code = kh.street_code AND dp.street_sub = kh.street_sub
-  WHERE {norm('kh.region_code')} = {q(C.REGION)}
-    AND trim(concat(kh.street_code, kh.meter_code)) NOT IN ({excluded})
-  GROUP BY 1)"""
-
+    banned = ", ".join(q(t.upper()) for t in C.lists_parse(C.CLASS_EXCLUDED))
+    where = (
+        f"{HAS_STREET} AND {norm('c.region_code')} = {q(C.REGION)} "
+        f"AND {norm('concat(c.street_code, c.meter_code)')} NOT IN ({banned})"
+    )
+    cls = norm("class_code")
     return with_fixtures(f"""
-{base(p.cmp_year, 'p_cmp')},
-{base(p.base_year, 'p_base')},
-data_final AS (
-  SELECT COALESCE(c.cls, b.cls, {q(L.CLASS_UNCLASSIFIED)}) AS class_code,
-         COALESCE(b.v, 0) AS base, COALESCE(c.v, 0) AS cmp
-  FROM p_cmp c FULL JOIN p_base b ON c.makh = b.makh),
-by_class AS (
-  SELECT class_code, {class_name('class_code')} AS class_name, CAST(SUM(base) AS BIGINT) AS base,
-         CAST(SUM(cmp) AS BIGINT) AS cmp
-  FROM data_final GROUP BY class_code)
-SELECT class_code, class_name, base, cmp, cmp - base AS diff, {growth('base', 'cmp', 'null')} AS growth_pct,
-       false AS is_total FROM by_class
-UNION ALL
-SELECT CAST(NULL AS VARCHAR), {q(L.CLASS_TOTAL_NAME)}, CAST(SUM(base) AS BIGINT), CAST(SUM(cmp) AS BIGINT),
-       CAST(SUM(cmp) - SUM(base) AS BIGINT), {growth('SUM(base)', 'SUM(cmp)', 'null')}, true FROM data_final
+{bills(C.CLASS_PERIOD, where, 'INNER', active=False)},
+labelled AS (
+  SELECT *, COALESCE(MAX({cls}) FILTER (WHERE later) OVER (PARTITION BY code),
+                     MAX({cls}) FILTER (WHERE NOT later) OVER (PARTITION BY code), {q(L.CLASS_UNCLASSIFIED)}) AS kind
+  FROM bill)
+{compared(f'''SELECT kind AS class_code, GROUPING(kind) = 1 AS is_total, {PAIR},
+  CASE GROUPING(kind) WHEN 1 THEN {q(L.CLASS_TOTAL_NAME)} ELSE {class_name('kind')} END AS class_name
+  FROM labelled GROUP BY ROLLUP (kind)''', 'null')}
 """)
 
 
 SQL["class_period_growth"] = _class_growth()
 
 SQL["kpi_status"] = with_fixtures(f"""
-t AS (
-  SELECT CAST(COALESCE(SUM(CASE WHEN tt.year = {M.base_year} THEN COALESCE(tt.volume, 0) END), 0) AS BIGINT) AS base,
-         CAST(COALESCE(SUM(CASE WHEN tt.year = {M.cmp_year} THEN COALESCE(tt.volume, 0) END), 0) AS BIGINT) AS cmp
-  FROM d_consumption tt LEFT JOIN d_customer kh ON tt.customer_id = kh.customer_id
-  WHERE tt.month = {M.month_from} AND tt.year IN ({M.base_year}, {M.cmp_year}) AND {ACTIVE})
-SELECT base, cmp, cmp - base AS diff, {growth('base', 'cmp', 'zero', 'ratio')} AS growth_pct,
-       CASE WHEN cmp - base > 0 THEN 'up' WHEN cmp - base < 0 THEN 'down' ELSE 'stable' END AS status
-FROM t
+bill AS (SELECT COALESCE(volume, 0) AS m3, year = {M.cmp_year} AS later FROM d_consumption
+         WHERE month = {M.month_from} AND year IN ({M.base_year}, {M.cmp_year}) AND COALESCE(is_cancelled, 0) = 0)
+SELECT *, CASE sign(diff) WHEN 1 THEN 'up' WHEN -1 THEN 'down' ELSE 'stable' END AS status
+FROM ({compared(f'SELECT {PAIR} FROM bill', 'zero', 'ratio')})
 """)
 
 SQL["region_decode"] = with_fixtures(f"""
@@ -414,25 +325,16 @@ FROM d_customer
 """)
 
 SQL["growth_policies"] = with_fixtures(f"""
-pc AS (
-  SELECT tt.customer_id,
-         CAST(SUM(CASE WHEN tt.year = {M.base_year} THEN COALESCE(tt.volume, 0) ELSE 0 END) AS BIGINT) AS base,
-         CAST(SUM(CASE WHEN tt.year = {M.cmp_year} THEN COALESCE(tt.volume, 0) ELSE 0 END) AS BIGINT) AS cmp
-  FROM d_consumption tt WHERE {period_pred(M)} AND {ACTIVE} GROUP BY tt.customer_id)
-SELECT customer_id, base, cmp, cmp - base AS diff, {growth('base', 'cmp', 'zero')} AS growth_zero,
+bill AS (SELECT customer_id, COALESCE(volume, 0) AS m3, year = {M.cmp_year} AS later FROM d_consumption
+         WHERE month = {M.month_from} AND year IN ({M.base_year}, {M.cmp_year}) AND COALESCE(is_cancelled, 0) = 0)
+SELECT customer_id, base, cmp, CAST(cmp - base AS {V}) AS diff, {growth('base', 'cmp', 'zero')} AS growth_zero,
        {growth('base', 'cmp', 'null')} AS growth_null, {growth('base', 'cmp', 'inf', 'ratio')} AS growth_inf
-FROM pc
+FROM (SELECT customer_id, {PAIR} FROM bill GROUP BY customer_id)
 """)
 
 SQL["region_growth_rollup"] = with_fixtures(f"""
-r AS (
-  SELECT {norm('kh.region_code')} AS region_code, GROUPING({norm('kh.region_code')}) = 1 AS is_total,
-         CAST(SUM(CASE WHEN tt.year = {M.base_year} THEN COALESCE(tt.volume, 0) ELSE 0 END) AS BIGINT) AS base,
-         CAST(SUM(CASE WHEN tt.year = {M.cmp_year} THEN COALESCE(tt.volume, 0) ELSE 0 END) AS BIGINT) AS cmp
-  FROM d_consumption tt LEFT JOIN d_customer kh ON tt.customer_id = kh.customer_id
-  WHERE {period_pred(M)} AND {ACTIVE}
-  GROUP BY ROLLUP ({norm('kh.region_code')}))
-SELECT region_code, base, cmp, is_total, cmp - base AS diff, {growth('base', 'cmp')} AS growth_pct FROM r
+{bills(M)}
+{compared(f'SELECT area AS region_code, GROUPING(area) = 1 AS is_total, {PAIR} FROM bill GROUP BY ROLLUP (area)')}
 """)
 
 _LIST_TEXT = (
@@ -448,89 +350,65 @@ SELECT DISTINCT trim(t) AS token FROM parts WHERE trim(t) <> ''
 
 
 def _listed(op: str, class_code: str) -> str:
-    return f"AND concat(kh.street_code, kh.meter_code) {op} (SELECT concat(street_code, meter_code) FROM d_customer " \
+    return f"AND concat(c.street_code, c.meter_code) {op} (SELECT concat(street_code, meter_code) FROM d_customer " \
            f"WHERE class_code = {q(class_code)})"
 
 
-SQL["customer_include_list"] = with_fixtures(f"""
-{_customer_data(M, _listed('IN', C.INCLUDE_CLASS))},
-{_region_summary(M)}
-SELECT * FROM summary
-""")
-
-SQL["customer_exclude_list"] = with_fixtures(f"""
-{_customer_data(M, _listed('NOT IN', C.EXCLUDE_CLASS))},
-{_region_summary(M)}
-SELECT * FROM summary
-""")
+SQL["customer_include_list"] = with_fixtures(f"{bills(M, _listed('IN', C.INCLUDE_CLASS))}\n{regional()}")
+SQL["customer_exclude_list"] = with_fixtures(f"{bills(M, _listed('NOT IN', C.EXCLUDE_CLASS))}\n{regional()}")
 
 # -- arrears ---------------------------------------------------------------------
 
-_CASHIER_LIST = ", ".join(q(c) for c, _, _ in L.CASHIERS)
-_CASHIER_DIM = (
-    "dim AS (SELECT * FROM (VALUES "
+_AMOUNT = "COALESCE(b.amount, 0) + CASE WHEN b.bill_mode = 0 THEN COALESCE(b.amount_1, 0) ELSE 0 END"
+_LINES = (
+    "(VALUES "
     + ", ".join(f"({q(c)}, {q(n)}, {o}, false)" for c, n, o in L.CASHIERS)
     + f", ({q(L.CASHIER_TOTAL[0])}, {q(L.CASHIER_TOTAL[1])}, {L.CASHIER_TOTAL[2]}, true)"
-    + ") AS t(cashier, cashier_name, sort_order, is_total))"
-)
-_POSITIVE = (
-    "(CASE WHEN tt.bill_mode = 0 THEN COALESCE(tt.amount_1, 0) + COALESCE(tt.amount, 0) "
-    "ELSE COALESCE(tt.amount, 0) END) > 0"
+    + ") AS line(cashier, cashier_name, sort_order, is_total)"
 )
 
 
-def _regions_in(param: str) -> str:
-    return ", ".join(q(t.upper()) for t in C.lists_parse(param))
+def _open_at(day) -> str:
+    """Posted by that day, and not paid by then."""
+    d = f"DATE '{day.isoformat()}'"
+    return f"(b.posted_at <= {d} AND NOT (COALESCE(b.is_paid, 0) = 1 AND COALESCE(b.paid_at <= {d}, true)))"
 
 
-def _unpaid(d) -> str:
-    ds = d.isoformat()
-    return (
-        f"CAST(posted_at AS DATE) <= DATE '{ds}' "
-        f"AND (CAST(paid_at AS DATE) > DATE '{ds}' OR COALESCE(is_paid, 0) <> 1)"
-    )
+def _ledger(which: str, regions: str) -> str:
+    """CTE ``owed``: open bills of listed cashiers with a known customer;
+    ``which``: a CASE that gives the period's tag, NULL when not open."""
+    listed = ", ".join(q(c) for c, _, _ in L.CASHIERS)
+    areas = ", ".join(q(t.upper()) for t in C.lists_parse(regions))
+    return f"""owed AS (
+  SELECT {norm("COALESCE(b.cashier, '')")} AS who, {norm("COALESCE(b.pay_channel, '')")} = 'AB' AS bank, {which} AS tag
+  FROM d_consumption b
+  WHERE {_AMOUNT} > 0 AND {norm("COALESCE(b.cashier, '')")} IN ({listed})
+    AND b.customer_id IN (SELECT customer_id FROM d_customer WHERE {norm('region_code')} IN ({areas})))"""
 
 
-def _arrears_snapshot() -> str:
-    p = C.ARREARS
-    y1, m1 = p.previous_period
-    is_ab = "upper(COALESCE(pay_channel, '')) = 'AB'"
-    not_ab = "COALESCE(upper(pay_channel), '') <> 'AB'"
-    inl = f"cashier_n IN ({_CASHIER_LIST})"
+def _counts(columns: dict[str, str]) -> str:
+    """A line per cashier and the total, which every open bill joins."""
+    sums = ", ".join(f"COUNT(o.who) FILTER (WHERE {cond}) AS {name}" for name, cond in columns.items())
+    return f"""SELECT cashier, cashier_name, sort_order, is_total, {sums}
+FROM {_LINES} LEFT JOIN owed o ON o.tag IS NOT NULL AND (is_total OR o.who = cashier)
+GROUP BY cashier, cashier_name, sort_order, is_total"""
 
-    def s(cond: str) -> str:
-        return f"SUM(CASE WHEN {cond} THEN 1 ELSE 0 END)"
 
+def _arrears_snapshot() -> str:
+    p = C.ARREARS
+    y, m = p.previous_period
+    which = f"""CASE WHEN b.year = {p.year} AND b.month = {p.month} AND {_open_at(p.cutoff)} THEN 'now'
+                     WHEN b.year = {y} AND b.month = {m} AND {_open_at(p.previous_cutoff)} THEN 'before' END"""
+    columns = {}
+    for name, tag in (("cur", "now"), ("prev", "before")):
+        columns |= {
+            f"{name}_transfer": f"tag = '{tag}' AND bank",
+            f"{name}_cash": f"tag = '{tag}' AND NOT bank",
+            f"{name}_total": f"tag = '{tag}'",
+        }
     return with_fixtures(f"""
-{_CASHIER_DIM},
-base_tt AS (
-  SELECT tt.*, upper(trim(COALESCE(tt.cashier, ''))) AS cashier_n
-  FROM d_consumption tt INNER JOIN d_customer kh ON kh.customer_id = tt.customer_id
-  WHERE ((tt.year = {y1} AND tt.month = {m1}) OR (tt.year = {p.year} AND tt.month = {p.month}))
-    AND {norm('kh.region_code')} IN ({_regions_in(p.regions)})
-    AND {_POSITIVE}),
-data_loc AS (
-  SELECT *, 2 AS ky FROM base_tt WHERE year = {p.year} AND month = {p.month} AND {_unpaid(p.cutoff)}
-  UNION ALL
-  SELECT *, 1 AS ky FROM base_tt WHERE year = {y1} AND month = {m1} AND {_unpaid(p.previous_cutoff)}),
-calc AS (
-  SELECT cashier_n AS cashier,
-         {s(f'ky = 2 AND {is_ab}')} AS cur_transfer, {s(f'ky = 2 AND {not_ab}')} AS cur_cash,
-         {s('ky = 2')} AS cur_total, {s(f'ky = 1 AND {is_ab}')} AS prev_transfer,
-         {s(f'ky = 1 AND {not_ab}')} AS prev_cash, {s('ky = 1')} AS prev_total
-  FROM data_loc WHERE {inl} GROUP BY cashier_n
-  UNION ALL
-  SELECT {q(L.CASHIER_TOTAL[0])},
-         {s(f'ky = 2 AND {is_ab} AND {inl}')}, {s(f'ky = 2 AND {not_ab} AND {inl}')}, {s(f'ky = 2 AND {inl}')},
-         {s(f'ky = 1 AND {is_ab} AND {inl}')}, {s(f'ky = 1 AND {not_ab} AND {inl}')}, {s(f'ky = 1 AND {inl}')}
-  FROM data_loc)
-SELECT d.cashier, d.cashier_name, d.sort_order, d.is_total,
-       CAST(COALESCE(c.cur_transfer, 0) AS BIGINT) AS cur_transfer, CAST(COALESCE(c.cur_cash, 0) AS BIGINT) AS cur_cash,
-       CAST(COALESCE(c.cur_total, 0) AS BIGINT) AS cur_total,
-       CAST(COALESCE(c.prev_transfer, 0) AS BIGINT) AS prev_transfer,
-       CAST(COALESCE(c.prev_cash, 0) AS BIGINT) AS prev_cash, CAST(COALESCE(c.prev_total, 0) AS BIGINT) AS prev_total,
-       CAST(COALESCE(c.cur_total, 0) - COALESCE(c.prev_total, 0) AS BIGINT) AS diff
-FROM dim d LEFT JOIN calc c ON c.cashier = d.cashier
+{_ledger(which, p.regions)}
+SELECT *, cur_total - prev_total AS diff FROM ({_counts(columns)})
 """)
 
 
@@ -539,105 +417,73 @@ SQL["arrears_snapshot"] = _arrears_snapshot()
 
 def _arrears_cumulative() -> str:
     p = C.CUMULATIVE
-    inl = f"cashier_n IN ({_CASHIER_LIST})"
+    low, high = p.from_year * 100 + p.from_month, p.to_year * 100 + p.to_month
+    which = f"""CASE WHEN b.month BETWEEN 1 AND 12 AND b.year * 100 + b.month BETWEEN {low} AND {high}
+                      AND {_open_at(p.cutoff)} THEN 'open' END"""
     return with_fixtures(f"""
-{_CASHIER_DIM},
-base_tt AS (
-  SELECT tt.pay_channel, upper(trim(COALESCE(tt.cashier, ''))) AS cashier_n
-  FROM d_consumption tt INNER JOIN d_customer kh ON kh.customer_id = tt.customer_id
-  WHERE make_date(tt.year, tt.month, 1) >= make_date({p.from_year}, {p.from_month}, 1)
-    AND make_date(tt.year, tt.month, 1) <= last_day(make_date({p.to_year}, {p.to_month}, 1))
-    AND {norm('kh.region_code')} IN ({_regions_in(p.regions)})
-    AND {_unpaid(p.cutoff).replace('posted_at', 'tt.posted_at').replace('paid_at', 'tt.paid_at')
-         .replace('is_paid', 'tt.is_paid')}
-    AND {_POSITIVE}),
-calc AS (
-  SELECT cashier_n AS cashier,
-         SUM(CASE WHEN upper(COALESCE(pay_channel, '')) = 'AB' THEN 1 ELSE 0 END) AS open_transfer,
-         SUM(CASE WHEN COALESCE(upper(pay_channel), '') <> 'AB' THEN 1 ELSE 0 END) AS open_cash,
-         COUNT(1) AS open_total
-  FROM base_tt WHERE {inl} GROUP BY cashier_n
-  UNION ALL
-  SELECT {q(L.CASHIER_TOTAL[0])},
-         SUM(CASE WHEN upper(COALESCE(pay_channel, '')) = 'AB' AND {inl} THEN 1 ELSE 0 END),
-         SUM(CASE WHEN COALESCE(upper(pay_channel), '') <> 'AB' AND {inl} THEN 1 ELSE 0 END),
-         SUM(CASE WHEN {inl} THEN 1 ELSE 0 END)
-  FROM base_tt)
-SELECT d.cashier, d.cashier_name, d.sort_order, d.is_total,
-       CAST(COALESCE(c.open_transfer, 0) AS BIGINT) AS open_transfer,
-       CAST(COALESCE(c.open_cash, 0) AS BIGINT) AS open_cash, CAST(COALESCE(c.open_total, 0) AS BIGINT) AS open_total
-FROM dim d LEFT JOIN calc c ON c.cashier = d.cashier
+{_ledger(which, p.regions)}
+{_counts({'open_transfer': 'bank', 'open_cash': 'NOT bank', 'open_total': 'true'})}
 """)
 
 
 SQL["arrears_cumulative"] = _arrears_cumulative()
 
+SQL["arrears_rejected_months"] = with_fixtures("""
+SELECT bill_id, customer_id, year, month FROM d_consumption
+WHERE year IS NULL OR month IS NULL OR month < 1 OR month > 12
+""")
+
 SQL["positive_invoices"] = with_fixtures(f"""
-SELECT tt.bill_id, tt.bill_mode,
-       CAST(CASE WHEN tt.bill_mode = 0 THEN COALESCE(tt.amount_1, 0) + COALESCE(tt.amount, 0)
-                 ELSE COALESCE(tt.amount, 0) END AS DECIMAL(19, 2)) AS invoice_amount
-FROM d_consumption tt WHERE {_POSITIVE}
+SELECT b.bill_id, b.bill_mode, CAST({_AMOUNT} AS DECIMAL(19, 2)) AS invoice_amount
+FROM d_consumption b WHERE {_AMOUNT} > 0
 """)
 
 # -- readings --------------------------------------------------------------------
 
-_DEDUP = """k AS (
-  SELECT concat(street_code, meter_code) AS code, class_code,
-         ROW_NUMBER() OVER (PARTITION BY concat(street_code, meter_code) ORDER BY class_code ASC NULLS LAST) AS rn
-  FROM d_customer)"""
+_CLASS_OF = f"""class_of AS (
+  SELECT concat(street_code, meter_code) AS customer_code, MIN({norm('class_code')}) AS class_code
+  FROM d_customer GROUP BY 1)"""
 
 
-def _reading_rows() -> str:
+def _deltas() -> str:
     p = C.READING
-    return f"""ghi AS (
-  SELECT customer_code, name, read_at, COALESCE(volume, 0) AS vol,
-         ROW_NUMBER() OVER (PARTITION BY customer_code ORDER BY read_at DESC, volume DESC NULLS LAST,
-                            name ASC NULLS FIRST) AS rn
-  FROM d_large_reading WHERE {norm('region_code')} = {q(p.region)} AND year(read_at) = {p.year}),
-sosanh AS (
-  SELECT a.customer_code, a.name, b.read_at AS prev_read_at, a.read_at AS last_read_at,
-         COALESCE(b.vol, 0) AS prev_volume, a.vol AS last_volume
-  FROM ghi a LEFT JOIN ghi b ON a.customer_code = b.customer_code AND b.rn = 2 WHERE a.rn = 1),
-{_DEDUP},
-rows AS (
-  SELECT COALESCE(k.class_code, {q(L.DEFAULT_READING_CLASS)}) AS class_code, s.customer_code, s.name,
-         s.prev_read_at, s.last_read_at, CAST(s.prev_volume AS BIGINT) AS prev_volume,
-         CAST(s.last_volume AS BIGINT) AS last_volume, CAST(s.last_volume - s.prev_volume AS BIGINT) AS delta,
-         {growth('s.prev_volume', 's.last_volume')} AS growth_pct
-  FROM sosanh s LEFT JOIN k ON s.customer_code = k.code AND k.rn = 1)"""
-
-
-SQL["customer_dedup"] = with_fixtures(f"""
-{_DEDUP}
-SELECT code AS customer_code, class_code FROM k WHERE rn = 1
+    return f"""{_CLASS_OF},
+seen AS (
+  SELECT customer_code, list({{'at': read_at, 'm3': COALESCE(volume, 0), 'who': name}}
+           ORDER BY read_at DESC, volume DESC NULLS LAST, name NULLS FIRST)[1:2] AS two
+  FROM d_large_reading
+  WHERE {norm('region_code')} = {q(p.region)} AND read_at >= '{p.year}-01-01' AND read_at < '{p.year + 1}-01-01'
+  GROUP BY customer_code),
+delta AS (
+  SELECT *, CAST(last_volume - prev_volume AS {V}) AS delta, {growth('prev_volume', 'last_volume')} AS growth_pct
+  FROM (SELECT COALESCE(class_code, {q(L.DEFAULT_READING_CLASS)}) AS class_code, customer_code, two[1].who AS name,
+               two[2].at AS prev_read_at, two[1].at AS last_read_at,
+               CAST(COALESCE(two[2].m3, 0) AS {V}) AS prev_volume, CAST(two[1].m3 AS {V}) AS last_volume
+        FROM seen LEFT JOIN class_of USING (customer_code)))"""
+
+
+SQL["customer_dedup"] = with_fixtures(f"{_CLASS_OF}\nSELECT * FROM class_of")
+SQL["reading_delta"] = with_fixtures(f"{_deltas()}\nSELECT * FROM delta")
+
+
+def _class_summary() -> str:
+    lines = ", ".join(f"({o}, {q(pn)}, {q(g)}, {q(c)})" for o, pn, g, c in L.CLASS_CATALOGUE)
+    own = ", ".join(
+        f"CAST(COALESCE((SELECT SUM(d.{m}) FROM delta d WHERE d.class_code = k.class_code), 0) AS {V}) AS {m}"
+        for m in ("prev_volume", "last_volume", "delta")
+    )
+    whole = ", ".join(f"(SELECT CAST(SUM({m}) AS {V}) FROM delta) AS {m}" for m in ("prev_volume", "last_volume", "delta"))
+    return with_fixtures(f"""
+{_deltas()},
+sheet AS (
+  SELECT *, {own}, false AS is_total FROM (VALUES {lines}) AS k(sort_order, purpose_name, group_name, class_code)
+  UNION ALL BY NAME
+  SELECT {L.CATALOGUE_TOTAL_ORDINAL} AS sort_order, {q(L.CATALOGUE_TOTAL_LABEL)} AS purpose_name, {whole}, true AS is_total)
+SELECT *, {growth('prev_volume', 'last_volume')} AS growth_pct FROM sheet
 """)
 
-SQL["reading_delta"] = with_fixtures(f"""
-{_reading_rows()}
-SELECT * FROM rows
-""")
 
-_CATALOGUE = (
-    "dm AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({o}, {q(pn)}, {q(g)}, {q(c)})" for o, pn, g, c in L.CLASS_CATALOGUE)
-    + ") AS t(sort_order, purpose_name, group_name, class_code))"
-)
-
-SQL["reading_class_summary"] = with_fixtures(f"""
-{_reading_rows()},
-{_CATALOGUE},
-da AS (SELECT class_code, SUM(prev_volume) AS p, SUM(last_volume) AS l, SUM(delta) AS d FROM rows GROUP BY class_code),
-res AS (
-  SELECT dm.sort_order, dm.purpose_name, dm.group_name, dm.class_code,
-         CAST(COALESCE(da.p, 0) AS BIGINT) AS prev_volume, CAST(COALESCE(da.l, 0) AS BIGINT) AS last_volume,
-         CAST(COALESCE(da.d, 0) AS BIGINT) AS delta, false AS is_total
-  FROM dm LEFT JOIN da ON dm.class_code = da.class_code
-  UNION ALL
-  SELECT {L.CATALOGUE_TOTAL_ORDINAL}, {q(L.CATALOGUE_TOTAL_LABEL)}, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
-         CAST(SUM(prev_volume) AS BIGINT), CAST(SUM(last_volume) AS BIGINT), CAST(SUM(delta) AS BIGINT), true
-  FROM rows)
-SELECT *, {growth('prev_volume', 'last_volume')} AS growth_pct FROM res
-""")
+SQL["reading_class_summary"] = _class_summary()
 
 # -- trip log --------------------------------------------------------------------
 

@@ -27,61 +27,48 @@ def _cashier() -> F.Column:
 
 
 def _is_transfer() -> F.Column:
-    return F.upper(F.coalesce(F.col("pay_channel"), F.lit(""))) == F.lit(L.TRANSFER_CHANNEL)
+    return norm(F.coalesce(F.col("pay_channel"), F.lit(""))) == F.lit(L.TRANSFER_CHANNEL)
 
 
-def _counted(bills: DataFrame, tables: Tables, regions) -> DataFrame:
-    """Bills of the listed cashiers whose customer exists (and is in the
-    region list). Each bill is about one row per customer and period, so a
-    pre-aggregation would not shrink anything; the semi join runs on the
-    bills directly (split by AQE if one customer is hot)."""
+def _counted(bills: DataFrame, tables: Tables, regions, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Open bills of the listed cashiers, counted per customer, cashier,
+    channel (and ``tags``) before customers are joined, so the join shuffles
+    counts instead of bills; then only customers that exist (and are in the
+    region list)."""
     listed = bills.withColumn("cashier_code", _cashier()).where(F.col("cashier_code").isin(CASHIER_CODES))
-    customers = in_list(tables.customer.select("customer_id", "region_code"), "region_code", regions, normalise=True)
-    return listed.join(customers.select("customer_id"), "customer_id", "left_semi").withColumn(
-        "is_transfer", _is_transfer()
+    counts = listed.groupBy("customer_id", "cashier_code", _is_transfer().alias("is_transfer"), *tags).agg(
+        F.count(F.lit(1)).alias("n")
     )
+    customers = in_list(tables.customer.select("customer_id", "region_code"), "region_code", regions, normalise=True)
+    return counts.join(customers.select("customer_id"), "customer_id", "left_semi")
 
 
-def _finish(counted: DataFrame, aggs: list[F.Column], spark) -> DataFrame:
-    """Per-cashier counts and their total from one grouping-sets aggregate.
+def _finish(counted: DataFrame, measures: dict[str, F.Column], spark) -> DataFrame:
+    """Per-cashier counts and their total.
 
-    The cashier list joins in as rows, not as a join: one row per listed
-    cashier with NULL measures is added to the input, so every cashier
-    gets a row (its sums NULL, shown as 0) and the total set is never
-    empty. Names and order come from map lookups on the code."""
-    dim_rows = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in CASHIER_CODES])).alias("cashier_code"))
-    marked = counted.select("cashier_code", F.lit(False).alias("__dim"), *_inputs(counted)).unionByName(
-        dim_rows.select("cashier_code", F.lit(True).alias("__dim")), allowMissingColumns=True
+    Counts are summed per cashier first. The cashier list joins in as rows
+    with NULL measures, not as a join, so every cashier gets a row (shown as
+    0) and the total is never empty; a grouping-sets aggregate over those few
+    rows adds the total. Names and order come from map lookups."""
+    sums = [F.sum(F.when(cond, F.col("n"))).alias(name) for name, cond in measures.items()]
+    per = counted.groupBy("cashier_code").agg(*sums)
+    listed = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in CASHIER_CODES])).alias("cashier_code"))
+    agg = per.unionByName(listed, allowMissingColumns=True).groupingSets([["cashier_code"], []], "cashier_code").agg(
+        *[F.sum(m).alias(m) for m in measures], (F.grouping_id() > 0).alias("is_total")
     )
-    agg = marked.groupingSets([["cashier_code"], []], "cashier_code").agg(*aggs, (F.grouping_id() > 0).alias("is_total"))
-    code = F.when(F.col("is_total"), F.lit(L.CASHIER_TOTAL[0])).otherwise(F.col("cashier_code"))
-    name_map = F.create_map(*[F.lit(x) for c, n, _ in L.CASHIERS for x in (c, n)])
-    order_map = F.create_map(*[F.lit(x) for c, _, o in L.CASHIERS for x in (c, o)])
-    measures = [a for a in agg.columns if a not in ("cashier_code", "is_total")]
+    total = F.col("is_total")
+    names = F.create_map(*[F.lit(x) for c, n, _ in L.CASHIERS for x in (c, n)])
+    places = F.create_map(*[F.lit(x) for c, _, o in L.CASHIERS for x in (c, o)])
+    own = lambda m: F.try_element_at(m, F.col("cashier_code"))
     return agg.select(
-        code.alias("cashier"),
-        F.when(F.col("is_total"), F.lit(L.CASHIER_TOTAL[1])).otherwise(F.try_element_at(name_map, F.col("cashier_code"))).alias(
-            "cashier_name"
-        ),
-        F.when(F.col("is_total"), F.lit(L.CASHIER_TOTAL[2]))
-        .otherwise(F.try_element_at(order_map, F.col("cashier_code")))
-        .cast("int")
-        .alias("sort_order"),
+        F.when(total, F.lit(L.CASHIER_TOTAL[0])).otherwise(F.col("cashier_code")).alias("cashier"),
+        F.when(total, F.lit(L.CASHIER_TOTAL[1])).otherwise(own(names)).alias("cashier_name"),
+        F.when(total, F.lit(L.CASHIER_TOTAL[2])).otherwise(own(places)).cast("int").alias("sort_order"),
         "is_total",
         *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in measures],
     )
 
 
-def _inputs(counted: DataFrame) -> list[str]:
-    return [c for c in ("tag", "is_transfer") if c in counted.columns]
-
-
-def _count(cond: F.Column) -> F.Column:
-    """Number of bill rows meeting ``cond`` (NULL, shown as 0, when none;
-    the cashier-list rows never count)."""
-    return F.sum(F.when(~F.col("__dim") & cond, F.lit(1)))
-
-
 def arrears_snapshot(tables: Tables, p: ArrearsParams) -> DataFrame:
     """Open invoices of this billing month at the cut-off and of the previous
     billing month at the cut-off one month earlier, split by channel."""
@@ -95,17 +82,17 @@ def arrears_snapshot(tables: Tables, p: ArrearsParams) -> DataFrame:
         .when(prev & unpaid_as_of(posted, paid, flag, p.previous_cutoff), F.lit(1))
     )
     tagged = bills.withColumn("tag", tag).where(F.col("tag").isNotNull())
-    counted = _counted(tagged, tables, p.regions)
+    counted = _counted(tagged, tables, p.regions, ("tag",))
     t, tr = F.col("tag"), F.col("is_transfer")
-    aggs = [
-        _count((t == 2) & tr).alias("cur_transfer"),
-        _count((t == 2) & ~tr).alias("cur_cash"),
-        _count(t == 2).alias("cur_total"),
-        _count((t == 1) & tr).alias("prev_transfer"),
-        _count((t == 1) & ~tr).alias("prev_cash"),
-        _count(t == 1).alias("prev_total"),
-    ]
-    out = _finish(counted, aggs, tables.spark)
+    measures = {
+        "cur_transfer": (t == 2) & tr,
+        "cur_cash": (t == 2) & ~tr,
+        "cur_total": t == 2,
+        "prev_transfer": (t == 1) & tr,
+        "prev_cash": (t == 1) & ~tr,
+        "prev_total": t == 1,
+    }
+    out = _finish(counted, measures, tables.spark)
     return out.withColumn("diff", F.col("cur_total") - F.col("prev_total"))
 
 
@@ -114,8 +101,8 @@ def arrears_cumulative(tables: Tables, p: CumulativeArrearsParams) -> DataFrame:
 
     The month range is ``year*12+month`` between two keys, the same order as
     comparing first-of-month dates, with no per-row date construction. A
-    bill with an impossible month (where building the date would fail) is
-    left out rather than failing the whole report."""
+    bill with an impossible month is left out here and returned by
+    ``rejected_months``."""
     lo, hi = p.month_keys
     key = month_key(F.col("year"), F.col("month"))
     bills = tables.consumption.where(
@@ -127,12 +114,15 @@ def arrears_cumulative(tables: Tables, p: CumulativeArrearsParams) -> DataFrame:
     )
     counted = _counted(bills, tables, p.regions)
     tr = F.col("is_transfer")
-    aggs = [
-        _count(tr).alias("open_transfer"),
-        _count(~tr).alias("open_cash"),
-        _count(F.lit(True)).alias("open_total"),
-    ]
-    return _finish(counted, aggs, tables.spark)
+    return _finish(counted, {"open_transfer": tr, "open_cash": ~tr, "open_total": F.lit(True)}, tables.spark)
+
+
+def rejected_months(tables: Tables) -> DataFrame:
+    """Bills that no month report can place: year or month missing, or the
+    month not 1 to 12. The cumulative report leaves these out."""
+    c = tables.consumption
+    bad = F.col("year").isNull() | ~F.coalesce(F.col("month").between(1, 12), F.lit(False))
+    return c.where(bad).select("bill_id", "customer_id", "year", "month")
 
 
 def positive_invoices(tables: Tables) -> DataFrame:

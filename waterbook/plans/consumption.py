@@ -27,6 +27,7 @@ from waterbook.functions.growth import growth_pct
 from waterbook.operators.compare import (
     full_join_periods,
     rollup_total,
+    sum_by,
     two_period,
     with_diff_growth,
     with_total,
@@ -34,6 +35,7 @@ from waterbook.operators.compare import (
 from waterbook.operators.filters import active_bill, equals_optional, in_list
 from waterbook.operators.rank import top_n_per_group
 from waterbook.params import Filters, PeriodCompare
+from waterbook.schemas import SUM_TYPE
 from waterbook.sources import literals as L
 from waterbook.sources.tables import Tables
 
@@ -105,8 +107,8 @@ def customer_filters(df: DataFrame, filters: Filters) -> DataFrame:
     unmatched bill behaves as the SQL predicates on NULL columns do."""
     df = in_list(df, "region_code", filters.regions, normalise=True)
     df = equals_optional(df, "class_code", filters.class_code)
-    df = in_list(df, F.trim(F.col("customer_code")), filters.include_customers)
-    df = in_list(df, F.trim(F.col("customer_code")), filters.exclude_customers, negate=True)
+    df = in_list(df, "customer_code", filters.include_customers, normalise=True)
+    df = in_list(df, "customer_code", filters.exclude_customers, negate=True, normalise=True)
     return df
 
 
@@ -115,7 +117,7 @@ def bill_filters(bills: DataFrame, filters: Filters) -> DataFrame:
 
 
 def sum_up(df: DataFrame, keys: list, measures: tuple[str, ...] = ("base", "cmp")) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.sum(m).cast("long").alias(m) for m in measures])
+    return df.groupBy(*keys).agg(*[F.sum(m).cast(SUM_TYPE).alias(m) for m in measures])
 
 
 # -- R1: region month growth (web report) --------------------------------------
@@ -151,8 +153,8 @@ def kpi_status(tables: Tables, period: PeriodCompare) -> DataFrame:
     year = F.col("year")
     v = F.coalesce(F.col("volume"), F.lit(0))
     tot = bills.agg(
-        F.coalesce(F.sum(F.when(year == period.base_year, v)), F.lit(0)).cast("long").alias("base"),
-        F.coalesce(F.sum(F.when(year == period.cmp_year, v)), F.lit(0)).cast("long").alias("cmp"),
+        F.coalesce(F.sum(F.when(year == period.base_year, v)), F.lit(0)).cast(SUM_TYPE).alias("base"),
+        F.coalesce(F.sum(F.when(year == period.cmp_year, v)), F.lit(0)).cast(SUM_TYPE).alias("cmp"),
     )
     tot = with_diff_growth(tot, "zero", order="ratio")
     status = F.when(F.col("diff") > 0, F.lit("up")).when(F.col("diff") < 0, F.lit("down")).otherwise(F.lit("stable"))
@@ -209,7 +211,11 @@ def _top_customers(cust: DataFrame, n: int) -> DataFrame:
     per_code = sum_up(cust, ["region", "region_ordinal", "customer_code", "customer_name"])
     order = [F.col("cmp").desc(), F.col("customer_code").asc_nulls_first(), F.col("customer_name").asc_nulls_first()]
     top = top_n_per_group(per_code, ["region"], order, n)
-    label = concat_nullsafe(
+    return with_diff_growth(top, "zero").withColumn("label", _top_label())
+
+
+def _top_label() -> F.Column:
+    return concat_nullsafe(
         L.TOP_LABEL_PREFIX,
         F.col("rank").cast("string"),
         L.TOP_LABEL_MIDDLE,
@@ -217,7 +223,6 @@ def _top_customers(cust: DataFrame, n: int) -> DataFrame:
         L.TOP_LABEL_SEPARATOR,
         F.col("customer_name"),
     )
-    return with_diff_growth(top, "zero").withColumn("label", label)
 
 
 def region_sectioned_report(
@@ -227,50 +232,58 @@ def region_sectioned_report(
     its top customers. Hidden ordering columns: ``section``, ``sort_order``,
     ``region_ordinal``, ``rank``; measures are NULL on header rows.
 
-    Summary and header rows come from one region aggregate (each region row
-    also emits its header), the top rows from the per-customer ranking;
-    both read the same customer-level shuffle."""
-    cust = customer_level(tables, period, filters)
+    One pipeline: the sums per customer code are aggregated once more over
+    the grouping sets (region, code, name), (region), (), and one
+    ``row_number`` within (grouping level, region) cuts the customers; region
+    and total rows are alone in theirs, so the same limit keeps them. The
+    fact is scanned and joined to the customers once."""
+    names = ["region", "region_ordinal", "customer_code", "customer_name"]
+    per_code = sum_by(customer_level(tables, period, filters), names, ["base", "cmp"])
+    typed = {f.name: f.dataType for f in per_code.schema.fields}
+    # a marker row keeps the total set non-empty; its other groups are dropped
+    marker = per_code.sparkSession.range(1).select(
+        *[F.lit(None).cast(t).alias(x) for x, t in typed.items()], F.lit(True).alias("__marker")
+    )
+    marked = per_code.withColumn("__marker", F.lit(False)).unionByName(marker)
+    regions = ["region", "region_ordinal", "__marker"]
+    levels = marked.groupingSets([[*names, "__marker"], regions, []], *names, "__marker").agg(
+        F.sum("base").cast(SUM_TYPE).alias("base"),
+        F.sum("cmp").cast(SUM_TYPE).alias("cmp"),
+        F.grouping("region").alias("total"),
+        F.grouping("customer_code").alias("summed"),
+    )
+    levels = levels.where((F.col("total") == 1) | ~F.col("__marker")).drop("__marker")
+    order = [F.col("cmp").desc(), F.col("customer_code").asc_nulls_first(), F.col("customer_name").asc_nulls_first()]
+    cut = top_n_per_group(levels, ["total", "summed", "region"], order, n)
     c = F.col
-    summary_row = F.struct(
-        F.lit(1).alias("section"),
-        F.when(c("is_total"), F.lit(2)).otherwise(F.lit(1)).alias("sort_order"),
-        c("region_ordinal"),
-        F.lit(None).cast("int").alias("rank"),
-        c("region").alias("label"),
+    total = c("total") == 1
+    cut = with_diff_growth(cut, "zero")
+    own = F.struct(
+        F.when(c("summed") == 1, F.lit(1)).otherwise(F.lit(2)).alias("section"),
+        F.when(total | (c("summed") == 0), F.lit(2)).otherwise(F.lit(1)).alias("sort_order"),
+        F.when(total, F.lit(L.REGION_TOTAL_ORDINAL)).otherwise(c("region_ordinal")).cast("int").alias("region_ordinal"),
+        F.when(c("summed") == 0, c("rank")).cast("int").alias("rank"),
+        F.when(total, F.lit(L.REGION_TOTAL_NAME)).when(c("summed") == 1, c("region")).otherwise(_top_label()).alias("label"),
         c("base"),
         c("cmp"),
         c("diff"),
         c("growth_pct"),
-        c("is_total"),
+        total.alias("is_total"),
     )
-    header_row = F.struct(
+    header = F.struct(
         F.lit(2).alias("section"),
         F.lit(1).alias("sort_order"),
-        c("region_ordinal"),
+        c("region_ordinal").cast("int").alias("region_ordinal"),
         F.lit(0).alias("rank"),
         F.upper(concat_nullsafe(L.TOP_HEADER_PREFIX, c("region"), L.TOP_HEADER_SUFFIX)).alias("label"),
-        F.lit(None).cast("long").alias("base"),
-        F.lit(None).cast("long").alias("cmp"),
-        F.lit(None).cast("long").alias("diff"),
+        F.lit(None).cast(SUM_TYPE).alias("base"),
+        F.lit(None).cast(SUM_TYPE).alias("cmp"),
+        F.lit(None).cast(cut.schema["diff"].dataType).alias("diff"),
         F.lit(None).cast("double").alias("growth_pct"),
         F.lit(False).alias("is_total"),
     )
-    rows = F.when(c("is_total"), F.array(summary_row)).otherwise(F.array(summary_row, header_row))
-    summary = _region_summary(cust).select(F.explode(rows).alias("r")).select("r.*")
-    top = _top_customers(cust, n).select(
-        F.lit(2).alias("section"),
-        F.lit(2).alias("sort_order"),
-        "region_ordinal",
-        F.col("rank").cast("int").alias("rank"),
-        "label",
-        "base",
-        "cmp",
-        "diff",
-        "growth_pct",
-        F.lit(False).alias("is_total"),
-    )
-    return summary.unionByName(top)
+    rows = F.when((c("summed") == 1) & ~total, F.array(own, header)).otherwise(F.array(own))
+    return cut.select(F.explode(rows).alias("r")).select("r.*")
 
 
 # -- R5: region year-to-date growth --------------------------------------------
@@ -289,7 +302,7 @@ def region_ytd_growth(tables: Tables, period: PeriodCompare, filters: Filters =
     bills = bill_filters(period_bills(tables, period), filters)
     j = per_customer(bills, period).join(filtered_customers(tables, filters, street=True), "customer_id", "inner")
     code = norm(F.col("region_code"))
-    zero = F.lit(0).cast("long")
+    zero = F.lit(0).cast(SUM_TYPE)
 
     def part(tag: int, base, cmp_, rows):
         return F.struct(F.lit(tag).alias("tag"), base.alias("b"), cmp_.alias("c"), rows.alias("n"))
@@ -332,8 +345,10 @@ def full_join_years(tables: Tables, period: PeriodCompare) -> DataFrame:
     year aggregated on its own, then joined (INNER customer join)."""
     pc = per_customer(period_bills(tables, period), period)
     j = join_customer(pc, tables, "inner").withColumn("region_code", norm(F.col("region_code")))
-    base = j.where(F.col("base_rows") > 0).groupBy("region_code").agg(F.sum("base").cast("long").alias("v"))
-    cmp_ = j.where(F.col("cmp_rows") > 0).groupBy("region_code").agg(F.sum("cmp").cast("long").alias("v"))
+    # both sides read one aggregate, whose shuffle is reused
+    sums = sum_by(j, ["region_code"], ["base", "cmp"], ["base_rows", "cmp_rows"])
+    base = sums.where(F.col("base_rows") > 0).select("region_code", F.col("base").alias("v"))
+    cmp_ = sums.where(F.col("cmp_rows") > 0).select("region_code", F.col("cmp").alias("v"))
     return full_join_periods(base, cmp_, "region_code", "v")
 
 
@@ -351,8 +366,8 @@ def purpose_growth(tables: Tables, period: PeriodCompare, region: str) -> DataFr
     pc = per_customer(bills, period, extra_keys=("purpose",))
     j = pc.join(filtered_customers(tables, NO_FILTERS, region=region).select("customer_id"), "customer_id", "inner")
     per_purpose = j.groupBy("purpose").agg(
-        F.sum("base").cast("long").alias("base"),
-        F.sum("cmp").cast("long").alias("cmp"),
+        F.sum("base").cast(SUM_TYPE).alias("base"),
+        F.sum("cmp").cast(SUM_TYPE).alias("cmp"),
         F.sum("base_rows").alias("base_rows"),
     )
     kept = per_purpose.where(F.col("base_rows") > 0)
@@ -385,10 +400,10 @@ def class_period_growth(tables: Tables, period: PeriodCompare, filters: Filters
     bills = bill_filters(period_bills(tables, period, active_only=False), filters)
     j = per_customer(bills, period).join(filtered_customers(tables, filters, street=True), "customer_id", "inner")
     per_code = j.groupBy("customer_code").agg(
-        F.sum("base").cast("long").alias("base"),
-        F.sum("cmp").cast("long").alias("cmp"),
-        F.max(F.when(F.col("cmp_rows") > 0, F.col("class_code"))).alias("cmp_class"),
-        F.max(F.when(F.col("base_rows") > 0, F.col("class_code"))).alias("base_class"),
+        F.sum("base").cast(SUM_TYPE).alias("base"),
+        F.sum("cmp").cast(SUM_TYPE).alias("cmp"),
+        F.max(F.when(F.col("cmp_rows") > 0, norm("class_code"))).alias("cmp_class"),
+        F.max(F.when(F.col("base_rows") > 0, norm("class_code"))).alias("base_class"),
     )
     cls = F.coalesce(F.col("cmp_class"), F.col("base_class"), F.lit(L.CLASS_UNCLASSIFIED))
     out = with_total(per_code.withColumn("class_code", cls), ["class_code"], ["base", "cmp"], {}, on_zero="null")
@@ -421,7 +436,7 @@ def growth_policies(tables: Tables, period: PeriodCompare) -> DataFrame:
         "customer_id",
         "base",
         "cmp",
-        (c - b).alias("diff"),
+        (c - b).cast(SUM_TYPE).alias("diff"),
         growth_pct(b, c, "zero").alias("growth_zero"),
         growth_pct(b, c, "null").alias("growth_null"),
         growth_pct(b, c, "inf", order="ratio").alias("growth_inf"),
@@ -432,10 +447,10 @@ def region_growth_rollup(tables: Tables, period: PeriodCompare) -> DataFrame:
     """Detail per normalised region code plus the grand total in one
     ``rollup`` aggregate; a NULL code and the total differ by ``is_total``."""
     bills = period_bills(tables, period)
-    j = bills.select("customer_id", "year", "volume").join(
+    j = per_customer(bills, period).join(
         tables.customer.select("customer_id", norm(F.col("region_code")).alias("region_code")), "customer_id", "left"
     )
-    return rollup_total(j, "region_code", period)
+    return rollup_total(j, "region_code")
 
 
 def customer_include_list(tables: Tables, period: PeriodCompare, include) -> DataFrame:

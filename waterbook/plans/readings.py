@@ -17,6 +17,7 @@ from waterbook.functions.dates import in_calendar_year
 from waterbook.functions.growth import growth_pct
 from waterbook.operators.rank import latest_two, min_per_key
 from waterbook.params import ReadingParams
+from waterbook.schemas import SUM_TYPE
 from waterbook.sources import literals as L
 from waterbook.sources.tables import Tables
 
@@ -28,7 +29,8 @@ def customer_dedup(tables: Tables) -> DataFrame:
     can concatenate to the same code, and the readings only know the code."""
     c = tables.customer
     code = concat_nullsafe(F.col("street_code"), F.col("meter_code"))
-    return min_per_key(c, code, "class_code", key_name="customer_code")
+    folded = c.withColumn("class_code", norm("class_code"))
+    return min_per_key(folded, code, "class_code", key_name="customer_code")
 
 
 def reading_delta(tables: Tables, p: ReadingParams) -> DataFrame:
@@ -45,17 +47,8 @@ def reading_delta(tables: Tables, p: ReadingParams) -> DataFrame:
         F.col("name").asc_nulls_first(),
     ]
     two = latest_two(r.select("customer_code", "read_at", "volume", "name", "reading"), "customer_code", order, ["reading"])
-    # Only the read customers need a class: the customer master is first
-    # semi-joined to their codes (few large customers, so AQE can broadcast
-    # them and the master is filtered where it is read, never shuffled whole),
-    # then deduplicated.
-    c = tables.customer.select(
-        concat_nullsafe(F.col("street_code"), F.col("meter_code")).alias("customer_code"), "class_code"
-    )
-    # codes straight from the filtered readings (a narrow columnar scan), so
-    # the window over full reading rows is planned once
-    read_codes = c.join(r.select("customer_code").distinct(), "customer_code", "left_semi")
-    dedup = min_per_key(read_codes, "customer_code", "class_code")
+    # one class per code, by partial aggregation of the narrow master columns
+    dedup = customer_dedup(tables)
     j = two.join(dedup, "customer_code", "left")
     last_v = F.coalesce(F.col("last_reading.volume"), F.lit(0))
     prev_v = F.coalesce(F.col("prev_reading.volume"), F.lit(0))
@@ -65,9 +58,9 @@ def reading_delta(tables: Tables, p: ReadingParams) -> DataFrame:
         F.col("last_reading.name").alias("name"),
         F.col("prev_reading.read_at").alias("prev_read_at"),
         F.col("last_reading.read_at").alias("last_read_at"),
-        prev_v.cast("long").alias("prev_volume"),
-        last_v.cast("long").alias("last_volume"),
-        (last_v - prev_v).cast("long").alias("delta"),
+        prev_v.cast(SUM_TYPE).alias("prev_volume"),
+        last_v.cast(SUM_TYPE).alias("last_volume"),
+        (last_v - prev_v).cast(SUM_TYPE).alias("delta"),
         growth_pct(prev_v, last_v, "zero").alias("growth_pct"),
     )
 
@@ -87,7 +80,7 @@ def reading_class_summary(tables: Tables, p: ReadingParams) -> DataFrame:
     cat_rows = tables.spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in codes])).alias("class_code"))
     marked = rows.select("class_code", *measures).unionByName(cat_rows, allowMissingColumns=True)
     agg = marked.groupingSets([["class_code"], []], "class_code").agg(
-        *[F.sum(m).cast("long").alias(m) for m in measures], (F.grouping_id() > 0).alias("is_total")
+        *[F.sum(m).cast(SUM_TYPE).alias(m) for m in measures], (F.grouping_id() > 0).alias("is_total")
     )
     total = F.col("is_total")
     kept = agg.where(total | F.col("class_code").isin(codes))
@@ -101,7 +94,7 @@ def reading_class_summary(tables: Tables, p: ReadingParams) -> DataFrame:
         F.when(total, F.lit(L.CATALOGUE_TOTAL_LABEL)).otherwise(lookup(1)).alias("purpose_name"),
         F.when(total, F.lit(None).cast("string")).otherwise(lookup(2)).alias("group_name"),
         F.when(total, F.lit(None).cast("string")).otherwise(F.col("class_code")).alias("class_code"),
-        *[F.when(total, F.col(m)).otherwise(F.coalesce(F.col(m), F.lit(0))).cast("long").alias(m) for m in measures],
+        *[F.when(total, F.col(m)).otherwise(F.coalesce(F.col(m), F.lit(0))).cast(SUM_TYPE).alias(m) for m in measures],
         total.alias("is_total"),
     )
     return out.withColumn("growth_pct", growth_pct(F.col("prev_volume"), F.col("last_volume"), "zero"))

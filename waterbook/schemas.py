@@ -6,6 +6,10 @@ from pyspark.sql import types as T
 
 S, I, L = T.StringType(), T.IntegerType(), T.LongType()
 TS, D, DBL = T.TimestampNTZType(), T.DateType(), T.DoubleType()
+VOL = T.DecimalType(18, 2)
+
+#: Type of every sum of volumes; reports keep it, presentation rounds.
+SUM_TYPE = "decimal(28,2)"
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -27,7 +31,7 @@ CONSUMPTION = _struct(
     ("customer_id", L),
     ("year", I),
     ("month", I),
-    ("volume", L),
+    ("volume", VOL),
     ("is_cancelled", I),
     ("purpose_code", S),
     ("pay_channel", S),
@@ -39,10 +43,10 @@ CONSUMPTION = _struct(
     ("amount_1", T.DecimalType(18, 2)),
     ("amount", T.DecimalType(18, 2)),
 )
-LARGE_READING = _struct(("customer_code", S), ("name", S), ("region_code", S), ("read_at", TS), ("volume", L))
+LARGE_READING = _struct(("customer_code", S), ("name", S), ("region_code", S), ("read_at", TS), ("volume", VOL))
 TRIP = _struct(
     ("id", L),
-    ("car", L),
+    ("car", S),
     ("driver", S),
     ("leader", S),
     ("dest", S),
@@ -52,12 +56,12 @@ TRIP = _struct(
     ("km_start", L),
     ("km_end", L),
 )
-FLEET = _struct(("car", L))
+FLEET = _struct(("car", S))
 VEHICLE_PROFILE = _struct(
-    ("car", L), ("seats", I), ("year_made", I), ("next_maintenance", D), ("next_inspection", S)
+    ("car", S), ("seats", I), ("year_made", I), ("next_maintenance", D), ("next_inspection", S)
 )
 PROFILE_WRITE = _struct(
-    ("car", L),
+    ("car", S),
     ("written_at", TS),
     ("write_id", L),
     ("seats", I),

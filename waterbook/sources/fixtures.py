@@ -25,7 +25,7 @@ CUSTOMER = [
     (
         "class_code",
         "case c_mktsegment when 'AUTOMOBILE' then '1' when 'BUILDING' then 'XD' "
-        "when 'FURNITURE' then 'CQ' when 'MACHINERY' then 'VIP' end",
+        "when 'FURNITURE' then 'CQ' when 'MACHINERY' then case c_custkey % 2 when 0 then 'VIP' else ' vip ' end end",
     ),
 ]
 
@@ -39,8 +39,8 @@ CONSUMPTION = [
     ("bill_id", "o_orderkey"),
     ("customer_id", "case when o_orderkey % 53 = 0 then -1 else o_custkey end"),
     ("year", "cast(year(o_orderdate) as int)"),
-    ("month", "cast(month(o_orderdate) as int)"),
-    ("volume", "case when o_orderkey % 31 <> 0 then cast(floor(o_totalprice/1000) as bigint) end"),
+    ("month", "case when o_orderkey % 997 = 0 then 13 else cast(month(o_orderdate) as int) end"),
+    ("volume", "case when o_orderkey % 31 <> 0 then cast(floor(o_totalprice / 10) / 100 as decimal(18,2)) end"),
     ("is_cancelled", "case o_orderkey % 10 when 0 then 1 when 1 then null else 0 end"),
     (
         "purpose_code",
@@ -49,7 +49,7 @@ CONSUMPTION = [
     (
         "pay_channel",
         "case o_orderpriority when '1-URGENT' then 'AB' when '2-HIGH' then 'ab' "
-        "when '3-MEDIUM' then 'TM' when '5-LOW' then 'CK' end",
+        "when '3-MEDIUM' then 'TM' when '5-LOW' then ' aB ' end",
     ),
     (
         "cashier",
@@ -80,12 +80,15 @@ LARGE_READING = [
         "when 3 then 'XMOC' when 4 then 'CD' else 'ZZ' end",
     ),
     ("read_at", "ts"),
-    ("volume", "case when event_id % 17 <> 0 then cast(floor(value) as bigint) end"),
+    ("volume", "case when event_id % 17 <> 0 then cast(floor(value * 100) / 100 as decimal(18,2)) end"),
 ]
 
+#: Number plate of a generated vehicle.
+PLATE = "concat('72A-', lpad(cast(user_id as string), 5, '0'))"
+
 TRIP = [
     ("id", "event_id"),
-    ("car", "user_id"),
+    ("car", PLATE),
     ("driver", "concat('D', cast(event_id % 3 as string))"),
     ("leader", "concat('L', cast(event_id % 7 as string))"),
     ("dest", "concat('P', cast(event_id % 41 as string))"),
@@ -99,7 +102,7 @@ TRIP_END_SPARK = "start_at + make_dt_interval(0, 0, duration_min, 0)"
 TRIP_END_DUCKDB = "start_at + to_minutes(duration_min)"
 
 VEHICLE_PROFILE = [
-    ("car", "user_id"),
+    ("car", PLATE),
     ("seats", "cast(4 + user_id % 12 as int)"),
     ("year_made", "cast(2000 + user_id % 20 as int)"),
     (
@@ -112,7 +115,7 @@ VEHICLE_PROFILE_WHERE = "user_id % 6 <> 0"
 
 # Profile edits: each ``view`` event of a car saves a full profile.
 PROFILE_WRITE = [
-    ("car", "user_id"),
+    ("car", PLATE),
     ("written_at", "ts"),
     ("write_id", "event_id"),
     ("seats", "cast(4 + (user_id + event_id) % 12 as int)"),
@@ -195,7 +198,7 @@ def trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_base(spark, sf_dir, "events").select(F.col("user_id").alias("car")).distinct()
+    return read_base(spark, sf_dir, "events").select(F.expr(PLATE).alias("car")).distinct()
 
 
 def vehicle_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
