@@ -7,7 +7,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from decimal import Decimal  # noqa: E402
+
 from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
 
 from waterbook import schemas  # noqa: E402
 from waterbook.session import ensure_checkpoint_dir  # noqa: E402
@@ -33,12 +36,21 @@ def spark():
     s.stop()
 
 
+def typed(value, kind):
+    """Whole numbers stand for decimals and for text plates in literal rows."""
+    if value is not None and isinstance(kind, T.DecimalType):
+        return Decimal(str(value))
+    return str(value) if isinstance(value, int) and isinstance(kind, T.StringType) else value
+
+
 def make_tables(spark, **frames) -> Tables:
     """Tables from literal rows: ``name=[tuple, ...]`` in the domain schema
-    column order; tables not given are empty."""
+    column order (missing last columns are NULL); tables not given are empty."""
     loaders = {}
     for name in DOMAIN_TABLES:
-        rows = frames.get(name, [])
+        fields = schemas.DOMAIN[name].fields
+        rows = [tuple(row) + (None,) * (len(fields) - len(row)) for row in frames.get(name, [])]
+        rows = [tuple(typed(v, f.dataType) for v, f in zip(row, fields, strict=True)) for row in rows]
         df = spark.createDataFrame(rows, schemas.DOMAIN[name])
         loaders[name] = lambda df=df: df
     return Tables(spark, loaders)

@@ -259,3 +259,51 @@ def test_impossible_month_is_not_next_january(spark):
     )
     r = {x.cashier: x for x in arrears.arrears_cumulative(t, CumulativeArrearsParams(2026, 1, 2026, 5, d)).collect()}
     assert r["TỔNG"].open_total == 1
+
+
+def test_growth_hundredths_is_exact_on_large_volumes(spark):
+    from fractions import Fraction
+    from random import Random
+
+    from pyspark.sql import functions as F
+
+    from waterbook.functions.growth import growth_hundredths
+
+    rnd = Random(5)
+    rows = [(7858357388210, 18740855235886)] + [(rnd.randint(1, 10**13), rnd.randint(-(10**13), 10**13)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "b long, d long").select("b", "d", growth_hundredths(F.col("b"), F.col("d")).alias("h"))
+    for r in df.collect():
+        exact = Fraction(10000 * abs(r.d), r.b)
+        want = int(exact + Fraction(1, 2))
+        assert r.h == (want if r.d >= 0 else -want)
+
+
+def test_two_updates_of_one_id_leave_one_row(spark):
+    from waterbook.operators.upsert import update_by_key
+
+    rows = spark.createDataFrame([(1, None), (2, 5)], "id long, km long")
+    updates = spark.createDataFrame([(1, 7), (1, 9), (3, 1)], "id long, km long")
+    got = sorted(tuple(r) for r in update_by_key(rows, updates, "id", ["km"]).collect())
+    assert got == [(1, 9), (2, 5)]
+
+
+def test_json_times_are_wall_clock_in_any_zone(spark):
+    from waterbook import schemas
+    from waterbook.sources.tables import rejected_trips, typed_trips
+
+    names = [f.name for f in schemas.TRIP_JSON.fields]
+    base = dict.fromkeys(names)
+    rows = [
+        {**base, "id": 1, "start": "2024-03-10T02:30", "end": "2024-03-10T02:30:15", "kmStart": "10.5", "kmEnd": ""},
+        {**base, "id": 2, "start": "soon", "end": "2024-03-10T02:30", "kmStart": "x", "kmEnd": None},
+    ]
+    raw = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schemas.TRIP_JSON)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        first = typed_trips(raw).where("id = 1").collect()[0]
+        assert str(first.start_at) == "2024-03-10 02:30:00" and str(first.end_at) == "2024-03-10 02:30:15"
+        assert float(first.km_start) == 10.5
+        assert [(r.id, r.bad_fields) for r in rejected_trips(raw).collect()] == [(2, ["start", "kmStart"])]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

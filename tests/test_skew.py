@@ -14,7 +14,7 @@ from waterbook.sources.tables import Tables
 
 def test_hot_car_overlaps_exact_and_spread(spark):
     t = Tables.from_generated(spark, SF_CHECK)
-    hot = t.trip.withColumn("car", F.when(F.col("id") % 3 == 0, F.lit(-7)).otherwise(F.col("car")))
+    hot = t.trip.withColumn("car", F.when(F.col("id") % 3 == 0, F.lit("-7")).otherwise(F.col("car")))
     rows = [(r.id, r.car, r.start_at, r.end_at) for r in hot.select("id", "car", "start_at", "end_at").collect()]
     got = {tuple(r) for r in fleet.trip_overlaps(hot, C.FLEET).collect()}
     assert got == _brute_pairs(rows)
@@ -26,7 +26,7 @@ def test_hot_car_overlaps_exact_and_spread(spark):
     candidates = per_bucket.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
     naive = hot.groupBy("car").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
     largest_task_key = per_bucket.agg(F.max("count")).first()[0]
-    hot_rows = hot.where(F.col("car") == -7).count()
+    hot_rows = hot.where(F.col("car") == "-7").count()
     assert candidates * 5 < naive  # far fewer comparisons than all pairs per car
     assert largest_task_key * 10 < hot_rows  # the hot car is spread over many join keys
 
@@ -57,7 +57,7 @@ def test_hot_customer_is_combined_before_the_shuffle(spark):
 
 def test_replacement_sweep_equals_pairs(spark):
     t = Tables.from_generated(spark, SF_CHECK)
-    hot = t.trip.withColumn("car", F.when(F.col("id") % 3 == 0, F.lit(-7)).otherwise(F.col("car")))
+    hot = t.trip.withColumn("car", F.when(F.col("id") % 3 == 0, F.lit("-7")).otherwise(F.col("car")))
     for trips in (t.trip, hot):
         pairs = {r.id for r in fleet.trips_after_replacement(trips, C.FLEET).select("id").collect()}
         sweep = {r.id for r in fleet.trips_after_replacement(trips, C.FLEET, method="sweep").select("id").collect()}

@@ -38,6 +38,8 @@ FLEET = FleetParams(dt.datetime(2024, 1, 15, 12, 0, 0))
 MONTH_FILTERS = Filters(regions="VT,\r\n bria ", class_code=" xd", purpose_code="h")
 INCLUDE_CLASS = "VIP"
 EXCLUDE_CLASS = "XD"
+# Decimals of doubles that two engines are compared on.
+QUANTIZE = 6
 
 
 lists_parse = lists.parse_text
@@ -72,6 +74,12 @@ def class_code_list(t: Tables, class_code: str) -> DataFrame:
     return lists.tokens(text, "t")
 
 
+def flush_codes(t: Tables) -> DataFrame:
+    """Jobs whose roughness and pig loss come from their codes alone."""
+    coded = flushing.resolve_codes(t.flush_job.drop("roughness", "pig_loss_bar"))
+    return coded.select("id", "material", "pig_type", "roughness", "pig_loss_bar")
+
+
 def _q(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(tables(spark, sf_dir))
 
@@ -136,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trips_after_replacement": _q(lambda t: fleet.trips_after_replacement(t.trip, FLEET)),
     "trips_after_replacement_sweep": _q(lambda t: fleet.trips_after_replacement(t.trip, FLEET, method="sweep")),
     "trips_after_refusal": _q(lambda t: fleet.trips_after_refusal(t.trip, FLEET)),
+    "order_conflicts": _q(lambda t: fleet.order_conflicts(t.trip, t.trip, FLEET)),
     "trip_status": _q(lambda t: fleet.trip_status(t.trip, FLEET)),
     "trip_distance": _q(lambda t: fleet.trip_distance(t.trip)),
     "vehicles_available": _q(lambda t: fleet.vehicles_available(t.fleet, t.trip, t.vehicle_profile, FLEET)),
@@ -145,5 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trip_completion": _q(lambda t: fleet.trip_completion(t.trip, fleet.returns_due(t.trip, FLEET))),
     "trip_deletion": _q(lambda t: fleet.trip_deletion(t.trip, fleet.cancellations(t.trip, FLEET))),
     # pipe flushing
-    "flush_volume": _q(lambda t: flushing.flush_volume(t.flush_job)),
+    "flush_volume": _q(lambda t: flushing.flush_volume(t.flush_job, QUANTIZE)),
+    "flush_codes": _q(flush_codes),
+    "flush_text": _q(lambda t: present.format_flush(flushing.flush_volume(t.flush_job, QUANTIZE))),
 }

@@ -47,7 +47,8 @@ def velocity(head: Column, friction: Column, local: Column) -> Column:
     an infinite friction loss (zero diameter) means no flow."""
     loss = friction + local
     raw = F.when(friction.isNull(), F.lit(0.0)).when(loss <= 0, F.lit(L.VELOCITY_CAP)).otherwise(F.sqrt(head / loss))
-    return F.least(raw, F.lit(L.VELOCITY_CAP))
+    # not least(): that would turn a missing velocity into the cap
+    return F.when(raw > L.VELOCITY_CAP, F.lit(L.VELOCITY_CAP)).otherwise(raw)
 
 
 def area(diameter_mm: Column) -> Column:

@@ -3,12 +3,15 @@
 Overlap of half-open intervals: ``a.start < b.end AND a.end > b.start``.
 A plain equi-join on the key would compare every pair of one key's rows;
 a key holding a third of the data would be a quadratic single task.
-Instead every interval is exploded over the fixed time buckets it touches
-and the join key becomes ``(key, bucket)``. Two overlapping intervals share
-the bucket containing ``greatest(a.start, b.start)``; emitting the pair only
-in that bucket makes each pair appear once, with no ``distinct``. Buckets
-are calendar arithmetic (day number x slots per day), so no time zone is
-involved. Exact for any intervals, including end before start.
+Instead the join key is ``(key, level, bucket)``: buckets of level 0 are
+short, and of every further level ``STEP`` times as wide. An interval's own
+level is the first whose buckets are at least as long as it is, so it touches
+at most two buckets there and on each level above: a bounded number of rows
+per interval, however long it lasts. Two overlapping intervals share the
+bucket of their greater own level that holds ``greatest(a.start, b.start)``;
+a pair is emitted only there, once, with no ``distinct``. Buckets are wall
+clock arithmetic, so no time zone is involved. Exact for any intervals,
+including end before start; intervals without both times overlap nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +33,44 @@ def bucket_of(ts: Column, bucket_minutes: int) -> Column:
     return day * F.lit(per_day) + F.floor(minute_of_day / F.lit(bucket_minutes)).cast("long")
 
 
+#: Width of a level's buckets over those of the level below; 5 levels from
+#: 4 hours up span more than 7,000 years.
+STEP, LEVELS = 64, 5
+
+
+def _minute(ts: Column) -> Column:
+    return F.date_diff(F.to_date(ts), F.lit(EPOCH)).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
+def _bucketed(df: DataFrame, key: str, id_col: str, start: str, end: str, width: int) -> DataFrame:
+    """A row per interval, level from its own up, and bucket it touches."""
+    lo, hi = _minute(F.least(start, end)), _minute(F.greatest(start, end))
+    own = F.lit(LEVELS - 1)
+    for level in reversed(range(LEVELS - 1)):
+        own = F.when(hi - lo <= width * STEP**level, F.lit(level)).otherwise(own)
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+        F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"),
+        lo.alias("lo"), hi.alias("hi"), own.alias("own"),
+    )
+    rows = rows.withColumn("level", F.explode(F.sequence(F.col("own"), F.lit(LEVELS - 1))))
+    step = F.element_at(F.array(*[F.lit(width * STEP**i).cast("long") for i in range(LEVELS)]), F.col("level") + 1)
+    at = lambda c: F.floor(F.col(c) / step).cast("long")
+    return rows.withColumn("b", F.explode(F.sequence(at("lo"), at("hi"))))
+
+
+def _overlaps() -> Column:
+    """Rows ``a`` and ``b`` of one bucket of the greater of their own levels overlap."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    return (
+        (a("k") == b("k"))
+        & (a("level") == b("level"))
+        & (a("b") == b("b"))
+        & (a("level") == F.greatest(a("own"), b("own")))
+        & (a("s") < b("e"))
+        & (a("e") > b("s"))
+    )
+
+
 def overlapping_pairs(
     df: DataFrame,
     key: str,
@@ -40,32 +81,33 @@ def overlapping_pairs(
 ) -> DataFrame:
     """All unordered overlapping pairs within each key: ``(key, first_id,
     second_id)`` with ``first_id < second_id`` (ids must be unique)."""
-    lo = F.least(F.col(start), F.col(end))
-    hi = F.greatest(F.col(start), F.col(end))
-    exploded = df.select(
-        F.col(key).alias("__k"),
-        F.col(id_col).alias("__id"),
-        F.col(start).alias("__s"),
-        F.col(end).alias("__e"),
-        F.explode(F.sequence(bucket_of(lo, bucket_minutes), bucket_of(hi, bucket_minutes))).alias("__b"),
-    )
-    a = exploded.alias("a")
-    b = exploded.alias("b")
-    cond = (
-        (F.col("a.__k") == F.col("b.__k"))
-        & (F.col("a.__b") == F.col("b.__b"))
-        & (F.col("a.__id") < F.col("b.__id"))
-        & (F.col("a.__s") < F.col("b.__e"))
-        & (F.col("a.__e") > F.col("b.__s"))
-        & (F.col("a.__b") == bucket_of(F.greatest(F.col("a.__s"), F.col("b.__s")), bucket_minutes))
-    )
-    return a.join(b, cond, "inner").select(
-        F.col("a.__k").alias(key),
-        F.col("a.__id").alias("first_id"),
-        F.col("b.__id").alias("second_id"),
+    rows = _bucketed(df, key, id_col, start, end, bucket_minutes)
+    widths = F.array(*[F.lit(bucket_minutes * STEP**i).cast("long") for i in range(LEVELS)])
+    place = F.floor(_minute(F.greatest("a.s", "b.s")) / F.element_at(widths, F.col("a.level") + 1)).cast("long")
+    cond = _overlaps() & (F.col("a.id") < F.col("b.id")) & (F.col("a.b") == place)
+    return rows.alias("a").join(rows.alias("b"), cond, "inner").select(
+        F.col("a.k").alias(key),
+        F.col("a.id").alias("first_id"),
+        F.col("b.id").alias("second_id"),
     )
 
 
+def with_overlap(
+    df: DataFrame, others: DataFrame, key: str, id_col: str, start: str, end: str, which: str, bucket_minutes: int = 240
+) -> DataFrame:
+    """Distinct ids of ``df`` that overlap a row of ``others`` of the same key
+    and a ``which`` id (``"later"``, ``"earlier"`` or ``"other"``). A semi
+    join: no pair is ever made a row, so the output stays linear."""
+    than = {
+        "later": F.col("b.id") > F.col("a.id"),
+        "earlier": F.col("b.id") < F.col("a.id"),
+        "other": F.col("b.id") != F.col("a.id"),
+    }[which]
+    a = _bucketed(df, key, id_col, start, end, bucket_minutes).alias("a")
+    b = _bucketed(others, key, id_col, start, end, bucket_minutes).alias("b")
+    return a.join(b, _overlaps() & than, "left_semi").select(F.col("id").alias(id_col)).distinct()
+
+
 def overlap_components(
     df: DataFrame, key: str, id_col: str, start: str, end: str, bucket_minutes: int = 1440
 ) -> DataFrame:

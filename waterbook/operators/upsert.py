@@ -24,10 +24,14 @@ def latest_per_key(df: DataFrame, key: str, version_cols: Sequence[str]) -> Data
     return best.select(key, *[F.col(f"__best.{c}").alias(c) for c in payload])
 
 
-def update_by_key(df: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` with ``columns`` replaced where ``updates`` (one row per
-    key) has a non-NULL value."""
-    u = updates.select(key, *[F.col(c).alias(f"__new_{c}") for c in columns])
+def update_by_key(
+    df: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], version_cols: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of ``df`` with ``columns`` replaced where ``updates`` has a
+    non-NULL value. Of several updates of a key the greatest by
+    ``version_cols``, then by ``columns``, counts, so no row is multiplied."""
+    latest = latest_per_key(updates.select(key, *version_cols, *columns), key, [*version_cols, *columns])
+    u = latest.select(key, *[F.col(c).alias(f"__new_{c}") for c in columns])
     joined = df.join(u, key, "left")
     out = [F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
     return joined.select(*out)

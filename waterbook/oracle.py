@@ -510,6 +510,26 @@ WHERE NOT EXISTS (SELECT 1 FROM d_trip l WHERE l.car = t.car AND l.id > t.id
 # the pair-free sweep must give exactly the same survivors
 SQL["trips_after_replacement_sweep"] = SQL["trips_after_replacement"]
 
+# each car's orders in turn; kept ones are carried along as a list
+SQL["trips_after_refusal"] = with_fixtures(f"""
+turn AS (SELECT *, row_number() OVER (PARTITION BY car ORDER BY id) AS n FROM d_trip),
+step AS (
+  SELECT car, 0::BIGINT AS n, []::STRUCT(s TIMESTAMP, e TIMESTAMP, id BIGINT)[] AS kept FROM d_trip GROUP BY car
+  UNION ALL
+  SELECT t.car, t.n, CASE WHEN len(list_filter(p.kept, lambda k: k.s < t.end_at AND k.e > t.start_at)) > 0 THEN p.kept
+                          ELSE list_append(p.kept, {{'s': t.start_at, 'e': t.end_at, 'id': t.id}}) END
+  FROM step p JOIN turn t ON t.car = p.car AND t.n = p.n + 1),
+last AS (SELECT car, arg_max(kept, n) AS kept FROM step GROUP BY car),
+stays AS (SELECT unnest(kept).id AS id FROM last)
+SELECT {_TRIP_COLS} FROM d_trip WHERE id IN (SELECT id FROM stays)
+""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+SQL["order_conflicts"] = with_fixtures("""
+SELECT id, car, EXISTS (SELECT 1 FROM d_trip l WHERE l.car = t.car AND l.id < t.id
+                        AND l.start_at < t.end_at AND l.end_at > t.start_at) AS conflict
+FROM d_trip t
+""")
+
 SQL["trip_status"] = with_fixtures(f"""
 SELECT id, car, COALESCE(start_at <= {_AS_OF} AND {_AS_OF} <= end_at, false) AS on_road,
        CASE WHEN COALESCE(start_at <= {_AS_OF} AND {_AS_OF} <= end_at, false) THEN {q(L.TRIP_ON_ROAD)}
@@ -596,8 +616,11 @@ k AS (
   FROM j),
 r AS (
   SELECT *,
-    CASE WHEN length_m IS NULL OR diameter_mm IS NULL OR pressure_bar IS NULL OR start_min IS NULL
-              OR end_min IS NULL THEN 'missing_input'
+    CASE WHEN length_m + diameter_mm + roughness + pressure_bar + pig_loss_bar + start_min + end_min IS NULL
+           THEN 'missing_input'
+         WHEN length_m <= 0 THEN 'bad_length'
+         WHEN diameter_mm < 0 THEN 'bad_diameter'
+         WHEN roughness < 0 THEN 'bad_roughness'
          WHEN secs <= 0 THEN 'bad_duration'
          WHEN head <= 0 THEN 'low_head' END AS invalid_reason
   FROM k),
@@ -620,6 +643,35 @@ FROM v
 
 SQL["flush_volume"] = _flush()
 
+SQL["flush_codes"] = with_fixtures(f"""
+SELECT id, material, pig_type,
+       CASE {norm('material')} {' '.join(f"WHEN {q(c)} THEN CAST({n!r} AS DOUBLE)" for c, _, n in L.PIPE_MATERIALS)} END AS roughness,
+       CASE {norm('pig_type')} {' '.join(f"WHEN {q(c)} THEN CAST({n!r} AS DOUBLE)" for c, _, n in L.PIG_TYPES)} END AS pig_loss_bar
+FROM d_flush_job
+""")
+
+
+def _flush_text() -> str:
+    def fixed(x: str, places: int, unit: str) -> str:
+        return f"CASE WHEN {x} IS NOT NULL THEN concat(printf('%.{places}f', {x}), {q(L.FLUSH_UNITS[unit])}) END"
+
+    cells = ", ".join(
+        f"{fixed(x, places, unit)} AS {name}"
+        for name, x, places, unit in (
+            ("dz_text", "dz", 2, "dz"),
+            ("net_head_text", "net_head", 2, "net_head"),
+            ("local_loss_text", "local_loss_m", 2, "local_loss_m"),
+            ("velocity_text", "velocity", 2, "velocity"),
+            ("flow_text", "flow_lps", 2, "flow_lps"),
+            ("duration_text", "duration_s / 60.0::DOUBLE", 1, "duration_min"),
+            ("volume_text", "volume_m3", 2, "volume_m3"),
+        )
+    )
+    return f"SELECT id, invalid_reason, {cells} FROM ({SQL['flush_volume']})"
+
+
+SQL["flush_text"] = _flush_text()
+
 # -- printed report text -----------------------------------------------------------
 
 

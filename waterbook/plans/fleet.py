@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waterbook.functions.dates import ntz
-from waterbook.operators.intervals import overlap_components, overlapping_pairs
+from waterbook.operators.intervals import overlap_components, overlapping_pairs, with_overlap
 from waterbook.operators.replay import COMPONENT_KEY, replay_partition, sweep_partition
 from waterbook.operators.upsert import delete_by_key, latest_per_key, update_by_key
 from waterbook.params import FleetParams
@@ -42,13 +42,13 @@ def trips_after_replacement(trips: DataFrame, p: FleetParams, method: str = "pai
     the same car. A trip survives exactly when no later trip of its car
     overlaps it, whether or not that later trip survives.
 
-    ``method="pairs"`` (default, all JVM): one anti join against the earlier
-    member of each overlapping pair from the bucketed interval join; cost
-    is the number of overlapping pairs. ``method="sweep"``: no pairs; per
+    ``method="pairs"`` (default, all JVM): a semi join finds the orders that
+    a later one overlaps, and an anti join drops them; no pair becomes a row.
+    ``method="sweep"``: no bucket join either; per
     overlap component a sweep over later orders (``later_overlaps``), for
     data where many orders of a car overlap each other."""
     if method == "pairs":
-        replaced = trip_overlaps(trips, p).select(F.col("first_id").alias("id"))
+        replaced = with_overlap(trips, trips, "car", "id", "start_at", "end_at", "later", p.overlap_bucket_minutes)
         return trips.join(replaced, "id", "left_anti")
     if method != "sweep":
         raise ValueError("method must be 'pairs' or 'sweep'")
@@ -59,6 +59,15 @@ def trips_after_replacement(trips: DataFrame, p: FleetParams, method: str = "pai
     return trips.join(flags.where(F.col("replaced")).select("id"), "id", "left_anti")
 
 
+def order_conflicts(orders: DataFrame, log: DataFrame, p: FleetParams, which: str = "earlier") -> DataFrame:
+    """Per order, whether a trip of the log (entered ``earlier``, ``later``
+    or any ``other``) holds its car at the same time: the yes/no check before
+    an order is saved."""
+    hit = with_overlap(orders, log, "car", "id", "start_at", "end_at", which, p.overlap_bucket_minutes)
+    flagged = orders.join(hit.withColumn("conflict", F.lit(True)), "id", "left")
+    return flagged.select("id", "car", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
 def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
     """Refuse policy: an order is kept only if it overlaps no *kept* earlier
     order of its car (the user declines to delete the old one).
@@ -178,9 +187,11 @@ def trip_deletion(trips: DataFrame, deletes: DataFrame) -> DataFrame:
 
 def returns_due(trips: DataFrame, p: FleetParams) -> DataFrame:
     """Return readings for trips that ended by ``as_of`` without one: the
-    odometer advanced by the booked minutes (a stand-in reading)."""
+    odometer advanced by the booked minutes (a stand-in), entered twice."""
     due = trips.where(F.col("km_end").isNull() & (F.col("end_at") <= ntz(p.as_of)))
-    return due.select("id", (F.col("km_start") + F.col("duration_min")).cast("long").alias("km_end"))
+    # a first reading, and its correction upwards
+    first = (F.col("km_start") + F.col("duration_min")).cast("long")
+    return due.select("id", F.explode(F.array(first - 1, first)).alias("km_end"))
 
 
 def cancellations(trips: DataFrame, p: FleetParams) -> DataFrame:

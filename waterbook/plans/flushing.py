@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waterbook.functions import hydraulics as H
+from waterbook.functions.codes import norm
 from waterbook.functions.dates import clock_seconds
 
 
-def flush_volume(jobs: DataFrame, quantize_places: int | None = 6) -> DataFrame:
+def flush_volume(jobs: DataFrame, quantize_places: int | None = None) -> DataFrame:
     """Per job: height difference, net head, friction and local factors,
     velocity (m/s, capped), flow (l/s), local head loss (m), duration (s)
     and flushed volume (m3).
 
-    ``invalid_reason``: ``missing_input`` (length, diameter, pressure or a
-    time missing), ``bad_duration`` (not after the start, equal times
-    included), ``low_head`` (net head <= 0). ``quantize_places`` rounds the
-    double results through an integer so they print identically anywhere;
-    ``None`` keeps full precision.
+    ``invalid_reason``: ``missing_input`` (length, diameter, roughness,
+    pressure, pig loss or a time missing), ``bad_length`` (not positive),
+    ``bad_diameter`` or ``bad_roughness`` (negative), ``bad_duration`` (not
+    after the start, equal times included), ``low_head`` (net head <= 0);
+    results are then NULL. Missing elevations and bends count as 0.
+    ``quantize_places`` rounds the double results through an integer so that
+    two engines print them identically; full precision by default.
     """
     c = F.col
     seconds = clock_seconds(c("start_min"), c("end_min"))
@@ -32,12 +35,17 @@ def flush_volume(jobs: DataFrame, quantize_places: int | None = 6) -> DataFrame:
     missing = (
         c("length_m").isNull()
         | c("diameter_mm").isNull()
+        | c("roughness").isNull()
         | c("pressure_bar").isNull()
+        | c("pig_loss_bar").isNull()
         | c("start_min").isNull()
         | c("end_min").isNull()
     )
     reason = (
         F.when(missing, F.lit("missing_input"))
+        .when(c("length_m") <= 0, F.lit("bad_length"))
+        .when(c("diameter_mm") < 0, F.lit("bad_diameter"))
+        .when(c("roughness") < 0, F.lit("bad_roughness"))
         .when(seconds <= 0, F.lit("bad_duration"))
         .when(head <= 0, F.lit("low_head"))
     )
@@ -86,9 +94,9 @@ def resolve_codes(jobs: DataFrame) -> DataFrame:
     if "material" in jobs.columns:
         m = F.create_map(*[F.lit(x) for code, _, n in L.PIPE_MATERIALS for x in (code, n)])
         current = F.col("roughness") if "roughness" in jobs.columns else F.lit(None).cast("double")
-        out = out.withColumn("roughness", F.coalesce(current, F.try_element_at(m, F.upper(F.col("material")))))
+        out = out.withColumn("roughness", F.coalesce(current, F.try_element_at(m, norm("material"))))
     if "pig_type" in jobs.columns:
         m = F.create_map(*[F.lit(x) for code, _, n in L.PIG_TYPES for x in (code, n)])
         current = F.col("pig_loss_bar") if "pig_loss_bar" in out.columns else F.lit(None).cast("double")
-        out = out.withColumn("pig_loss_bar", F.coalesce(current, F.try_element_at(m, F.upper(F.col("pig_type")))))
+        out = out.withColumn("pig_loss_bar", F.coalesce(current, F.try_element_at(m, norm("pig_type"))))
     return out

@@ -215,7 +215,8 @@ def format_flush(df: DataFrame) -> DataFrame:
     c = F.col
 
     def fixed(col: F.Column, places: int, unit: str) -> F.Column:
-        return F.concat(F.format_string(f"%.{places}f", col), F.lit(unit))
+        # %f prints a missing number as text
+        return F.when(col.isNotNull(), F.concat(F.format_string(f"%.{places}f", col), F.lit(unit)))
 
     return df.select(
         "id",

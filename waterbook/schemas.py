@@ -83,6 +83,8 @@ FLUSH_JOB = _struct(
     ("pig_loss_bar", DBL),
     ("start_min", I),
     ("end_min", I),
+    ("material", S),
+    ("pig_type", S),
 )
 
 DOMAIN = {
@@ -120,8 +122,8 @@ TRIP_LOG = _struct(
     ("passengers", S),
     ("start_at", TS),
     ("end_at", TS),
-    ("km_start", L),
-    ("km_end", L),
+    ("km_start", VOL),
+    ("km_end", VOL),
 )
 _PROFILE_FIELDS = [
     ("name", S),

@@ -97,7 +97,7 @@ TRIP = [
     ("km_start", "event_id"),
     ("km_end", "case when event_id % 4 <> 0 then event_id + cast(floor(value) as bigint) end"),
 ]
-TRIP_WHERE = "event_type = 'purchase'"
+TRIP_WHERE = "true"  # every event is an order
 TRIP_END_SPARK = "start_at + make_dt_interval(0, 0, duration_min, 0)"
 TRIP_END_DUCKDB = "start_at + to_minutes(duration_min)"
 
@@ -113,7 +113,7 @@ VEHICLE_PROFILE = [
 ]
 VEHICLE_PROFILE_WHERE = "user_id % 6 <> 0"
 
-# Profile edits: each ``view`` event of a car saves a full profile.
+# Profile edits: each event of a car saves a full profile.
 PROFILE_WRITE = [
     ("car", PLATE),
     ("written_at", "ts"),
@@ -123,25 +123,32 @@ PROFILE_WRITE = [
     ("next_maintenance", "cast(ts as date) + 30"),
     ("next_inspection", "concat('2024-', lpad(cast(1 + event_id % 12 as string), 2, '0'))"),
 ]
-PROFILE_WRITE_WHERE = "event_type = 'view'"
+PROFILE_WRITE_WHERE = "true"
 
 FLUSH_JOB = [
     ("id", "p_partkey"),
-    ("length_m", "cast(case when p_partkey % 50 = 7 then 1 else 100 + p_size * 20 end as double)"),
-    ("diameter_mm", "cast(50 + (p_partkey % 8) * 100 as double)"),
+    ("length_m", "cast(case when p_partkey % 79 = 0 then -5 when p_partkey % 50 = 7 then 1 else 100 + p_size * 20 end as double)"),
+    ("diameter_mm", "cast(case when p_partkey % 83 = 0 then -50 else 50 + (p_partkey % 8) * 100 end as double)"),
     (
         "roughness",
-        "cast(case p_partkey % 4 when 0 then 0.010 when 1 then 0.012 when 2 then 0.013 else 0.015 end as double)",
+        "case when p_partkey % 61 <> 0 then "
+        "cast(case p_partkey % 4 when 0 then 0.010 when 1 then 0.012 when 2 then 0.013 else 0.015 end as double) end",
     ),
     ("pressure_bar", "cast(p_partkey % 40 as double) / 10"),
-    ("z_start", "cast(p_size % 20 as double)"),
+    ("z_start", "case when p_partkey % 71 <> 0 then cast(p_size % 20 as double) end"),
     ("z_end", "cast(p_partkey % 20 as double)"),
     ("terrain", "case when p_partkey % 9 = 0 then 'FLAT' else 'CALC' end"),
-    ("bends_90", "case when p_partkey % 50 = 7 then 0 else p_size % 6 end"),
+    ("bends_90", "case when p_partkey % 73 = 0 then null when p_partkey % 50 = 7 then 0 else p_size % 6 end"),
     ("bends_45", "case when p_partkey % 50 = 7 then 0 else p_size % 4 end"),
-    ("pig_loss_bar", "cast(case when p_partkey % 2 = 0 then 0.15 else 0.25 end as double)"),
+    ("pig_loss_bar", "case when p_partkey % 67 <> 0 then cast(case when p_partkey % 2 = 0 then 0.15 else 0.25 end as double) end"),
     ("start_min", "cast((p_partkey * 37) % 1440 as int)"),
     ("end_min", "cast((p_partkey * 53) % 1440 as int)"),
+    (
+        "material",
+        "case p_partkey % 6 when 0 then 'HDPE_PVC' when 1 then ' ductile_lined' when 2 then 'STEEL_NEW' "
+        "when 3 then 'Iron_Old ' when 4 then 'WOOD' end",
+    ),
+    ("pig_type", "case p_partkey % 4 when 0 then 'SOFT' when 1 then 'dense ' when 2 then 'FOAM' end"),
 ]
 
 

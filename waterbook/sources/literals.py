@@ -130,7 +130,6 @@ ARREARS_TOTAL_SUFFIX = "_Tồn TM+CK"
 ARREARS_DIFF_HEADING = "Chênh lệch tổng tồn"
 
 # Trip log.
-FLEET_PLATES = ["72M-74880", "72A-12345", "72A-67890", "72B-00123", "72A-55555"]
 TRIP_ORIGIN = "Vũng Tàu"
 ROUTE_ARROW = " → "
 TRIP_ON_ROAD = "ĐANG ĐI"

@@ -110,14 +110,19 @@ class Tables:
         return cls(spark, {name: (lambda n=name: load(n)) for name in table_names})
 
 
+ODOMETER = "decimal(18,2)"
+
+
 # -- trip log and vehicle profiles as JSON ---------------------------------
 
 
 def read_trip_json(spark: SparkSession, path: str) -> DataFrame:
     """Trip entries as JSON lines with the field names of the trip form.
 
-    Form values arrive as text: times as ``yyyy-MM-ddTHH:mm`` and odometer
-    readings as digits. Bad numbers become NULL instead of failing the job.
+    Form values arrive as text: times as ``yyyy-MM-ddTHH:mm`` with or without
+    seconds, read as wall clock in any session time zone, and odometer
+    readings as decimal digits. What cannot be read becomes NULL instead of
+    failing the job; ``rejected_trips`` returns such entries.
     """
     return typed_trips(spark.read.schema(schemas.TRIP_JSON).json(path))
 
@@ -131,13 +136,22 @@ def typed_trips(raw: DataFrame) -> DataFrame:
         F.col("leader"),
         F.col("dest"),
         F.col("pass").alias("passengers"),
-        F.try_to_timestamp(F.col("start"), F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz").alias("start_at"),
-        F.try_to_timestamp(F.col("end"), F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz").alias("end_at"),
-        F.expr("try_cast(kmStart AS BIGINT)").alias("km_start"),
-        F.expr("try_cast(kmEnd AS BIGINT)").alias("km_end"),
+        F.col("start").try_cast("timestamp_ntz").alias("start_at"),
+        F.col("end").try_cast("timestamp_ntz").alias("end_at"),
+        F.col("kmStart").try_cast(ODOMETER).alias("km_start"),
+        F.col("kmEnd").try_cast(ODOMETER).alias("km_end"),
     )
 
 
+def rejected_trips(raw: DataFrame) -> DataFrame:
+    """Raw entries with a time or odometer text that cannot be read, and the
+    names of those fields."""
+    kinds = {"start": "timestamp_ntz", "end": "timestamp_ntz", "kmStart": ODOMETER, "kmEnd": ODOMETER}
+    given = lambda f: F.trim(F.coalesce(F.col(f), F.lit(""))) != ""
+    bad = [F.when(given(f) & F.col(f).try_cast(k).isNull(), F.lit(f)) for f, k in kinds.items()]
+    return raw.withColumn("bad_fields", F.filter(F.array(*bad), lambda x: x.isNotNull())).where(F.size("bad_fields") > 0)
+
+
 def read_profile_json(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """Vehicle profiles keyed by plate.
 
@@ -173,9 +187,17 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_consumption(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Billing fact partitioned by billing period for directory pruning."""
-    df.repartition("year", "month").write.mode(mode).partitionBy("year", "month").parquet(path)
+def write_consumption(
+    df: DataFrame, path: str, mode: str = "overwrite", parts: int = 32, max_records: int = 5_000_000
+) -> None:
+    """Billing fact partitioned by billing period for directory pruning.
+
+    A period is dealt to up to ``parts`` tasks by a hash of the bill, so a
+    large month is not written by one task; adaptive execution joins small
+    parts, and no file holds more than ``max_records`` rows."""
+    part = F.pmod(F.xxhash64("bill_id"), F.lit(parts))
+    dealt = df.repartition(F.col("year"), F.col("month"), part)
+    dealt.write.mode(mode).option("maxRecordsPerFile", max_records).partitionBy("year", "month").parquet(path)
 
 
 # Bucketed layout: the tables joined or grouped on a customer key are
@@ -198,8 +220,11 @@ def write_bucketed(tables: Tables, database: str, location: str, buckets: int) -
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name in DOMAIN_TABLES:
         df = tables.get(name)
-        writer = df.write.mode("overwrite").format("parquet").option("path", f"{location.rstrip('/')}/{name}")
         key = BUCKET_KEYS.get(name)
+        if key:  # a bucket (of a period) is written by one task: one file each
+            periods = ["year", "month"] if name == "consumption" else []
+            df = df.repartition(*periods, F.pmod(F.hash(key), F.lit(buckets)))
+        writer = df.write.mode("overwrite").format("parquet").option("path", f"{location.rstrip('/')}/{name}")
         if name == "consumption":
             writer = writer.partitionBy("year", "month")
         if key:
