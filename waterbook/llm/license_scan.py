@@ -128,19 +128,22 @@ class TemplateIndex:
         return at, self.template[entry], self.place[entry]
 
 
-def regions(at: np.ndarray, template: np.ndarray, place: np.ndarray, gap: int, band: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Template, first and last document place, least and largest diagonal of
-    every chain of hits of one template that lie close to each other."""
-    order = np.lexsort((at, template))
-    current = None
+def regions(at: np.ndarray, template: np.ndarray, place: np.ndarray, gap: int, band: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Template, first and last document place, least, largest and first
+    diagonal of every chain of hits of one template that lie close to each
+    other and move forward in it; a step back starts another copy."""
+    order = np.lexsort((place, at, template))
+    current, reached = None, 0
     for i in order:
         t, a, d = int(template[i]), int(at[i]), int(at[i] - place[i])
-        if current and current[0] == t and a - current[2] <= gap and min(abs(d - current[3]), abs(d - current[4])) <= band:
-            current = (t, current[1], a, min(d, current[3]), max(d, current[4]))
+        near = current and current[0] == t and a - current[2] <= gap and min(abs(d - current[3]), abs(d - current[4])) <= band
+        if near and place[i] > reached:
+            current = (t, current[1], a, min(d, current[3]), max(d, current[4]), current[5])
         else:
             if current:
                 yield current
-            current = (t, a, a, d, d)
+            current = (t, a, a, d, d, d)
+        reached = int(place[i])
     if current:
         yield current
 
@@ -186,13 +189,18 @@ def _scan_batches(templates: list[tuple[str, str]], k: int, window: int, gap: in
     def scan(words: np.ndarray, at: np.ndarray, template: np.ndarray, place: np.ndarray, index: TemplateIndex) -> list[tuple[int, int, int, int]]:
         """(template, matched words, first and last word) of one document."""
         found: dict[tuple[int, int, int], int] = {}
-        for t, first, last, low, high in regions(at, template, place, gap, band):
+        chains = list(regions(at, template, place, gap, band))
+        floor = {}  # end of the last match of a template
+        for (t, first, last, low, high, _), after in zip(chains, [*chains[1:], None], strict=True):
             size = len(index.words[t])
-            start = max(0, min(low, first) - band)
+            start = max(0, min(low, first) - band, floor.get(t, 0))
             stop = min(len(words), max(high + size, last + index.k) + band)
+            if after and after[0] == t and after[5] > last:  # where the next copy starts
+                stop = min(stop, after[5])
             matched, a, b = align(index.words[t], words[start:stop], low - band - start, high + band - start)
             if matched >= least * size:
                 found[t, a + start, b + start] = matched
+                floor[t] = b + start + 1
         # of matches of one template that overlap, the one that covers most
         taken: list[tuple[int, int, int, int]] = []  # disjoint per template, sorted
         for (t, a, b), matched in sorted(found.items(), key=lambda x: (-x[1], x[0])):
