@@ -62,6 +62,10 @@ def _period(a, ytd: bool = False) -> PeriodCompare:
     return PeriodCompare.month(a.month, a.base, a.cmp)
 
 
+def _purpose_text(df: DataFrame, a) -> DataFrame:
+    return present.purpose_headings(present.format_purpose(df), _period(a, ytd=a.ytd))
+
+
 def _fleet(a) -> FleetParams:
     return FleetParams(dt.datetime.fromisoformat(a.as_of))
 
@@ -108,7 +112,7 @@ REPORTS = {
     ),
     "purpose": (
         lambda t, a: consumption.purpose_growth(t, _period(a, ytd=a.ytd), a.region),
-        None,
+        _purpose_text,
         lambda df: df.orderBy("ordinal"),
     ),
     "class": (
@@ -126,7 +130,7 @@ REPORTS = {
         lambda t, a: arrears.arrears_cumulative(
             t, CumulativeArrearsParams(a.year, a.month_from, a.year_to or a.year, a.month, _date(a.cutoff), a.regions)
         ),
-        None,
+        _plain(present.cumulative_headings),
         lambda df: df.orderBy("sort_order"),
     ),
     "readings": (
@@ -140,6 +144,20 @@ REPORTS = {
         lambda df: df.orderBy("sort_order"),
     ),
     "trip-status": (lambda t, a: fleet.trip_status(t.trip, _fleet(a)), None, present.order_trips),
+    "trip-history": (lambda t, a: fleet.vehicle_history(t.trip, a.car), None, present.order_trips),
+    "trip-replacement": (lambda t, a: fleet.trips_after_replacement(t.trip, _fleet(a)), None, present.order_trips),
+    "trip-conflicts": (lambda t, a: fleet.order_conflicts(t.trip, t.trip, _fleet(a)), None, present.order_trips),
+    "trip-completion": (
+        lambda t, a: fleet.trip_completion(t.trip, fleet.returns_due(t.trip, _fleet(a))),
+        None,
+        present.order_trips,
+    ),
+    "trip-deletion": (
+        lambda t, a: fleet.trip_deletion(t.trip, fleet.cancellations(t.trip, _fleet(a))),
+        None,
+        present.order_trips,
+    ),
+    "profiles": (lambda t, a: fleet.profile_upsert(t.vehicle_profile, t.profile_write), None, None),
     "trip-overlaps": (lambda t, a: fleet.trip_overlaps(t.trip, _fleet(a)), None, None),
     "vehicles-available": (
         lambda t, a: fleet.vehicles_available(t.fleet, t.trip, t.vehicle_profile, _fleet(a)),
@@ -170,6 +188,7 @@ def parse(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--include", help="customer codes to keep")
     p.add_argument("--exclude", help="customer codes to drop")
     p.add_argument("--cutoff", help="cut-off day yyyy-mm-dd (arrears)")
+    p.add_argument("--car", help="one vehicle's plate (trip history)")
     p.add_argument("--as-of", default=dt.datetime.now().replace(microsecond=0).isoformat(), help="trip log instant")
     p.add_argument("--text", action="store_true", help="printed text cells instead of typed numbers")
     p.add_argument("--out", help="write the report here instead of showing it")
@@ -181,7 +200,9 @@ def parse(argv: list[str]) -> argparse.Namespace:
 def build(tables: Tables, a: argparse.Namespace) -> DataFrame:
     make, text, order = REPORTS[a.report]
     df = make(tables, a)
-    if a.text and text is not None:
+    if a.text and text is None:
+        print(f"{a.report} has no printed form: typed columns are given", file=sys.stderr)
+    elif a.text:
         df = text(df, a)
     return order(df) if order is not None else df
 
@@ -195,6 +216,8 @@ def main(argv: list[str] | None = None) -> int:
         df.write.mode("overwrite").format(a.format).option("header", "true").save(a.out)
     else:
         df.show(a.rows, truncate=False)
+        if len(df.take(a.rows + 1)) > a.rows:
+            print(f"only the first {a.rows} rows are shown; --rows or --out gives more", file=sys.stderr)
     spark.stop()
     return 0
 

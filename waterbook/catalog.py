@@ -38,6 +38,8 @@ FLEET = FleetParams(dt.datetime(2024, 1, 15, 12, 0, 0))
 MONTH_FILTERS = Filters(regions="VT,\r\n bria ", class_code=" xd", purpose_code="h")
 INCLUDE_CLASS = "VIP"
 EXCLUDE_CLASS = "XD"
+# The vehicle of the one-vehicle history.
+PLATE = "72A-00007"
 # Decimals of doubles that two engines are compared on.
 QUANTIZE = 6
 
@@ -124,6 +126,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "reading_list_text": _q(lambda t: present.format_readings(readings.reading_delta(t, READING))),
     "reading_summary_text": _q(lambda t: present.format_reading_summary(readings.reading_class_summary(t, READING))),
+    "purpose_month_text": _q(
+        lambda t: present.purpose_headings(present.format_purpose(consumption.purpose_growth(t, MONTH, REGION)), MONTH)
+    ),
+    "arrears_cumulative_text": _q(lambda t: present.cumulative_headings(arrears.arrears_cumulative(t, CUMULATIVE))),
     "arrears_report_text": _q(
         lambda t: present.arrears_headings(
             arrears.arrears_snapshot(t, ARREARS), ARREARS.cutoff, ARREARS.previous_cutoff
@@ -150,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vehicles_available": _q(lambda t: fleet.vehicles_available(t.fleet, t.trip, t.vehicle_profile, FLEET)),
     "maintenance_overdue": _q(lambda t: fleet.maintenance_overdue(t.fleet, t.vehicle_profile, FLEET)),
     "vehicle_history": _q(lambda t: fleet.vehicle_history(t.trip)),
+    "vehicle_history_one": _q(lambda t: fleet.vehicle_history(t.trip, PLATE)),
     "profile_upsert": _q(lambda t: fleet.profile_upsert(t.vehicle_profile, t.profile_write)),
     "trip_completion": _q(lambda t: fleet.trip_completion(t.trip, fleet.returns_due(t.trip, FLEET))),
     "trip_deletion": _q(lambda t: fleet.trip_deletion(t.trip, fleet.cancellations(t.trip, FLEET))),

@@ -563,6 +563,10 @@ SQL["vehicle_history"] = with_fixtures("""
 SELECT car, id, strftime(start_at, '%Y-%m-%d') AS trip_date, dest, leader FROM d_trip
 """)
 
+SQL["vehicle_history_one"] = with_fixtures(f"""
+SELECT car, id, strftime(start_at, '%Y-%m-%d') AS trip_date, dest, leader FROM d_trip WHERE car = {q(C.PLATE)}
+""")
+
 SQL["profile_upsert"] = with_fixtures("""
 w AS (
   SELECT car, CAST(NULL AS TIMESTAMP) AS written_at, CAST(NULL AS BIGINT) AS write_id, seats, year_made,
@@ -782,3 +786,16 @@ def _arrears_text() -> str:
 
 
 SQL["arrears_report_text"] = _arrears_text()
+
+SQL["arrears_cumulative_text"] = _wrap(
+    SQL["arrears_cumulative"], "sort_order, " + ", ".join(f'{k} AS "{v}"' for k, v in L.CUMULATIVE_HEADINGS.items())
+)
+
+_PERCENT = f'"{L.PURPOSE_HEADINGS["growth_text"]}"'
+SQL["purpose_month_text"] = _wrap(
+    SQL["purpose_month_growth"],
+    f"""ordinal, purpose_code AS "{L.PURPOSE_HEADINGS['purpose_code']}", purpose_name AS "{L.PURPOSE_HEADINGS['purpose_name']}",
+  {grouped_vi('base')} AS "T{M.month_to}/{M.base_year}", {grouped_vi('cmp')} AS "T{M.month_to}/{M.cmp_year}",
+  {grouped_vi('diff')} AS "{L.PURPOSE_HEADINGS['diff_text']}",
+  concat({_trimmed_vi('COALESCE(' + _hundredths('base', 'diff') + ', 0)')}, ' %') AS {_PERCENT}""",
+)

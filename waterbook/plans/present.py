@@ -159,6 +159,34 @@ def arrears_headings(df: DataFrame, cutoff, previous_cutoff) -> DataFrame:
     return df.select("cashier", "sort_order", *[F.col(k).alias(v) for k, v in names.items()])
 
 
+def format_purpose(df: DataFrame) -> DataFrame:
+    """Purpose report: ``#,##0`` cells and ``#,##0.##`` growth with `` %``."""
+    c = F.col
+    h = F.coalesce(growth_hundredths(c("base"), c("diff")), F.lit(0))
+    return df.select(
+        "ordinal",
+        "purpose_code",
+        "purpose_name",
+        fmt.grouped(c("base")).alias("base_text"),
+        fmt.grouped(c("cmp")).alias("cmp_text"),
+        fmt.grouped(c("diff")).alias("diff_text"),
+        F.concat(fmt.pct_trimmed(h), F.lit(" %")).alias("growth_text"),
+    )
+
+
+def purpose_headings(df: DataFrame, period) -> DataFrame:
+    """The printed purpose report's columns under their headings, the two
+    volumes under ``T<month>/<year>``."""
+    names = dict(L.PURPOSE_HEADINGS)
+    names |= {"base_text": f"T{period.month_to}/{period.base_year}", "cmp_text": f"T{period.month_to}/{period.cmp_year}"}
+    return df.select("ordinal", *[F.col(c).alias(names[c]) for c in df.columns if c != "ordinal"])
+
+
+def cumulative_headings(df: DataFrame) -> DataFrame:
+    """Cumulative arrears by display name under the printed headings."""
+    return df.select("sort_order", *[F.col(k).alias(v) for k, v in L.CUMULATIVE_HEADINGS.items()])
+
+
 def kpi_text(df: DataFrame) -> DataFrame:
     """KPI cards: totals ``1,234``, signed change, signed growth and the
     status label."""

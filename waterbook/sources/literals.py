@@ -129,6 +129,15 @@ ARREARS_CASH_SUFFIX = "_Tồn TM"
 ARREARS_TOTAL_SUFFIX = "_Tồn TM+CK"
 ARREARS_DIFF_HEADING = "Chênh lệch tổng tồn"
 
+# Column headings of the printed purpose and cumulative arrears reports.
+PURPOSE_HEADINGS = {"purpose_code": "MÃ NHÓM", "purpose_name": "NHÓM ĐƠN VỊ SỬ DỤNG", "diff_text": "TĂNG, GIẢM", "growth_text": "%"}
+CUMULATIVE_HEADINGS = {
+    "cashier_name": "TÊN",
+    "open_transfer": "TỒN CK LŨY KẾ",
+    "open_cash": "TỒN TM LŨY KẾ",
+    "open_total": "TỔNG THEO NV",
+}
+
 # Trip log.
 TRIP_ORIGIN = "Vũng Tàu"
 ROUTE_ARROW = " → "
