@@ -90,13 +90,17 @@ def test_order_stream_applies_replace_policy(spark):
               order(5, "C2", "2026-05-01T09:00", "2026-05-01T10:00")]  # touches 3: no overlap
     _write_lines(os.path.join(src, "b1.json"), batch1)
     params = FleetParams(dt.datetime(2026, 5, 1, 12, 0))
-    q = trip_log.start(spark, src, root, params, checkpoint_location=ck, available_now=True)
+    q = trip_log.start(spark, src, root, checkpoint_location=ck, available_now=True)
     q.awaitTermination(120)
     _write_lines(os.path.join(src, "b2.json"), batch2)
-    q = trip_log.start(spark, src, root, params, checkpoint_location=ck, available_now=True)
+    q = trip_log.start(spark, src, root, checkpoint_location=ck, available_now=True)
     q.awaitTermination(120)
-    state = {r.id for r in trip_log.read_log(spark, root).collect()}
+    state = {r.id for r in trip_log.read_log(spark, root, params).collect()}
     assert state == {3, 4, 5}
+    again = tempfile.mkdtemp(prefix="wb-ck-")  # a new checkpoint reads all files again
+    trip_log.start(spark, src, root, checkpoint_location=again, available_now=True).awaitTermination(120)
+    assert state == {r.id for r in trip_log.read_log(spark, root, params).collect()}
+    assert trip_log.read_orders(spark, root).count() == 5
     everything = read_trip_json(spark, src)
     assert state == {r.id for r in trips_after_replacement(everything, params).collect()}
 
@@ -110,12 +114,12 @@ def test_order_stream_refuse_policy(spark):
     _write_lines(os.path.join(src, "b1.json"), [order(1, "C1", "2026-05-01T08:00", "2026-05-01T10:00"),
                                                 order(2, "C1", "2026-05-01T09:00", "2026-05-01T09:30")])
     params = FleetParams(dt.datetime(2026, 5, 1, 12, 0))
-    q = trip_log.start(spark, src, root, params, checkpoint_location=ck, available_now=True, policy="refuse")
+    q = trip_log.start(spark, src, root, checkpoint_location=ck, available_now=True)
     q.awaitTermination(120)
     _write_lines(os.path.join(src, "b2.json"), [order(3, "C1", "2026-05-01T09:45", "2026-05-01T11:00"),
                                                 order(4, "C1", "2026-05-01T10:00", "2026-05-01T11:00")])
-    q = trip_log.start(spark, src, root, params, checkpoint_location=ck, available_now=True, policy="refuse")
+    q = trip_log.start(spark, src, root, checkpoint_location=ck, available_now=True)
     q.awaitTermination(120)
-    state = {r.id for r in trip_log.read_log(spark, root).collect()}
+    state = {r.id for r in trip_log.read_log(spark, root, params, "refuse").collect()}
     assert state == {1, 4}
     assert state == {r.id for r in trips_after_refusal(read_trip_json(spark, src), params).collect()}

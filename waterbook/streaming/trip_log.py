@@ -1,20 +1,13 @@
-"""Trip orders as a stream, applied to the stored trip log.
-
-Entering an order appends it and, under the replace policy, removes every
-earlier order of the same car that it overlaps (under the refuse policy the
-new order is dropped instead). Applied to a micro-batch of new orders, the
-result is the same as entering them one by one in id order: with replace,
-a trip (stored or new) survives exactly when no later order of its car
-overlaps it. So each micro-batch computes
-
-    new state = trips_after_replacement(stored state UNION batch)
-
-(or ``trips_after_refusal`` for the refuse policy)
-with the bucketed interval join, and writes it as a new version of the log
-under ``table_root``. Writing each version is what cuts the lineage; the
-version for batch ``n`` is written to ``batch=<n>`` with overwrite, so a
-batch that is retried after a failure rewrites the same version
-(idempotent), and readers take the newest version that has ``_SUCCESS``.
+"""Trip orders as a stream, kept in an append-only log.
+
+Under either policy the current trips are a function of all orders by id:
+with ``replace`` an order stays exactly when no later order of its car
+overlaps it, with ``refuse`` when it overlaps no kept earlier one. So the
+stream only appends the orders of a micro-batch, touching no stored row, and
+``read_log`` applies the policy. A micro-batch that is written twice (a retry,
+or a restart with a new checkpoint that reads the files again) repeats orders
+whose ids are known; reading keeps one row per id, so nothing is lost or
+counted twice.
 """
 
 from __future__ import annotations
@@ -22,16 +15,16 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waterbook import schemas
+from waterbook.operators.upsert import latest_per_key
 from waterbook.params import FleetParams
 from waterbook.plans.fleet import trips_after_refusal, trips_after_replacement
 from waterbook.session import ensure_checkpoint_dir
 from waterbook.sources.tables import typed_trips
 
-TRIP_COLUMNS = ["id", "car", "driver", "leader", "dest", "passengers", "start_at", "end_at", "km_start", "km_end"]
+POLICIES = {"replace": trips_after_replacement, "refuse": trips_after_refusal}
 
 
 def order_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -42,81 +35,36 @@ def order_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: in
     return typed_trips(reader.json(source_dir))
 
 
-def _versions(spark: SparkSession, table_root: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(table_root)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(name)
-    return sorted(out)
-
-
-def _version_name(batch_id: int) -> str:
-    return f"batch={batch_id:012d}"
-
-
-def read_log(spark: SparkSession, table_root: str, before_batch: int | None = None) -> DataFrame:
-    """The newest complete version of the trip log (optionally the newest
-    one written before ``before_batch``); empty when there is none."""
-    versions = _versions(spark, table_root)
-    if before_batch is not None:
-        versions = [v for v in versions if v < _version_name(before_batch)]
-    if not versions:
-        return spark.createDataFrame([], trip_log_schema())
-    return spark.read.schema(trip_log_schema()).parquet(os.path.join(table_root, versions[-1]))
-
-
-def trip_log_schema():
-    return schemas.TRIP_LOG
-
-
-def apply_batch(stored: DataFrame, batch: DataFrame, params: FleetParams, policy: str = "replace") -> DataFrame:
-    """Stored log plus a batch of orders. ``replace``: a new order removes
-    the earlier orders it overlaps. ``refuse``: a new order is dropped when
-    it overlaps a kept one. Stored orders are older than new ones and never
-    overlap each other, so replaying the union in id order is exact for
-    both. An order whose id is already stored (a re-delivered file) is not
-    added twice."""
-    fresh = batch.join(stored.select("id"), "id", "left_anti").dropDuplicates(["id"])
-    union = stored.select(*TRIP_COLUMNS).unionByName(fresh.select(*TRIP_COLUMNS))
-    if policy == "replace":
-        return trips_after_replacement(union, params)
-    if policy == "refuse":
-        return trips_after_refusal(union, params)
-    raise ValueError("policy must be 'replace' or 'refuse'")
+def read_orders(spark: SparkSession, table_root: str) -> DataFrame:
+    """All orders ever entered, one row per id."""
+    rows = spark.read.schema(schemas.TRIP_LOG).parquet(table_root)
+    columns = [f.name for f in schemas.TRIP_LOG.fields]
+    return latest_per_key(rows, "id", [c for c in columns if c != "id"]).select(*columns)
+
+
+def read_log(spark: SparkSession, table_root: str, params: FleetParams, policy: str = "replace") -> DataFrame:
+    """The trips that stand under ``policy``."""
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {sorted(POLICIES)}")
+    return POLICIES[policy](read_orders(spark, table_root), params)
 
 
 def start(
     spark: SparkSession,
     source_dir: str,
     table_root: str,
-    params: FleetParams,
     checkpoint_location: str | None = None,
     available_now: bool = False,
     processing_time: str | None = None,
-    policy: str = "replace",
 ) -> StreamingQuery:
     """Start the ingestion query. The checkpoint goes under the session's
     shared ``spark.checkpoint.dir`` unless a location is given."""
     location = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "trip-log-stream")
 
-    def write_version(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        stored = read_log(s, table_root, before_batch=batch_id)
-        state = apply_batch(stored, batch, params, policy)
-        state.repartition(F.col("car")).write.mode("overwrite").parquet(
-            os.path.join(table_root, _version_name(batch_id))
-        )
-
-    writer = order_stream(spark, source_dir).writeStream.foreachBatch(write_version).option(
-        "checkpointLocation", location
-    )
+    def append(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(table_root)
+
+    writer = order_stream(spark, source_dir).writeStream.foreachBatch(append).option("checkpointLocation", location)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
