@@ -11,14 +11,15 @@ choice only affects speed.
    form one group; only groups are posted under their prefix tokens.
 2. Under each token groups are paired and filtered by size and by the position
    of the token. Lists of up to ``all_pairs`` groups give all their pairs;
-   longer ones give a star per size class, and their members are noted as a
-   block. Tokens in more than ``hot`` documents are dealt to salted buckets.
+   longer ones give a star per size class and are kept. Tokens in more than
+   ``hot`` documents are dealt to salted buckets, their members to a block.
 3. Group pairs are expanded to class pairs (a large product again to stars and
    a block) and verified on the whole sets; verified pairs are joined into
    components.
-4. Of the blocks, every pair of classes that is still in different components
-   is verified too. So any two linked documents end in one component, though
-   not every pair of a large group of copies is compared.
+4. The long lists are gone through again: every pair of classes that passes
+   the filters, and a bound from parity sketches of the sets, and is still in different components is verified too, as is
+   every pair of a block. So any two linked documents end in one component,
+   though not every pair of a large group of copies is compared.
 
 Sets are compared by hashes of their shingles: 64 bits, of which 48 travel.
 
@@ -62,6 +63,17 @@ def set_hash(tokens: np.ndarray) -> int:
     return int(np.add.reduce(mix(tokens * U(0x9E3779B97F4A7C15) + U(1)), dtype=np.uint64) >> U(1))
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """512 bits in 8 numbers: of each part of the hash space, whether it holds
+    an odd number of the set's members. Two sets differ in at least as many
+    members as their sketches in bits."""
+    odd = np.bincount((tokens >> U(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SKETCH = [f"s{i}" for i in range(8)]
+
+
 def each_set(hasher: Hasher, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
     """Index and ascending distinct shingles of each text that has any."""
     for at, end in pieces(texts):
@@ -109,7 +121,7 @@ def _from_planes(data: bytes) -> np.ndarray:
 # --- token counts ----------------------------------------------------------
 
 
-def _token_batches(width: int, bits: int, most: int = 4_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _token_batches(width: int, bits: int, most: int = 1_500_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(width)
         held: list[np.ndarray] = []
@@ -162,12 +174,13 @@ def _set_info(sent, width: int, num: int, den: int) -> Callable[[Iterator[pa.Rec
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             n, c, g = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            sketch = np.zeros((8, len(texts)), np.int64)
             for i, tokens in each_set(hasher, texts):
                 keys, _ = order.keys(tokens)
-                n[i], c[i] = len(tokens), set_hash(tokens)
+                n[i], c[i], sketch[:, i] = len(tokens), set_hash(tokens), parity_sketch(tokens)
                 p = prefix_length(len(tokens), num, den)
                 g[i] = group_hash(np.partition(keys, p - 1)[:p], len(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(c, mask=n == 0), pa.array(g, mask=n == 0)], ["id", "n", "c", "g"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(c, mask=n == 0), pa.array(g, mask=n == 0), *map(pa.array, sketch)], ["id", "n", "c", "g", *SKETCH])
 
     return run
 
@@ -177,7 +190,7 @@ def group_hash(prefix: np.ndarray, size: int) -> int:
     return (set_hash(prefix) * 0x9E3779B1 + size * 0x85EBCA77) & ((1 << 63) - 1)
 
 
-def _posting_batches(sent, width: int, num: int, den: int, bits: int, hot: int, most: int = 1_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _posting_batches(sent, width: int, num: int, den: int, bits: int, hot: int, most: int = 400_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order = Hasher(width), TokenOrder(*sent.value)
         seen: set[int] = set()
@@ -220,11 +233,16 @@ def _posting_batches(sent, width: int, num: int, den: int, bits: int, hot: int,
     return run
 
 
-PAIR, BLOCK, HUB = 0, 1, 2
+PAIR, BLOCK, HUB, LIST = 0, 1, 2, 3
+FOUND = "kind int, a bigint, b bigint, bucket bigint, members binary"
+MEMBER = np.dtype([("group", np.int64), ("size", np.int32), ("place", np.int32)])
 
 
 def _pair_bucket(num: int, den: int, all_pairs: int, bits: int) -> Callable[[pa.Table], pa.Table]:
-    """Group pairs, blocks of long lists, and the hubs of salted lists."""
+    """Group pairs, the long lists with the groups in them, and the hubs of
+    salted lists. FOUND's rows: a pair (a, b); a list (a: token) with packed
+    members, and the groups (b) of all long lists of the bucket; a group (b)
+    of a salted list (a); a hub (b) of a salted list (a)."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -237,13 +255,15 @@ def _pair_bucket(num: int, den: int, all_pairs: int, bits: int) -> Callable[[pa.
         token, group, size, place = token[new], group[new], size[new], place[new]
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         length = np.diff(np.concatenate((start, [len(token)])))
-        kinds, left, right = [], [], []
+        kinds, left, right, packed = [], [], [], []
 
         def emit(kind: int, a: np.ndarray, b: np.ndarray) -> None:
-            both = np.unique(np.stack([a, b], axis=1), axis=0)
-            kinds.append(np.full(len(both), kind))
-            left.append(both[:, 0])
-            right.append(both[:, 1])
+            by = np.lexsort((b, a))
+            a, b = a[by], b[by]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, dtype=bool)
+            kinds.append(np.full(int(new.sum()), kind, dtype=np.int32))
+            left.append(a[new])
+            right.append(b[new])
 
         def pairs(i: np.ndarray, j: np.ndarray) -> None:
             m, n = size[i], size[j]
@@ -255,7 +275,7 @@ def _pair_bucket(num: int, den: int, all_pairs: int, bits: int) -> Callable[[pa.
         for k in np.unique(length[(length > 1) & (length <= all_pairs)]):
             x, y = np.triu_indices(k, 1)
             own = start[length == k]
-            step = max(1, 2_000_000 // len(x))
+            step = max(1, 300_000 // len(x))
             for at in range(0, len(own), step):
                 rows = own[at : at + step, None]
                 pairs((rows + x).ravel(), (rows + y).ravel())
@@ -272,23 +292,65 @@ def _pair_bucket(num: int, den: int, all_pairs: int, bits: int) -> Callable[[pa.
                 emit(PAIR, np.minimum(a, b)[a != b], np.maximum(a, b)[a != b])
                 if bucket >= 1 << bits:
                     emit(HUB, np.full(len(head), token[m[0]].astype(np.int64)), group[m[head]])
-            # lists that share a member are one block
-            rows, lists = np.concatenate(members), np.repeat(np.arange(len(members)), [len(m) for m in members])
-            names, who = np.unique(group[rows], return_inverse=True)
-            label, before = np.arange(len(names)), None
-            while before is None or (label != before).any():
-                before = label.copy()
-                low = np.full(len(members), len(names))
-                np.minimum.at(low, lists, label[who])
-                np.minimum.at(label, who, low[lists])
             if bucket < 1 << bits:
-                emit(BLOCK, names[label], names)
+                names = np.unique(group[np.concatenate(members)])
+                emit(LIST, np.full(len(names), -1), names)
+                for m in members:
+                    entry = np.empty(len(m), dtype=MEMBER)
+                    entry["group"], entry["size"], entry["place"] = group[m], size[m], place[m]
+                    packed.append((int(token[m[0]]), entry.tobytes()))
         if bucket >= 1 << bits:  # parts of one list lie in several buckets
             emit(BLOCK, -1 - token.astype(np.int64), group)
-        if not kinds:
-            return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64())})
-        kind = np.concatenate(kinds).astype(np.int32)
-        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right)), "bucket": pa.array(np.full(len(kind), bucket))})
+        kind = np.concatenate([*kinds, np.full(len(packed), LIST, dtype=np.int32)])
+        a = np.concatenate([*left, np.array([t for t, _ in packed], dtype=np.int64)])
+        b = np.concatenate([*right, np.full(len(packed), -1, dtype=np.int64)])
+        blobs = pa.array([None] * (len(kind) - len(packed)) + [x for _, x in packed], pa.binary())
+        return pa.table({"kind": pa.array(kind), "a": pa.array(a), "b": pa.array(b), "bucket": pa.array(np.full(len(kind), bucket)), "members": blobs})
+
+    return run
+
+
+def _open_pairs(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a bucket's long lists, the class pairs in different components that
+    pass the filters, that of their parity sketches included. Right: (g, c,
+    root, sketch) of the lists' groups."""
+
+    def run(lists: pa.Table, known: pa.Table) -> pa.Table:
+        g, c, root = (known.column(x).to_numpy() for x in ("g", "c", "root"))
+        by = np.argsort(g, kind="stable")
+        g, c, root = g[by], c[by], root[by]
+        sketch = np.stack([known.column(x).to_numpy() for x in SKETCH], axis=1)[by].view(np.uint64)
+        out: list[np.ndarray] = []
+        for blob in lists.column("members").to_pylist():
+            entry = np.frombuffer(blob, dtype=MEMBER)
+            low, high = np.searchsorted(g, entry["group"]), np.searchsorted(g, entry["group"], side="right")
+            k = high - low  # classes of each group
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum())
+            r, who, bits = root[at], c[at], sketch[at]
+            n, rest = np.repeat(entry["size"].astype(np.int64), k), np.repeat((entry["size"] - entry["place"]).astype(np.int64), k)
+            names, part, sizes = np.unique(r, return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                continue
+            main = part == sizes.argmax()
+            few = np.flatnonzero(~main)  # whatever pair is open has one of these
+            step = max(1, 2_000_000 // len(r))
+            for start in range(0, len(few), step):
+                i = few[start : start + step, None]
+                ok = (part[i] != part) & (main | (i < np.arange(len(r))))
+                ok &= np.minimum(n[i], n) * den >= np.maximum(n[i], n) * num
+                ok &= np.minimum(rest[i], rest) >= least_overlap(n[i] + n, num, den)
+                x, y = np.nonzero(ok)
+                x = i[x, 0]
+                # sets that reach the similarity differ in no more members than this
+                most = n[x] + n[y] - 2 * least_overlap(n[x] + n[y], num, den)
+                near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most
+                x, y = x[near], y[near]
+                out.append(np.stack([np.minimum(who[x], who[y]), np.maximum(who[x], who[y])]))
+        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+        by = np.lexsort(both)
+        both = both[:, by]
+        new = np.concatenate(([True], (both[:, 1:] != both[:, :-1]).any(axis=0))) if len(by) else np.zeros(0, dtype=bool)
+        return pa.table({"x": pa.array(both[0][new], pa.int64()), "y": pa.array(both[1][new], pa.int64())})
 
     return run
 
@@ -369,7 +431,7 @@ def link_components(
     width: int = 5,
     max_frequent: int = 500_000,
     frequent: int = 9,
-    all_pairs: int = 64,
+    all_pairs: int = 8,
     hot: int = 50_000,
     max_wanted: int = 2_000_000,
 ) -> DataFrame:
@@ -383,11 +445,11 @@ def link_components(
     order = spark.sparkContext.broadcast(frequent_tokens(texts, width, bits, frequent, max_frequent))
 
     kind = rows.schema["id"].dataType.simpleString()
-    info = stored(rows.mapInArrow(_set_info(order, width, num, den), f"id {kind}, n bigint, c bigint, g bigint"), "set-info")
-    classes = stored(info.filter("c is not null").groupBy("c").agg(F.min("id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n")), "classes")
+    info = stored(rows.mapInArrow(_set_info(order, width, num, den), f"id {kind}, n bigint, c bigint, g bigint, " + ", ".join(f"{x} bigint" for x in SKETCH)), "set-info")
+    classes = stored(info.filter("c is not null").groupBy("c").agg(F.min("id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in SKETCH]), "classes")
 
     posted = texts.mapInArrow(_posting_batches(order, width, num, den, bits, hot), "bucket bigint, tokens binary, groups binary, sizes binary, places binary")
-    found = stored(posted.groupBy("bucket").applyInArrow(_pair_bucket(num, den, all_pairs, bits), "kind int, a bigint, b bigint, bucket bigint"), "group-pairs")
+    found = stored(posted.groupBy("bucket").applyInArrow(_pair_bucket(num, den, all_pairs, bits), FOUND), "group-pairs")
     groups = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("rep"))
     several = stored(groups.filter("k > 1"), "groups-of-several")
 
@@ -415,18 +477,22 @@ def link_components(
     good = stored(verify(texts, candidates, width, num, den, max_wanted), "linked-pairs")
     roots = stored(component_roots(good), "roots")
 
-    # what stars have left out: classes of one block in different components
-    name = F.xxhash64("kind", "a", F.when(F.col("a") >= 0, F.col("bucket")))
-    blocks = found.filter(F.col("kind") == BLOCK).select(name.alias("block"), F.col("b").alias("g"))
+    # what stars have left out: pairs of a list or block in different components
+    rooted = classes.select("g", "c", "n", *SKETCH).join(roots.withColumnRenamed("node", "c"), "c", "left")
+    rooted = rooted.select("g", "c", "n", F.coalesce("root", "c").alias("root"), *SKETCH)
+    lists = found.filter(F.col("kind") == LIST)
+    seen = lists.filter("members is null").select(F.col("bucket").alias("at"), F.col("b").alias("g")).join(rooted, "g").select("at", "g", "c", "root", *SKETCH)
+    lists = lists.filter("members is not null").select("bucket", "members")
+    open_ = lists.groupBy("bucket").cogroup(seen.groupBy("at")).applyInArrow(_open_pairs(num, den), "x bigint, y bigint")
+    blocks = found.filter(F.col("kind") == BLOCK).select(F.xxhash64("kind", "a").alias("block"), F.col("b").alias("g"))
     blocks = blocks.union(large.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("g")))
     blocks = blocks.union(several.filter("k > 2").select(F.xxhash64(F.lit("group"), "g").alias("block"), "g")).distinct()
-    rest = blocks.join(classes.select("g", "c", "n"), "g").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    rest = rest.select("block", "c", "n", F.coalesce("root", "c").alias("root"))
+    rest = blocks.join(rooted, "g").select("block", "c", "n", "root")
     mixed = rest.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("block")
     rest = stored(rest.join(mixed, "block"), "open-blocks")
     other = rest.select("block", F.col("c").alias("y"), F.col("n").alias("m"), F.col("root").alias("r"))
     cross = rest.join(other, "block").filter((F.col("root") < F.col("r")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num))
-    cross = ordered(cross.select(F.col("c").alias("x"), "y")).join(candidates, ["a", "b"], "left_anti")
+    cross = ordered(cross.select(F.col("c").alias("x"), "y").union(open_)).join(candidates, ["a", "b"], "left_anti")
     cross = stored(cross, "open-pairs")
     if cross.limit(1).count():
         more = stored(verify(texts, cross, width, num, den, max_wanted), "more-linked-pairs")
