@@ -106,15 +106,17 @@ def mix(
     text: str = "text",
     key: str = "doc_id",
     source: str = "source",
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: struct ``row`` (its columns), ``size``,
+    """Per row of ``docs``: struct ``row`` (its columns, or only ``carry``), ``size``,
     ``source_size``, ``target``, ``taken`` and ``copies``, an array of
     (epoch, words, position)."""
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
-    t = F.col("row")[text]
-    h = F.xxhash64(F.lit(seed), F.col("row")[key], t)
-    rows = pack(docs).select("row", F.col("row")[source].alias("source"), F.size(words(t)).cast("long").alias("size"), h.alias("h"))
+    t = F.col("all")[text]
+    h = F.xxhash64(F.lit(seed), F.col("all")[key], t)
+    row = F.col("all") if carry is None else F.struct(*[F.col("all")[c].alias(c) for c in carry])
+    rows = pack(docs, "all").select(row.alias("row"), F.col("all")[source].alias("source"), F.size(words(t)).cast("long").alias("size"), h.alias("h"))
     rows = rows.withColumn("b", F.shiftrightunsigned("h", 64 - buckets.bit_length() + 1).cast("int") if buckets > 1 else F.lit(0))
 
     parts = stored(rows.groupBy("source", "b").agg(F.sum("size").alias("part")), "mix-parts")

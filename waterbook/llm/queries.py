@@ -25,7 +25,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of their first training position."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select(
         "row.doc_id", "size", "source_size", "target", "taken",
         F.size("copies").alias("n_copies"), F.get("copies", F.lit(0))["position"].alias("position"),
