@@ -182,6 +182,31 @@ def test_language_of_odd_rows(spark):
     assert {r.prediction.lang for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def test_stored_language_model_has_every_ngram(spark):
+    import numpy as np
+
+    docs = small(spark)
+    model = language_id.fit(docs)
+    whole = language_id.kneser_ney(language_id.count_ngrams(docs, "text", "lang").toPandas())
+    texts, letters = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + ["an unseen жук qqqq"], language_id.letter_table()
+    got, want = model.entropies(texts, letters), whole.entropies(texts, letters)
+    assert model.languages == whole.languages
+    np.testing.assert_allclose(got[1], want[1], rtol=1e-5)
+    model.held, model.room = {}, 0  # nothing kept: parts are read again
+    np.testing.assert_allclose(model.entropies(texts, letters)[1], got[1])
+
+
+def test_language_beside_a_large_one_is_learned(spark):
+    rnd = random.Random(5)
+    hot = "".join(chr(0x4E00 + rnd.randrange(6000)) for _ in range(450_000))
+    rare = "the small language has a few lines of text and is told by them "
+    df = spark.createDataFrame([(1, hot, "aa"), (2, hot, "aa"), (3, rare, "zz")], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.languages == ["aa", "zz"]
+    got = language_id.identify(df.filter("doc_id = 3"), model).first().prediction
+    assert got.lang == "zz"
+
+
 def test_language_model_is_a_distribution():
     import numpy as np
     import pandas as pd
