@@ -207,6 +207,18 @@ def test_language_beside_a_large_one_is_learned(spark):
     assert got.lang == "zz"
 
 
+def test_rare_language_is_calibrated_by_its_own_texts(spark):
+    rnd = random.Random(6)
+    line = lambda syllables, n: " ".join("".join(rnd.choice(syllables) for _ in range(3)) for _ in range(n))
+    copies = [line(["ta", "no", "ri"], 80)] * 300
+    rare = [line(["zyk", "wug", "plo"], 80) for _ in range(3)]
+    rows = [(t, "aa") for t in [*copies, *(line(["ta", "no", "ri"], 80) for _ in range(200))]] + [(t, "zz") for t in rare]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    for size in (20, 0):  # 0: no language has a calibration
+        got = language_id.identify(df, language_id.fit(df, calibration_rows=size)).select("lang", "prediction.*").toDF("stated", "lang", "score", "entropy", "n", "accepted").collect()
+        assert all(r.accepted and r.lang == r.stated for r in got)
+
+
 def test_language_model_is_a_distribution():
     import numpy as np
     import pandas as pd
