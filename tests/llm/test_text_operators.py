@@ -91,6 +91,16 @@ def test_quality_score_is_the_mean_log_ratio(spark):
     assert got == pytest.approx(total / len(ends) / 1e6, abs=1e-12)
 
 
+def test_quality_reads_whole_words(spark):
+    docs, labels = small(spark).select("doc_id", "text"), table(spark, SF_SMALL, "labels")
+    model = quality.fit(docs, quality.trusted_ids(labels))
+    best = max(quality.apply(docs, model).filter("kept").collect(), key=lambda r: r.score).doc_id
+    text = docs.filter(F.col("doc_id") == best).first().text
+    junk = re.sub(WORD, lambda m: "qx" + m[0][-3:], text)  # other words of the same endings
+    got = {r.doc_id: r for r in quality.apply(spark.createDataFrame([(1, text), (2, junk)], "doc_id long, text string"), model).collect()}
+    assert got[1].kept and got[2].score < got[1].score
+
+
 def test_quality_of_nothing(spark):
     empty, labels = odd_docs(spark).limit(0), table(spark, SF_SMALL, "labels").limit(0)
     model = quality.fit(empty, quality.trusted_ids(labels))
