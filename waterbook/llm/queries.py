@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard_join, language_id, license_scan, mixing, quality, token_counts, warc
+from . import alignment, bpe, chat, fingerprints, jaccard_join, language_id, license_scan, mixing, quality, token_counts, toxicity, vector_codes, warc
 from .common import public_vocabulary, shared_path, table
 
 
@@ -96,6 +96,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(docs, quality.fit(docs, quality.trusted_ids(labels)))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, byte_level: str | None = None, pieces: str | None = None) -> DataFrame:
+    paths = byte_level or public_vocabulary("byte_bpe_50k.json"), pieces or public_vocabulary("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_sentences")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    coded = vector_codes.encode(vectors, books, ["vec_id", "label"])
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
@@ -107,6 +126,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_toxicity": op12_toxicity,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
