@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, fingerprints, jaccard_join, language_id, license_scan, mixing, quality, token_counts, toxicity, vector_codes, warc
+from . import alignment, bpe, chat, fingerprints, jaccard_join, language_id, license_scan, mixing, quality, sql, token_counts, toxicity, vector_codes, warc
 from .common import public_vocabulary, shared_path, table
 
 
@@ -132,4 +132,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_warc": sql.WARC, "op3_jaccard_join": sql.JACCARD, "op13_vector_codes": sql.VECTOR_CODES}

@@ -97,7 +97,7 @@ def _matrix(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
     size = column.value_lengths().to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(size == length)
     flat = (column if len(rows) == len(size) else column.take(pa.array(rows))).flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(rows), length), rows
+    return flat.reshape(len(rows), max(length, 0)), rows
 
 
 class Distances:
