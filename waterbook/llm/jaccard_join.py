@@ -14,8 +14,8 @@ choice only affects speed.
    longer ones give a star per size class and are kept. Tokens in more than
    ``hot`` documents are dealt to salted buckets, their members to a block.
 3. Group pairs are expanded to class pairs (a large product again to stars and
-   a block) and verified on the whole sets; verified pairs are joined into
-   components.
+   a block) and verified on the whole sets: first one pair of each class,
+   then, of the others, those between the components that these make.
 4. The long lists are gone through again: every pair of classes that passes
    the filters, and a bound from parity sketches of the sets, and is still in different components is verified too, as is
    every pair of a block. So any two linked documents end in one component,
@@ -382,12 +382,11 @@ def _class_tokens(sent, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def verify(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int, max_wanted: int) -> DataFrame:
-    """Of class pairs (a, b), those whose sets reach the similarity.
+def class_sets(texts: DataFrame, pairs: DataFrame, width: int, max_wanted: int) -> DataFrame:
+    """(c, tokens) of the classes in class pairs (a, b), stored.
 
-    Sets are made again from the texts, only for classes in some pair. Up to
-    ``max_wanted`` class ids are broadcast for that; beyond it all sets are
-    joined with the ids instead.
+    Sets are made again from the texts. Up to ``max_wanted`` class ids are
+    broadcast for that; beyond it all sets are joined with the ids instead.
     """
     spark = texts.sparkSession
     ids = stored(pairs.select("a").union(pairs.select("b")).distinct(), "wanted")
@@ -397,7 +396,11 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int, m
     sets = texts.mapInArrow(_class_tokens(sent, width), "c bigint, tokens binary")
     if sent is None:
         sets = sets.join(ids.withColumnRenamed("a", "c"), "c", "left_semi")
-    sets = stored(sets.dropDuplicates(["c"]), "class-sets")
+    return stored(sets.dropDuplicates(["c"]), "class-sets")
+
+
+def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of class pairs (a, b), those whose whole sets reach the similarity."""
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -410,7 +413,27 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int, m
 
     first = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a")
     both = first.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.filter(similar("x", "y")).select("a", "b")
+    return stored(both.filter(similar("x", "y")).select("a", "b"), "linked-pairs")
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes lie in different components, which are (ra, rb)."""
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return pairs.filter("ra <> rb")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further verified links (a, b): only the components are
+    linked anew, so an edge is one between components."""
+    edges = stored(_across(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "component-links")
+    if not edges.limit(1).count():
+        return roots
+    upper = component_roots(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = roots.union(roots.select("root", "root")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct()
+    known = known.toDF("node", "root").join(upper, "root", "left")
+    return stored(known.select("node", F.coalesce("top", "root").alias("root")).groupBy("node").agg(F.min("root").alias("root")), "roots")
 
 
 # --- the join --------------------------------------------------------------
@@ -474,8 +497,13 @@ def link_components(
     wide = single.union(full).union(star).union(inside)
     ordered = lambda d: d.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     candidates = stored(ordered(wide), "class-pairs")
-    good = stored(verify(texts, candidates, width, num, den, max_wanted), "linked-pairs")
-    roots = stored(component_roots(good), "roots")
+    sets = class_sets(texts, candidates, width, max_wanted)
+    # a class of a large group of near copies is in several stars: one pair of
+    # each class comes first, and of the others those still across components
+    first = stored(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    roots = stored(component_roots(verify(sets, first, num, den)), "roots")
+    second = stored(_across(candidates.join(first, ["a", "b"], "left_anti"), roots).select("a", "b"), "second-pairs")
+    roots = _merged(roots, verify(sets, second, num, den))
 
     # what stars have left out: pairs of a list or block in different components
     rooted = classes.select("g", "c", "n", *SKETCH).join(roots.withColumnRenamed("node", "c"), "c", "left")
@@ -495,9 +523,7 @@ def link_components(
     cross = ordered(cross.select(F.col("c").alias("x"), "y").union(open_)).join(candidates, ["a", "b"], "left_anti")
     cross = stored(cross, "open-pairs")
     if cross.limit(1).count():
-        more = stored(verify(texts, cross, width, num, den, max_wanted), "more-linked-pairs")
-        if more.limit(1).count():
-            roots = stored(component_roots(good.union(more)), "roots")
+        roots = _merged(roots, verify(class_sets(texts, cross, width, max_wanted), cross, num, den))
 
     named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
