@@ -79,16 +79,14 @@ def test_quality_score_is_the_mean_log_ratio(spark):
         v = xxhash.xxh64_intdigest(data, seed & (2**64 - 1))
         return v - 2**64 if v >= 2**63 else v
 
-    ends = [h(w[-3:].encode()) for w in text.split()]
-    total = 0
-    for a, b in zip(ends, [*ends[1:], None], strict=True):
-        # a null second hash leaves the first one's hash as it is
+    tokens = [h(w.encode()) for w in text.split()]  # each one run of letters or of signs
+    total = sum(weights[a % 64] for a in tokens)
+    for a, b in zip(tokens, tokens[1:]):
         first = h((a % 2**64).to_bytes(8, "little"))
-        both = first if b is None else h((b % 2**64).to_bytes(8, "little"), first)
-        total += weights[both % 64]
+        total += weights[h((b % 2**64).to_bytes(8, "little"), first) % 64]
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = quality.apply(df, quality.QualityModel(weights, 0.0)).first().score
-    assert got == pytest.approx(total / len(ends) / 1e6, abs=1e-12)
+    assert got == pytest.approx(total / (2 * len(tokens) - 1) / 1e6, abs=1e-12)
 
 
 def test_quality_reads_whole_words(spark):
@@ -101,6 +99,16 @@ def test_quality_reads_whole_words(spark):
     assert got[1].kept and got[2].score < got[1].score
 
 
+@pytest.mark.parametrize("name", ["op2_mix_sources", "op6_fingerprints", "op10_quality_rules"])
+def test_filters_on_results_do_not_blow_up_the_plan(spark, name):
+    """No column's expression is put back for each mention of it."""
+    df = queries.QUERIES[name](spark, SF_SMALL)
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    plain = size(df)
+    for column in df.columns:
+        assert size(df.filter(F.col(column).isNotNull() & (F.col(column).cast("string") != "-"))) <= 1.5 * plain, column
+
+
 def test_quality_of_nothing(spark):
     empty, labels = odd_docs(spark).limit(0), table(spark, SF_SMALL, "labels").limit(0)
     model = quality.fit(empty, quality.trusted_ids(labels))
@@ -133,6 +141,14 @@ def test_bpe_query_digests(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_round_trip_is_encode_then_decode(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1000)  # the table of known words starts anew again and again
+    path = public_vocabulary("word_bpe_49k.json")
+    docs = small(spark)
+    two = bpe.decode(bpe.encode(docs, path), path)
+    assert sorted(map(repr, bpe.round_trip(docs, path, piece=500).collect())) == sorted(map(repr, two.collect()))
+
+
 def test_bpe_of_odd_rows(spark):
     path = public_vocabulary("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)

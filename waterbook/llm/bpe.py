@@ -25,8 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens above this length, and tables above this size, are not kept.
-MEMO_LENGTH, MEMO_SIZE = 48, 400_000
+#: Pre-tokens above this length are not remembered; beyond about this many
+#: bytes the table of remembered ones starts anew.
+MEMO_LENGTH, MEMO_BYTES = 48, 48_000_000
 
 #: Unicode white space as the normalizer of these files reads ``\s``.
 WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -80,6 +81,7 @@ class Encoder:
         if self.split and not self.split.search(" \t\n\x85\xa0\u2028\u3000"):
             self.steps = [s for s in self.steps if s != "Space"]  # pre-tokens hold no white space
         self.known: dict[str, bytes] = {}
+        self.held = 0
         size = max([*ids.values(), *self.special.values()]) + 1
         self.strings = [""] * size
         for table in (ids, self.special):
@@ -141,8 +143,10 @@ class Encoder:
         if got is None:
             got = array("i", self.merge(word)).tobytes()
             if len(word) <= MEMO_LENGTH:
-                if len(self.known) >= MEMO_SIZE:
+                self.held += 190 + 2 * len(word) + len(got)
+                if self.held > MEMO_BYTES:
                     self.known.clear()
+                    self.held = 0
                 self.known[word] = got
         return got
 
@@ -171,11 +175,12 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _encode_batches(spec: str, key: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode_batches(spec: str, key: str, most: int, back: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         coder = Encoder(json.loads(spec))
+        strings = pa.array(coder.strings, pa.string())
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             at = 0
@@ -189,18 +194,35 @@ def _encode_batches(spec: str, key: str, most: int) -> Callable[[Iterator[pa.Rec
                 ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64)
                 flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([keys.slice(at, done - at), ids], [key, "ids"])
+                columns = [keys.slice(at, done - at), ids]
+                yield pa.RecordBatch.from_arrays([*columns, *([_strings_of(ids, strings, coder.separator)] if back else [])], [key, "ids", *(["decoded"] if back else [])])
                 at = done
 
     return run
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", piece: int = 4_000_000) -> DataFrame:
-    """(key, ids array<int>) of every whole text. Tasks hold one batch of rows
-    and the ids of about ``piece`` characters (or of one text)."""
+def _strings_of(ids: pa.ListArray, strings: pa.Array, separator: str) -> pa.Array:
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0)).to_pylist()
+    lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), strings.take(ids.flatten()))
+    return pc.binary_join(lists, separator)
+
+
+def _encoded(docs: DataFrame, path: str, key: str, text: str, piece: int, back: bool) -> DataFrame:
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_encode_batches(read_spec(path), key, piece), f"`{key}` {kind}, ids array<int>")
+    return rows.mapInArrow(_encode_batches(read_spec(path), key, piece, back), f"`{key}` {kind}, ids array<int>{', decoded string' if back else ''}")
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", piece: int = 1_000_000) -> DataFrame:
+    """(key, ids array<int>) of every whole text. Tasks hold one batch of rows
+    and the ids of about ``piece`` characters (or of one text)."""
+    return _encoded(docs, path, key, text, piece, back=False)
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", piece: int = 1_000_000) -> DataFrame:
+    """(key, ids, decoded): the texts encoded and their ids decoded again, as
+    ``decode(encode(..))`` gives, in one pass with one set of tables a task."""
+    return _encoded(docs, path, key, text, piece, back=True)
 
 
 def _decode_batches(spec: str, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -210,10 +232,7 @@ def _decode_batches(spec: str, key: str) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids = part.column(1)
-                ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0)).to_pylist()
-                lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), strings.take(ids.flatten()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pc.binary_join(lists, coder.separator)], [key, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _strings_of(part.column(1), strings, coder.separator)], [key, "ids", "decoded"])
 
     return run
 

@@ -27,6 +27,13 @@ def pack(df: DataFrame, name: str = "row") -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name))
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """``df`` as it is, but no filter or projection on top is moved into what
+    makes its columns, where each mention of a column would be put back as its
+    whole expression, inside lambdas too."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import sealed, stored, words
 
 K = 128
 WIDTH = 5
@@ -141,4 +141,4 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     third = "cast(floor(n / 3) as int)"
     both = both.withColumn("edited", F.expr(f"concat(substring(t, 1, n - {third}), substring(lead, 1, {third}))"))
     both = add_sketches(both.select("id", "t", "n", "edited", "next_sketch"), {"t": "sketch", "edited": "edited_sketch"}, k)
-    return both.select(F.col("id").alias(key), F.col("t").alias(text), F.col("n").cast("long").alias("n_chars"), "edited", "sketch", "edited_sketch", "next_sketch")
+    return sealed(both.select(F.col("id").alias(key), F.col("t").alias(text), F.col("n").cast("long").alias("n_chars"), "edited", "sketch", "edited_sketch", "next_sketch"))

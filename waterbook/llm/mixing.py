@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pack, stored, words
+from .common import pack, sealed, stored, words
 
 #: Knots (time, factor) of the default curriculum, by the place of a source's
 #: weight in the cycle: constant, rising, falling. Each integrates to 1.
@@ -140,7 +140,7 @@ def mix(
     copies = F.transform(F.sequence(F.lit(0), F.lit(int(-(-max_epochs // 1)) - 1)), copy)
     rows = rows.withColumn("copies", F.filter(copies, lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"])
-    return rows.select("row", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return sealed(rows.select("row", "size", "source_size", "target", taken.alias("taken"), "copies"))
 
 
 def training_sequence(mixed: DataFrame, whole: bool = False) -> DataFrame:

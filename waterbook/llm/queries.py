@@ -39,7 +39,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_vocabulary("word_bpe_49k.json")
-    return bpe.with_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.with_digests(bpe.round_trip(table(spark, sf_dir, "documents"), path))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
