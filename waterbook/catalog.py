@@ -32,6 +32,8 @@ CLASS_PERIOD = PeriodCompare(1997, 1998, 5, 5)
 CLASS_EXCLUDED = "\n0150000493\n"
 ARREARS = ArrearsParams(1998, 5, dt.date(1998, 6, 18), "VT,BRIA")
 CUMULATIVE = CumulativeArrearsParams(1998, 1, 1998, 5, dt.date(1998, 6, 18), "BRIA")
+# Every day of a year as a cut-off.
+DAYS = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
 READING = ReadingParams(REGION, 2024)
 FLEET = FleetParams(dt.datetime(2024, 1, 15, 12, 0, 0))
 # Filters as users type them: mixed case, blanks, line breaks.
@@ -138,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # arrears
     "arrears_snapshot": _q(lambda t: arrears.arrears_snapshot(t, ARREARS)),
     "arrears_cumulative": _q(lambda t: arrears.arrears_cumulative(t, CUMULATIVE)),
+    "arrears_daily": _q(lambda t: arrears.arrears_daily(t, CUMULATIVE, *DAYS)),
     "arrears_rejected_months": _q(arrears.rejected_months),
     "positive_invoices": _q(arrears.positive_invoices),
     # readings
@@ -160,6 +163,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_upsert": _q(lambda t: fleet.profile_upsert(t.vehicle_profile, t.profile_write)),
     "trip_completion": _q(lambda t: fleet.trip_completion(t.trip, fleet.returns_due(t.trip, FLEET))),
     "trip_deletion": _q(lambda t: fleet.trip_deletion(t.trip, fleet.cancellations(t.trip, FLEET))),
+    # the rows of each report family in the order they are printed
+    "region_sectioned_ordered": _q(
+        lambda t: present.numbered_rows(consumption.region_sectioned_report(t, MONTH), "sectioned")
+    ),
+    "region_month_ordered": _q(
+        lambda t: present.numbered_rows(consumption.region_month_growth(t, MONTH), "month_growth")
+    ),
+    "region_ytd_ordered": _q(lambda t: present.numbered_rows(consumption.region_ytd_growth(t, YTD), "ordinal")),
+    "class_period_ordered": _q(
+        lambda t: present.numbered_rows(
+            consumption.class_period_growth(t, CLASS_PERIOD, Filters(regions=REGION, exclude_customers=CLASS_EXCLUDED)),
+            "class_report",
+        )
+    ),
+    "arrears_cumulative_ordered": _q(
+        lambda t: present.numbered_rows(arrears.arrears_cumulative(t, CUMULATIVE), "cashier")
+    ),
+    "reading_list_ordered": _q(lambda t: present.numbered_rows(readings.reading_delta(t, READING), "readings")),
+    "reading_summary_ordered": _q(
+        lambda t: present.numbered_rows(readings.reading_class_summary(t, READING), "summary")
+    ),
+    "trip_list_ordered": _q(lambda t: present.numbered_rows(fleet.trip_status(t.trip, FLEET), "trips")),
     # pipe flushing
     "flush_volume": _q(lambda t: flushing.flush_volume(t.flush_job, QUANTIZE)),
     "flush_codes": _q(flush_codes),

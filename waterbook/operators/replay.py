@@ -101,25 +101,27 @@ def later_overlaps(pdf):
 
 def _stream_components(batches, fn):
     """Stream a partition sorted by component through ``fn``: only the last,
-    possibly unfinished component of a batch is carried into the next one,
-    so memory holds one batch plus one component, never a whole partition."""
+    possibly unfinished component is carried from batch to batch, as a list of
+    its pieces that is joined once, so memory holds one batch plus one
+    component and a long component costs linear time."""
     import pandas as pd
 
-    pending = None
+    key, pending, of = ["car", "component_lo", "component_id"], [], None
     for pdf in batches:
-        if pending is not None and len(pending):
-            pdf = pd.concat([pending, pdf], ignore_index=True)
         if not len(pdf):
             continue
         last = pdf.iloc[-1]
-        same = (pdf["car"] == last["car"]) & (pdf["component_lo"] == last["component_lo"]) & (
-            pdf["component_id"] == last["component_id"]
-        )
-        done, pending = pdf[~same.to_numpy()], pdf[same.to_numpy()]
-        if len(done):
+        same = (pdf[key] == last[key]).all(axis=1).to_numpy()
+        done, own = pdf[~same], tuple(last[key])
+        if pending and (len(done) or own != of):
+            yield fn(pd.concat([*pending, done], ignore_index=True))
+            pending = []
+        elif len(done):
             yield fn(done.reset_index(drop=True))
-    if pending is not None and len(pending):
-        yield fn(pending.reset_index(drop=True))
+        pending.append(pdf[same])
+        of = own
+    if pending:
+        yield fn(pd.concat(pending, ignore_index=True))
 
 
 def replay_partition(batches):

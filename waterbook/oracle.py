@@ -428,6 +428,27 @@ def _arrears_cumulative() -> str:
 
 SQL["arrears_cumulative"] = _arrears_cumulative()
 
+
+def _arrears_daily() -> str:
+    p = C.CUMULATIVE
+    low, high = p.from_year * 100 + p.from_month, p.to_year * 100 + p.to_month
+    first, last = C.DAYS
+    which = f"CASE WHEN b.month BETWEEN 1 AND 12 AND b.year * 100 + b.month BETWEEN {low} AND {high} THEN 'open' END"
+    ledger = _ledger(which, p.regions).replace(" AS tag\n", " AS tag, b.posted_at, b.paid_at, COALESCE(b.is_paid, 0) = 1 AS closed\n")
+    return with_fixtures(f"""
+{ledger},
+days AS (SELECT CAST(unnest(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS DATE) AS day),
+open_on AS (SELECT day, who, bank FROM days JOIN owed ON tag IS NOT NULL AND posted_at <= day
+            AND NOT (closed AND COALESCE(paid_at <= day, true)))
+SELECT d.day, cashier, cashier_name, sort_order, is_total, COUNT(o.who) FILTER (WHERE bank) AS open_transfer,
+  COUNT(o.who) FILTER (WHERE NOT bank) AS open_cash, COUNT(o.who) AS open_total
+FROM (SELECT * FROM days CROSS JOIN {_LINES}) d LEFT JOIN open_on o ON o.day = d.day AND (is_total OR o.who = cashier)
+GROUP BY d.day, cashier, cashier_name, sort_order, is_total
+""")
+
+
+SQL["arrears_daily"] = _arrears_daily()
+
 SQL["arrears_rejected_months"] = with_fixtures("""
 SELECT bill_id, customer_id, year, month FROM d_consumption
 WHERE year IS NULL OR month IS NULL OR month < 1 OR month > 12
@@ -799,3 +820,25 @@ SQL["purpose_month_text"] = _wrap(
   {grouped_vi('diff')} AS "{L.PURPOSE_HEADINGS['diff_text']}",
   concat({_trimmed_vi('COALESCE(' + _hundredths('base', 'diff') + ', 0)')}, ' %') AS {_PERCENT}""",
 )
+
+# -- printed order ---------------------------------------------------------------
+
+
+def _numbered(base: str, order: str) -> str:
+    return _wrap(SQL[base], f"*, row_number() OVER (ORDER BY {order}) AS row_no")
+
+
+SQL["region_sectioned_ordered"] = _numbered(
+    "region_sectioned_report",
+    "section NULLS FIRST, region_ordinal NULLS FIRST, sort_order NULLS FIRST, rank NULLS FIRST",
+)
+SQL["region_month_ordered"] = _numbered("region_month_growth", "is_total, region NULLS FIRST")
+SQL["region_ytd_ordered"] = _numbered(
+    "region_ytd_growth",
+    "is_total, region_ordinal NULLS FIRST, region NULLS FIRST, base NULLS FIRST, cmp NULLS FIRST",
+)
+SQL["class_period_ordered"] = _numbered("class_period_growth", "is_total, class_code NULLS FIRST")
+SQL["arrears_cumulative_ordered"] = _numbered("arrears_cumulative", "is_total, sort_order NULLS FIRST")
+SQL["reading_list_ordered"] = _numbered("reading_delta", "customer_code NULLS FIRST")
+SQL["reading_summary_ordered"] = _numbered("reading_class_summary", "sort_order NULLS FIRST")
+SQL["trip_list_ordered"] = _numbered("trip_status", "id DESC NULLS LAST")

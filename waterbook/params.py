@@ -114,4 +114,4 @@ class FleetParams:
     """The instant the trip log is evaluated at; never the wall clock."""
 
     as_of: dt.datetime
-    overlap_bucket_minutes: int = 240
+    overlap_bucket_minutes: int = 15

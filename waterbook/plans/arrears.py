@@ -9,7 +9,9 @@ is not counted) and carries the optional region-list filter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waterbook.functions.codes import norm
@@ -117,6 +119,53 @@ def arrears_cumulative(tables: Tables, p: CumulativeArrearsParams) -> DataFrame:
     return _finish(counted, {"open_transfer": tr, "open_cash": ~tr, "open_total": F.lit(True)}, tables.spark)
 
 
+def arrears_daily(tables: Tables, p: CumulativeArrearsParams, first: dt.date, last: dt.date) -> DataFrame:
+    """``arrears_cumulative`` at the end of every day from ``first`` to
+    ``last``, in one scan: a bill is +1 on the day it is posted and -1 on the
+    day it is paid, days before ``first`` count for it, and the open bills of
+    a day are the sum so far. Bills collapse to counts per customer and day
+    before any join; the running sum is over days per cashier, so its size
+    is that of the result, not of the bills."""
+    lo, hi = p.month_keys
+    posted, paid = F.to_date("posted_at"), F.to_date("paid_at")
+    closed = F.coalesce(F.col("is_paid"), F.lit(0)) == 1
+    bills = tables.consumption.where(
+        F.col("year").between(p.from_year, p.to_year)
+        & F.col("month").between(1, 12)
+        & month_key(F.col("year"), F.col("month")).between(lo, hi)
+        & positive_invoice()
+        & (posted <= F.lit(last))
+        & (~closed | (paid > posted))  # paid at an unknown day: open on none
+    )
+    event = lambda day, n: F.struct(F.greatest(day, F.lit(first)).alias("day"), F.lit(n).alias("delta"))
+    events = F.when(closed & (paid <= F.lit(last)), F.array(event(posted, 1), event(paid, -1))).otherwise(F.array(event(posted, 1)))
+    moves = bills.select("customer_id", "cashier", "pay_channel", F.inline(events))
+    counted = _counted(moves, tables, p.regions, ("day", "delta"))
+    net = F.col("n") * F.col("delta")
+    per = counted.groupBy("cashier_code", "day").agg(
+        F.sum(F.when(F.col("is_transfer"), net)).alias("transfer"), F.sum(F.when(~F.col("is_transfer"), net)).alias("cash")
+    )
+    lines = tables.spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in CASHIER_CODES])).alias("cashier_code"))
+    grid = lines.select("cashier_code", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))
+    daily = per.unionByName(grid, allowMissingColumns=True).groupingSets([["cashier_code", "day"], ["day"]], "cashier_code", "day").agg(
+        F.sum("transfer").alias("transfer"), F.sum("cash").alias("cash"), (F.grouping("cashier_code") > 0).alias("is_total")
+    )
+    so_far = Window.partitionBy("is_total", "cashier_code").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("is_total")
+    names = F.create_map(*[F.lit(x) for c, n, _ in L.CASHIERS for x in (c, n)])
+    orders = F.create_map(*[F.lit(x) for c, _, o in L.CASHIERS for x in (c, o)])
+    out = daily.select(
+        "day",
+        F.when(total, F.lit(L.CASHIER_TOTAL[0])).otherwise(F.col("cashier_code")).alias("cashier"),
+        F.when(total, F.lit(L.CASHIER_TOTAL[1])).otherwise(names[F.col("cashier_code")]).alias("cashier_name"),
+        F.when(total, F.lit(L.CASHIER_TOTAL[2])).otherwise(orders[F.col("cashier_code")]).alias("sort_order"),
+        "is_total",
+        F.coalesce(F.sum("transfer").over(so_far), F.lit(0)).alias("open_transfer"),
+        F.coalesce(F.sum("cash").over(so_far), F.lit(0)).alias("open_cash"),
+    )
+    return out.withColumn("open_total", F.col("open_transfer") + F.col("open_cash"))
+
+
 def rejected_months(tables: Tables) -> DataFrame:
     """Bills that no month report can place: year or month missing, or the
     month not 1 to 12. The cumulative report leaves these out."""

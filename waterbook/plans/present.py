@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waterbook.functions import formatting as fmt
 from waterbook.functions.growth import growth_hundredths
+from waterbook.operators.ordering import numbered
 from waterbook.sources import literals as L
 
 
@@ -209,14 +210,36 @@ def kpi_text(df: DataFrame) -> DataFrame:
 # -- display order (the reports' ORDER BY clauses) ---------------------------------
 
 
+#: The columns each report is printed by, nulls first (-: downwards, nulls last).
+ORDERS = {
+    "sectioned": ["section", "region_ordinal", "sort_order", "rank"],
+    "month_growth": ["is_total", "region"],
+    "ordinal": ["is_total", "region_ordinal", "region", "base", "cmp"],  # unknown regions share one ordinal
+    "cashier": ["is_total", "sort_order"],
+    "summary": ["sort_order"],
+    "class_report": ["is_total", "class_code"],
+    "readings": ["customer_code"],
+    "trips": ["-id"],
+}
+
+
+def printed_order(report: str) -> list[F.Column]:
+    return [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_first() for c in ORDERS[report]]
+
+
+def numbered_rows(df: DataFrame, report: str) -> DataFrame:
+    """The report with ``row_no``, the place in which it is printed."""
+    return numbered(df, *printed_order(report))
+
+
 def order_sectioned(df: DataFrame) -> DataFrame:
     """Sectioned report: summary then per region its header and top rows."""
-    return df.orderBy("section", "region_ordinal", "sort_order", "rank")
+    return df.orderBy(*printed_order("sectioned"))
 
 
 def order_month_growth(df: DataFrame) -> DataFrame:
     """Web report: regions by name, the total last."""
-    return df.orderBy("is_total", "region")
+    return df.orderBy(*printed_order("month_growth"))
 
 
 def order_by_ordinal(df: DataFrame, ordinal: str = "region_ordinal") -> DataFrame:
@@ -225,16 +248,16 @@ def order_by_ordinal(df: DataFrame, ordinal: str = "region_ordinal") -> DataFram
 
 
 def order_class_report(df: DataFrame) -> DataFrame:
-    return df.orderBy("is_total", F.col("class_code").asc_nulls_first())
+    return df.orderBy(*printed_order("class_report"))
 
 
 def order_readings(df: DataFrame) -> DataFrame:
-    return df.orderBy("customer_code")
+    return df.orderBy(*printed_order("readings"))
 
 
 def order_trips(df: DataFrame) -> DataFrame:
     """Trip list, newest order first."""
-    return df.orderBy(F.col("id").desc())
+    return df.orderBy(*printed_order("trips"))
 
 
 def format_flush(df: DataFrame) -> DataFrame:
