@@ -70,13 +70,15 @@ class ByteLevelTokens:
             self.bytes[i] = token
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
         made = [vocab[a + b] for a, b in merges]
+        #: with all bytes in the vocabulary no text is changed
+        self.whole = all(bytes([i]) in ranks for i in range(256))
         self.quick = None
         if made == sorted(made):  # the id is then the rank of its merge
             self.quick = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.quick is not None and len(text) <= LONG_TEXT:
-            return self.quick.encode_ordinary(text)
+            return self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -84,7 +86,7 @@ class ByteLevelTokens:
             self.library.encode_special_tokens = True
             self.library.no_truncation()
             self.library.no_padding()
-        return self.library.encode(text, add_special_tokens=False).ids
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.int64)
 
 
 class PieceTokens:
@@ -112,30 +114,33 @@ def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     while i < n:
         x, y = a[i], b[j]
         if x == y:
-            # a stretch at this shift: compare ever longer slices
-            run = step = 1
-            while i + run < n and a[i + run] == b[j + run]:
-                step *= 2
-                width = min(step, n - i - run, m - j - run)
-                at, to = i + run, j + run
-                if a[at : at + width] == b[to : to + width]:
-                    run += width
-                    continue
-                while width > 1:  # halve down to the first difference
-                    half = width // 2
-                    if a[at : at + half] == b[to : to + half]:
-                        at += half
-                        to += half
-                        width -= half
-                    else:
-                        width = half
-                run = at - i
-                break
-            if run > 1:
-                ends_a += range(i + 1, i + run + 1)
-                ends_b += range(j + 1, j + run + 1)
-                i += run
-                j += run
+            # a stretch at this shift: the first few one by one, then ever longer slices
+            at, to, step = i + 1, j + 1, 8
+            few = min(i + step, n)
+            while at < few and a[at] == b[to]:
+                at += 1
+                to += 1
+            if at == i + step:
+                while at < n and a[at] == b[to]:
+                    step *= 2
+                    width = min(step, n - at, m - to)
+                    if a[at : at + width] == b[to : to + width]:
+                        at += width
+                        to += width
+                        continue
+                    while width > 1:  # halve down to the first difference
+                        half = width // 2
+                        if a[at : at + half] == b[to : to + half]:
+                            at += half
+                            to += half
+                            width -= half
+                        else:
+                            width = half
+                    break
+            if at > i + 1:
+                ends_a += range(i + 1, at + 1)
+                ends_b += range(j + 1, to + 1)
+                i, j = at, to
                 continue
         # an irregular group, after which the shift is another one
         while x != y:
@@ -200,10 +205,11 @@ class Aligner:
         spaced = " " + text
         data = spaced.encode()
         a, b = self.a.encode(spaced), self.b.encode(text)
-        table_a, table_b = self.a.bytes, self.b.bytes
-        if b"".join(map(table_a.__getitem__, a)) != data or b"".join(map(table_b.__getitem__, b)) != data:
+        if b"".join(map(self.b.bytes.__getitem__, b)) != data:
+            return None
+        if not self.a.whole and b"".join(map(self.a.bytes.__getitem__, a.tolist())) != data:
             return None
-        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        b = np.array(b, dtype=np.int64)
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         cut_a, cut_b = group_ends(end_a.tolist(), end_b.tolist())
         return a, b, end_a, end_b, np.array(cut_a, dtype=np.int64), np.array(cut_b, dtype=np.int64)
