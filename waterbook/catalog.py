@@ -19,7 +19,8 @@ from waterbook.params import (
     PeriodCompare,
     ReadingParams,
 )
-from waterbook.plans import arrears, consumption, fleet, flushing, present, readings
+from waterbook.plans import arrears, consumption, fleet, flushing, logbook, present, readings
+from waterbook.session import shared_folder
 from waterbook.sources import lists
 from waterbook.sources.tables import Tables
 
@@ -163,6 +164,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_upsert": _q(lambda t: fleet.profile_upsert(t.vehicle_profile, t.profile_write)),
     "trip_completion": _q(lambda t: fleet.trip_completion(t.trip, fleet.returns_due(t.trip, FLEET))),
     "trip_deletion": _q(lambda t: fleet.trip_deletion(t.trip, fleet.cancellations(t.trip, FLEET))),
+    "profile_store_batches": _q(
+        lambda t: logbook.profiles_after_batches(t, shared_folder(t.spark, "profiles"), FLEET.as_of)
+    ),
+    "trip_store_batches": _q(lambda t: logbook.trips_after_batches(t, shared_folder(t.spark, "trips"), FLEET)),
+    "trip_json_log": _q(lambda t: logbook.trip_log_read_back(t, FLEET, shared_folder(t.spark, "trip-json"))),
     # the rows of each report family in the order they are printed
     "region_sectioned_ordered": _q(
         lambda t: present.numbered_rows(consumption.region_sectioned_report(t, MONTH), "sectioned")

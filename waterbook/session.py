@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,3 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="waterbook-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")

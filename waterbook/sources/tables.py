@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waterbook import schemas
@@ -129,7 +129,11 @@ def read_trip_json(spark: SparkSession, path: str) -> DataFrame:
 
 def typed_trips(raw: DataFrame) -> DataFrame:
     """Trip-form text fields to typed trip columns (batch or streaming)."""
-    return raw.select(
+    return raw.select(*typed_trip_columns())
+
+
+def typed_trip_columns() -> list[Column]:
+    return [
         F.col("id").cast("long").alias("id"),
         F.col("car"),
         F.col("driver"),
@@ -140,16 +144,20 @@ def typed_trips(raw: DataFrame) -> DataFrame:
         F.col("end").try_cast("timestamp_ntz").alias("end_at"),
         F.col("kmStart").try_cast(ODOMETER).alias("km_start"),
         F.col("kmEnd").try_cast(ODOMETER).alias("km_end"),
-    )
+    ]
 
 
-def rejected_trips(raw: DataFrame) -> DataFrame:
-    """Raw entries with a time or odometer text that cannot be read, and the
-    names of those fields."""
+def bad_trip_fields() -> Column:
+    """Names of the fields with a time or odometer text that cannot be read."""
     kinds = {"start": "timestamp_ntz", "end": "timestamp_ntz", "kmStart": ODOMETER, "kmEnd": ODOMETER}
     given = lambda f: F.trim(F.coalesce(F.col(f), F.lit(""))) != ""
     bad = [F.when(given(f) & F.col(f).try_cast(k).isNull(), F.lit(f)) for f, k in kinds.items()]
-    return raw.withColumn("bad_fields", F.filter(F.array(*bad), lambda x: x.isNotNull())).where(F.size("bad_fields") > 0)
+    return F.filter(F.array(*bad), lambda x: x.isNotNull())
+
+
+def rejected_trips(raw: DataFrame) -> DataFrame:
+    """Raw entries with a field that cannot be read, and the names of those fields."""
+    return raw.withColumn("bad_fields", bad_trip_fields()).where(F.size("bad_fields") > 0)
 
 
 def read_profile_json(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
