@@ -19,7 +19,7 @@ from waterbook.params import (
     PeriodCompare,
     ReadingParams,
 )
-from waterbook.plans import arrears, consumption, fleet, flushing, logbook, present, readings
+from waterbook.plans import arrears, consumption, fleet, flushing, logbook, monthly, present, readings
 from waterbook.session import shared_folder
 from waterbook.sources import lists
 from waterbook.sources.tables import Tables
@@ -89,6 +89,11 @@ def _q(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataF
     return lambda spark, sf_dir: fn(tables(spark, sf_dir))
 
 
+def _months(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``fn`` from monthly sums in which the compared month was added last."""
+    return _q(lambda t: fn(monthly.refreshed(t, shared_folder(t.spark, "months"), MONTH.cmp_year, MONTH.month_to)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # consumption comparisons
     "region_month_growth": _q(lambda t: consumption.region_month_growth(t, MONTH)),
@@ -138,6 +143,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             arrears.arrears_snapshot(t, ARREARS), ARREARS.cutoff, ARREARS.previous_cutoff
         )
     ),
+    # the same comparisons from stored monthly sums
+    "region_sectioned_from_months": _months(lambda t: consumption.region_sectioned_report(t, MONTH)),
+    "region_month_from_months": _months(lambda t: consumption.region_month_growth(t, MONTH)),
+    "region_ytd_from_months": _months(lambda t: consumption.region_ytd_growth(t, YTD)),
+    "purpose_ytd_from_months": _months(lambda t: consumption.purpose_growth(t, YTD, REGION)),
+    "class_period_from_months": _months(
+        lambda t: consumption.class_period_growth(
+            t, CLASS_PERIOD, Filters(regions=REGION, exclude_customers=CLASS_EXCLUDED)
+        )
+    ),
     # arrears
     "arrears_snapshot": _q(lambda t: arrears.arrears_snapshot(t, ARREARS)),
     "arrears_cumulative": _q(lambda t: arrears.arrears_cumulative(t, CUMULATIVE)),

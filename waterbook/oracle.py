@@ -871,3 +871,13 @@ SQL["arrears_cumulative_ordered"] = _numbered("arrears_cumulative", "is_total, s
 SQL["reading_list_ordered"] = _numbered("reading_delta", "customer_code NULLS FIRST")
 SQL["reading_summary_ordered"] = _numbered("reading_class_summary", "sort_order NULLS FIRST")
 SQL["trip_list_ordered"] = _numbered("trip_status", "id DESC NULLS LAST")
+
+# Comparisons from stored monthly sums give what the bills give.
+for _stored, _bills in {
+    "region_sectioned_from_months": "region_sectioned_report",
+    "region_month_from_months": "region_month_growth",
+    "region_ytd_from_months": "region_ytd_growth",
+    "purpose_ytd_from_months": "purpose_ytd_growth",
+    "class_period_from_months": "class_period_growth",
+}.items():
+    SQL[_stored] = SQL[_bills]
