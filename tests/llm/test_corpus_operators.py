@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import random
@@ -107,6 +108,42 @@ def test_zip64_end_record():
     assert data[offset : offset + length] == body
 
 
+def foreign_archive(path, index, plain=False):
+    """Two WARC members, CDXJ lines in two gzip members, a deflated page list."""
+    parts, lines, n = {}, [], 0
+    for member in ("one.warc", "two.warc"):
+        data = b""
+        for _ in range(5):
+            record = warc.warc_record(n, f"http://x/{n}", b"page %d" % n * 9, None, "2026-01-01T00:00:00Z")
+            packed = record if plain else gzip.compress(record)
+            name = member + ("" if plain else ".gz")
+            lines.append(f'x,{n})/ 20260101000000 {{"filename": "{name}", "offset": "{len(data)}", "length": "{len(packed)}"}}\n'.encode())
+            data += packed
+            n += 1
+        parts["archive/" + name] = data
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+        if index:
+            z.writestr("indexes/index.cdx.gz", gzip.compress(b"".join(lines[:3])) + gzip.compress(b"".join(lines[3:index])))
+            z.writestr("indexes/again.cdxj", b"".join(lines[:2]))
+            z.writestr("indexes/index.idx", b'!meta 0 {"format": "cdxj-gzip-1.0", "filename": "index.cdx.gz"}\n')
+        z.writestr("pages/pages.jsonl", b'{"id": 1}\n' * 50, zipfile.ZIP_DEFLATED)
+
+
+@pytest.mark.parametrize(("index", "plain"), [(10, False), (5, False), (0, False), (0, True), (10, True)])
+def test_archives_of_other_writers(spark, tmp_path, monkeypatch, index, plain):
+    path = str(tmp_path / "foreign.wacz")
+    foreign_archive(path, index, plain)
+    out = warc.read_archives(spark, spark.createDataFrame([(path,)], "path string"), chunk_bytes=300).collect()
+    assert sorted(r.uri for r in out) == [f"http://x/{i}" for i in range(10)]
+    assert all(bytes(r.payload) == b"page %d" % int(r.uri[9:]) * 9 for r in out)
+    monkeypatch.setattr(warc, "BLOCK", 7)  # members cut anywhere
+    with open(path, "rb") as f:
+        data = f.read()
+    assert len(list(warc.archive_records(reader(data), len(data)))) == 10
+
+
 # --- mixing
 
 

@@ -180,6 +180,21 @@ def test_license_lines_and_edited_notices(spark):
         license_scan.scan(docs, {"short": "two words"})
 
 
+def test_of_overlapping_licenses_the_best(spark):
+    n = license_scan.NOTICES
+    lines = [n["CC-BY-SA-4.0 (line)"], n["CC-BY-4.0 (line)"]]
+    inside = n["ISC"].replace("any purpose", n["MIT (line)"] + " any purpose")
+    texts = {1: lines[0], 2: lines[1], 3: " ".join(lines * 3), 4: n["Apache-2.0"], 5: inside}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = license_scan.scan(docs, least_coverage=0.8).collect()
+    got = Counter((r.doc_id, r.template) for r in rows)
+    assert got == {(1, "CC-BY-SA-4.0 (line)"): 1, (2, "CC-BY-4.0 (line)"): 1, (3, "CC-BY-SA-4.0 (line)"): 3,
+                   (3, "CC-BY-4.0 (line)"): 3, (4, "Apache-2.0"): 1, (5, "ISC"): 1, (5, "MIT (line)"): 1}
+    assert {r.template: r.inserted for r in rows if r.doc_id == 5} == {"ISC": 5, "MIT (line)": 0}
+    every = Counter((r.doc_id, r.template) for r in license_scan.scan(docs, alternatives=True).collect())
+    assert every[1, "CC-BY-4.0 (line)"] == every[2, "CC-BY-SA-4.0 (line)"] == 1
+
+
 def test_license_query_finds_every_line(spark):
     texts = {r.doc_id: r.text for r in small(spark).collect()}
     want = Counter((i, n) for i, t in texts.items() for n, line in license_scan.NOTICES.items() for _ in range(t.count(line)))

@@ -182,10 +182,27 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple
     return best[1], best[2], best[3]
 
 
-RESULT = "template string, matched int, template_words int, coverage double, start bigint, end bigint"
+def best_matches(found: dict[tuple[int, int, int], int], sizes: list[int], alternatives: bool = False) -> list[tuple[int, int, int, int]]:
+    """Of matches (template, first, last): matched words, those that no better
+    one shares words with; ``alternatives``: no better one of the same
+    template. Matches that overlap must share words unless the words inserted
+    into the better have room for those of the other."""
+    rank = lambda x: (sizes[x[0][0]] + x[0][2] - x[0][1] - 3 * x[1], x[0])
+    taken: list[tuple[int, int, int, int]] = []  # first, last, template, matched
+    widest = 0
+    for (t, a, b), matched in sorted(found.items(), key=rank):
+        near = taken[bisect.bisect(taken, (a - widest,)) : bisect.bisect(taken, (b + 1,))]
+        over = [x for x in near if x[1] >= a and (x[2] == t or not alternatives)]
+        if not any(x[2] == t or x[1] - x[0] + 1 - x[3] < matched for x in over):
+            bisect.insort(taken, (a, b, t, matched))
+            widest = max(widest, b - a)
+    return sorted((t, matched, a, b) for a, b, t, matched in taken)
 
 
-def _scan_batches(templates: list[tuple[str, str]], k: int, window: int, gap: int, band: int, least: float, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+RESULT = "template string, matched int, template_words int, inserted int, coverage double, start bigint, end bigint"
+
+
+def _scan_batches(templates: list[tuple[str, str]], k: int, window: int, gap: int, band: int, least: float, alternatives: bool, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(words: np.ndarray, at: np.ndarray, template: np.ndarray, place: np.ndarray, index: TemplateIndex) -> list[tuple[int, int, int, int]]:
         """(template, matched words, first and last word) of one document."""
         found: dict[tuple[int, int, int], int] = {}
@@ -201,14 +218,7 @@ def _scan_batches(templates: list[tuple[str, str]], k: int, window: int, gap: in
             if matched >= least * size:
                 found[t, a + start, b + start] = matched
                 floor[t] = b + start + 1
-        # of matches of one template that overlap, the one that covers most
-        taken: list[tuple[int, int, int, int]] = []  # disjoint per template, sorted
-        for (t, a, b), matched in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-            i = bisect.bisect(taken, (t, a))
-            before, after = taken[i - 1] if i else None, taken[i] if i < len(taken) else None
-            if not (before and before[0] == t and before[2] >= a) and not (after and after[0] == t and after[1] <= b):
-                taken.insert(i, (t, a, b, matched))
-        return [(t, matched, a, b) for t, a, b, matched in taken]
+        return best_matches(found, [len(w) for w in index.words], alternatives)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, index = word_hasher(), TemplateIndex(templates, k, window)
@@ -232,10 +242,10 @@ def _scan_batches(templates: list[tuple[str, str]], k: int, window: int, gap: in
                         while stop < len(data) and not hasher.space[data[stop]]:
                             stop += 1
                         lead = len(data[: int(places[a])].decode("utf-8"))
-                        rows.append((begin + int(d), index.names[t], matched, len(index.words[t]), matched / len(index.words[t]), lead, lead + len(data[int(places[a]) : stop].decode("utf-8"))))
+                        rows.append((begin + int(d), index.names[t], matched, len(index.words[t]), b - a + 1 - matched, matched / len(index.words[t]), lead, lead + len(data[int(places[a]) : stop].decode("utf-8"))))
             if rows:
                 who, *columns = zip(*rows, strict=True)
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(who)), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], [key, *[x.split()[0] for x in RESULT.split(", ")]])
 
     return run
@@ -251,6 +261,7 @@ def scan(
     gap: int = 60,
     band: int = 12,
     least_coverage: float = 0.8,
+    alternatives: bool = False,
     max_template_chars: int = 50_000_000,
 ) -> DataFrame:
     """Matches of templates (name: text) in every whole text: key and RESULT.
@@ -258,6 +269,7 @@ def scan(
     The templates travel with the tasks; ``max_template_chars`` is the checked
     bound of that. A chain of hits breaks where more than ``gap`` words lie
     between two; the alignment may leave the chain's diagonals by ``band``.
+    ``alternatives`` keeps the matches of other templates on the same words.
     """
     given = sorted((templates or NOTICES).items())
     if sum(len(t) for _, t in given) > max_template_chars:
@@ -265,4 +277,4 @@ def scan(
     TemplateIndex(given, k, window)  # refuses short templates here, not in a task
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_scan_batches(given, k, window, gap, band, least_coverage, key), f"`{key}` {kind}, {RESULT}")
+    return rows.mapInArrow(_scan_batches(given, k, window, gap, band, least_coverage, alternatives, key), f"`{key}` {kind}, {RESULT}")

@@ -7,6 +7,12 @@ end record, its ZIP64 forms and the central directory by ranges from the end
 of the file, finds where each stored member lies, reads the index, and then
 reads records by range straight out of the archive; nothing is extracted.
 
+Archives of other writers are read too: every ``archive/*`` member, gzipped or
+plain, by whatever of ``indexes/*`` is there (JSON or CDXJ lines, gzipped or
+not); an archive member that no index names is searched for its records. Other
+members may be compressed, as nothing is read from them. A payload is held
+against its digest where that is a SHA-1 and the body was sent as it is.
+
 Files are opened with pyarrow's file systems, so any of its URIs will do.
 Names of archives differ between task attempts and only those of finished
 tasks reach the manifest, so lost executors leave unlisted files, not wrong
@@ -29,6 +35,7 @@ import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,11 +61,12 @@ def file_system(uri: str):
 # --- ZIP directories -------------------------------------------------------
 
 
-def locate_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int, int]]:
+def locate_members(read: Callable[[int, int], bytes], size: int, wanted: Callable[[str], bool] = lambda name: True) -> dict[str, tuple[int, int]]:
     """Offset and length of the data of every stored member, by name.
 
-    ``read(offset, length)`` reads a range of the archive. Raises ValueError
-    for an archive that is cut off, compressed or encrypted.
+    ``read(offset, length)`` reads a range of the archive. Only members with a
+    ``wanted`` name are located. Raises ValueError for an archive that is cut
+    off and for a wanted member that is compressed or encrypted.
     """
     tail_at = max(0, size - 65_557)  # end record and the longest comment
     tail = read(tail_at, size - tail_at)
@@ -92,6 +100,9 @@ def locate_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tu
                 packed = next(wide) if packed == 0xFFFFFFFF else packed
                 header = next(wide) if header == 0xFFFFFFFF else header
             q += 4 + n
+        p += 46 + n_name + n_extra + n_comment
+        if not wanted(name):
+            continue
         if method or flags & 1:
             raise ValueError(f"member {name} is not stored plainly")
         local = read(header, 30)
@@ -99,7 +110,6 @@ def locate_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tu
             raise ValueError(f"no local header of {name}")
         n_name_here, n_extra_here = struct.unpack_from("<HH", local, 26)
         out[name] = (header + 30 + n_name_here + n_extra_here, packed)
-        p += 46 + n_name + n_extra + n_comment
     return out
 
 
@@ -211,7 +221,98 @@ def write_archives(
 # --- reading ---------------------------------------------------------------
 
 
+#: Bytes of a member read at once, and ranges handed on at once.
+BLOCK, RANGES = 1 << 20, 500
+
+
+def blocks(read: Callable[[int, int], bytes], at: int, length: int) -> Iterator[bytes]:
+    for start in range(at, at + length, BLOCK):
+        yield read(start, min(BLOCK, at + length - start))
+
+
+def index_lines(read: Callable[[int, int], bytes], at: int, length: int, packed: bool) -> Iterator[bytes]:
+    """Lines of an index, read block by block; ``packed``: gzip members."""
+    rest, unzip = b"", zlib.decompressobj(31)
+    for data in blocks(read, at, length):
+        while data:
+            plain, data = (unzip.decompress(data), unzip.unused_data) if packed else (data, b"")
+            if packed and unzip.eof:
+                unzip = zlib.decompressobj(31)
+            *lines, rest = (rest + plain).split(b"\n")
+            yield from lines
+    yield rest
+
+
+def index_entries(name: str, lines: Iterator[bytes]) -> Iterator[tuple[str | None, int, int]]:
+    """(archive member or None, offset, length) of the records an index names."""
+    for line in lines:
+        begin = line.find(b"{")
+        if begin < 0 or line.startswith(b"!"):
+            continue
+        entry = json.loads(line[begin:])
+        if "offset" in entry and "length" in entry:
+            yield entry.get("filename"), int(entry["offset"]), int(entry["length"])
+
+
+def gzipped_records(read: Callable[[int, int], bytes], at: int, length: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of every gzip member; what it holds is not kept."""
+    unzip, begin, seen = zlib.decompressobj(31), 0, 0
+    for data in blocks(read, at, length):
+        while data:
+            unzip.decompress(data)
+            seen += len(data) - len(unzip.unused_data)
+            data = unzip.unused_data
+            if unzip.eof:
+                yield begin, seen - begin
+                unzip, begin = zlib.decompressobj(31), seen
+    if begin < seen:
+        raise ValueError("a gzipped WARC record is cut off")
+
+
+def plain_records(read: Callable[[int, int], bytes], at: int, length: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of every record of an uncompressed member, by its headers."""
+    begin = 0
+    while begin < length:
+        head, size = b"", min(4096, length - begin)
+        while b"\r\n\r\n" not in head and len(head) < length - begin:
+            head = read(at + begin, size)
+            size = min(2 * size, length - begin)
+        text = head.partition(b"\r\n\r\n")[0]
+        found = re.search(rb"(?im)^content-length:\s*(\d+)", text)
+        if not text.startswith(b"WARC/") or not found:
+            raise ValueError("not a WARC record")
+        whole = len(text) + 4 + int(found[1]) + 4
+        yield begin, min(whole, length - begin)
+        begin += whole
+
+
+def archive_records(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) in the archive of the records of all its WARC members."""
+    members = locate_members(read, size, lambda n: n.startswith(("archive/", "indexes/")) and not n.endswith(("/", ".idx")))
+    data = {n: m for n, m in members.items() if n.startswith("archive/")}
+    seen: dict[str, set[int]] = {n: set() for n in data}  # offsets: two indexes may name a record
+    for index, (at, length) in members.items():
+        if index in data:
+            continue
+        for file, offset, n in index_entries(index, index_lines(read, at, length, index.endswith(".gz"))):
+            name = f"archive/{file.rpartition('/')[2]}" if file else DATA_MEMBER
+            if name not in data or offset + n > data[name][1]:
+                raise ValueError(f"{index} names a record outside of {name}")
+            if offset not in seen[name]:
+                seen[name].add(offset)
+                yield data[name][0] + offset, n
+    for name, (at, length) in data.items():
+        if length and not seen[name]:
+            find = gzipped_records if read(at, 2) == b"\x1f\x8b" else plain_records
+            yield from ((at + offset, n) for offset, n in find(read, at, length))
+
+
 def _range_batches(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def batch_of(path: str, groups: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        ranges = pa.list_(pa.int64())
+        columns = [pa.array([path] * len(groups), pa.string()), *(pa.array([[r[i] for r in g] for g in groups], ranges) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["path", "offsets", "lengths"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
@@ -222,26 +323,19 @@ def _range_batches(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                         f.seek(offset)
                         return f.read(length)
 
-                    members = locate_members(read, f.size())
-                    base, _ = members[DATA_MEMBER]
-                    at, length = members[INDEX_MEMBER]
-                    entries = [json.loads(x) for x in read(at, length).splitlines()]
-                groups: list[list[dict]] = []
-                size = chunk_bytes
-                for e in entries:
-                    if size + e["length"] > chunk_bytes:
-                        groups.append([])
-                        size = 0
-                    groups[-1].append(e)
-                    size += e["length"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path] * len(groups), pa.string()),
-                        pa.array([[base + e["offset"] for e in g] for g in groups], pa.list_(pa.int64())),
-                        pa.array([[e["length"] for e in g] for g in groups], pa.list_(pa.int64())),
-                    ],
-                    ["path", "offsets", "lengths"],
-                )
+                    groups: list[list[tuple[int, int]]] = []
+                    size = chunk_bytes
+                    for offset, length in archive_records(read, f.size()):
+                        if size + length > chunk_bytes:
+                            if len(groups) == RANGES:
+                                yield batch_of(path, groups)
+                                groups = []
+                            groups.append([])
+                            size = 0
+                        groups[-1].append((offset, length))
+                        size += length
+                if groups:
+                    yield batch_of(path, groups)
 
     return run
 
@@ -258,9 +352,11 @@ def _record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             with fs.open_input_file(name) as f:
                 for offset, length in zip(offsets, lengths, strict=True):
                     f.seek(offset)
-                    warc, http, body = parse_record(gzip.decompress(f.read(length)))
-                    digest = warc.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    if warc["warc-type"] == "response" and digest and digest32(body) != digest:
+                    data = f.read(length)
+                    warc, http, body = parse_record(gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data)
+                    stated = warc.get("warc-payload-digest", "")
+                    digest = stated.removeprefix("sha1:") or None
+                    if warc["warc-type"] == "response" and stated.startswith("sha1:") and "transfer-encoding" not in http and digest32(body) != digest:
                         raise ValueError(f"payload of {warc['warc-record-id']} in {path} does not have its digest")
                     n = int(http["content-length"]) if "content-length" in http else len(body)
                     payload = body if warc["warc-type"] != "revisit" else None
