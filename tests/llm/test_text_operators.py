@@ -223,6 +223,32 @@ def test_language_of_odd_rows(spark):
     assert {r.prediction.lang for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def test_foreign_texts_are_rejected_and_unseen_ones_kept(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    unseen = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~unseen), **language_id.CALIBRATION)
+    clean = language_id.identify(docs.filter(unseen), model).select("prediction.*").filter("n > 0").collect()
+    assert sum(r.accepted for r in clean) >= 0.99 * len(clean)
+    rnd = random.Random(8)
+    drawn = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    polish = "witaj w domu mojego przyjaciela gdzie wszyscy rozmawiają o pogodzie i jedzą pierogi z kapustą "
+    russian = "пример текста на другом языке который модель никогда не видела раньше и должна отвергнуть "
+    texts = [drawn("abcdefghijklmnopqrstuvwxyz", n) for n in (15, 40, 200, 2000)] + [polish * n for n in (1, 9)] + [russian * n for n in (1, 9)]
+    foreign = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(r.prediction.accepted for r in language_id.identify(foreign, model).collect())
+
+
+def test_kept_apart_texts_of_few_or_no_texts(spark):
+    rows = [(f"wort {i} der sprache und noch mehr davon", "de") for i in range(80)] + [("une seule phrase", "fr"), (None, "de"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(df, apart=4)
+    got = language_id.identify(df.filter("text is not null and lang is not null"), model).select("lang", "prediction.*").toDF("stated", "lang", "score", "entropy", "n", "accepted").collect()
+    assert all(r.accepted and r.lang == r.stated for r in got)
+    assert language_id.fit(df.limit(0), apart=4).languages == []
+    every = language_id.fit(df, apart=1, least_texts=10)  # all of one language kept apart
+    assert every.languages == ["fr"]
+
+
 def test_stored_language_model_has_every_ngram(spark):
     import numpy as np
 

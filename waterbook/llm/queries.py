@@ -62,7 +62,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))), **language_id.CALIBRATION)
     out = language_id.identify(docs.select("doc_id", "text"), model)
     return out.select(
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("prediction.lang").alias("lang_pred"),
