@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from waterbook.functions.dates import ntz
 from waterbook.operators.intervals import overlap_components, overlapping_pairs, with_overlap
+from waterbook.operators.pieces import split_long
 from waterbook.operators.replay import COMPONENT_KEY, replay_partition, sweep_partition
 from waterbook.operators.upsert import delete_by_key, latest_per_key, update_by_key
 from waterbook.params import FleetParams
@@ -68,7 +69,7 @@ def order_conflicts(orders: DataFrame, log: DataFrame, p: FleetParams, which: st
     return flagged.select("id", "car", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
-def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
+def trips_after_refusal(trips: DataFrame, p: FleetParams, max_piece: int = 20_000) -> DataFrame:
     """Refuse policy: an order is kept only if it overlaps no *kept* earlier
     order of its car (the user declines to delete the old one).
 
@@ -80,14 +81,16 @@ def trips_after_refusal(trips: DataFrame, p: FleetParams) -> DataFrame:
     the Arrow batches: single-order components (the common case) are kept
     in one vectorised step, larger ones are replayed in id order, and only
     one unfinished component is carried between batches. A hot car's
-    components spread over the partitions; only one chain of mutually
-    overlapping orders stays together, which the rule itself requires.
+    components spread over the partitions, and one of more than ``max_piece``
+    orders is first cut where the lowest id decides (``split_long``, which
+    runs jobs at once), so a long chain is replayed by several tasks.
     Orders without both times never conflict."""
     comps = overlap_components(trips, "car", "id", "start_at", "end_at", bucket_minutes=1440)
     keyed = trips.select("id", "car", "start_at", "end_at").join(comps, ["car", "id"])
-    ordered = keyed.repartition(*COMPONENT_KEY).sortWithinPartitions(*COMPONENT_KEY, "id")
+    left, refused = split_long(keyed.select("id", "car", "start_at", "end_at", *COMPONENT_KEY[1:]), max_piece)
+    ordered = left.repartition(*COMPONENT_KEY).sortWithinPartitions(*COMPONENT_KEY, "id")
     decided = ordered.mapInPandas(replay_partition, schema="id long, accepted boolean")
-    rejected = decided.where(~F.col("accepted")).select("id")
+    rejected = decided.where(~F.col("accepted")).select("id").union(refused)
     return trips.join(rejected, "id", "left_anti")
 
 
