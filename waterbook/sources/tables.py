@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waterbook import schemas
-from waterbook.sources import fixtures
+from waterbook.sources import database, fixtures
 
 DOMAIN_TABLES = (
     "customer",
@@ -89,6 +89,8 @@ class Tables:
         table_names: dict[str, str],
         properties: dict[str, str] | None = None,
         partitioning: dict[str, dict[str, str]] | None = None,
+        ranges: dict[str, tuple[str, int]] | None = None,
+        periods: dict[str, list[tuple[int, int]]] | None = None,
     ) -> "Tables":
         """Tables read from a relational database over JDBC.
 
@@ -96,13 +98,22 @@ class Tables:
         ``partitioning`` gives, per domain table, ``partitionColumn``,
         ``lowerBound``, ``upperBound`` and ``numPartitions`` so large tables
         are read by many tasks in parallel instead of one connection.
+        ``ranges`` gives ``(key column, tasks)`` instead, for keys that are not
+        evenly spread: the database is asked for the bounds of equal counts
+        (``sources.database``). ``periods`` gives the ``(year, month)`` pairs
+        to read of a table; other rows stay in the database.
         Connection options (user, password, driver) come from the caller.
         """
         properties = dict(properties or {})
-        partitioning = partitioning or {}
+        partitioning, ranges, periods = partitioning or {}, ranges or {}, periods or {}
 
         def load(name: str) -> DataFrame:
-            reader = spark.read.format("jdbc").option("url", url).option("dbtable", table_names[name])
+            source = table_names[name]
+            if name in periods:
+                source = database.of_periods(source, periods[name])
+            if name in ranges:
+                return database.read_in_ranges(spark, url, source, *ranges[name], properties)
+            reader = spark.read.format("jdbc").option("url", url).option("dbtable", source)
             for key, value in {**properties, **partitioning.get(name, {})}.items():
                 reader = reader.option(key, value)
             return reader.load()
