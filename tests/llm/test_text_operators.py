@@ -335,3 +335,71 @@ def test_edit_counts_of_odd_rows(spark):
     by = Counter((r.doc_id, r.seq) for r in got)
     assert by == Counter((i, None) for i, _ in ODD) + Counter({(1, 1): 1, (2, None): 1, (4, 2): 2})
     assert {r.n_chars for r in got if (r.doc_id, r.seq) == (4, 2)} == {len("one end")}
+
+
+def _edited(text, edits):
+    """The text after each edit, plainly."""
+    out = []
+    for e in edits:
+        p = min(max(e.position or 0, 0), len(text))
+        text = text[:p] + (e.inserted or "") + text[min(p + max(e.deleted or 0, 0), len(text)) :]
+        out.append(text)
+    return out
+
+
+def test_stored_trees_take_edits_again_and_again(spark, tmp_path):
+    path = public_vocabulary("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    rnd = random.Random(8)
+    texts = {i: t or "" for i, t in ODD if i is not None and i != 4}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    where = str(tmp_path / "trees")
+    token_counts.build_trees(docs, path).write.parquet(where)
+    trees = spark.read.parquet(where)
+    for turn in range(3):
+        # some documents are left alone in every turn
+        made = [(i, n, rnd.randint(0, len(t) + 2), rnd.choice([0, 3, 250]), rnd.choice(["", "x", " y z ", "ab " * 150])) for i, t in texts.items() for n in range(rnd.choice([0, 1, 3]))]
+        edits = spark.createDataFrame(made, "doc_id long, seq long, position long, deleted long, inserted string")
+        where = str(tmp_path / f"edited-{turn}")
+        token_counts.edit_trees(trees, edits, path).write.parquet(where)
+        out = spark.read.parquet(where)
+        trees = token_counts.kept_trees(out)
+        got = {(r.doc_id, r.seq): r for r in out.collect()}
+        want = {i: _edited(t, [e for e in edits.collect() if e.doc_id == i]) for i, t in texts.items()}
+        assert len(got) == len(made) + len(texts)
+        for i, after in want.items():
+            for n, t in enumerate(after):
+                r = got[(i, n)]
+                assert (r.n_chars, r.n_tokens) == (len(t), len(lib.encode(t, add_special_tokens=False).ids)) and r.pieces is None
+            texts[i] = after[-1] if after else texts[i]
+            kept = got[(i, None)]
+            assert "".join(kept.pieces) == texts[i] and sum(kept.tokens) == kept.n_tokens
+            assert kept.encoded_chars == sum(got[(i, n)].encoded_chars for n in range(len(after)))  # nothing else is encoded
+
+
+def test_stored_trees_of_odd_rows(spark):
+    path = public_vocabulary("word_bpe_49k.json")
+    edits = spark.createDataFrame([(4, 2, 99, 5, " end"), (77, 1, 0, 0, "x"), (None, 1, 0, 0, "x")], "doc_id long, seq long, position long, deleted long, inserted string")
+    trees = token_counts.build_trees(odd_docs(spark), path)
+    out = token_counts.edit_trees(trees, edits, path)
+    assert Counter(r.doc_id for r in token_counts.kept_trees(out).collect()) == Counter(i for i, _ in ODD)
+    assert [r.n_chars for r in out.filter("pieces IS NULL").collect()] == [len("one end")] * 2
+    none = token_counts.edit_trees(trees.limit(0), edits, path)
+    assert none.count() == 0 and token_counts.build_trees(odd_docs(spark).limit(0), path).count() == 0
+
+
+def test_op8_counts_equal_the_library_after_every_edit(spark):
+    path = public_vocabulary("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    docs = small(spark)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    edits = {}
+    for e in token_counts.sample_edits(docs).collect():
+        edits.setdefault(e.doc_id, []).append(e)
+    want = {}
+    for i, t in texts.items():
+        mine = sorted(edits[i], key=lambda e: e.seq)
+        for seq, after in zip([None, *[e.seq for e in mine]], [t, *_edited(t, mine)]):
+            want[(i, seq)] = (len(after), len(lib.encode(after, add_special_tokens=False).ids))
+    got = {(r.doc_id, r.seq): (r.n_chars, r.n_tokens) for r in queries.op8_token_counts(spark, SF_SMALL).collect()}
+    assert got == want

@@ -8,6 +8,10 @@ tokens of every subtree. An edit descends by characters to the leaves that it
 touches, re-encodes only those, with a neighbour where the edit reaches a
 leaf's end, and updates the sums on the way to the root.
 
+Trees can be kept: ``build_trees`` gives a table of pieces with their counts,
+``edit_trees`` takes it with edits and gives the counts and the trees as they
+are then, encoding nothing but what the edits touch.
+
 Defined results: a null text is empty. Positions and lengths outside the text
 are cut to it; null ones count as 0, a null insertion is empty. Edits of one
 id run by ``seq`` (nulls first), then by their other columns; they apply to
@@ -41,6 +45,13 @@ class CountTree:
         self.encoded = 0
         self.build([[p] for p in self.pieces(text)])
 
+    @classmethod
+    def kept(cls, pieces: list[str], tokens: list[int], coder: Encoder) -> CountTree:
+        """The tree of stored pieces; sums only, nothing is encoded."""
+        tree = cls("", coder)
+        tree.build([[p] for p in zip(pieces, tokens, strict=True)])
+        return tree
+
     def pieces(self, text: str) -> list[tuple[str, int]]:
         """Encoded pieces of a text that starts and ends at safe places."""
         out, at = [], 0
@@ -162,6 +173,94 @@ def count_edits(docs: DataFrame, edits: DataFrame, path: str, key: str = "doc_id
     return out.withColumnRenamed("k", key)
 
 
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+TREE = [("pieces", pa.list_(pa.string())), ("tokens", pa.list_(pa.int32()))]
+COUNTS = [(c, pa.int64()) for c in ("seq", "n_chars", "n_tokens", "encoded_chars")]
+
+
+def _tree_batches(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Encoder(json.loads(spec))
+        for batch in batches:
+            pieces = [CountTree("", coder).pieces(t.as_py() or "") for t in batch.column(1)]
+            if pieces:
+                rows = [(k.as_py(), [t for t, _ in p], [n for _, n in p]) for k, p in zip(batch.column(0), pieces, strict=True)]
+                yield _columns(rows, pa.schema([("k", batch.schema.field(0).type), *TREE]))
+
+    return run
+
+
+def build_trees(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pieces, tokens) of every document, to be stored: the leaves of its
+    tree in order, each with its token count. No shuffle. The text is the
+    pieces one after another, the document's count the sum of ``tokens``."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = rows.schema["k"].dataType.simpleString()
+    out = rows.mapInArrow(_tree_batches(read_spec(path)), f"k {kind}, pieces array<string>, tokens array<int>")
+    return out.withColumnRenamed("k", key)
+
+
+def _kept_batches(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by id, a document's tree before its edits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Encoder(json.loads(spec))
+        current, trees, schema = None, [], None
+
+        def finished() -> list[tuple]:
+            flat = ([p for leaf in tree.leaves for p in leaf] for tree in trees)
+            return [(current, None, t.n_chars, t.n_tokens, t.encoded, [p for p, _ in f], [n for _, n in f]) for t, f in zip(trees, flat, strict=True)]
+
+        for batch in batches:
+            schema = pa.schema([("k", batch.schema.field(0).type), *COUNTS, *TREE])
+            out = []
+            for key, kind, seq, position, deleted, text, pieces, tokens in zip(*batch.columns, strict=True):
+                key = key.as_py()
+                if key is None or key != current:
+                    out += finished()
+                    current, trees = key, []
+                if kind.as_py() == 0:
+                    trees.append(CountTree.kept(pieces.as_py() or [], tokens.as_py() or [], coder))
+                    continue
+                for tree in trees if key is not None else ():
+                    done = tree.edit(position.as_py() or 0, deleted.as_py() or 0, text.as_py() or "")
+                    out.append((key, seq.as_py(), tree.n_chars, tree.n_tokens, done, None, None))
+            if out:
+                yield _columns(out, schema)
+        if trees:
+            yield _columns(finished(), schema)
+
+    return run
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """Edits (key, seq, position, deleted, inserted) on stored trees. A row
+    without ``pieces`` gives the counts after one edit, as ``count_edits`` does;
+    a row with ``pieces`` is a document's tree after all of them (``seq`` null,
+    ``encoded_chars`` of all its edits). To be written once: ``kept_trees`` of
+    it are the trees of the next call, also of documents without edits. One
+    shuffle on the id; a task holds the trees of one id at a time.
+    """
+    empty = F.lit(None).cast("long")
+    none = [F.lit(None).cast("array<string>").alias("pieces"), F.lit(None).cast("array<int>").alias("tokens")]
+    rows = trees.select(F.col(key).alias("k"), F.lit(0).alias("kind"), empty.alias("seq"), empty.alias("position"), empty.alias("deleted"), F.lit(None).cast("string").alias("t"), "pieces", "tokens")
+    more = edits.select(F.col(key).alias("k"), F.lit(1).alias("kind"), F.col("seq").cast("long"), F.col("position").cast("long"), F.col("deleted").cast("long"), F.col("inserted").alias("t"), *none)
+    spread = F.when(F.col("k").isNull(), F.xxhash64("t", "pieces"))  # rows without an id are not one group
+    both = rows.union(more).repartition(F.col("k"), spread).sortWithinPartitions("k", "kind", "seq", "position", "deleted", "t")
+    kind = rows.schema["k"].dataType.simpleString()
+    counts = ", ".join(f"{c} bigint" for c, _ in COUNTS)
+    out = both.mapInArrow(_kept_batches(read_spec(path)), f"k {kind}, {counts}, pieces array<string>, tokens array<int>")
+    return out.withColumnRenamed("k", key)
+
+
+def kept_trees(edited: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The trees in a stored result of ``edit_trees``, for the next edits."""
+    return edited.filter(F.col("pieces").isNotNull()).select(key, "pieces", "tokens")
+
+
 def sample_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Three edits of every document, from its own text: a replacement, a
     deletion and an insertion, at places given by hashes of the id."""
