@@ -18,7 +18,10 @@ turns.
 Defined results: rows of a conversation are ordered by turn, then role and
 text, nulls first; null texts are empty, null roles ``unknown``; repeated rows
 are repeated turns; rows with a null conversation id form one conversation. An
-empty table makes no pack.
+empty table makes no pack. Other columns are ignored, whatever their names. A
+turn is never divided: one longer than ``pack_chars`` makes its pack longer, and
+a task holds one conversation's turns and one pack. A pack is also closed at
+4096 conversations (``pack_members``); what they share is said again in the next.
 """
 
 from __future__ import annotations

@@ -14,7 +14,11 @@ def component_roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
     their neighbours (large star) and then of themselves (small star); a
     handful of rounds is enough, as paths shorten by powers. Every round is
     written and read again. Joins are on the node, whose many edges adaptive
-    execution can split; no neighbour list is ever gathered."""
+    execution can split; no neighbour list is ever gathered.
+
+    Edges with a null end, edges of a node with itself and repeated edges add
+    nothing; a node with no other edge is not in the result, so no edge gives
+    no row. Other columns are ignored."""
     edges = stored(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     seen = None
     for _ in range(rounds):

@@ -21,7 +21,9 @@ results.
 Defined results: a null payload is empty; null ids are written as such; rows
 with equal id and payload are separate records of the same type; when all ids
 of a payload are null its records are responses. An empty table writes no
-archive.
+archive. Other columns of the pages are ignored, whatever their names. A payload
+is held whole by the task that writes or reads its record, one at a time beside
+its batch.
 """
 
 from __future__ import annotations
