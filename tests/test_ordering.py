@@ -10,7 +10,7 @@ from tests.conftest import SF_CHECK
 from waterbook import catalog as C
 from waterbook.operators.ordering import numbered
 from waterbook.params import CumulativeArrearsParams
-from waterbook.plans import arrears, present
+from waterbook.plans import arrears, consumption, present
 from waterbook.sources.tables import Tables
 
 
@@ -36,6 +36,21 @@ def test_numbers_are_the_printed_order(spark):
     assert [r.cashier for r in rows] == printed and rows[-1].is_total
 
 
+def test_regions_of_one_ordinal_are_printed_by_code(spark):
+    rows = [("TOTAL", 6, True, 60, 66), ("ZZ", 6, False, 5, 5), ("AA", 6, False, 9, 1), (None, 6, False, 7, 0), (None, 6, False, 0, 8), ("VT", 1, False, 1, 1)]
+    df = spark.createDataFrame(rows, "region_code string, region_ordinal int, is_total boolean, base int, cmp int")
+    got = sorted(present.numbered_rows(df, "ordinal").collect(), key=lambda r: r.row_no)
+    assert [(r.region_code, r.base) for r in got] == [("VT", 1), (None, 0), (None, 7), ("AA", 9), ("ZZ", 5), ("TOTAL", 60)]
+    assert [r.row_no for r in got] == [1, 2, 3, 4, 5, 6]
+
+
+def test_year_to_date_report_is_numbered(spark):
+    t = Tables.from_generated(spark, SF_CHECK)
+    report = consumption.region_ytd_growth(t, C.YTD)
+    got = sorted(present.numbered_rows(report, "ordinal").collect(), key=lambda r: r.row_no)
+    assert [r.row_no for r in got] == list(range(1, report.count() + 1)) and got[-1].is_total
+
+
 def test_daily_arrears_equal_each_cut_off(spark):
     t = Tables.from_generated(spark, SF_CHECK)
     p = C.CUMULATIVE

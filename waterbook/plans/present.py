@@ -214,7 +214,7 @@ def kpi_text(df: DataFrame) -> DataFrame:
 ORDERS = {
     "sectioned": ["section", "region_ordinal", "sort_order", "rank"],
     "month_growth": ["is_total", "region"],
-    "ordinal": ["is_total", "region_ordinal", "region", "base", "cmp"],  # unknown regions share one ordinal
+    "ordinal": ["is_total", "region_ordinal", "region_code", "base", "cmp"],  # unknown regions share one ordinal
     "cashier": ["is_total", "sort_order"],
     "summary": ["sort_order"],
     "class_report": ["is_total", "class_code"],
