@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import SF_SMALL
 from waterbook.llm import bpe, language_id, license_scan, quality, queries, token_counts
-from waterbook.llm.common import public_vocabulary, table
+from waterbook.llm.common import exact_quantile, public_vocabulary, table
 
 WORD = "[^\x20\x09-\x0D]+"
 ODD = [
@@ -109,6 +110,32 @@ def test_filters_on_results_do_not_blow_up_the_plan(spark, name):
         assert size(df.filter(F.col(column).isNotNull() & (F.col(column).cast("string") != "-"))) <= 1.5 * plain, column
 
 
+def test_quality_learns_from_every_trusted_document(spark):
+    """More trusted documents than any bound: each counts, and so does its score."""
+    n = 20_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta w"), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.createDataFrame([(n + i, "gamma delta") for i in range(300)] + [(None, "gamma")], "doc_id long, text string"))
+    labels = docs.filter(f"doc_id < {n}").select("doc_id")
+    model = quality.fit(docs, labels.union(labels), buckets=1 << 16, quantile=0.5, margin=0.0)
+    h = quality.token_hashes(F.col("text"))
+    grams = docs.select("doc_id", F.explode(quality.grams(h, 1 << 16)).alias("g"))
+    raw, target = (Counter({r.g: r["count"] for r in d.groupBy("g").count().collect()}) for d in (grams, grams.join(labels, "doc_id", "left_semi")))
+    n_raw, n_target = sum(raw.values()) + (1 << 16), sum(target.values()) + (1 << 16)
+    assert n_target == 5 * n + (1 << 16)
+    for g in [*list(raw)[:200], 0, 65535]:
+        assert model.weights[g] == round(1e6 * (math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw)))
+    scores = quality.apply(docs.join(labels, "doc_id", "left_semi"), model)
+    assert model.threshold == pytest.approx(scores.agg(F.percentile("score", 0.5)).first()[0], abs=1e-6)
+
+
+def test_exact_quantile_is_the_percentile(spark):
+    for values in ([3.0], [2.0, 1.0], [5.0, None, 1.0, 1.0, 9.0, -2.0, 4.0]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        for q in (0.0, 0.002, 0.5, 0.73, 0.999, 1.0):
+            assert exact_quantile(df, "x", q) == pytest.approx(df.agg(F.percentile("x", q)).first()[0])
+    assert exact_quantile(df.limit(0), "x", 0.5) is None
+
+
 def test_quality_of_nothing(spark):
     empty, labels = odd_docs(spark).limit(0), table(spark, SF_SMALL, "labels").limit(0)
     model = quality.fit(empty, quality.trusted_ids(labels))
@@ -263,6 +290,57 @@ def test_stored_language_model_has_every_ngram(spark):
     np.testing.assert_allclose(model.entropies(texts, letters)[1], got[1])
 
 
+def test_left_out_text_is_scored_as_if_not_counted(spark):
+    import numpy as np
+
+    docs = small(spark).filter("text is not null and lang is not null").select("text", "lang").orderBy("doc_id").limit(60)
+    first = docs.limit(1).first()
+    docs = docs.union(spark.createDataFrame([(first.text, first.lang), ("x", "xx"), (first.text, "xx")], docs.schema))
+    model, letters = language_id.fit(docs, leave_out=True), language_id.letter_table()
+    at = {x: i for i, x in enumerate(model.languages)}
+    rows = Counter(map(tuple, docs.collect()))
+    some = [(first.text, first.lang), ("x", "xx"), *list(rows)[5:9]]
+    own, copies = np.array([at[x] for _, x in some]), np.array([rows[x] for x in some])
+    assert copies[0] >= 2
+    texts = [t for t, _ in some]
+    n, h, _, left = model.left_out(texts, letters, own, copies)
+    np.testing.assert_allclose(h, model.entropies(texts, letters)[1])
+    for i, (t, x) in enumerate(some):
+        rest = language_id.store_model(language_id.count_ngrams(docs.filter(~((F.col("text") == t) & (F.col("lang") == x))), "text", "lang"))
+        assert rest.languages == model.languages
+        rest.discount, rest.alphabet = model.discount, model.alphabet
+        np.testing.assert_allclose(left[i], rest.entropies([t], letters)[1][0, own[i]], rtol=1e-5)
+        assert left[i] >= h[i, own[i]]
+    alone = model.left_out(["x", "", "the"], letters, np.array([-1, 0, -1]), np.array([0, 1, 0]))
+    assert np.isnan(alone[3]).all()
+
+
+def test_every_text_is_counted_and_calibrates(spark, monkeypatch):
+    """No text is kept out, and one odd text decides the usual entropy too."""
+    rnd = random.Random(9)
+    line = lambda n: " ".join("".join(rnd.choice(["ta", "no", "ri", "lu"]) for _ in range(3)) for _ in range(n))
+    df = spark.createDataFrame([(i, line(30), "aa") for i in range(200)], "doc_id long, text string, lang string")
+    model, rows = language_id.learn_and_identify(df, **language_id.CALIBRATION)
+    whole = language_id.kneser_ney(language_id.count_ngrams(df, "text", "lang").toPandas())
+    texts, letters = [r.text for r in df.limit(20).collect()], language_id.letter_table()
+    assert model.entropies(texts, letters)[1] == pytest.approx(whole.entropies(texts, letters)[1], rel=1e-5)
+    monkeypatch.setattr(language_id, "COPIED", -1)  # joined, not broadcast
+    fitted = language_id.fit(df, **language_id.CALIBRATION)
+    assert (fitted.usual, fitted.allowed, fitted.limit) == (pytest.approx(model.usual), pytest.approx(model.allowed), model.limit)
+    every = model.left_out([r.text for r in df.collect()], letters, np_zeros(200), np_zeros(200) + 1)
+    assert model.usual[0] == pytest.approx((every[3] * every[0]).sum() / every[0].sum(), abs=1e-6)
+    want = {r.doc_id: r.prediction for r in language_id.identify(df, fitted).collect()}
+    for r in rows.collect():
+        assert (r.prediction.lang, r.prediction.accepted) == (want[r.row.doc_id].lang, want[r.row.doc_id].accepted)
+        assert r.prediction.entropy == pytest.approx(want[r.row.doc_id].entropy)
+
+
+def np_zeros(n):
+    import numpy as np
+
+    return np.zeros(n, dtype=np.int64)
+
+
 def test_language_beside_a_large_one_is_learned(spark):
     rnd = random.Random(5)
     hot = "".join(chr(0x4E00 + rnd.randrange(6000)) for _ in range(450_000))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from ..session import ensure_checkpoint_dir
 
 #: The white space that separates words: blank and the control characters 9-13.
@@ -51,6 +52,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exact_quantile(df: DataFrame, column: str, quantile: float) -> float | None:
+    """The interpolated quantile of all values that are not null, as
+    ``percentile`` gives it, but from a distributed order; None without any."""
+    values = stored(df.select(F.col(column).cast("double").alias("v")).filter("v is not null"), "values")
+    size = values.count()
+    if not size:
+        return None
+    at = quantile * (size - 1)
+    low = int(at)
+    got = sorted(r.v for r in numbered(values, F.col("v").asc()).filter(F.col("row_no").between(low + 1, low + 2)).collect())
+    return got[0] + (at - low) * (got[-1] - got[0]) if at > low else got[0]
+
+
 def public_vocabulary(name: str) -> str:
     """Place of a public tokenizer file on this machine."""
     import public_tokenizers

@@ -11,8 +11,8 @@ parts again for every piece of text.
 
 The prediction is the language of the lowest cross-entropy per symbol. It is
 accepted unless that entropy is further above the language's usual one than
-texts were in a calibration sample of every language, of texts that may be kept
-out of the counts.
+nearly all texts learned from are, each scored with itself and its copies left
+out of the counts. So counts cover every text, and every text calibrates.
 
 Defined results: a null text, one without a letter, or any text when there was
 nothing to learn from, gives ``und``, score 0, not accepted. Ties go to the
@@ -36,19 +36,21 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import exact_quantile, shared_path, stored
 from .warc import file_system
 
 ORDER = 4
 EDGE, BLANK = 1, 32
 #: Characters handled at once inside a task.
-PIECE = 1_500_000
+PIECE = 400_000
 #: Rows of a stored model: about as many in a part, at most as many kept by a task.
 PART, CACHED = 500_000, 6_000_000
 LEAST_PARTS = 32
+#: Texts with copies whose counts are broadcast.
+COPIED = 2_000_000
 UNKNOWN = "und"
-#: Calibration on texts kept out of the counts, as the query and the pipeline do it.
-CALIBRATION = {"apart": 16, "slack": 2.0}
+#: Calibration by every text left out of the counts, as the query and the pipeline do it.
+CALIBRATION = {"leave_out": True, "slack": 2.0}
 
 
 def letter_table() -> np.ndarray:
@@ -153,9 +155,13 @@ class LanguageModel:
         inner = np.flatnonzero(s != EDGE)
         whose = owner[inner]
         lp = self.log_probabilities([s[inner - d] for d in range(ORDER - 1, -1, -1)])
-        n = np.bincount(whose, minlength=len(texts))
-        sums = np.stack([np.bincount(whose, weights=lp[:, i], minlength=len(texts)) for i in range(lp.shape[1])], axis=1)
-        lettered = np.bincount(whose, weights=s[inner] != BLANK, minlength=len(texts)) > 0
+        return self.per_text(lp, whose, s[inner], len(texts))
+
+    @staticmethod
+    def per_text(lp: np.ndarray, whose: np.ndarray, s: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.bincount(whose, minlength=texts)
+        sums = np.stack([np.bincount(whose, weights=lp[:, i], minlength=texts) for i in range(lp.shape[1])], axis=1)
+        lettered = np.bincount(whose, weights=s != BLANK, minlength=texts) > 0
         return n, -sums / np.maximum(n, 1)[:, None], lettered
 
 
@@ -224,21 +230,86 @@ class StoredModel(LanguageModel):
             there[to] = True
         return count, kinds, there
 
-    def log_probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
-        if not len(columns[0]):
-            return np.empty((0, len(self.languages)), dtype=np.float32)
+    def found(self, columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, tuple[np.ndarray, ...]]:
+        """The distinct n-grams, which of them stands at every place, and what
+        ``look_up`` finds: their m-grams by rising order, then their contexts."""
         _, first, back = np.unique(gram_hash(columns), return_index=True, return_inverse=True)
-        c, size = [x[first] for x in columns], len(first)
+        c = [x[first] for x in columns]
         asked = [gram_hash(c[-m:]) for m in range(1, ORDER + 1)] + [context_hash(c[-m:-1]) for m in range(2, ORDER + 1)]
-        count, kinds, there = self.look_up(np.concatenate(asked))
+        return c, back.ravel(), self.look_up(np.concatenate(asked))
+
+    def log_of(self, size: int, found: tuple[np.ndarray, ...]) -> np.ndarray:
+        count, kinds, there = found
         p = np.full((size, len(self.languages)), 1 / self.alphabet)
         for m in range(1, ORDER + 1):
-            gram, context = slice((m - 1) * size, m * size), slice((ORDER + m - 2) * size, (ORDER + m - 1) * size)
+            gram, context = self.places(size, m)
             total, follow = (self.total, self.kinds) if m == 1 else (count[context], kinds[context])
             discount = self.discount[m - 1]
             known = (there[gram, None] if m == 1 else True) & (total > 0)
             p = np.where(known, (np.maximum(count[gram] - discount, 0) + discount * follow * p) / np.maximum(total, 1e-300), p)
-        return np.log(p).astype(np.float32)[back.ravel()]
+        return np.log(p).astype(np.float32)
+
+    @staticmethod
+    def places(size: int, m: int) -> tuple[slice, slice]:
+        return slice((m - 1) * size, m * size), slice((ORDER + m - 2) * size, (ORDER + m - 1) * size)
+
+    def log_probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
+        if not len(columns[0]):
+            return np.empty((0, len(self.languages)), dtype=np.float32)
+        c, back, found = self.found(columns)
+        return self.log_of(len(c[0]), found)[back]
+
+    def left_out(self, texts: list[str], letters: np.ndarray, own: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``entropies``, and per text its cross-entropy by the language
+        numbered ``own`` (-1: none, NaN) as if the text, which occurs
+        ``copies`` times there, had not been counted; discounts stay."""
+        s, owner = symbols(texts, letters)
+        inner = np.flatnonzero(s != EDGE)
+        if not len(inner):
+            return *self.per_text(np.empty((0, len(self.languages))), owner[inner], s[inner], len(texts)), np.full(len(texts), np.nan)
+        c, back, found = self.found([s[inner - d] for d in range(ORDER - 1, -1, -1)])
+        whose, size = owner[inner], len(c[0])
+        n, h, lettered = self.per_text(self.log_of(size, found)[back], whose, s[inner], len(texts))
+        mine = own[whose] >= 0
+        pair, times = np.unique(whose[mine] * size + back[mine], return_counts=True)
+        who, gram = pair // max(size, 1), pair % max(size, 1)
+        if not len(pair):
+            return n, h, lettered, np.full(len(texts), np.nan)
+        count, kinds, _ = found
+        lang = own[who]
+
+        def each(hashes: np.ndarray | None, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """First row of every (text, hash), and which of them every row is."""
+            names = np.zeros(len(rows), dtype=np.int64) if hashes is None else np.unique(hashes, return_inverse=True)[1].ravel()[gram[rows]]
+            _, first, which = np.unique(who[rows] * (size + 1) + names, return_index=True, return_inverse=True)
+            return rows[first], which.ravel()
+
+        # from the highest order down: rows stand for the text's own m-grams,
+        # of which ``less`` is taken away; a type that none is left of no longer
+        # counts below. ``at`` tells the m-gram of every (text, n-gram)
+        rows, at = np.arange(len(pair)), np.arange(len(pair))
+        less = times * copies[who]
+        parts = []
+        for m in range(ORDER, 0, -1):
+            place, context = self.places(size, m)
+            had = count[place][gram[rows], lang[rows]]
+            gone = (had > 0) & (had <= less)
+            head, which = each(context_hash(c[-m:-1]) if m > 1 else None, rows)
+            fewer, lost = np.bincount(which, weights=less), np.bincount(which, weights=gone)
+            total, follow = (count[context][gram[rows], lang[rows]], kinds[context][gram[rows], lang[rows]]) if m > 1 else (self.total[lang[rows]], self.kinds[lang[rows]])
+            total, follow = total - fewer[which], follow - lost[which]
+            there = total > 0
+            if m == 1:
+                there &= count[place][gram[rows]].sum(axis=1) > less
+            parts.append((np.maximum(had - less, 0)[at], total[at], follow[at], there[at], self.discount[m - 1][lang]))
+            if m > 1:
+                rows, which = each(gram_hash(c[-m + 1 :]), rows)
+                less, at = np.bincount(which, weights=gone), which[at]
+        p = np.full(len(pair), 1 / self.alphabet)
+        for had, total, follow, there, discount in reversed(parts):
+            p = np.where(there, (np.maximum(had - discount, 0) + discount * follow * p) / np.maximum(total, 1e-300), p)
+        bits = np.bincount(who, weights=-np.log(p) * times, minlength=len(texts))
+        return n, h, lettered, np.where((own >= 0) & (n > 0), bits / np.maximum(n, 1), np.nan)
 
 
 def pieces(texts: list[str], most: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -405,32 +476,104 @@ def store_model(counts: DataFrame) -> StoredModel:
     return model
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("l"), F.col("t"))
+
+
+def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(l, h, copies) of the distinct texts learned from."""
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
+    return stored(rows.groupBy("l", _text_hash().alias("h")).agg(F.count(F.lit(1)).alias("copies")), "texts")
+
+
+def _left_out(rows: DataFrame, model: StoredModel, texts: DataFrame) -> DataFrame:
+    """``rows`` (.., t, l) with ``h``, the hash of language and text, and ``p``:
+    LEFT. The counts of up to ``COPIED`` texts with copies are broadcast, so
+    that texts need no shuffle; more are joined."""
+    rows = rows.withColumn("l", F.col("l").cast("string")).withColumn("h", _text_hash())
+    copied = stored(texts.filter("copies > 1").groupBy("h").agg(F.max("copies").alias("copies")), "copied")
+    rows = rows.join(F.broadcast(copied) if copied.count() <= COPIED else copied, "h", "left")
+    copies = F.when(F.col("l").isNotNull() & F.col("t").isNotNull(), F.coalesce("copies", F.lit(1)))
+    return rows.withColumn("p", _predictor(rows.sparkSession, model, True)(F.col("t"), F.col("l"), copies)).drop("copies", "t")
+
+
+def _calibrate(model: StoredModel, seen: DataFrame, slack: float, quantile: float, least_margin: float) -> None:
+    """Limits from texts (l, entropy, n) that were not counted: what an
+    entropy is above the usual one may be ``slack`` times the ``quantile`` of
+    theirs, at least ``least_margin``, and three times the usual entropy over
+    the root of its length more."""
+    mean = seen.groupBy("l").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("usual")).toPandas()  # a row per language
+    usual = pd.Series(mean["usual"].to_numpy(dtype=float), mean["l"]).reindex(model.languages).round(9)
+    above = F.col("entropy") - _by_language(model.languages, usual.fillna(0.0))[F.col("l")]
+    high = exact_quantile(seen.select(above.alias("above")), "above", quantile)
+    model.usual, model.spread, model.limit = usual.fillna(0.0).to_numpy(), usual.fillna(np.inf).to_numpy(), 3.0
+    model.allowed = slack * max(least_margin, round(high or 0.0, 9))
+
+
+def _by_language(languages: list[str], values) -> Column:
+    return F.create_map(*[F.lit(x) for pair in zip(languages, map(float, values), strict=True) for x in pair])
+
+
+def _calibrate_left_out(model: StoredModel, scored: DataFrame, texts: DataFrame, slack: float = 3.0, least_texts: int = 64, quantile: float = 0.999, least_margin: float = 0.5) -> None:
+    """Calibration by all rows of ``_left_out``: of every language with
+    ``least_texts`` distinct texts, each distinct text that is still nearest to
+    its own language without itself. Other languages reject nothing."""
+    enough = texts.groupBy("l").count().filter(F.col("count") >= least_texts).select("l")  # a row per language
+    seen = scored.filter("p.left <= p.others and p.n > 0").join(F.broadcast(enough), "l", "left_semi")
+    seen = seen.groupBy("l", "h").agg(F.min("p.left").alias("entropy"), F.min("p.n").alias("n"))
+    _calibrate(model, stored(seen, "calibration"), slack, quantile, least_margin)
+
+
+def learn_and_identify(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, **settings) -> tuple[StoredModel, DataFrame]:
+    """The model that ``fit`` with ``leave_out`` learns from ``docs``, and
+    (row, prediction): the rows of ``docs`` as structs (of the columns ``keep``),
+    with what ``identify`` gives for each. Every text is scored once, for both."""
+    model, texts = store_model(count_ngrams(docs, text, lang)), _texts(docs, text, lang)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep or docs.columns]).alias("row"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    if not model.languages:
+        return model, identify(rows, model, "t").select("row", "prediction")
+    scored = stored(_left_out(rows, model, texts), "predictions")
+    _calibrate_left_out(model, scored, texts, **{k: v for k, v in settings.items() if k != "leave_out"})
+    usual, spread = (_by_language(model.languages, x)[F.col("p.lang")] for x in (model.usual, model.spread))
+    usually = (F.col("p.entropy") - usual - model.allowed) * F.sqrt("p.n") <= model.limit * spread
+    accepted = F.col("p.accepted") & F.coalesce(usually, F.lit(False))
+    return model, scored.select("row", F.struct("p.lang", "p.score", "p.entropy", "p.n", accepted.alias("accepted")).alias("prediction"))
+
+
 def fit(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    calibration_rows: int = 2000,
+    calibration_rows: int | None = None,
     slack: float = 3.0,
     apart: int = 0,
     least_texts: int = 64,
     quantile: float = 0.999,
     least_margin: float = 0.5,
+    leave_out: bool = False,
 ) -> LanguageModel:
     """Models of all languages in ``docs``.
 
-    Counts cover every row and n-gram but those kept apart. Of every language
-    about ``calibration_rows`` distinct texts, chosen by a hash (all where
-    there are no more), set the usual entropy. A language without a correctly
+    Counts cover every row and n-gram but those kept apart. All distinct texts
+    set the usual entropy; with ``calibration_rows`` only about so many of
+    every language, chosen by a hash. A language without a correctly
     predicted text among its own has no calibration and rejects nothing.
 
-    With ``apart``, one of so many distinct texts of a language that has about
-    ``least_texts`` is kept out of the counts, and only such texts calibrate:
-    what an unseen text's entropy is above the usual one may be ``slack`` times
-    the ``quantile`` of theirs, at least ``least_margin``, and three times the
-    usual entropy over the root of its length more. Other languages reject nothing. Without ``apart``,
+    With ``leave_out``, as the query and the pipeline learn, counts cover every
+    row, and every text calibrates with itself and its copies left out of them
+    (``_calibrate_left_out``). With ``apart``, one of so many distinct texts of a language that has about
+    ``least_texts`` is kept out of the counts, and only such texts calibrate,
+    in the same way. Other languages reject nothing. Without either,
     training texts calibrate: the limit is ``slack`` times the largest
     deviation among them.
     """
+    if leave_out:
+        model, texts = store_model(count_ngrams(docs, text, lang)), _texts(docs, text, lang)
+        if model.languages:
+            rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
+            scored = stored(_left_out(rows, model, texts), "predictions")
+            _calibrate_left_out(model, scored, texts, slack, least_texts, quantile, least_margin)
+        return model
     rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
     rows = rows.withColumn("h", F.xxhash64("t"))
     known = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("texts"))  # a row per language
@@ -444,22 +587,18 @@ def fit(
     model = store_model(count_ngrams(counted, text, lang))
     if not model.languages:
         return model
-    share = known.select("l", (F.lit(calibration_rows * max(apart, 1)) / F.col("texts")).alias("share"))
-    sample = rows.join(F.broadcast(share), "l").filter((F.col("share") >= 1) | (F.col("h") / 2.0**64 + 0.5 < F.col("share")))
+    if calibration_rows is not None:
+        share = known.select("l", (F.lit(calibration_rows * max(apart, 1)) / F.col("texts")).alias("share"))
+        rows = rows.join(F.broadcast(share), "l").filter((F.col("share") >= 1) | (F.col("h") / 2.0**64 + 0.5 < F.col("share")))
     small = model_only(rows.sparkSession, model)
-    seen = sample.select(small(F.col("t")).alias("p"), "l", "h").filter("p.lang = l and p.n > 0")
+    seen = rows.select(small(F.col("t")).alias("p"), "l", "h").filter("p.lang = l and p.n > 0")
     seen = stored(seen.select("l", "h", "p.entropy", "p.n").distinct(), "calibration")
-    mean = seen.groupBy("l").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("usual")).toPandas()
-    known_usual = pd.Series(mean["usual"].to_numpy(), mean["l"]).reindex(model.languages).round(9)
-    usual = known_usual.fillna(0.0).to_numpy()
-    of = F.create_map(*[F.lit(x) for pair in zip(model.languages, usual.tolist(), strict=True) for x in pair])
-    above = F.col("entropy") - of[F.col("l")]
     if apart:
-        high = seen.select(F.percentile_approx(above, quantile, 10_000)).first()[0]  # of the calibration sample
-        model.usual, model.spread, model.limit = usual, known_usual.fillna(np.inf).to_numpy(), 3.0
-        model.allowed = slack * max(least_margin, round(high or 0.0, 9))
+        _calibrate(model, seen, slack, quantile, least_margin)
         return model
-    z = above * F.sqrt("n")
+    mean = seen.groupBy("l").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("usual")).toPandas()
+    usual = pd.Series(mean["usual"].to_numpy(dtype=float), mean["l"]).reindex(model.languages).round(9).fillna(0.0).to_numpy()
+    z = (F.col("entropy") - _by_language(model.languages, usual)[F.col("l")]) * F.sqrt("n")
     found = seen.groupBy("l").agg(F.sqrt(F.avg(z * z)).alias("spread"), F.max(z).alias("most")).toPandas().set_index("l").reindex(model.languages)
     spread = found["spread"].round(9).clip(lower=0.5)
     most = (found["most"] / spread).max()
@@ -469,34 +608,63 @@ def fit(
 
 
 RESULT = "lang string, score double, entropy double, n bigint, accepted boolean"
+#: ``left``: entropy by the language stated, without the text; ``others``: the least by any other.
+LEFT = RESULT + ", left double, others double"
 
 
-def model_only(spark, model: LanguageModel):
-    """A function of a text column that gives a struct of RESULT."""
+def _predictor(spark, model: LanguageModel, left_out: bool = False):
+    """A function of a text column that gives a struct of RESULT, or with
+    ``left_out`` of text, language learned and copies that gives LEFT. The
+    last two fields alone depend on the language learned."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
-    def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, letters = pickle.loads(sent.value), letter_table()
+    def rows(m: LanguageModel, letters: np.ndarray, names: np.ndarray, texts: list[str], own: np.ndarray | None, copies: np.ndarray | None) -> pd.DataFrame:
+        n, h, lettered, *left = m.entropies(texts, letters) if own is None else m.left_out(texts, letters, own, copies)
+        every = np.arange(len(texts))
+        best = h.argmin(axis=1)
+        low = h[every, best]
+        score = 1 / np.exp(-np.minimum((h - low[:, None]) * n[:, None], 700)).sum(axis=1)
+        ok = lettered.copy()
+        if m.usual is not None:
+            ok &= (low - m.usual[best] - m.allowed) * np.sqrt(n) <= m.limit * m.spread[best]
+        best = np.where(lettered, best, len(m.languages))
+        out = pd.DataFrame({"lang": names[best], "score": np.where(lettered, score, 0.0), "entropy": np.where(lettered, low, 0.0), "n": n, "accepted": ok})
+        if own is not None:
+            h[every, own] = np.where(own >= 0, np.inf, h[every, own])
+            out["left"], out["others"] = np.where(lettered, left[0], np.nan), h.min(axis=1)
+        return out
+
+    def predict(texts: pd.Series, own: pd.Series | None, copies: pd.Series | None, m: LanguageModel, letters: np.ndarray) -> pd.DataFrame:
         names = np.array([*m.languages, UNKNOWN], dtype=object)
+        at = {x: i for i, x in enumerate(m.languages)}
+        texts = [t or "" for t in texts]
+        if own is not None:
+            copies = copies.fillna(0).to_numpy(dtype=np.int64)
+            own = np.where(copies > 0, [at.get(x, -1) for x in own], -1)
+        most = 4 * PIECE // max(4, len(m.languages))
+        parts = [rows(m, letters, names, texts[i:j], None if own is None else own[i:j], None if own is None else copies[i:j]) for i, j in (pieces(texts, most) if m.languages else ())]
+        if parts:
+            return pd.concat(parts, ignore_index=True)
+        return pd.DataFrame({"lang": UNKNOWN, "score": 0.0, "entropy": 0.0, "n": 0, "accepted": False}, index=range(len(texts)))
+
+    def plain(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m, letters = pickle.loads(sent.value), letter_table()
         for texts in series:
-            texts = [t or "" for t in texts]
-            out = pd.DataFrame({"lang": UNKNOWN, "score": 0.0, "entropy": 0.0, "n": 0, "accepted": False}, index=range(len(texts)))
-            parts = []
-            most = 4 * PIECE // max(4, len(m.languages))
-            for at, end in pieces(texts, most) if m.languages else ():
-                n, h, lettered = m.entropies(texts[at:end], letters)
-                best = h.argmin(axis=1)
-                low = h[np.arange(len(best)), best]
-                score = 1 / np.exp(-np.minimum((h - low[:, None]) * n[:, None], 700)).sum(axis=1)
-                ok = lettered.copy()
-                if m.usual is not None:
-                    ok &= (low - m.usual[best] - m.allowed) * np.sqrt(n) <= m.limit * m.spread[best]
-                best = np.where(lettered, best, len(m.languages))
-                parts.append(pd.DataFrame({"lang": names[best], "score": np.where(lettered, score, 0.0), "entropy": np.where(lettered, low, 0.0), "n": n, "accepted": ok}))
-            yield pd.concat(parts, ignore_index=True) if parts else out
+            yield predict(texts, None, None, m, letters)
+
+    def without(series: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        m, letters = pickle.loads(sent.value), letter_table()
+        for texts, own, copies in series:
+            out = predict(texts, own, copies, m, letters)
+            yield out if "left" in out else out.assign(left=np.nan, others=0.0)
 
     # else a filter on the result would be pushed below and evaluate it again
-    return F.pandas_udf(predict, RESULT).asNondeterministic()
+    return F.pandas_udf(without if left_out else plain, LEFT if left_out else RESULT).asNondeterministic()
+
+
+def model_only(spark, model: LanguageModel):
+    """A function of a text column that gives a struct of RESULT."""
+    return _predictor(spark, model)
 
 
 def held_out(key: Column) -> Column:

@@ -61,11 +61,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))), **language_id.CALIBRATION)
-    out = language_id.identify(docs.select("doc_id", "text"), model)
+    learned = F.when(~language_id.held_out(F.col("doc_id")), F.col("lang")).alias("lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", learned)
+    _, out = language_id.learn_and_identify(docs, keep=["doc_id"], **language_id.CALIBRATION)
     return out.select(
-        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("prediction.lang").alias("lang_pred"),
+        "row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), F.col("prediction.lang").alias("lang_pred"),
         "prediction.score", "prediction.entropy", "prediction.accepted",
     )
 
