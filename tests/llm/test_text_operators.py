@@ -117,6 +117,8 @@ def test_quality_learns_from_every_trusted_document(spark):
     docs = docs.union(spark.createDataFrame([(n + i, "gamma delta") for i in range(300)] + [(None, "gamma")], "doc_id long, text string"))
     labels = docs.filter(f"doc_id < {n}").select("doc_id")
     model = quality.fit(docs, labels.union(labels), buckets=1 << 16, quantile=0.5, margin=0.0)
+    joined = quality.fit(docs, labels, buckets=1 << 16, quantile=0.5, margin=0.0, max_broadcast=100)
+    assert joined == model
     h = quality.token_hashes(F.col("text"))
     grams = docs.select("doc_id", F.explode(quality.grams(h, 1 << 16)).alias("g"))
     raw, target = (Counter({r.g: r["count"] for r in d.groupBy("g").count().collect()}) for d in (grams, grams.join(labels, "doc_id", "left_semi")))

@@ -55,7 +55,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def exact_quantile(df: DataFrame, column: str, quantile: float) -> float | None:
     """The interpolated quantile of all values that are not null, as
     ``percentile`` gives it, but from a distributed order; None without any."""
-    values = stored(df.select(F.col(column).cast("double").alias("v")).filter("v is not null"), "values")
+    # stored before the filter, which would else be moved into what makes the values
+    values = stored(df.select(F.col(column).cast("double").alias("v")), "values").filter("v is not null")
     size = values.count()
     if not size:
         return None

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, pack, sealed, words
+from .common import SPACE_CHARS, exact_quantile, pack, sealed, stored, words
 
 #: Runs of letters and digits, or of anything else that is not white space.
 TOKEN = r"[\p{L}\p{M}\p{N}]++|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]++"
@@ -44,20 +44,29 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
+def _bucket(h: Column, buckets: int) -> Column:
+    rest = F.pmod(h, F.lit(buckets)) if buckets & (buckets - 1) else h.bitwiseAND(F.lit(buckets - 1).cast("bigint"))
+    return rest.cast("int")
+
+
+def _bigrams(h: Column, of) -> Column:
+    """``of`` the hash of each two tokens in a row."""
+    n = F.greatest(F.size(h), F.lit(1))
+    return F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n), lambda a, b: of(F.xxhash64(a, b)))
+
+
 def grams(h: Column, buckets: int) -> Column:
-    """Buckets of the unigrams and bigrams of a column of token hashes: one
-    struct per token, whose bigram is null at the last."""
-    bucket = lambda c: F.pmod(c, F.lit(buckets)).cast("int")
-    following = F.slice(h, 2, F.greatest(F.size(h), F.lit(1)))
-    return F.zip_with(h, following, lambda a, b: F.struct(bucket(a).alias("u"), F.when(b.isNotNull(), bucket(F.xxhash64(a, b))).alias("b")))
+    """Buckets of the unigrams and bigrams of a column of token hashes."""
+    return F.concat(F.transform(h, lambda x: _bucket(x, buckets)), _bigrams(h, lambda x: _bucket(x, buckets)))
 
 
 def _score(h: Column, model: QualityModel) -> Column:
     """Mean weight of the grams of a column of token hashes; null without any."""
     weights = model.weights
     table = F.expr(f"cast(split('{','.join(map(str, weights))}', ',') as array<bigint>)")
-    both = lambda g: F.get(table, g["u"]) + F.coalesce(F.get(table, g["b"]), F.lit(0).cast("bigint"))
-    total = F.aggregate(grams(h, len(weights)), F.lit(0).cast("bigint"), lambda acc, g: acc + both(g))
+    weight = lambda x: F.get(table, _bucket(x, len(weights)))
+    total = F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: acc + weight(x))
+    total = F.aggregate(_bigrams(h, weight), total, lambda acc, w: acc + w)
     return F.when(F.size(h) > 0, total / (2 * F.size(h) - 1) / SCALE)
 
 
@@ -123,33 +132,32 @@ def fit(
     text: str = "text",
     key: str = "doc_id",
     buckets: int = 16384,
-    max_trusted: int = 20_000,
+    max_broadcast: int = 2_000_000,
     smoothing: float = 1.0,
     quantile: float = 0.002,
     margin: float = 0.25,
 ) -> QualityModel:
-    """Count both multinomials in one pass over all documents.
+    """Count both multinomials over all documents.
 
-    ``trusted`` lists the ids of target documents; ``max_trusted`` of them, in
-    the order of their hash, make the target (the bound that allows its
-    broadcast). Raw counts cover every document. The threshold lies ``margin``
-    below the ``quantile`` of the trusted documents' own scores.
+    ``trusted`` lists the ids of target documents, all of which make the
+    target; up to ``max_broadcast`` ids are broadcast, more are joined. Raw
+    counts cover every document. The threshold lies ``margin`` below the
+    ``quantile`` of all trusted documents' own scores, ordered by range
+    partitions.
     """
-    ids = (
-        trusted.select(F.col(key).alias("id")).filter("id is not null").distinct()
-        .orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("hit", F.lit(1))
-    )
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    marked = rows.join(F.broadcast(ids), "id", "left")
-    counts = (
-        marked.select("hit", token_hashes(F.col("t")).alias("h"))
-        .select("hit", F.explode(grams(F.col("h"), buckets)).alias("g"))
-        .select("hit", F.explode(F.array("g.u", "g.b")).alias("g")).filter("g is not null")
-        .groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("hit").alias("target"))
-    ).collect()  # one row per bucket at most
-    raw, target = [0] * buckets, [0] * buckets
-    for r in counts:
-        raw[r["g"]], target[r["g"]] = r["raw"], r["target"]
+    ids = stored(trusted.select(F.col(key).alias("id")).filter("id is not null").distinct(), "trusted-ids")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    own = texts.join(F.broadcast(ids) if ids.count() <= max_broadcast else ids, "id", "left_semi")
+    own = stored(own.select("t"), "trusted-texts")
+
+    def counted(rows: DataFrame) -> list[int]:
+        each = rows.select(token_hashes(F.col("t")).alias("h")).select(F.explode(grams(F.col("h"), buckets)).alias("g"))
+        out = [0] * buckets
+        for r in each.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per bucket at most
+            out[r["g"]] = r["n"]
+        return out
+
+    raw, target = counted(texts), counted(own)
     if not sum(target):
         return QualityModel((0,) * buckets, 0.0)
     n_raw, n_target = sum(raw) + smoothing * buckets, sum(target) + smoothing * buckets
@@ -157,9 +165,8 @@ def fit(
         round(SCALE * (math.log((a + smoothing) / n_target) - math.log((b + smoothing) / n_raw)))
         for a, b in zip(target, raw, strict=True)
     )
-    own = rows.join(F.broadcast(ids.select("id")), "id", "left_semi").select(token_hashes(F.col("t")).alias("h"))
-    own = own.select(_score(F.col("h"), QualityModel(weights, 0.0)).alias("score"))
-    low = own.agg(F.percentile("score", quantile)).first()[0]
+    own = own.select(token_hashes(F.col("t")).alias("h")).select(_score(F.col("h"), QualityModel(weights, 0.0)).alias("score"))
+    low = exact_quantile(own, "score", quantile)
     return QualityModel(weights, round((low if low is not None else 0.0) - margin, 6))
 
 
