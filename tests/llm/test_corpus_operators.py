@@ -274,6 +274,34 @@ def test_components_of_near_copies(spark, settings):
     assert got == want_components(rows)
 
 
+def test_open_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    rnd = random.Random(7)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(150):  # all link, but hardly any with the first
+        t = list(base)
+        for place in rnd.sample(range(8, 122), 2):
+            t[place] = f"e{i}"
+        rows.append((i, " ".join(t)))
+    plain, made = jaccard_join._open_pairs, spark.sparkContext.accumulator(0)
+
+    def counted(*settings):
+        run = plain(*settings)
+
+        def both(lists, known):
+            out = run(lists, known)
+            made.add(out.num_rows)
+            return out
+
+        return both
+
+    monkeypatch.setattr(jaccard_join, "_open_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard_join.link_components(docs).select("doc_id", "n", "component_id").collect()), key=repr)
+    assert got == want_components(rows)
+    assert made.value <= 10 * len(rows), made.value
+
+
 def test_components_of_odd_rows(spark):
     got = sorted((tuple(r) for r in jaccard_join.link_components(odd_docs(spark)).select("doc_id", "n", "component_id").collect()), key=repr)
     assert got == want_components([(i, t) for i, t, _ in ODD])

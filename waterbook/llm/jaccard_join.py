@@ -18,7 +18,10 @@ choice only affects speed.
    then, of the others, those between the components that these make.
 4. The long lists are gone through again: every pair of classes that passes
    the filters, and a bound from parity sketches of the sets, and is still in different components is verified too, as is
-   every pair of a block. So any two linked documents end in one component,
+   every pair of a block. A pair comes from the list of the first token that
+   both prefixes hold, not from each list that both are in; and of each list
+   the nearest pair of each class comes first, so that of a large group of near
+   copies only pairs that these have not joined are left for the second time. So any two linked documents end in one component,
    though not every pair of a large group of copies is compared.
 
 Sets are compared by hashes of their shingles: 64 bits, of which 48 travel.
@@ -174,13 +177,18 @@ def _set_info(sent, width: int, num: int, den: int) -> Callable[[Iterator[pa.Rec
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             n, c, g = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            sketch = np.zeros((8, len(texts)), np.int64)
+            sketch, lead = np.zeros((8, len(texts)), np.int64), [None] * len(texts)
             for i, tokens in each_set(hasher, texts):
-                keys, _ = order.keys(tokens)
+                keys, counts = order.keys(tokens)
                 n[i], c[i], sketch[:, i] = len(tokens), set_hash(tokens), parity_sketch(tokens)
                 p = prefix_length(len(tokens), num, den)
-                g[i] = group_hash(np.partition(keys, p - 1)[:p], len(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(c, mask=n == 0), pa.array(g, mask=n == 0), *map(pa.array, sketch)], ["id", "n", "c", "g", *SKETCH])
+                first = np.argpartition(keys, p - 1)[:p]
+                g[i] = group_hash(keys[first], len(tokens))
+                often = first[counts[first] > 0]
+                if len(often):
+                    lead[i] = _planes(tokens[often[np.argsort(keys[often])]] >> KEEP)
+            columns = [batch.column(0), pa.array(n), pa.array(c, mask=n == 0), pa.array(g, mask=n == 0), *map(pa.array, sketch), pa.array(lead, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c", "g", *SKETCH, "lead"])
 
     return run
 
@@ -310,18 +318,31 @@ def _pair_bucket(num: int, den: int, all_pairs: int, bits: int) -> Callable[[pa.
     return run
 
 
-def _open_pairs(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _open_pairs(num: int, den: int, nearest: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Of a bucket's long lists, the class pairs in different components that
     pass the filters, that of their parity sketches included. Right: (g, c,
-    root, sketch) of the lists' groups."""
+    root, sketch, lead) of the lists' groups; ``lead``: the frequent tokens of
+    the prefix, in order. A pair with a common one before the list's token is
+    left to that one's list: there it passes if it is linked, as the bound by
+    place is widest at the first token in common. With ``nearest`` only one
+    pair of each class outside the list's largest component, by the sketches."""
 
     def run(lists: pa.Table, known: pa.Table) -> pa.Table:
         g, c, root = (known.column(x).to_numpy() for x in ("g", "c", "root"))
         by = np.argsort(g, kind="stable")
         g, c, root = g[by], c[by], root[by]
+        leads = known.column("lead").combine_chunks().take(pa.array(by))
+        lead_of: dict[int, list[int]] = {}
+
+        def before(token: int, group: int, row: int) -> frozenset[int]:
+            if group not in lead_of:
+                lead_of[group] = _from_planes(leads[row].as_py() or b"").tolist()
+            lead = lead_of[group]
+            return frozenset(lead[: lead.index(token)] if token in lead else ())
+
         sketch = np.stack([known.column(x).to_numpy() for x in SKETCH], axis=1)[by].view(np.uint64)
         out: list[np.ndarray] = []
-        for blob in lists.column("members").to_pylist():
+        for token, blob in zip(lists.column("token").to_pylist(), lists.column("members").to_pylist(), strict=True):
             entry = np.frombuffer(blob, dtype=MEMBER)
             low, high = np.searchsorted(g, entry["group"]), np.searchsorted(g, entry["group"], side="right")
             k = high - low  # classes of each group
@@ -333,6 +354,7 @@ def _open_pairs(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 continue
             main = part == sizes.argmax()
             few = np.flatnonzero(~main)  # whatever pair is open has one of these
+            earlier: dict[int, frozenset[int]] = {}
             step = max(1, 2_000_000 // len(r))
             for start in range(0, len(few), step):
                 i = few[start : start + step, None]
@@ -343,8 +365,19 @@ def _open_pairs(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 x = i[x, 0]
                 # sets that reach the similarity differ in no more members than this
                 most = n[x] + n[y] - 2 * least_overlap(n[x] + n[y], num, den)
-                near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most
-                x, y = x[near], y[near]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                near = apart <= most
+                x, y, apart = x[near], y[near], apart[near]
+                for i in np.unique(np.concatenate((x, y))).tolist():
+                    if i not in earlier:
+                        earlier[i] = before(token, int(g[at[i]]), int(at[i]))
+                own = np.fromiter((earlier[i].isdisjoint(earlier[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+                x, y = x[own], y[own]
+                if nearest:
+                    by = np.lexsort((who[y], apart[own], x))
+                    x, y = x[by], y[by]
+                    first = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=bool)
+                    x, y = x[first], y[first]
                 out.append(np.stack([np.minimum(who[x], who[y]), np.maximum(who[x], who[y])]))
         both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         by = np.lexsort(both)
@@ -399,6 +432,15 @@ def class_sets(texts: DataFrame, pairs: DataFrame, width: int, max_wanted: int)
     return stored(sets.dropDuplicates(["c"]), "class-sets")
 
 
+def more_sets(sets: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, max_wanted: int) -> DataFrame:
+    """(c, tokens) of the classes in class pairs (a, b), stored: from ``sets``,
+    and those that it lacks from the texts."""
+    ids = stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("c"), "wanted-again")
+    new = stored(ids.join(sets.select("c"), "c", "left_anti").select(F.col("c").alias("a"), F.col("c").alias("b")), "wanted-new")
+    known = sets.join(ids, "c", "left_semi")
+    return stored(known.union(class_sets(texts, new, width, max_wanted)) if new.limit(1).count() else known, "class-sets")
+
+
 def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of class pairs (a, b), those whose whole sets reach the similarity."""
 
@@ -468,7 +510,7 @@ def link_components(
     order = spark.sparkContext.broadcast(frequent_tokens(texts, width, bits, frequent, max_frequent))
 
     kind = rows.schema["id"].dataType.simpleString()
-    info = stored(rows.mapInArrow(_set_info(order, width, num, den), f"id {kind}, n bigint, c bigint, g bigint, " + ", ".join(f"{x} bigint" for x in SKETCH)), "set-info")
+    info = stored(rows.mapInArrow(_set_info(order, width, num, den), f"id {kind}, n bigint, c bigint, g bigint, " + ", ".join(f"{x} bigint" for x in SKETCH) + ", lead binary"), "set-info")
     classes = stored(info.filter("c is not null").groupBy("c").agg(F.min("id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in SKETCH]), "classes")
 
     posted = texts.mapInArrow(_posting_batches(order, width, num, den, bits, hot), "bucket bigint, tokens binary, groups binary, sizes binary, places binary")
@@ -506,24 +548,34 @@ def link_components(
     roots = _merged(roots, verify(sets, second, num, den))
 
     # what stars have left out: pairs of a list or block in different components
-    rooted = classes.select("g", "c", "n", *SKETCH).join(roots.withColumnRenamed("node", "c"), "c", "left")
-    rooted = rooted.select("g", "c", "n", F.coalesce("root", "c").alias("root"), *SKETCH)
+    leads = info.filter("lead is not null").groupBy("g").agg(F.min("lead").alias("lead"))  # follows from the prefix: one of each group
     lists = found.filter(F.col("kind") == LIST)
-    seen = lists.filter("members is null").select(F.col("bucket").alias("at"), F.col("b").alias("g")).join(rooted, "g").select("at", "g", "c", "root", *SKETCH)
-    lists = lists.filter("members is not null").select("bucket", "members")
-    open_ = lists.groupBy("bucket").cogroup(seen.groupBy("at")).applyInArrow(_open_pairs(num, den), "x bigint, y bigint")
+    listed = lists.filter("members is null").select(F.col("bucket").alias("at"), F.col("b").alias("g")).join(leads, "g", "left")
+    lists = lists.filter("members is not null").select("bucket", F.col("a").alias("token"), "members")
+
+    def rooted() -> DataFrame:
+        own = classes.select("g", "c", "n", *SKETCH).join(roots.withColumnRenamed("node", "c"), "c", "left")
+        return own.select("g", "c", "n", F.coalesce("root", "c").alias("root"), *SKETCH)
+
+    def open_pairs(nearest: bool) -> DataFrame:
+        seen = listed.join(rooted(), "g").select("at", "g", "c", "root", *SKETCH, "lead")
+        return lists.groupBy("bucket").cogroup(seen.groupBy("at")).applyInArrow(_open_pairs(num, den, nearest), "x bigint, y bigint")
+
+    near = stored(ordered(open_pairs(True)).join(candidates, ["a", "b"], "left_anti"), "near-pairs")
+    if near.limit(1).count():
+        roots = _merged(roots, verify(more_sets(sets, texts, near, width, max_wanted), near, num, den))
     blocks = found.filter(F.col("kind") == BLOCK).select(F.xxhash64("kind", "a").alias("block"), F.col("b").alias("g"))
     blocks = blocks.union(large.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("g")))
     blocks = blocks.union(several.filter("k > 2").select(F.xxhash64(F.lit("group"), "g").alias("block"), "g")).distinct()
-    rest = blocks.join(rooted, "g").select("block", "c", "n", "root")
+    rest = blocks.join(rooted(), "g").select("block", "c", "n", "root")
     mixed = rest.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("block")
     rest = stored(rest.join(mixed, "block"), "open-blocks")
     other = rest.select("block", F.col("c").alias("y"), F.col("n").alias("m"), F.col("root").alias("r"))
     cross = rest.join(other, "block").filter((F.col("root") < F.col("r")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num))
-    cross = ordered(cross.select(F.col("c").alias("x"), "y").union(open_)).join(candidates, ["a", "b"], "left_anti")
+    cross = ordered(cross.select(F.col("c").alias("x"), "y").union(open_pairs(False))).join(candidates.union(near), ["a", "b"], "left_anti")
     cross = stored(cross, "open-pairs")
     if cross.limit(1).count():
-        roots = _merged(roots, verify(class_sets(texts, cross, width, max_wanted), cross, num, den))
+        roots = _merged(roots, verify(more_sets(sets, texts, cross, width, max_wanted), cross, num, den))
 
     named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
