@@ -122,6 +122,20 @@ def test_group_ends_by_sets(keep):
         assert alignment.group_ends(a, b) == tuple([i + 1 for i, x in enumerate(e) if x in both] for e in (a, b))
 
 
+@pytest.mark.parametrize("longest", [3, 255, 256, 1000])
+def test_group_cuts_of_token_lengths(longest):
+    rnd = random.Random(longest)
+    for _ in range(300):
+        n = rnd.randint(1, 60)
+        sums = np.cumsum([rnd.choice([1, 2, longest]) for _ in range(n)])
+        a, b = (np.array([x for x in sums[:-1] if rnd.random() < 0.8] + [sums[-1]]) for _ in range(2))
+        both = np.intersect1d(a, b)
+        got = alignment.group_cuts(np.diff(a, prepend=0), np.diff(b, prepend=0))
+        assert all((g == np.flatnonzero(np.isin(e, both)) + 1).all() for g, e in zip(got, (a, b), strict=True))
+    none = np.empty(0, dtype=np.int64)
+    assert [len(x) for x in alignment.group_cuts(none, none)] == [0, 0]
+
+
 def test_wide_groups_are_counted_by_distinct_ids(monkeypatch):
     rnd = np.random.default_rng(3)
     a, b = rnd.integers(0, 9, 900), rnd.integers(0, 7, 700)

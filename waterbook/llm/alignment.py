@@ -5,9 +5,9 @@ differently. Where a token of A and one of B end at the same offset, a group
 ends; the tokens of a group are linked with each other.
 
 Groups are found by skipping along diagonals: while token ``i`` of A and token
-``i + shift`` of B end together, slices of the two end arrays are compared at
+``i + shift`` of B end together, slices of the two length arrays are compared at
 that shift, each twice as long as the last, so a one-to-one stretch costs a
-few comparisons. A slice that differs is halved down to its first difference.
+few comparisons (after a common end, equal lengths are equal ends). A slice that differs is halved down to its first difference.
 The irregular group that begins there is walked token by token until the ends
 meet again, which gives the new shift.
 
@@ -30,7 +30,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -104,57 +104,72 @@ class PieceTokens:
         return self.model.encode(text, num_threads=1)
 
 
-def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Of every group, the index after its last token in ``a`` and in ``b``:
-    lists of rising end offsets with the same last one."""
+def group_runs(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
+    """The groups of two texts' token lengths with the same sum, as runs: the
+    index after the first group's last token in ``a`` and in ``b``, and how
+    many groups follow there, that one included, the others one to one."""
     ends_a: list[int] = []
     ends_b: list[int] = []
+    lengths: list[int] = []
     i = j = 0
     n, m = len(a), len(b)
     while i < n:
-        x, y = a[i], b[j]
-        if x == y:
-            # a stretch at this shift: the first few one by one, then ever longer slices
-            at, to, step = i + 1, j + 1, 8
-            few = min(i + step, n)
-            while at < few and a[at] == b[to]:
-                at += 1
-                to += 1
-            if at == i + step:
-                while at < n and a[at] == b[to]:
-                    step *= 2
-                    width = min(step, n - at, m - to)
-                    if a[at : at + width] == b[to : to + width]:
-                        at += width
-                        to += width
-                        continue
-                    while width > 1:  # halve down to the first difference
-                        half = width // 2
-                        if a[at : at + half] == b[to : to + half]:
-                            at += half
-                            to += half
-                            width -= half
-                        else:
-                            width = half
-                    break
-            if at > i + 1:
-                ends_a += range(i + 1, at + 1)
-                ends_b += range(j + 1, to + 1)
-                i, j = at, to
-                continue
+        ahead = a[i] - b[j]  # bytes that A's tokens reach beyond B's
         # an irregular group, after which the shift is another one
-        while x != y:
-            if x < y:
+        while ahead:
+            if ahead < 0:
                 i += 1
-                x = a[i]
+                ahead += a[i]
             else:
                 j += 1
-                y = b[j]
+                ahead -= b[j]
         i += 1
         j += 1
         ends_a.append(i)
         ends_b.append(j)
-    return ends_a, ends_b
+        # a stretch at this shift: the first few one by one, then ever longer slices
+        at, to, step = i, j, 8
+        few = min(i + step, n)
+        while at < few and a[at] == b[to]:
+            at += 1
+            to += 1
+        if at == i + step:
+            while at < n and a[at] == b[to]:
+                step *= 2
+                width = min(step, n - at, m - to)
+                if a[at : at + width] == b[to : to + width]:
+                    at += width
+                    to += width
+                    continue
+                while width > 1:  # halve down to the first difference
+                    half = width // 2
+                    if a[at : at + half] == b[to : to + half]:
+                        at += half
+                        to += half
+                        width -= half
+                    else:
+                        width = half
+                break
+        lengths.append(at - i + 1)
+        i, j = at, to
+    return ends_a, ends_b, lengths
+
+
+def group_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every group, the index after its last token in ``a`` and in ``b``,
+    the tokens' lengths."""
+    short = max(a.max(initial=0), b.max(initial=0)) < 256  # as bytes, which are quicker to compare
+    runs = group_runs(*(x.astype(np.uint8).tobytes() if short else x.tolist() for x in (a, b)))
+    first_a, first_b, lengths = (np.array(x, dtype=np.int64) for x in runs)
+    at = np.cumsum(lengths) - lengths  # groups before each run
+    place = np.arange(int(lengths.sum()))
+    return place + np.repeat(first_a - at, lengths), place + np.repeat(first_b - at, lengths)
+
+
+def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """``group_cuts`` of lists of rising end offsets with the same last one."""
+    cut_a, cut_b = group_cuts(*(np.diff(np.array(x, dtype=np.int64), prepend=0) for x in (a, b)))
+    return cut_a.tolist(), cut_b.tolist()
 
 
 def sizes(ends: np.ndarray) -> np.ndarray:
@@ -193,9 +208,10 @@ class Aligner:
     def __init__(self, spec: str, proto: bytes):
         self.a, self.b = ByteLevelTokens(spec), PieceTokens(proto)
         self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (self.a, self.b))
-        names = lambda t, after: np.array([f"{i}{after}" for i in range(len(t.bytes))], dtype=object)
-        self.text_a, self.last_a = names(self.a, ","), names(self.a, "|")
-        self.text_b, self.last_b = names(self.b, ","), names(self.b, ";")
+        #: every id in decimal and a comma, after zero bytes: of one width, at least that of a number
+        most = max(len(self.a.bytes), len(self.b.bytes))
+        width = max(8, len(f"{most},"))
+        self.names = np.array([f"{i},".rjust(width, "\0").encode() for i in range(most)], dtype=f"S{width}").view("u8" if width == 8 else f"V{width}")
 
     def align(self, text: str | None) -> tuple[np.ndarray, ...] | None:
         """Ids and end offsets of A, of B, and the groups' ends in both; none
@@ -210,20 +226,20 @@ class Aligner:
         if not self.a.whole and b"".join(map(self.a.bytes.__getitem__, a.tolist())) != data:
             return None
         b = np.array(b, dtype=np.int64)
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        cut_a, cut_b = group_ends(end_a.tolist(), end_b.tolist())
-        return a, b, end_a, end_b, np.array(cut_a, dtype=np.int64), np.array(cut_b, dtype=np.int64)
+        size_a, size_b = self.size_a[a], self.size_b[b]
+        return a, b, np.cumsum(size_a), np.cumsum(size_b), *group_cuts(size_a, size_b)
 
     def digest(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
         """SHA-256 of ``a1,a2|b1;a3|b2,b3``."""
-        parts = np.empty(len(a) + len(b), dtype=object)
+        parts = np.empty(len(a) + len(b), dtype=self.names.dtype)
         # a group's tokens of A come before its tokens of B
         size_a, size_b = sizes(cut_a), sizes(cut_b)
         at_a = np.arange(len(a)) + np.repeat(cut_b - size_b, size_a)
         at_b = np.arange(len(b)) + np.repeat(cut_a, size_b)
-        parts[at_a], parts[at_b] = self.text_a[a], self.text_b[b]
-        parts[at_a[cut_a - 1]], parts[at_b[cut_b - 1]] = self.last_a[a[cut_a - 1]], self.last_b[b[cut_b - 1]]
-        return hashlib.sha256("".join(parts.tolist())[:-1].encode()).hexdigest()
+        parts[at_a], parts[at_b] = self.names[a], self.names[b]
+        text = parts.view(np.uint8).reshape(len(parts), -1)
+        text[at_a[cut_a - 1], -1], text[at_b[cut_b - 1], -1] = ord("|"), ord(";")
+        return hashlib.sha256(parts.tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 def read_model(path: str) -> bytes:
