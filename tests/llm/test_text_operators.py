@@ -158,6 +158,15 @@ def test_encoder_equals_the_library(name):
         assert list(memoryview(own.encode(s)).cast("i")) == ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_short_merges_equal_the_queue(name, monkeypatch):
+    own, rnd = bpe.Encoder(json.loads(bpe.read_spec(public_vocabulary(name)))), random.Random(8)
+    words = ["".join(rnd.choice("aaeeinorst.!é漢🎉") for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + ["a" * 40, "the", ""]
+    short = [own.merge(w) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [own.merge(w) for w in words] == short
+
+
 def test_bpe_query_digests(spark):
     lib = Tokenizer.from_file(public_vocabulary("word_bpe_49k.json"))
     texts = {r.doc_id: r.text for r in small(spark).collect()}
