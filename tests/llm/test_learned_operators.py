@@ -13,6 +13,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tests.conftest import SF_SMALL
@@ -94,6 +95,19 @@ def test_alignment_query_and_small_blocks(spark):
     assert {r.doc_id: tuple(r[c] for c in COUNTED) for r in got} == want
 
 
+def test_blocks_are_read_a_few_at_a_time(spark):
+    """However many blocks a task writes, a row group, which a reader decodes
+    up to 4096 rows of at once, holds few of them."""
+    texts = {i: f"the cat number {i} sat on {i % 5} mats" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    blocks = alignment.align_blocks(docs, A, B, block_chars=1)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in blocks.inputFiles()]
+    rows = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(rows) == len(texts) and max(rows) <= alignment.BLOCKS_AT_ONCE
+    got = alignment.document_links(blocks, alignment.link_table(blocks)).collect()
+    assert {r.doc_id: tuple(r[c] for c in COUNTED) for r in got} == want_alignment(texts)
+
+
 def test_alignment_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(docs, A, B).collect() == []

@@ -48,6 +48,9 @@ LONG_TEXT = 200_000
 #: Groups of more links than this are counted by their distinct ids.
 WIDE_GROUP = 4096
 
+#: Blocks, each some 0.6 MB, that a task reads at once.
+BLOCKS_AT_ONCE = 8
+
 #: How the byte-level files split a text before merging (a fixed value of their format).
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -311,10 +314,11 @@ def align_blocks(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
     """One row per block of about ``block_chars`` characters (or one longer
     text): its documents' counts, their distinct id pairs as places in
     ``pairs``, and how many of them hold each pair. Written to the shared
-    folder, as everything else is derived from it."""
+    folder, as everything else is derived from it; in small row groups, so
+    that however many blocks a task has written, few are in memory at once."""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     blocks = rows.mapInArrow(_block_batches(read_spec(path_a), read_model(path_b), block_chars), _block_type(rows.schema["k"]))
-    return stored(blocks, "alignment")
+    return stored(blocks, "alignment", BLOCKS_AT_ONCE)
 
 
 def link_table(blocks: DataFrame) -> DataFrame:

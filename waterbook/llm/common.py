@@ -44,11 +44,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, at_once: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage
-    and survives lost executors."""
+    and survives lost executors. ``at_once``: rows per row group at most, for
+    large rows; the reader else decodes up to 4096 of them together."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.row.count.limit", at_once) if at_once else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
